@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_path
+from .fingerprints import compare_with_edits
 from .packing import pack, token_pieces
+from .pseudonyms import pseudonymise_documents
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise_documents(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
+
+
 def op8_grouping_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents")))
 
@@ -32,6 +42,8 @@ def op10_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_iblt_fingerprints": op1_iblt_fingerprints,
+    "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
     "op8_grouping_ga_packing": op8_grouping_ga_packing,
     "op9_elias_fano_token_files": op9_elias_fano_token_files,
     "op10_viterbi_token_counts": op10_viterbi_token_counts,
