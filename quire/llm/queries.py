@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_path
+from .decontaminate import contaminated
 from .fingerprints import compare_with_edits
+from .licenses import scan_licenses
 from .packing import pack, token_pieces
 from .pseudonyms import pseudonymise_documents
 from .token_counts import count_tokens
@@ -22,6 +24,14 @@ def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise_documents(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
 
@@ -43,6 +53,8 @@ def op10_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
+    "op4_license_set_join": op4_license_set_join,
+    "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
     "op8_grouping_ga_packing": op8_grouping_ga_packing,
     "op9_elias_fano_token_files": op9_elias_fano_token_files,
