@@ -10,6 +10,7 @@ from .common import fresh_path
 from .decontaminate import contaminated
 from .fingerprints import compare_with_edits
 from .licenses import scan_licenses
+from .near_duplicates import near_duplicates
 from .packing import pack, token_pieces
 from .pseudonyms import pseudonymise_documents
 from .token_counts import count_tokens
@@ -24,6 +25,10 @@ def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op4_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
+    "op2_setsketch_near_duplicates": op2_setsketch_near_duplicates,
     "op4_license_set_join": op4_license_set_join,
     "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
