@@ -3,18 +3,18 @@
 A paragraph is a line or sentence; one without an end in 120 characters is cut there. A sketch is TABLES x PLACES cells
 (count, xor of digests, xor of check sums); each digest falls in one cell of every table. Subtracting two sketches leaves
 the digests that differ, and peeling cells of count 1 recovers them. Where peeling fails, both texts are sketched again
-with FAN times as many cells (a sketch for each of FAN classes of digests), and so on, but only the classes that failed;
+with more cells (a sketch for each of up to FAN classes of digests, by how many there are), and so on, but only the classes that failed;
 past DEPTH retries the digests themselves are compared, so a difference is always whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-TABLES, PLACES, FAN, DEPTH, ROUNDS = 3, 6, 8, 5, 8
+TABLES, PLACES, FAN, DEPTH, ROUNDS = 3, 4, 32, 4, 8
 PARAGRAPH = r"[^\n.]{0,120}[\n.]|[^\n.]{1,120}"
 
 
@@ -24,7 +24,7 @@ def digests(text: Column) -> Column:
 
 
 def _place(d: str, cell: str) -> str:
-    """Whether digest d falls in a cell: each table has twelve bits of the digest of its own; the lowest 18 deal classes."""
+    """Whether digest d falls in a cell: each table has twelve bits of the digest of its own; the lowest 20 deal classes."""
     return f"(shiftrightunsigned({d}, 20 + 12 * ({cell} div {PLACES})) & 4095) % {PLACES} = {cell} % {PLACES}"
 
 
@@ -56,8 +56,9 @@ def _differing(left: str, right: str, level: int = 0) -> str:
     gap = f"zip_with({_sketch(a, f'{v}a')}, {_sketch(b, f'{v}b')}, (x{v}, y{v}) -> named_struct('n', x{v}.n - y{v}.n, 'd', x{v}.d ^ y{v}.d, 'c', x{v}.c ^ y{v}.c))"
     peeled = f"if(abs(size({a}) - size({b})) > {TABLES * PLACES}, NULL, {_peel(gap, f'{v}p')})"
     if level < DEPTH:
-        kind = f"(shiftright(z{v}, {3 * level}) & {FAN - 1}) = {j}"
-        larger = f"flatten(transform(sequence(0, {FAN - 1}), {j} -> {_differing(f'filter({a}, z{v} -> {kind})', f'filter({b}, z{v} -> {kind})', level + 1)}))"
+        kind = f"(shiftrightunsigned(z{v}, {4 * level}) & 65535) % m{v} = {j}"
+        classes = f"least({FAN}, greatest(2, (size({a}) + size({b})) div 4))"
+        larger = _let(f"m{v}", classes, f"flatten(transform(sequence(0, m{v} - 1), {j} -> {_differing(f'filter({a}, z{v} -> {kind})', f'filter({b}, z{v} -> {kind})', level + 1)}))")
     else:
         larger = f"concat(transform(array_except({a}, {b}), z{v} -> named_struct('n', 1, 'd', z{v})), transform(array_except({b}, {a}), z{v} -> named_struct('n', -1, 'd', z{v})))"
     return _let(a, left, _let(b, right, f"coalesce({peeled}, {larger})"))
@@ -81,23 +82,21 @@ def fingerprint(xs: str) -> Column:
     return F.expr(f"array_join(transform({_sketch(f'`{xs}`', '_f')}, f -> {cell}), ',')")
 
 
-def next_in_order(keys: DataFrame) -> DataFrame:
-    """keys(doc_id, hash, n) -> with next_id, next_hash: the row after each in descending doc_id order (null last), round about.
+def neighbours(keys: DataFrame) -> DataFrame:
+    """keys(d, none, hash, n) -> with the row before in descending order of d (none last), round about: to_d, to_none, to_hash, to_n.
 
     Rows are numbered by range partitions, so no task sees the whole order; only a count for each partition is brought together.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]
+    order = [F.col("none").asc(), F.col("d").desc(), F.col("hash").asc()]
     dealt = materialise(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "order")
     dealt = dealt.withColumns({"part": F.shiftrightunsigned("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
     parts = dealt.groupBy("part").agg(F.count("*").alias("n_part"))
-    from pyspark.sql import Window
-
     before = F.sum("n_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     total = F.sum("n_part").over(Window.partitionBy())
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total"))
-    ranked = dealt.join(F.broadcast(parts), "part").select("doc_id", "hash", "n", (F.col("before") + F.col("at")).alias("rank"), "total")
-    after = ranked.select(F.col("rank").alias("r"), F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash"))
-    return ranked.join(after, F.col("r") == (F.col("rank") + 1) % F.col("total"), "left").drop("r", "rank", "total")
+    ranked = dealt.join(F.broadcast(parts), "part").select("d", "none", "hash", "n", (F.col("before") + F.col("at")).alias("rank"), "total")
+    other = ranked.select(((F.col("rank") + 1) % F.col("total")).alias("rank"), *[F.col(c).alias(f"to_{c}") for c in ("d", "none", "hash", "n")])
+    return ranked.join(other, "rank").drop("rank", "total", "n")
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -109,18 +108,18 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     other texts are ordered by a hash of the text. Columns other than doc_id and text are not read. One row each of:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs, n_differing.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    place = ["d", "none", "hash"]
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    keys = next_in_order(rows.groupBy("doc_id", "hash").agg(F.max(F.length("text")).alias("n")))
-    keys = materialise(keys, "next")
-    wanted = keys.select(F.col("next_id").alias("doc_id"), F.col("next_hash").alias("hash"), F.col("doc_id").alias("to_id"), F.col("hash").alias("to_hash"), F.expr("n div 3").alias("take"))
-    same = lambda a, b, x="doc_id", y="hash": a[x].eqNullSafe(b["doc_id"]) & (a[y] == b["hash"])
-    one = rows.dropDuplicates(["doc_id", "hash"])
-    heads = one.join(wanted, same(one, wanted)).select("to_id", "to_hash", "take", F.substring("text", F.lit(1), F.col("take").cast("int")).alias("head"), digests(F.col("text")).alias("next_digests"))
-    joined = rows.join(heads, rows["doc_id"].eqNullSafe(heads["to_id"]) & (rows["hash"] == heads["to_hash"])).drop("to_id", "to_hash", "hash")
+    keys = materialise(neighbours(rows.select(*place, F.length("text").alias("n")).distinct()), "neighbours")
+    # Whole texts are shuffled once, by place: both sides below have them from the same exchange.
+    placed = rows.join(keys.hint("merge"), place)
+    once = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*place).orderBy("to_n"))).where("nth = 1")
+    heads = once.select(*[F.col(f"to_{c}").alias(c) for c in place], F.expr("substring(text, 1, to_n div 3)").alias("head"), digests(F.col("text")).alias("next_digests"))
+    joined = rows.join(heads.hint("merge"), place)
     n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), (n - F.col("take")).cast("int")), F.col("head"))
-    made = joined.select("doc_id", n.cast("long").alias("n_chars"), digests(F.col("text")).alias("own"), edited.alias("edited"), "next_digests")
+    edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), F.col("head"))
+    made = joined.select(F.when(~F.col("none"), F.col("d")).alias("doc_id"), n.cast("long").alias("n_chars"), digests(F.col("text")).alias("own"), edited.alias("edited"), "next_digests")
     made = made.select("doc_id", "n_chars", "own", "next_digests", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("changed"))
     out = made.select("*", F.size(differing("own", "changed")).alias("d_edited"), F.size(differing("own", "next_digests")).alias("d_next"))
     return out.select(
