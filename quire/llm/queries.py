@@ -15,6 +15,7 @@ from .packing import pack, token_pieces
 from .pseudonyms import pseudonymise_documents
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
+from .toxicity import score_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op2_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_setsketch_near_duplicates": op2_setsketch_near_duplicates,
+    "op3_zstd_toxicity": op3_zstd_toxicity,
     "op4_license_set_join": op4_license_set_join,
     "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
