@@ -94,6 +94,15 @@ class ItemBlock:
             yield self.items[k][0], edits
 
 
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about BLOCK_CHARS; one block at least."""
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // BLOCK_CHARS))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]
+
+
 def find_items(docs: DataFrame, items: DataFrame, share: float = 0.1, shortest: int = 12) -> DataFrame:
     """doc_id, hash, item_id, n_edits, item_chars: the items(item_id, text) that stand in docs(doc_id, hash, text), each once a text.
 
@@ -101,13 +110,8 @@ def find_items(docs: DataFrame, items: DataFrame, share: float = 0.1, shortest:
     than two such pieces is met without edits. Items are read in blocks of bounded size, one job each, so the
     benchmark may grow; a single item longer than a block is a block of its own. Null or wordless items and texts meet nothing.
     """
-    sized = items.select("item_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    blocks = max(1, -(-int(sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BLOCK_CHARS))
-    rows = docs.select("doc_id", "hash", "text")
-    out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]  # about BLOCK_CHARS
+    rows, out = docs.select("doc_id", "hash", "text"), None
+    for held in _blocks(items):
 
         def scan(batches, held=held):
             index = ItemBlock(held, share, shortest)
@@ -131,3 +135,17 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.1, shortest
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
     return find_items(rows, items, share, shortest).drop("hash")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.1, shortest: int = 12) -> DataFrame:
+    """The rows of docs(text, ...) that hold no item, with all their columns; found as in find_items, without a shuffle of the rows."""
+    for held in _blocks(items):
+
+        def clean(batches, held=held):
+            index = ItemBlock(held, share, shortest)
+            for batch in batches:
+                for piece in text_slices(batch, "text"):
+                    yield piece.filter(pa.array([next(index.find(plain(t)), None) is None for t in piece["text"].to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import fresh_path
 from .decontaminate import contaminated
 from .fingerprints import compare_with_edits
+from .html_text import extract_main_text
 from .licenses import scan_licenses
 from .near_duplicates import near_duplicates
 from .packing import pack, token_pieces
@@ -38,6 +39,10 @@ def op4_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_host_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_setsketch_near_duplicates": op2_setsketch_near_duplicates,
     "op3_zstd_toxicity": op3_zstd_toxicity,
     "op4_license_set_join": op4_license_set_join,
+    "op5_host_suffix_array_text": op5_host_suffix_array_text,
     "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
     "op8_grouping_ga_packing": op8_grouping_ga_packing,
