@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, lower_ascii, materialise, text_slices
+from .common import lower_ascii, materialise, text_slices
 from .graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,25 +134,25 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 
 
 def sketch_texts(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest (of the words in order), n_shingles, registers for each row of rows(doc_id, text)."""
+    """doc_id, raw (a hash of the text), digest (of the words in order), n_shingles, registers for each row of rows(doc_id, text)."""
 
     def sketch(batches):
         known: dict[str, int] = {}
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 out = []
-                for doc_id, text in zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist(), strict=True):
+                for doc_id, raw, text in zip(piece["doc_id"].to_pylist(), piece["raw"].to_pylist(), piece["text"].to_pylist(), strict=True):
                     tokens = words(text)
                     digest = hashlib.md5(" ".join(tokens).encode("utf-8", "surrogatepass")).digest()
                     hashes = np.fromiter(map(known.__getitem__, _learn(tokens, known)), _M, len(tokens))
                     elements = shingle_hashes(hashes, size)
-                    out.append((doc_id, digest, len(elements), to_bytes(set_sketch(elements))))
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "digest", "n_shingles", "registers"])
+                    out.append((doc_id, raw, digest, len(elements), to_bytes(set_sketch(elements))))
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "raw", "digest", "n_shingles", "registers"])
                 if len(known) > 400_000:
                     known.clear()
 
-    return rows.mapInArrow(sketch, "doc_id long, digest binary, n_shingles long, registers binary")
+    return rows.mapInArrow(sketch, "doc_id long, raw long, digest binary, n_shingles long, registers binary")
 
 
 def _learn(tokens: list[str], known: dict[str, int]) -> list[str]:
@@ -202,11 +202,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     (component_id null, kept true). Repeated rows each come back; rows that share a doc_id are one document, linked through any of its texts. Columns
     other than doc_id and text are not read; an empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
     sketched = materialise(sketch_texts(rows, size), "sketches")
     live = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = live.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = materialise(live.select("doc_id", "digest").join(classes, "digest"), "classes")
+    member = materialise(live.select("doc_id", "raw", "digest").join(classes, "digest"), "classes")
     own = (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))
     first = live.join(classes.withColumnRenamed("digest", "d"), own).dropDuplicates(["digest"]).select("rep", "n_shingles", "registers")
     sketches = materialise(first, "representatives")
@@ -221,12 +221,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     pairs = materialise(pairs.union(stars).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("shared")), "candidates")
 
     near = held.select(F.col("rep").alias("doc_id")).distinct()
-    named = member.select("doc_id", "digest", "rep").where("doc_id = rep").distinct()
-    wanted = named.join(near, "doc_id")
-    lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    joined = F.regexp_replace(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " "), "^ | $", "")
-    texts = rows.join(wanted.withColumnsRenamed({"doc_id": "w", "digest": "d"}), F.col("doc_id") == F.col("w")).where(F.unhex(F.md5(joined)) == F.col("d")).select("rep", "text")
-    texts = materialise(texts.dropDuplicates(), "texts")
+    # one text of each representative and class; its row is known by doc_id and raw hash
+    wanted = member.where("doc_id = rep").groupBy("digest", "doc_id").agg(F.min("raw").alias("raw")).join(near, "doc_id").select("doc_id", "raw").distinct()
+    texts = rows.join(wanted, ["doc_id", "raw"]).select(F.col("doc_id").alias("rep"), "text")
+    texts = materialise(texts.dropDuplicates(["rep", "text"]), "texts")
 
     shared_id = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("high")).where("u <> high")
     links = materialise(member.join(shared_id, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v")).distinct(), "shared-ids")
