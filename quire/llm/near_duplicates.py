@@ -6,8 +6,8 @@ as the sets are alike. Texts whose registers agree over a whole band are candida
 and equal registers and both set sizes estimates their Jaccard similarity, and what may reach the threshold is verified on the texts.
 
 Equal texts are one class with one representative. In a bucket of more than PAIRS_TO members the candidates are the links to one
-centre; if its members don't all get connected, to ever more centres, until none can be missed. So a group of near copies costs
-as many rows as it has members, not their square, and no link between components is lost.
+centre. If its members don't all get connected, an exact prefix filter over their shingles lists what pairs may still be links. So a group of near
+copies costs as many rows as it has members, not their square, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise, text_slices
@@ -194,6 +194,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return pairs.join(one("u"), "u").join(one("v"), "v").mapInArrow(judge, "u long, v long")
 
 
+def prefix_pairs(texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """u, v of texts(rep, text, component) in different components whose shingle sets may reach the threshold.
+
+    Sets are ordered by how many texts hold a shingle, rarest first. Two sets that share `need` shingles share one of the first
+    n - need + 1 of each; n and need depend on both sizes, so each pair is held to its own places.
+    """
+
+    def explode(batches):
+        import xxhash
+
+        for batch in batches:
+            for piece in text_slices(batch, "text", 1 << 20):
+                for rep, component, text in zip(piece["rep"].to_pylist(), piece["component"].to_pylist(), piece["text"].to_pylist(), strict=True):
+                    hashes = shingle_hashes(np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words(text)], _M), size).view(np.int64)
+                    n, own = len(hashes), xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x, np.int64)) for x in (rep, own, component, n)), pa.array(hashes)], names=["rep", "own", "component", "n", "h"])
+
+    rows = materialise(texts.select("rep", "component", "text").mapInArrow(explode, "rep long, own long, component long, n long, h long"), "shingles")
+    counts = rows.groupBy("h").agg(F.count("*").alias("texts"))
+    place = F.row_number().over(Window.partitionBy("rep", "own").orderBy("texts", "h")) - 1
+    first = rows.join(counts, "h").withColumn("place", place).where((F.col("texts") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100)))
+    first = materialise(first.select("rep", "component", "n", "h", "place"), "prefixes")
+    other = first.select("h", *[F.col(c).alias(f"{c}_v") for c in ("rep", "component", "n", "place")])
+    need = F.ceil((F.col("n") + F.col("n_v")) * threshold / (100 + threshold))
+    smaller = (F.col("n") < F.col("n_v")) | ((F.col("n") == F.col("n_v")) & (F.col("rep") < F.col("rep_v")))
+    met = (F.col("component") != F.col("component_v")) & smaller & (F.col("place") <= F.col("n") - need) & (F.col("place_v") <= F.col("n_v") - need)
+    both = first.join(other, "h").where(met)
+    return both.select(F.least("rep", "rep_v").alias("u"), F.greatest("rep", "rep_v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
@@ -248,29 +278,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
         links = links.unionByName(more)
         found = components(links)
 
-    # Large buckets whose members are not all connected: 8 times as many centres each time, at last every member.
-    large, tried = held.where(F.col("n") > PAIRS_TO).select("band", "rep", "n"), pairs.select("u", "v")
-    centres = PAIRS_TO
-    while True:
-        labels = found.select(F.col("node").alias("rep"), "component")
-        placed = large.join(labels, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-        large_now = materialise(placed.join(mixed, "band"), "mixed")
-        most = large_now.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        heads = large_now.groupBy("band", F.when(F.col("n") <= centres, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(centres))).alias("salt")).agg(F.min(F.struct("rep", "component")).alias("h"))
-        met = large_now.join(heads.select("band", F.col("h.rep").alias("head"), F.col("h.component").alias("head_component")), "band").where("component <> head_component")
-        met = met.select(F.least("rep", "head").alias("u"), F.greatest("rep", "head").alias("v")).distinct()
-        met = materialise(met.join(tried, ["u", "v"], "left_anti"), "met")
-        more = judged(met)
-        tried = tried.unionByName(met)
+    # Large buckets whose members are not all connected: every pair that may still be a link, by an exact prefix filter.
+    labels = found.select(F.col("node").alias("rep"), "component")
+    placed = held.where(F.col("n") > PAIRS_TO).join(labels, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+    some = materialise(placed.join(mixed, "band").select("rep", "component").distinct(), "mixed")
+    if not some.isEmpty():
+        more = judged(prefix_pairs(texts.join(some, "rep"), size, threshold).join(pairs.select("u", "v"), ["u", "v"], "left_anti"))
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
-        if centres >= most:
-            break
-        large, centres = large_now.select("band", "rep", "n").where(F.col("n") > centres), centres * 8
     found = materialise(found, "components")
     of_class = member.select("digest", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     result = sketched.select("doc_id", "digest", "n_shingles").join(of_class, "digest", "left")
