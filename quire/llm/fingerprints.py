@@ -23,15 +23,16 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def _place(d: str, cell: str) -> str:
-    """Whether digest d falls in a cell: each table has twelve bits of the digest of its own; the lowest 20 deal classes."""
-    return f"(shiftrightunsigned({d}, 20 + 12 * ({cell} div {PLACES})) & 4095) % {PLACES} = {cell} % {PLACES}"
+def _place(d: str, table: str) -> str:
+    """A digest's place in a table: each table has twelve bits of the digest of its own; the lowest 20 deal classes."""
+    return f"(shiftrightunsigned({d}, {table}) & {PLACES - 1})"
 
 
 def _sketch(xs: str, v: str) -> str:
     zero = "named_struct('n', 0, 'd', 0L, 'c', 0L)"
     add = f"named_struct('n', s{v}.n + 1, 'd', s{v}.d ^ d{v}, 'c', s{v}.c ^ xxhash64(d{v}, 1))"
-    return f"transform(sequence(0, {TABLES * PLACES - 1}), i{v} -> aggregate({xs}, {zero}, (s{v}, d{v}) -> if({_place(f'd{v}', f'i{v}')}, {add}, s{v})))"
+    table = lambda t: f"transform(sequence(0, {PLACES - 1}), i{v} -> aggregate({xs}, {zero}, (s{v}, d{v}) -> if({_place(f'd{v}', str(20 + 12 * t))} = i{v}, {add}, s{v})))"
+    return f"concat({', '.join(table(t) for t in range(TABLES))})"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -42,18 +43,19 @@ def _peel(cells: str, v: str) -> str:
     """Digests of either side by rounds of cells of count 1; null when cells stay."""
     s, p, c, i, a, x = (k + v for k in "spciax")
     pure = f"array_distinct(transform(filter({s}.cells, {c} -> abs({c}.n) = 1 AND {c}.c = xxhash64({c}.d, 1)), {c} -> named_struct('n', {c}.n, 'd', {c}.d)))"
-    less = f"transform({s}.cells, ({c}, {i}) -> aggregate({p}, {c}, ({a}, {x}) -> if({_place(f'{x}.d', i)}, named_struct('n', {a}.n - {x}.n, 'd', {a}.d ^ {x}.d, 'c', {a}.c ^ xxhash64({x}.d, 1)), {a})))"
+    less = f"transform({s}.cells, ({c}, {i}) -> aggregate({p}, {c}, ({a}, {x}) -> if({_place(f'{x}.d', f'20 + 12 * ({i} div {PLACES})')} = {i} % {PLACES}, named_struct('n', {a}.n - {x}.n, 'd', {a}.d ^ {x}.d, 'c', {a}.c ^ xxhash64({x}.d, 1)), {a})))"
     step = _let(p, pure, f"if(size({p}) = 0, named_struct('cells', {s}.cells, 'got', {s}.got, 'on', false), named_struct('cells', {less}, 'got', concat({s}.got, {p}), 'on', true))")
     start = f"named_struct('cells', {cells}, 'got', cast(array() AS array<struct<n:int,d:bigint>>), 'on', true)"
     done = f"if(exists({s}.cells, {c} -> {c}.n <> 0 OR {c}.d <> 0 OR {c}.c <> 0), NULL, {s}.got)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, ({s}, r{v}) -> if({s}.on, {step}, {s}), {s} -> {done})"
 
 
-def _differing(left: str, right: str, level: int = 0) -> str:
-    """SQL for array<struct<n, d>>: digests that one side alone has, n = 1 for the left side's and -1 for the right's."""
+def _differing(left: str, right: str, level: int = 0, made: tuple[str, str] | None = None) -> str:
+    """SQL for array<struct<n, d>>: digests that one side alone has, n = 1 for the left side's and -1 for the right's. made: their first sketches."""
     v = f"_{level}"
     a, b, j = f"l{v}", f"r{v}", f"j{v}"
-    gap = f"zip_with({_sketch(a, f'{v}a')}, {_sketch(b, f'{v}b')}, (x{v}, y{v}) -> named_struct('n', x{v}.n - y{v}.n, 'd', x{v}.d ^ y{v}.d, 'c', x{v}.c ^ y{v}.c))"
+    one, two = made or (_sketch(a, f"{v}a"), _sketch(b, f"{v}b"))
+    gap = f"zip_with({one}, {two}, (x{v}, y{v}) -> named_struct('n', x{v}.n - y{v}.n, 'd', x{v}.d ^ y{v}.d, 'c', x{v}.c ^ y{v}.c))"
     peeled = f"if(abs(size({a}) - size({b})) > {TABLES * PLACES}, NULL, {_peel(gap, f'{v}p')})"
     if level < DEPTH:
         kind = f"(shiftrightunsigned(z{v}, {4 * level}) & 65535) % m{v} = {j}"
@@ -64,9 +66,15 @@ def _differing(left: str, right: str, level: int = 0) -> str:
     return _let(a, left, _let(b, right, f"coalesce({peeled}, {larger})"))
 
 
-def differing(left: str, right: str) -> Column:
-    """Digests that only one of two array<bigint> columns of digests has, by subtracting and peeling their sketches."""
-    return F.expr(_differing(f"`{left}`", f"`{right}`"))
+def sketch(xs: str) -> Column:
+    """The first sketch of an array<bigint> column of digests."""
+    return F.expr(_sketch(f"`{xs}`", "_f"))
+
+
+def differing(left: str, right: str, sketches: tuple[str, str] | None = None) -> Column:
+    """Digests that only one of two array<bigint> columns of digests has, by subtracting and peeling their sketches (columns, if they are there)."""
+    made = (f"`{sketches[0]}`", f"`{sketches[1]}`") if sketches else None
+    return F.expr(_differing(f"`{left}`", f"`{right}`", 0, made))
 
 
 def likeness(n_left: Column, n_right: Column, n_differing: Column) -> Column:
@@ -76,10 +84,9 @@ def likeness(n_left: Column, n_right: Column, n_differing: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(both / F.when(every == 0, 1).otherwise(every))
 
 
-def fingerprint(xs: str) -> Column:
-    """The first sketch as text: a count, digests and check sums of each cell, in hex."""
-    cell = "concat(hex(f.n), ':', hex(f.d), ':', hex(f.c))"
-    return F.expr(f"array_join(transform({_sketch(f'`{xs}`', '_f')}, f -> {cell}), ',')")
+def fingerprint(sketch_column: str) -> Column:
+    """A sketch as text: count, digests and check sums of each cell, in hex."""
+    return F.array_join(F.transform(sketch_column, lambda f: F.concat_ws(":", F.hex(f["n"]), F.hex(f["d"]), F.hex(f["c"]))), ",")
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -121,9 +128,10 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), F.col("head"))
     made = joined.select(F.when(~F.col("none"), F.col("d")).alias("doc_id"), n.cast("long").alias("n_chars"), digests(F.col("text")).alias("own"), edited.alias("edited"), "next_digests")
     made = made.select("doc_id", "n_chars", "own", "next_digests", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("changed"))
-    out = made.select("*", F.size(differing("own", "changed")).alias("d_edited"), F.size(differing("own", "next_digests")).alias("d_next"))
+    made = made.withColumns({"s_own": sketch("own"), "s_changed": sketch("changed"), "s_next": sketch("next_digests")})
+    out = made.select("*", F.size(differing("own", "changed", ("s_own", "s_changed"))).alias("d_edited"), F.size(differing("own", "next_digests", ("s_own", "s_next"))).alias("d_next"))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint("s_own").alias("fingerprint"), fingerprint("s_changed").alias("edited_fingerprint"),
         likeness(F.size("own"), F.size("changed"), F.col("d_edited")).alias("near_edited"), likeness(F.size("own"), F.size("next_digests"), F.col("d_next")).alias("near_next"),
         F.size("own").cast("long").alias("n_paragraphs"), F.col("d_edited").cast("long").alias("n_differing"),
     )
