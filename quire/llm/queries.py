@@ -12,6 +12,7 @@ from .fingerprints import compare_with_edits
 from .html_text import extract_main_text
 from .licenses import scan_licenses
 from .near_duplicates import near_duplicates
+from .oracle import ORACLE_SQL  # noqa: F401  the entry point reads it here
 from .packing import pack, token_pieces
 from .pseudonyms import pseudonymise_documents
 from .token_counts import count_tokens
@@ -78,5 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_elias_fano_token_files": op9_elias_fano_token_files,
     "op10_viterbi_token_counts": op10_viterbi_token_counts,
 }
-
-ORACLE_SQL: dict[str, str] = {}
