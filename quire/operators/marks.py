@@ -201,3 +201,65 @@ def degradations(foreign: DataFrame) -> DataFrame:
     """page, z, losses: what making a mark one's own would lose."""
     rules = [(F.col("dashed"), "dashes"), (F.col("has_reply"), "replies"), (F.col("opacity") < 1, "opacity"), (~F.col("kind").isin("highlight", "underline", "strikeout", "ink", "line"), "shape")]
     return foreign.select("page", "z", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules])), ",").alias("losses"))
+
+
+_MARK = "page long, z double, kind string, color string, note string, bars array<struct<line:long,x0:double,x1:double>>"
+
+
+def merge_markup(marks: DataFrame, paints: DataFrame) -> DataFrame:
+    """Paint over a page's marks, one paint after the other: marks and paints have page, z (paints: their order), kind, color, note and bars(line, x0, x1).
+
+    A paint takes in marks of its kind and colour that its bars, or those it has taken in so far, overlap, going once up the stack; marks of another colour
+    that its own bars overlap are trimmed by them, and what is left of a bar below a width of 1 goes. Notes of marks that are taken in or trimmed away
+    pass to the paint, apart by an empty line. The result has the place of the first mark taken in, else it is on top. New z count from 0.
+
+    Each paint depends on what the one before left, so a page is a group: its marks and paints, which one reader has drawn.
+    """
+
+    def overlap(a, b):
+        return any(p[0] == q[0] and min(p[2], q[2]) - max(p[1], q[1]) > 0.01 for p in a for q in b)
+
+    def joined(bars):
+        out = []
+        for line, x0, x1 in sorted(bars):
+            if out and out[-1][0] == line and x0 <= out[-1][2] + 0.01:
+                out[-1][2] = max(out[-1][2], x1)
+            else:
+                out.append([line, x0, x1])
+        return [tuple(b) for b in out]
+
+    def trimmed(bars, cutters):
+        for cl, c0, c1 in cutters:
+            bars = [p for line, x0, x1 in bars for p in ([(line, x0, x1)] if line != cl else [(line, x0, min(x1, c0)), (line, max(x0, c1), x1)]) if p[2] > p[1]]
+        return [b for b in bars if b[2] - b[1] >= 1.0]
+
+    def rows_of(frame):
+        return [[r.kind, r.color, r.note, [(b["line"], b["x0"], b["x1"]) for b in r.bars]] for r in frame.sort_values("z", kind="stable").itertuples()]
+
+    def fold(left, right):
+        import pandas as pd
+
+        stack = rows_of(left)
+        for kind, color, note, own in rows_of(right):
+            bars, notes, slot, kept = list(own), [], None, []
+            for mark in stack:
+                if mark[0] == kind and mark[1] == color and overlap(mark[3], bars):
+                    slot = len(kept) if slot is None else slot
+                    bars += mark[3]
+                    notes.append(mark[2])
+                elif mark[0] == kind and mark[1] != color and overlap(mark[3], own):
+                    rest = trimmed(mark[3], own)
+                    if rest:
+                        kept.append([*mark[:3], rest])
+                    else:
+                        notes.append(mark[2])
+                else:
+                    kept.append(mark)
+            text = "\n\n".join(n for n in [*notes, note] if n) or None
+            kept.insert(len(kept) if slot is None else slot, [kind, color, text, joined(bars)])
+            stack = kept
+        page = int((left if len(left) else right)["page"].iloc[0])
+        return pd.DataFrame([(page, float(z), *m[:3], [{"line": b[0], "x0": b[1], "x1": b[2]} for b in m[3]]) for z, m in enumerate(stack)], columns=["page", "z", "kind", "color", "note", "bars"])
+
+    shaped = lambda df: df.select("page", F.col("z").cast("double").alias("z"), "kind", "color", "note", F.col("bars").cast("array<struct<line:long,x0:double,x1:double>>").alias("bars"))
+    return shaped(marks).groupBy("page").cogroup(shaped(paints).groupBy("page")).applyInPandas(fold, _MARK)

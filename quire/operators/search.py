@@ -185,3 +185,17 @@ def leak_check(redacted: DataFrame, terms: DataFrame) -> DataFrame:
         raise ValueError("check at most 1000 terms at a time")
     found = search_terms(redacted.withColumn("_t", F.explode(F.array(*[F.lit(t) for t in listed]))), F.col("_t"))
     return terms.select("term").distinct().join(found.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("leaks"))
+
+
+def commit_redactions(lines: DataFrame, boxes: DataFrame, log: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(the redacted lines, read back from what was published; the log without the edits up to this commit).
+
+    There is no way back: the published version holds no text that was under a box, and earlier edits can't be undone into it.
+    """
+    from quire.sources.sinks import commit, read_committed
+
+    commit(apply_redactions(lines, boxes), path)
+    published = read_committed(lines.sparkSession, path)
+    last = log.groupBy("doc").agg(F.max(F.when(F.col("op") == "commit", F.struct("ts", "event_id"))).alias("done"))
+    kept = log.join(last, "doc").where(F.col("done").isNull() | (F.struct("ts", "event_id") > F.col("done"))).drop("done")
+    return published, kept

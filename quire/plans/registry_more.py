@@ -570,3 +570,41 @@ def _(t):
 @query("h11_dirty_docs", "E", "SELECT doc FROM E GROUP BY doc HAVING max((ts, event_id)) FILTER (op <> 'purchase') IS NOT NULL AND (max((ts, event_id)) FILTER (op = 'purchase') IS NULL OR max((ts, event_id)) FILTER (op <> 'purchase') > max((ts, event_id)) FILTER (op = 'purchase'))")
 def _(t):
     return H.dirty_docs(t.events, "purchase")
+
+
+@query("a3_merge_sequence")
+def _(t):
+    bar = F.array(F.struct("line", "x0", "x1"))
+    b = t.bars.where("kind <> 'ink'").withColumn("note", F.when(F.col("z") % 3 == 0, F.concat(F.lit("n"), F.col("z").cast("string"))))
+    marks = b.where("z % 2 = 0").select("page", "z", "kind", "color", "note", bar.alias("bars"))
+    paints = b.where("z % 2 = 1").select("page", "z", "kind", "color", "note", bar.alias("bars"))
+    out = A.merge_markup(marks, paints)
+    return out.select("page", "z", "kind", "color", "note", F.explode("bars").alias("b")).select("page", F.col("z").cast("long").alias("z"), "kind", "color", "note", "b.line", "b.x0", "b.x1")
+
+
+@query("r7_commit_redactions", "L", "SELECT doc_id, ln, regexp_replace(line, 'the', '', 'gi') AS line FROM L WHERE page = 0")
+def _(t):
+    from quire.sources.sinks import shared_path
+
+    lines = t.lines.where("page = 0")
+    log = t.events.withColumn("op", F.when(F.col("event_id") % 40 == 0, "commit").otherwise(F.col("op")))
+    return Q.commit_redactions(lines, Q.search(lines, "the"), log, shared_path(t.spark, "redacted"))[0].select("doc_id", "ln", "line")
+
+
+@query("r7_log_after_commit", "E", "SELECT doc, event_id FROM E e WHERE NOT EXISTS (SELECT 1 FROM E c WHERE c.doc = e.doc AND c.event_id % 40 = 0 AND (c.ts, c.event_id) >= (e.ts, e.event_id))")
+def _(t):
+    from quire.sources.sinks import shared_path
+
+    log = t.events.withColumn("op", F.when(F.col("event_id") % 40 == 0, "commit").otherwise(F.col("op")))
+    lines = t.lines.where("page = 0")
+    return Q.commit_redactions(lines, Q.search(lines, "the"), log, shared_path(t.spark, "redacted"))[1].select("doc", "event_id")
+
+
+@query("s10_commit", "L", "SELECT doc_id, ln, line FROM L WHERE line_no = 0")
+def _(t):
+    from quire.sources.sinks import commit, read_committed, shared_path
+
+    path = shared_path(t.spark, "lines")
+    commit(t.lines.limit(0).select("doc_id", "ln", "line"), path)
+    commit(t.lines.where("line_no = 0").select("doc_id", "ln", "line"), path)
+    return read_committed(t.spark, path)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def commit(df: DataFrame, path: str) -> str:
     """Write a version of a table and publish it last: readers see the old version whole, or the new one whole.
 

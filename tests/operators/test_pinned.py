@@ -133,3 +133,24 @@ def test_metadata_states(spark):
     m = spark.range(3).select(F.col("id").alias("page_id"), one.alias("info"), one.alias("xmp"), F.when(F.col("id") == 1, none).when(F.col("id") == 2, F.create_map(F.lit("title"), F.lit("N"), F.lit("no"), F.lit("x"))).alias("override"))
     got = [(r.info, r.xmp) for r in D.apply_metadata(m).orderBy("page_id").collect()]
     assert got == [({"title": "T"}, {"title": "T"}), ({}, {}), ({"title": "N"}, {"title": "N"})]
+
+
+def painted(spark, marks, paints):
+    """(kind, color, note, bars) up the stack; marks and paints as (color, note, [(x0, x1), ...]) on one line."""
+    def table(rows):
+        return spark.createDataFrame([(0, float(z), "highlight", c, n, [(1, float(a), float(b)) for a, b in bars]) for z, (c, n, bars) in enumerate(rows)], "page long, z double, kind string, color string, note string, bars array<struct<line:long,x0:double,x1:double>>")
+
+    out = A.merge_markup(table(marks), table(paints)).orderBy("z").collect()
+    return [(r.color, r.note, [(b.x0, b.x1) for b in r.bars]) for r in out]
+
+
+def test_paints_in_sequence(spark):
+    assert painted(spark, [("y", None, [(70, 220)])], [("g", None, [(120, 170)])]) == [("y", None, [(70, 120), (170, 220)]), ("g", None, [(120, 170)])]
+    assert painted(spark, [("y", "a", [(70, 220)])], [("g", None, [(70.5, 220)])]) == [("g", "a", [(70.5, 220)])]
+    assert painted(spark, [("y", "a", [(70, 110)]), ("r", None, [(0, 5)]), ("y", "b", [(180, 220)])], [("y", "c", [(100, 190)])]) == [("y", "a\n\nb\n\nc", [(70, 220)]), ("r", None, [(0, 5)])]
+    # one pass up the stack: a mark reached only through a later one is missed
+    assert painted(spark, [("y", None, [(0, 20)]), ("y", None, [(15, 40)])], [("y", None, [(35, 50)])]) == [("y", None, [(0, 20)]), ("y", None, [(15, 50)])]
+    # bars that meet end to end are not taken in; slivers of a trimmed mark go
+    assert painted(spark, [("y", None, [(0, 10)])], [("y", None, [(10, 20)])]) == [("y", None, [(0, 10)]), ("y", None, [(10, 20)])]
+    assert painted(spark, [("y", None, [(0, 10), (30, 30.5)])], [("g", None, [(5, 10)])]) == [("y", None, [(0, 5)]), ("g", None, [(5, 10)])]
+    assert painted(spark, [], [("y", None, [(0, 10)]), ("y", None, [(5, 30)])]) == [("y", None, [(0, 30)])]
