@@ -53,3 +53,34 @@ def effective_log_stream(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"doc": [key[0]], "live": [len(done)]})
 
     return events.groupBy("doc").applyInPandasWithState(fold, "doc long, live long", "done array<long>, undone array<long>", "update", "NoTimeout")
+
+
+def changed_sources_stream(snapshots: DataFrame) -> DataFrame:
+    """doc, change of snapshots(doc, ts, stamp, size): new at the first signature of a document, changed when one differs from the last seen."""
+
+    def compare(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = tuple(state.get) if state.exists else None
+        out = []
+        for frame in frames:
+            for stamp, size in frame.sort_values("ts")[["stamp", "size"]].itertuples(index=False):
+                now = (int(stamp), int(size))
+                if now != last:
+                    out.append("new" if last is None else "changed")
+                last = now
+        state.update(last)
+        yield pd.DataFrame({"doc": [key[0]] * len(out), "change": out})
+
+    return snapshots.groupBy("doc").applyInPandasWithState(compare, "doc long, change string", "stamp long, size long", "append", "NoTimeout")
+
+
+def upsert_latest(events: DataFrame, path: str, checkpoint: str):
+    """Keep a table of each document's last state at `path`: each batch is merged with the published version and published anew."""
+    from quire.sources.sinks import commit, read_committed
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.select("doc", "ts", "event_id", "op", "value")
+        if number:
+            rows = rows.unionByName(read_committed(batch.sparkSession, path))
+        commit(rows.groupBy("doc").agg(F.max(F.struct("ts", "event_id", "op", "value")).alias("s")).select("doc", "s.*"), path)
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

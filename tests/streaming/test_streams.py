@@ -52,3 +52,30 @@ def test_undo_and_redo(spark):
     log = spark.createDataFrame([(1, i, i, op) for i, op in enumerate(ops)], "doc long, event_id long, t long, op string").withColumn("ts", F.timestamp_seconds("t"))
     assert sorted(r.op for r in H.effective_log(log).collect()) == ["d"]
     assert sorted(r.op for r in H.as_of(log, "1970-01-01 00:00:05").collect()) == ["a", "c"]
+
+
+def test_changed_sources(spark, tmp_path):
+    events = St.read_events(spark, files(spark, tmp_path), 10)
+    shots = events.select("doc", "ts", F.floor("value").cast("long").alias("stamp"), F.length("op").cast("long").alias("size"))
+    got = drain(St.changed_sources_stream(shots), "append").groupBy("doc", "change").count().collect()
+    seen, want = {}, {}
+    for r in batch(spark).orderBy("ts").collect():
+        now = (int(r.value // 1), len(r.op))
+        if seen.get(r.doc) != now:
+            k = (r.doc, "changed" if r.doc in seen else "new")
+            want[k] = want.get(k, 0) + 1
+        seen[r.doc] = now
+    assert {(r.doc, r.change): r["count"] for r in got} == want
+
+
+def test_upserts_equal_the_batch_form(spark, tmp_path):
+    from quire.sources.sinks import read_committed
+
+    path = str(tmp_path / "latest")
+    St.upsert_latest(St.read_events(spark, files(spark, tmp_path), 2), path, str(tmp_path / "c")).awaitTermination(180)
+    assert {(r.doc, r.op, r.value) for r in read_committed(spark, path).collect()} == {tuple(r) for r in H.latest_state(batch(spark)).collect()}
+
+
+def test_open_once(spark, tmp_path):
+    got = drain(St.open_once_stream(St.read_events(spark, files(spark, tmp_path), 10)), "append")
+    assert {r.doc for r in got.collect()} == {r.doc for r in batch(spark).select("doc").distinct().collect()}
