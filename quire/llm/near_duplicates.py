@@ -216,11 +216,14 @@ def prefix_pairs(texts: DataFrame, size: int, threshold: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("rep", "own").orderBy("texts", "h")) - 1
     first = rows.join(counts, "h").withColumn("place", place).where((F.col("texts") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100)))
     first = materialise(first.select("rep", "component", "n", "h", "place"), "prefixes")
+    # Of each shingle's texts those of its largest component are not compared with each other, only with the rest.
+    sizes = first.groupBy("h", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("h").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("components")).where("components > 1")
+    rest = first.join(main.select("h", F.col("m.component").alias("main")), "h").where("component <> main").drop("main")
     other = first.select("h", *[F.col(c).alias(f"{c}_v") for c in ("rep", "component", "n", "place")])
     need = F.ceil((F.col("n") + F.col("n_v")) * threshold / (100 + threshold))
-    smaller = (F.col("n") < F.col("n_v")) | ((F.col("n") == F.col("n_v")) & (F.col("rep") < F.col("rep_v")))
-    met = (F.col("component") != F.col("component_v")) & smaller & (F.col("place") <= F.col("n") - need) & (F.col("place_v") <= F.col("n_v") - need)
-    both = first.join(other, "h").where(met)
+    met = (F.col("component") != F.col("component_v")) & (F.col("place") <= F.col("n") - need) & (F.col("place_v") <= F.col("n_v") - need)
+    both = rest.join(other, "h").where(met)
     return both.select(F.least("rep", "rep_v").alias("u"), F.greatest("rep", "rep_v").alias("v")).distinct()
 
 
