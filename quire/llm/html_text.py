@@ -163,7 +163,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
         tokens: list[int] = []
         own = []
         for text, kind in blocks:
-            if kind == 0 and not any(k for _, k in blocks):
+            if kind == 0:
                 # a block's end is a token, so a short block that pages share whole is a run as well
                 words = text.split(" ")
                 own.append((len(tokens), len(words)))
@@ -175,11 +175,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
         cuts.append(own)
     out = []
     for blocks, own, covered in zip(read, cuts, repeated(streams), strict=True):
-        has_main = any(kind for _, kind in blocks)
-        kept = []
-        for (text, kind), at in zip(blocks, own, strict=True):
-            if kind or (not has_main and (at is None or covered[at[0] : at[0] + at[1]].mean() < COVERED)):
-                kept.append(text)
+        kept = [text for (text, kind), at in zip(blocks, own, strict=True) if kind or covered[at[0] : at[0] + at[1]].mean() < COVERED]
         out.append("\n\n".join(kept))
     return out
 

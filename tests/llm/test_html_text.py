@@ -49,6 +49,12 @@ def test_repeated_blocks_without_main_go(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repetition_decides_outside_the_article_too():
+    page = "<p>Lead number {0} tells of stone {0} alone</p><div>Home page of the daily stone with all news about stones</div><article><p>Story {0}</p><p>Kept though all pages have it</p></article><p>Second part {0} after the article {0}</p>"
+    want = "Lead number {0} tells of stone {0} alone\n\nStory {0}\n\nKept though all pages have it\n\nSecond part {0} after the article {0}"
+    assert main_texts([page.format(k) for k in range(5)]) == [want.format(k) for k in range(5)]
+
+
 def test_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
