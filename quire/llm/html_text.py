@@ -4,20 +4,23 @@ A page is read into blocks of text with the elements they stand in. Blocks insid
 blocks inside menus, headers, footers, sidebars, forms, scripts, adverts, notices and comments are not: where the markup says so,
 it is followed. All other blocks are judged by repetition: the streams of a host's pages are put side by side, a suffix array over their tokens
 lists every run of at least `MIN_RUN` tokens (or a whole block) that distinct pages share, and a block that such runs cover is dropped.
-A host's pages are dealt to shards of bounded size, so a host with very many pages is no single task; what a whole host repeats, its shards repeat.
+A host's pages are dealt to shards of bounded size, so a host with very many pages is no single task. A run that stands in two shards stands on
+two pages: such runs are found by 128-bit keys of all runs and given to the shards that hold them, so sharding doesn't change the texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_slices
 
 MIN_RUN, COVERED = 8, 0.5
 SHARD_CHARS, BROADCAST_HOSTS = 8 << 20, 1 << 19
@@ -154,32 +157,81 @@ def repeated(streams: list[np.ndarray], run: int = MIN_RUN) -> list[np.ndarray]:
     return [covered[c - n - 1 : c - 1] for c, n in zip(cuts.tolist(), lengths, strict=True)]
 
 
-def main_texts(pages: list[str | None]) -> list[str]:
-    """The main text of each page of one shard of one host."""
+def stream_of(blocks: list[tuple[str, int]]) -> tuple[list[str], list[tuple[int, int] | None]]:
+    """The tokens of a page's blocks outside main elements, and where in them each block stands (start, tokens); None for a block inside."""
+    tokens: list[str] = []
+    own: list[tuple[int, int] | None] = []
+    for text, kind in blocks:
+        if kind:
+            own.append(None)
+            continue
+        # a block's end is a token, so a short block that pages share whole is a run as well
+        words = text.split(" ")
+        own.append((len(tokens), len(words)))
+        tokens += words
+        tokens += ["\n"] * max(1, MIN_RUN - len(words))
+    return tokens, own
+
+
+#: Odd factors by place in a run, for each half of its key.
+_FACTORS = np.array([[int.from_bytes(hashlib.blake2b(b"%d %d" % (k, half), digest_size=8).digest()) | 1 for half in (0, 1)] for k in range(MIN_RUN)], np.uint64)
+
+
+def run_keys(tokens: list[str]) -> np.ndarray:
+    """The key (two 64-bit numbers) of each run of MIN_RUN tokens."""
+    n = len(tokens) - MIN_RUN + 1
+    if n <= 0:
+        return np.zeros((0, 2), np.int64)
+    known = {t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in set(tokens)}
+    each = np.frombuffer(b"".join(known[t] for t in tokens), np.uint64).reshape(-1, 2)
+    out = np.zeros((n, 2), np.uint64)
+    for k in range(MIN_RUN):
+        out += each[k : k + n] * _FACTORS[k]
+    return out.view(np.int64)
+
+
+def covered_by(streams: list[list[str]], shared: np.ndarray) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a run whose key is in shared."""
+    keys = [run_keys(s) for s in streams]
+    group = np.unique(np.concatenate([shared, *keys]), axis=0, return_inverse=True)[1].reshape(-1)
+    found = np.isin(group[len(shared) :], group[: len(shared)])
+    out, at = [], 0
+    for s, k in zip(streams, keys, strict=True):
+        edge = np.zeros(len(s) + 1, np.int64)
+        starts = np.flatnonzero(found[at : at + len(k)])
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + MIN_RUN, -1)
+        out.append(np.cumsum(edge[:-1]) > 0)
+        at += len(k)
+    return out
+
+
+def main_texts(pages: list[str | None], shared: np.ndarray | None = None) -> list[str]:
+    """The main text of each page of one shard of one host; shared are the keys of runs that other shards of the host have too."""
     read = [blocks_of(p) for p in pages]
+    cut = [stream_of(blocks) for blocks in read]
     numbers: dict[str, int] = {}
-    streams, cuts = [], []
-    for blocks in read:
-        tokens: list[int] = []
-        own = []
-        for text, kind in blocks:
-            if kind == 0:
-                # a block's end is a token, so a short block that pages share whole is a run as well
-                words = text.split(" ")
-                own.append((len(tokens), len(words)))
-                tokens += [numbers.setdefault(w, len(numbers)) for w in words]
-                tokens += [numbers.setdefault("\n", len(numbers))] * max(1, MIN_RUN - len(words))
-            else:
-                own.append(None)
-        streams.append(np.array(tokens, np.int64))
-        cuts.append(own)
+    every = repeated([np.array([numbers.setdefault(w, len(numbers)) for w in tokens], np.int64) for tokens, _ in cut])
+    if shared is not None and len(shared):
+        every = [a | b for a, b in zip(every, covered_by([tokens for tokens, _ in cut], shared), strict=True)]
     out = []
-    for blocks, own, covered in zip(read, cuts, repeated(streams), strict=True):
+    for blocks, (_, own), covered in zip(read, cut, every, strict=True):
         kept = [text for (text, kind), at in zip(blocks, own, strict=True) if kind or covered[at[0] : at[0] + at[1]].mean() < COVERED]
         out.append("\n\n".join(kept))
     return out
 
 
+def _shard_runs(batches):
+    """host, shard and key of each distinct run of each page."""
+    for batch in batches:
+        for piece in text_slices(batch, "html"):
+            keys = [np.unique(run_keys(stream_of(blocks_of(h))[0]), axis=0) for h in piece["html"].to_pylist()]
+            rows, both = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate([np.zeros((0, 2), np.int64), *keys])
+            if len(rows):
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([piece["host"].take(at), piece["shard"].take(at), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["host", "shard", "a", "b"])
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html).
 
@@ -193,12 +245,21 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     # Only hosts of more than one shard are looked up, by broadcast up to BROADCAST_HOSTS of them; so pages are shuffled once, by shard.
     sizes = sizes.select(F.col("host").alias("h"), F.ceil(F.col("chars") / SHARD_CHARS).cast("int").alias("shards")).where("shards > 1")
     sizes = materialise(sizes, "large-hosts")
-    if sizes.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    large = sizes.limit(BROADCAST_HOSTS + 1).count()
+    if large <= BROADCAST_HOSTS:
         sizes = F.broadcast(sizes)
     dealt = rows.join(sizes, F.col("host") == F.col("h"), "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("shards", F.lit(1))))
+    pages_of = dealt.select("page_id", "url", "html", "host", "shard").groupBy("host", "shard")
 
-    def texts(frame: pd.DataFrame) -> pd.DataFrame:
-        found = main_texts([h if isinstance(h, str) else None for h in frame["html"]])
+    def texts(frame: pd.DataFrame, shared: pd.DataFrame | None = None) -> pd.DataFrame:
+        keys = None if shared is None or not len(shared) else shared[["a", "b"]].to_numpy(np.int64)
+        found = main_texts([h if isinstance(h, str) else None for h in frame["html"]], keys)
         return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": found, "n_chars": [len(t) for t in found]})
 
-    return dealt.select("page_id", "url", "html", "host", "shard").groupBy("host", "shard").applyInPandas(texts, "page_id long, url string, text string, n_chars long")
+    out = "page_id long, url string, text string, n_chars long"
+    if not large:
+        return pages_of.applyInPandas(lambda frame: texts(frame), out)
+    runs = dealt.where("shards IS NOT NULL").select("html", "host", "shard").mapInArrow(_shard_runs, "host string, shard long, a long, b long")
+    shared = runs.groupBy("host", "a", "b").agg(F.collect_set("shard").alias("shards")).where(F.size("shards") > 1)
+    shared = shared.select("host", F.explode("shards").alias("shard"), "a", "b")
+    return pages_of.cogroup(shared.groupBy("host", "shard")).applyInPandas(lambda frame, keys: texts(frame, keys), out)

@@ -55,6 +55,20 @@ def test_repetition_decides_outside_the_article_too():
     assert main_texts([page.format(k) for k in range(5)]) == [want.format(k) for k in range(5)]
 
 
+def test_sharding_a_host_changes_nothing(spark, monkeypatch):
+    from quire.llm import html_text
+
+    page = "<p>Story {0} of stone {0} alone and by itself {0}</p><div>{1}</div><div>Read on</div>"
+    notice = lambda k: " ".join(f"n{k}w{j}" for j in range(12))
+    rows = [(i, "http://h.example/x", page.format(i, notice(i % 20))) for i in range(40)]  # each notice on two pages
+    rows += [(99, "http://small.example/", page.format(99, notice(0))), (None, "http://h.example/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    assert all(whole[i] == f"Story {i} of stone {i} alone and by itself {i}" for i in range(40)) and "n0w1" in whole[99]
+    monkeypatch.setattr(html_text, "SHARD_CHARS", 400)
+    assert {r.page_id: r.text for r in extract_main_text(pages).collect()} == whole
+
+
 def test_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
