@@ -55,6 +55,25 @@ def test_all_copies_within_budget_are_found_and_no_others():
             assert got == want
 
 
+def test_the_whole_budget_is_used():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(2, 40)))) for i in range(10)]
+    block, met = ItemBlock(items, 0.1), 0
+    for i, item in items:
+        budget = int(0.1 * len(item))
+        spread = list(item)
+        for e in range(budget):  # edits as evenly as they can lie
+            spread[len(item) * (2 * e + 1) // (2 * budget)] = "q"
+        for middle in ("".join(spread), edited(rng, item, budget), edited(rng, item, budget + 1)):
+            for before, after in ((8, 8), (0, 8)):
+                text = plain(" ".join([*(word() for _ in range(before)), middle, *(word() for _ in range(after))]))
+                want = {k: d for k, t in items if (d := slow(t, text)) <= int(0.1 * len(t))}
+                assert dict(block.find(text)) == want
+                met += i in want and want[i] > max(0, len(item) // 12 - 1)
+    assert met > 15
+
+
 def test_table_and_edges(spark):
     passage = "That and onesen erblest it hein ti inenan eranenes whou therouou thon the"
     items = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "?!"), (5, "short one"), (1, passage), (6, passage)], "item_id long, text string")
@@ -72,3 +91,16 @@ def test_blocks_change_nothing(spark, monkeypatch):
     whole = sorted(tuple(r) for r in contaminated(docs, items).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 3000)
     assert sorted(tuple(r) for r in contaminated(docs, items).collect()) == whole and len(whole) > 20
+
+
+def test_operators_use_the_whole_budget(spark):
+    from quire.llm.decontaminate import drop_contaminated
+
+    item = "passage of eighty or more letters that the benchmark holds and a page quotes with errors"
+    spread = list(item)
+    for e in range(8):  # the 8 edits of 10 %
+        spread[5 + 11 * e] = "q"
+    docs = spark.createDataFrame([(0, "so " + "".join(spread) + " it is"), (1, "a clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [tuple(r) for r in contaminated(docs, items).collect()] == [(0, 1, 8)]
+    assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == [1]
