@@ -3,7 +3,7 @@
 Equal values get equal pseudonyms in all documents, and with the key they can be turned back. Found are payment card
 numbers (13 to 19 digits, blanks or hyphens between groups, valid check digit), phone numbers, IPv4 addresses (octets to 255),
 social security numbers (ddd-dd-dddd), calendar dates (yyyy-mm-dd or yyyy/mm/dd, 1800 to 2199) and e-mail addresses (their local part).
-A number that fails its validation stays as it is. All is done with SQL functions.
+A number that fails its validation stays as it is; of a card number with other groups of digits behind it, the longest valid part is taken. All is done with SQL functions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Steps of a walk at most; at worst half of the steps end it, so one in 2^64 would go on.
+WALK = 64
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 PHONE = rf"(?:\+|{_EDGE})[0-9]{{1,3}}[ -]?\([0-9]{{3}}\) ?[0-9]{{3}}[ -][0-9]{{4}}{_END}|(?:\([0-9]{{3}}\) ?|{_EDGE}[0-9]{{3}}[-. ])[0-9]{{3}}[-. ][0-9]{{4}}{_END}"
@@ -74,12 +76,28 @@ def _check_digit(digits: str) -> str:
     return f"cast(pmod(10 - {_luhn(digits)} % 10, 10) AS string)"
 
 
+def _card_end(text: str) -> str:
+    """SQL for where the longest valid card number at a text's start ends: 13 digits at least, before a blank, a hyphen or the end; null without one."""
+    valid = f"transform(array(substring(p, 1, length(p) - 1)), y -> right(p, 1) = {_check_digit('y')})[0]"
+    ends = f"(u = length(f) OR substring(f, u + 1, 1) IN (' ', '-')) AND transform(array(regexp_replace(substring(f, 1, u), '[^0-9]', '')), p -> if(length(p) >= 13, {valid}, false))[0]"
+    return f"transform(array({text}), f -> get(filter(sequence(greatest(length(f), 13), 13, -1), u -> substring(f, u, 1) BETWEEN '0' AND '9' AND {ends}), 0))[0]"
+
+
+def _card(m: str, key: str, back: bool) -> str:
+    """The longest valid card number at a match's start replaced, the rest as it stands. Where digits follow, the permutation is walked on until
+    the longest valid number ends at the same place again, so that the way back finds it there."""
+    plain = "regexp_replace(h, '[^0-9]', '')"
+    step = f"transform(array({_chars(f'substring({plain}, 1, length({plain}) - 1)', 'card', key, back)}), g -> {_refilled('h', f'concat(g, {_check_digit("g")})')})[0]"
+    first = f"transform(array(s.head), h -> {step})[0]"
+    walked = f"aggregate(sequence(1, {WALK}), {first}, (h, n) -> if({_card_end('concat(h, s.rest)')} <=> s.at, h, {step}))"
+    cut = f"transform(array({_card_end(m)}), e -> named_struct('at', e, 'head', substring({m}, 1, e), 'rest', substring({m}, e + 1)))"
+    return f"transform({cut}, s -> if(s.at IS NULL, {m}, if(s.rest = '', {first}, concat({walked}, s.rest))))[0]"
+
+
 def _pseudonym(m: str, key: str, back: bool) -> str:
     """SQL for the pseudonym of one match; the match itself where validation fails."""
     plain = f"regexp_replace({m}, '[^0-9]', '')"
-    body = f"substring({plain}, 1, length({plain}) - 1)"
-    card = f"transform(array({_chars(body, 'card', key, back)}), g -> {_refilled(m, f'concat(g, {_check_digit("g")})')})[0]"
-    card = f"if(right({plain}, 1) = {_check_digit(body)}, {card}, {m})"
+    card = _card(m, key, back)
     last = f"right({plain}, 10)"
     phone = _refilled(m, f"concat(left({plain}, length({plain}) - 10), {_chars(last, 'phone', key, back)})")
     ssn = _refilled(m, _chars(plain, "ssn", key, back))

@@ -82,3 +82,17 @@ def test_nothing_valid_is_left_in_the_table(spark):
         kept += sum(x in r.text for x in cards + mails)
         assert len(r.text) == len(old[r.doc_id]) or re.search(ANY.split("|")[0], old[r.doc_id]) or re.search(r"\d+\.\d+\.\d+\.\d+", old[r.doc_id])
     assert kept == 0
+
+
+def test_card_before_other_digits(spark):
+    tails = ["12/25", "123", "12", "1 2", "12-3", "9 99"]
+    rows = [(i, f"{card} {tail}") for i, (card, tail) in enumerate((c, t) for c in ("4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "4222222222222") for t in tails)]
+    rows += [(100 + k, f"card 4111111111111111 {k:03d} end") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    new = pseudonymise_documents(docs)
+    got = {r.doc_id: r for r in new.collect()}
+    for i, old in rows:
+        new_text, digits = got[i].text, [c for c in old if c.isdigit()]
+        assert got[i].n_values == 1 and new_text != old and len(new_text) == len(old) and len(digits) >= 13
+        assert "4111111111111111" not in new_text and (i < 100 or new_text[21:] == old[21:] or luhn("".join(digits)))
+    assert [r.text for r in pseudonymise_documents(new.drop("n_values"), back=True).orderBy("doc_id").collect()] == [t for _, t in rows]
