@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, limit: int = 4096, tokenizer: str | None = Non
 
     def cut(batches):
         for batch in batches:
-            for part in text_slices(batch, "text", 2 << 20):
+            for part in text_slices(batch, "text", 4 << 20):
                 ids, sizes = encoder(tokenizer).encode(part["text"])
                 raw, at = memoryview(ids.astype("<u4").tobytes()), 0
                 names, rows = part["doc_id"].to_pylist(), []

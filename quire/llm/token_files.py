@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return row
 
         for batch in batches:
-            for piece in text_slices(batch, "text", 2 << 20):
+            for piece in text_slices(batch, "text", 4 << 20):
                 got, sizes = encoder(tokenizer).encode(piece["text"])
                 sizes = sizes + 1
                 whole = np.full(int(sizes.sum()), end_id, "<u4")
@@ -161,34 +162,34 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(segments, _SEGMENTS).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian, 4 bytes each)."""
+def _read(spark: SparkSession, path: str, schema: str, value: Callable[[memoryview], object]) -> DataFrame:
+    """doc_id, start, n_tokens and a value of each document's ids. Each end is a select on its segment's list: no table of offsets is made."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if schema.endswith("long") else pa.binary())
+    names = [part.split()[0] for part in schema.split(", ")]
+
     def documents(batches):
         for batch in batches:
-            for raw, start in zip(batch["payload"], batch["start"].to_pylist(), strict=True):
-                segment = Segment(raw.as_py())
-                ends = segment.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                raw_ids = segment.ids.astype("<u4").tobytes()
-                ids = pa.array([raw_ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(segment.doc_ids, pa.int64()), pa.array(starts + start, pa.int64()), pa.array(ends - starts, pa.int64()), ids], names=["doc_id", "start", "n_tokens", "ids"])
+            for raw, first in zip(batch["payload"], batch["start"].to_pylist(), strict=True):
+                segment, rows, start = Segment(raw.as_py()), [], 0
+                ids = memoryview(segment.ids.astype("<u4").tobytes())
+                for k, doc_id in enumerate(segment.doc_ids):
+                    end = segment.end(k)
+                    rows.append((doc_id, first + start, end - start, value(ids[4 * start : 4 * end])))
+                    start = end
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return _with_starts(spark, path).mapInArrow(documents, schema)
 
-    return _with_starts(spark, path).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row a document: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian, 4 bytes each)."""
+    return _read(spark, path, "doc_id long, start long, n_tokens long, ids binary", bytes)
 
 
 def read_token_index(spark: SparkSession, path: str) -> DataFrame:
     """As read_token_files, with the unsigned crc32 of each document's ids in their place."""
-    def digests(batches):
-        for batch in batches:
-            for raw, start in zip(batch["payload"], batch["start"].to_pylist(), strict=True):
-                segment = Segment(raw.as_py())
-                ends = segment.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                raw_ids = memoryview(segment.ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw_ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(segment.doc_ids, pa.int64()), pa.array(starts + start, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return _with_starts(spark, path).mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", zlib.crc32)
 
 
 def _with_starts(spark: SparkSession, path: str) -> DataFrame:
