@@ -3,8 +3,9 @@
 A paragraph is a line or sentence; one without an end in 120 characters is cut there. A sketch is TABLES x PLACES cells
 (count, xor of digests, xor of check sums); each digest falls in one cell of every table. Subtracting two sketches leaves
 the digests that differ, and peeling cells of count 1 recovers them. Where peeling fails, both texts are sketched again
-with more cells (a sketch for each of up to FAN classes of digests, by how many there are), and so on, but only the classes that failed;
-past DEPTH retries the digests themselves are compared, so a difference is always whole.
+with more cells: a sketch for each class of some four digests, by bits that no level before has used; and so on for the classes that
+failed. Past DEPTH retries the digests themselves are compared, so a difference is always whole. The fingerprint stands for a set of
+paragraphs: texts with the same paragraphs in another order, or as often repeated, have the same one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-TABLES, PLACES, FAN, DEPTH, ROUNDS = 3, 4, 32, 4, 8
+TABLES, PLACES, DEPTH, ROUNDS = 3, 4, 3, 8
+#: From which bit of a digest a retry deals classes; the places of a digest are at bits 20, 32 and 44.
+BITS = {1: 22, 2: 34}
 PARAGRAPH = r"[^\n.]{0,120}[\n.]|[^\n.]{1,120}"
 
 
@@ -24,7 +27,7 @@ def digests(text: Column) -> Column:
 
 
 def _place(d: str, table: str) -> str:
-    """A digest's place in a table: each table has twelve bits of the digest of its own; the lowest 20 deal classes."""
+    """A digest's place in a table: each table has two bits of the digest of its own, from 20, 32 and 44 on."""
     return f"(shiftrightunsigned({d}, {table}) & {PLACES - 1})"
 
 
@@ -50,17 +53,33 @@ def _peel(cells: str, v: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), {start}, ({s}, r{v}) -> if({s}.on, {step}, {s}), {s} -> {done})"
 
 
+def _ranges(xs: str, v: str) -> str:
+    """Array of the classes of a sorted array: slices of it, cut where the ranges' first values starts{v} would stand in it."""
+    cut = f"transform(starts{v}, y{v} -> cast(array_position(q{v}, y{v}) AS int))"
+    each = f"transform(e{v}, (x{v}, i{v}) -> slice(q{v}, x{v} + 1, coalesce(get(e{v}, i{v} + 1) - 1, size(q{v})) - x{v}))"
+    return _let(f"q{v}", f"sort_array(concat({xs}, starts{v}))", _let(f"e{v}", cut, each))
+
+
 def _differing(left: str, right: str, level: int = 0, made: tuple[str, str] | None = None) -> str:
-    """SQL for array<struct<n, d>>: digests that one side alone has, n = 1 for the left side's and -1 for the right's. made: their first sketches."""
+    """SQL for array<struct<n, d>>: digests that one side alone has, n = 1 for the left side's and -1 for the right's. made: their first sketches.
+
+    Each level deals the digests of what failed to classes of some four: the first to ranges of the sorted digests (256 at most, as cutting
+    them costs classes times digests), the later ones by the bits from BITS[level] on.
+    """
     v = f"_{level}"
     a, b, j = f"l{v}", f"r{v}", f"j{v}"
     one, two = made or (_sketch(a, f"{v}a"), _sketch(b, f"{v}b"))
     gap = f"zip_with({one}, {two}, (x{v}, y{v}) -> named_struct('n', x{v}.n - y{v}.n, 'd', x{v}.d ^ y{v}.d, 'c', x{v}.c ^ y{v}.c))"
     peeled = f"if(abs(size({a}) - size({b})) > {TABLES * PLACES}, NULL, {_peel(gap, f'{v}p')})"
-    if level < DEPTH:
-        kind = f"(shiftrightunsigned(z{v}, {4 * level}) & 65535) % m{v} = {j}"
-        classes = f"least({FAN}, greatest(2, (size({a}) + size({b})) div 4))"
-        larger = _let(f"m{v}", classes, f"flatten(transform(sequence(0, m{v} - 1), {j} -> {_differing(f'filter({a}, z{v} -> {kind})', f'filter({b}, z{v} -> {kind})', level + 1)}))")
+    many = f"greatest(2, (size({a}) + size({b})) div 4)"
+    if level == 0:
+        starts = f"transform(array(least(256, {many})), w{v} -> transform(sequence(0, w{v} - 1), {j} -> shiftleft({j} * ({(1 << 63) - 1}L div w{v}), 1) ^ {-(1 << 63)}L))[0]"
+        inner = _differing(f"u{v}", f"p{v}[{j}]", level + 1)
+        larger = _let(f"starts{v}", starts, _let(f"p{v}", _ranges(b, v), f"flatten(transform({_ranges(a, v)}, (u{v}, {j}) -> {inner}))"))
+    elif level < DEPTH:
+        kind = f"(shiftrightunsigned(z{v}, {BITS[level]}) & 1023) % m{v} = {j}"
+        inner = _differing(f"filter({a}, z{v} -> {kind})", f"filter({b}, z{v} -> {kind})", level + 1)
+        larger = _let(f"m{v}", many, f"flatten(transform(sequence(0, m{v} - 1), {j} -> {inner}))")
     else:
         larger = f"concat(transform(array_except({a}, {b}), z{v} -> named_struct('n', 1, 'd', z{v})), transform(array_except({b}, {a}), z{v} -> named_struct('n', -1, 'd', z{v})))"
     return _let(a, left, _let(b, right, f"coalesce({peeled}, {larger})"))
@@ -74,7 +93,7 @@ def sketch(xs: str) -> Column:
 def differing(left: str, right: str, sketches: tuple[str, str] | None = None) -> Column:
     """Digests that only one of two array<bigint> columns of digests has, by subtracting and peeling their sketches (columns, if they are there)."""
     made = (f"`{sketches[0]}`", f"`{sketches[1]}`") if sketches else None
-    return F.expr(_differing(f"`{left}`", f"`{right}`", 0, made))
+    return F.expr(_differing(f"`{left}`", f"`{right}`", made=made))
 
 
 def likeness(n_left: Column, n_right: Column, n_differing: Column) -> Column:
