@@ -8,27 +8,31 @@ from pyspark.sql import functions as F
 ELLIPSIS = "…"
 
 
+#: All characters that count as white space.
+BLANKS = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def collapse_clip(s: Column, n: int) -> Column:
-    """White space to single blanks, trimmed; cut to n characters with an ellipsis as the last."""
-    flat = F.trim(F.regexp_replace(s, r"[ \t\n\x0B\f\r]+", " "))
-    return F.when(F.length(flat) > n, F.concat(F.rtrim(F.substring(flat, 1, n - 1)), F.lit(ELLIPSIS))).otherwise(flat)
+    """White space to single blanks, trimmed; longer than n characters: the first n - 1 and an ellipsis. Null counts as empty."""
+    flat = F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), BLANKS, " "))
+    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit(ELLIPSIS))).otherwise(flat)
 
 
 def doc_date(s: Column) -> Column:
-    """D:YYYYMMDD[HHmmSS] as a date and time; all else as it is."""
-    day = F.regexp_replace(s, r"^D:(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3")
-    full = F.regexp_replace(s, r"^D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2}).*$", "$1-$2-$3 $4:$5:$6")
-    return F.when(s.rlike(r"^D:\d{14}"), full).when(s.rlike(r"^D:\d{8}"), day).otherwise(s)
+    """YYYYMMDD[HHmmSS], with D: before it or without, as a date and time; all else as it is."""
+    day, full = r"^(?:D:)?(\d{4})(\d{2})(\d{2})", r"^(?:D:)?(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})"
+    shown = F.regexp_replace(s, day + "(?s).*$", "$1-$2-$3")
+    return F.when(s.rlike(full), F.regexp_replace(s, full + "(?s).*$", "$1-$2-$3 $4:$5:$6")).when(s.rlike(day), shown).otherwise(s)
 
 
 def human_size(n: Column) -> Column:
-    """Bytes, whole KB, or MB with one decimal."""
-    tenths = F.floor(n * 10 / (1024 * 1024) + 0.5).cast("long")
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" KB")))
-        .otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB")))
-    )
+    """Whole KB (1 at least) below 1 MB, MB with one decimal below 1 GB, then GB with two; halves go to the even neighbour."""
+    def scaled(unit: int, digits: int) -> Column:
+        whole = F.bround(n.cast("double") * 10**digits / unit, 0).cast("long")
+        return whole if not digits else F.concat(F.floor(whole / 10**digits).cast("string"), F.lit("."), F.lpad((whole % 10**digits).cast("string"), digits, "0"))
+
+    kb = F.greatest(scaled(1 << 10, 0), F.lit(1)).cast("string")
+    return F.when(n < 1 << 20, F.concat(kb, F.lit(" KB"))).when(n < 1 << 30, F.concat(scaled(1 << 20, 1), F.lit(" MB"))).otherwise(F.concat(scaled(1 << 30, 2), F.lit(" GB")))
 
 
 def path_key(s: Column) -> Column:
@@ -94,11 +98,25 @@ def unrotate_point(x: Column, y: Column, rotation: Column, width: Column, height
 
 
 #: What kinds of marks and fields are called.
-MARK_NOUNS = {"highlight": "Highlight", "underline": "Underline", "strikeout": "Strikeout", "ink": "Drawing", "line": "Line", "rect": "Rectangle", "ellipse": "Ellipse", "textbox": "Text box", "redact": "Redaction", "stamp": "Stamp"}
-FIELD_LABELS = {"text": "Text", "checkbox": "Checkbox", "combobox": "Dropdown", "listbox": "List", "radiobutton": "Radio button"}
+MARK_NOUNS = {"textbox": "text box", "ink": "ink", "line": "line", "shape": "shape", "stamp": "stamp", "imagestamp": "image", "newfield": "form field"}
+FIELD_LABELS = {"text": "Text Field", "checkbox": "Checkbox", "dropdown": "Dropdown"}
 
 
-def named(kind: Column, names: dict[str, str]) -> Column:
-    """The name of a kind; an unknown kind's own, capitalised."""
+def _named(kind: Column, names: dict[str, str], otherwise: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, kind), F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 1000)))
+    return F.coalesce(F.try_element_at(known, kind), otherwise)
+
+
+def mark_noun(kind: Column) -> Column:
+    """What a kind of mark is called; a kind without a name of its own by itself, in small letters."""
+    return _named(kind, MARK_NOUNS, F.lower(kind))
+
+
+def kind_label(kind: Column) -> Column:
+    """What a kind of field is called; others by themselves, each word with a capital."""
+    return _named(kind, FIELD_LABELS, F.initcap(kind))
+
+
+def foreign_label(kind: Column, author: Column) -> Column:
+    """A foreign mark's kind, and by whom it is where that is known."""
+    return F.concat(kind, F.when(F.coalesce(author, F.lit("")) != "", F.concat(F.lit(" by "), author)).otherwise(""))

@@ -68,28 +68,48 @@ def reorder_step(marks: DataFrame, forward: bool) -> DataFrame:
     return rows.withColumn("z", place - 1 if forward else n - place).drop("i", "run", "start", "before", "prev_start", "key")
 
 
-def translate(marks: DataFrame, dx: float, width: float) -> DataFrame:
-    """Move the marks of a page together, as far as their common box stays on the page."""
-    w = Window.partitionBy("page")
-    step = F.greatest(-F.min("x0").over(w), F.least(F.lit(float(dx)), width - F.max("x1").over(w)))
-    return marks.withColumn("step", step).withColumns({"x0": F.col("x0") + F.col("step"), "x1": F.col("x1") + F.col("step")}).drop("step")
-
+#: Kinds that are placed freely and so can be moved and scaled; text markup belongs to its text.
+PLACED = ["textbox", "ink", "line", "shape", "stamp", "imagestamp", "newfield"]
 
-def scale(marks: DataFrame, s: float, origin: float) -> DataFrame:
-    """Scale points about an origin; a text box keeps its width; text markup stays."""
-    x0 = origin + (F.col("x0") - origin) * s
-    x1 = F.when(F.col("kind") == "textbox", x0 + F.col("x1") - F.col("x0")).otherwise(origin + (F.col("x1") - origin) * s)
-    text = F.col("kind").isin("highlight", "underline", "strikeout")
-    return marks.select("*", F.when(text, F.col("x0")).otherwise(x0).alias("nx0"), F.when(text, F.col("x1")).otherwise(x1).alias("nx1")).withColumns({"x0": F.col("nx0"), "x1": F.col("nx1")}).drop("nx0", "nx1")
 
+def translate(marks: DataFrame, dx: float, dy: float, width: float, height: float) -> DataFrame:
+    """Move the freely placed marks of a page together, as far as their common box stays on the page; text markup stays where its text is.
 
-def restyle(marks: DataFrame, color: str | None, arrow: bool | None, drawn: list[str]) -> DataFrame:
-    """New colour for drawn kinds, arrow ends for lines alone; None keeps."""
-    is_drawn = F.col("kind").isin(drawn)
-    return marks.withColumns({
-        "color": F.when(is_drawn, F.coalesce(F.lit(color), F.col("color"))).otherwise(F.col("color")),
-        "arrow": F.when(F.col("kind") == "line", F.coalesce(F.lit(arrow), F.col("arrow"))).otherwise(F.col("arrow")),
-    })
+    marks(page, kind, x0, y0, x1, y1). A group wider than the page keeps to its left, a higher one to its top.
+    """
+    w = Window.partitionBy("page")
+    placed = F.col("kind").isin(PLACED)
+    def step(d: float, low: str, high: str, side: float) -> Column:
+        least, most = -F.min(F.when(placed, F.col(low))).over(w), side - F.max(F.when(placed, F.col(high))).over(w)
+        return F.least(F.greatest(F.lit(float(d)), least), F.greatest(least, most))
+
+    rows = marks.withColumns({"_dx": step(dx, "x0", "x1", width), "_dy": step(dy, "y0", "y1", height)})
+    return rows.withColumns({c: F.when(placed, F.col(c) + F.col(d)).otherwise(F.col(c)) for c, d in (("x0", "_dx"), ("x1", "_dx"), ("y0", "_dy"), ("y1", "_dy"))}).drop("_dx", "_dy")
+
+
+def scale(marks: DataFrame, sx: float, sy: float, ox: float, oy: float) -> DataFrame:
+    """Scale marks(kind, x0, y0, x1, y1) about an origin: ends of lines and strokes move, boxes stay boxes at negative factors, a text box keeps its
+    size and moves with its first corner, text markup stays."""
+    kind = F.col("kind")
+    new = {}
+    for low, high, s, o in (("x0", "x1", sx, ox), ("y0", "y1", sy, oy)):
+        a, b = o + (F.col(low) - o) * s, o + (F.col(high) - o) * s
+        ends = kind.isin("line", "ink")
+        new[low] = F.when(~kind.isin(PLACED), F.col(low)).when(ends | (kind == "textbox"), a).otherwise(F.least(a, b))
+        new[high] = F.when(~kind.isin(PLACED), F.col(high)).when(kind == "textbox", a + F.col(high) - F.col(low)).when(ends, b).otherwise(F.greatest(a, b))
+    return marks.withColumns(new)
+
+
+def restyle(marks: DataFrame, color: str, width: float, fill: str | None, opacity: float = 1.0, arrows: tuple[bool, bool] | None = None, dashed: bool | None = None) -> DataFrame:
+    """New colour, width and opacity of drawn kinds (shape, line, ink) in marks(kind, color, width, fill, opacity, arrow_start, arrow_end, dashed);
+    fill for shapes alone, arrow ends for lines alone. arrows and dashed of None keep what a mark has; so do all other kinds."""
+    drawn, shape, line = F.col("kind").isin("shape", "line", "ink"), F.col("kind") == "shape", F.col("kind") == "line"
+    new = {"color": (drawn, color), "width": (drawn, width), "opacity": (drawn, opacity), "fill": (shape, fill)}
+    if arrows is not None:
+        new |= {"arrow_start": (line, arrows[0]), "arrow_end": (line, arrows[1])}
+    if dashed is not None:
+        new["dashed"] = (drawn, dashed)
+    return marks.withColumns({c: F.when(of, F.lit(v)).otherwise(F.col(c)) for c, (of, v) in new.items()})
 
 
 def mark_bounds(bars: DataFrame, key: list[str]) -> DataFrame:
@@ -103,10 +123,12 @@ def quads_to_rects(points: DataFrame) -> DataFrame:
     return quads.where("n = 4").drop("n")
 
 
-def fingerprint(kind: Column, x0: Column, line: Column, x1: Column, contents: Column, name: Column) -> Column:
-    """A mark's own name, else a digest of kind, box to one decimal and contents."""
-    box = F.concat_ws(",", *[F.bround(c.cast("double"), 1).cast("string") for c in (x0, line, x1)])
-    return F.coalesce(F.when(name != "", name), F.sha2(F.concat_ws("|", kind, box, contents), 256))
+def fingerprint(kind: Column, x0: Column, y0: Column, x1: Column, y1: Column, contents: Column, name: Column) -> Column:
+    """A mark's identity: nm: and its own name, trimmed; without one fp: and 32 digits of a digest of kind, box to one decimal and contents."""
+    box = F.concat_ws(",", *[F.bround(c.cast("double"), 1).cast("string") for c in (x0, y0, x1, y1)])
+    own = F.trim(F.coalesce(name, F.lit("")))
+    digest = F.substring(F.sha2(F.concat_ws("|", kind, box, F.coalesce(contents, F.lit(""))), 256), 1, 32)
+    return F.when(own != "", F.concat(F.lit("nm:"), own)).otherwise(F.concat(F.lit("fp:"), digest))
 
 
 def combine_moves(edits: DataFrame) -> DataFrame:
@@ -158,21 +180,42 @@ def hit_test(points: DataFrame, marks: DataFrame, pad: float = 2.0) -> DataFrame
     return met.groupBy("event_id").agg(F.max(F.struct("own", "z")).alias("top")).select("event_id", F.col("top.z").alias("z"), F.col("top.own").alias("own"))
 
 
-def marks_in_rect(rects: DataFrame, marks: DataFrame, pad: float = 2.0) -> DataFrame:
-    """Marks whose padded bar meets a rect(rect_id, page, l0, l1, r0, r1)."""
-    return rects.join(marks, "page").where(F.col("line").between(F.col("l0"), F.col("l1")) & (F.col("x0") - pad <= F.col("r1")) & (F.col("x1") + pad >= F.col("r0"))).select("rect_id", "page", "z")
+def near_line(points: DataFrame, segments: DataFrame, slack: float = 6.0) -> DataFrame:
+    """event_id, z of segments(page, z, x0, y0, x1, y1, width) that lie within half their width and the slack of points(event_id, page, x, y); each mark once."""
+    from quire.functions.scalars import segment_distance
 
+    both = points.select("event_id", "page", "x", "y").join(segments, "page")
+    far = segment_distance(*[F.col(c).cast("double") for c in ("x", "y", "x0", "y0", "x1", "y1")])
+    return both.where(far <= F.col("width") / 2 + slack).select("event_id", "z").distinct()
 
-def marks_over(marks: DataFrame, probes: DataFrame, slack: float = 0.01) -> DataFrame:
-    """probe_id, z, kind of the marks of the probe's line that overlap it by more than the slack."""
-    both = probes.select("probe_id", "page", "line", F.col("x0").alias("p0"), F.col("x1").alias("p1")).join(marks, ["page", "line"])
+
+def marks_in_rect(rects: DataFrame, marks: DataFrame, width: float, height: float, pad: float = 3.0, cover: float = 0.98) -> DataFrame:
+    """rect_id, page, z of the freely placed marks(page, z, kind, x0, y0, x1, y1) whose padded box overlaps one of rects(rect_id, page, rx0, ry0, rx1, ry1).
+
+    Corners of a rect may come in any order. Marks that cover the page (`cover` of both sides) are left out, else any rect would catch them.
+    """
+    covers = (F.abs(F.col("x1") - F.col("x0")) >= cover * width) & (F.abs(F.col("y1") - F.col("y0")) >= cover * height)
+    met = rects.join(marks.where(F.col("kind").isin(PLACED) & ~covers), "page")
+    for a, b, low, high in (("rx0", "rx1", "x0", "x1"), ("ry0", "ry1", "y0", "y1")):
+        met = met.where((F.least(a, b) < F.col(high) + pad) & (F.greatest(a, b) > F.col(low) - pad))
+    return met.select("rect_id", "page", "z")
+
+
+def marks_over(marks: DataFrame, probes: DataFrame, kinds: list[str] | None = None, slack: float = 0.01) -> DataFrame:
+    """probe_id, z, kind of the marks on the line of probes(probe_id, page, line, kind, x0, x1) that overlap it by more than the slack: those of the probe's
+    own kind, or of the kinds given."""
+    p = probes.select("probe_id", "page", "line", F.col("kind").alias("_kind"), F.col("x0").alias("p0"), F.col("x1").alias("p1"))
+    both = p.join(marks if kinds is None else marks.where(F.col("kind").isin(kinds)), ["page", "line"])
+    if kinds is None:
+        both = both.where(F.col("kind") == F.col("_kind"))
     return both.where(F.least("x1", "p1") - F.greatest("x0", "p0") > slack).select("probe_id", "z", "kind")
 
 
 def note_host(marks: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe_id, z: a highlight if there is one, else the topmost other mark."""
-    over = marks_over(marks, probes)
-    return over.groupBy("probe_id").agg(F.max(F.struct((F.col("kind") == "highlight").cast("int").alias("h"), "z")).alias("w")).select("probe_id", F.col("w.z").alias("z"))
+    """probe_id, z of the mark that a note on each probe's span goes to: the topmost highlight, else the topmost underline or strikeout, else null."""
+    over = marks_over(marks, probes, ["highlight", "underline", "strikeout"])
+    best = over.groupBy("probe_id").agg(F.max(F.struct((F.col("kind") == "highlight").alias("h"), "z")).alias("w"))
+    return probes.select("probe_id").distinct().join(best, "probe_id", "left").select("probe_id", F.col("w.z").alias("z"))
 
 
 def nearest_word(points: DataFrame, words: DataFrame) -> DataFrame:
@@ -190,11 +233,12 @@ def word_at(points: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def annotation_rows(passages: DataFrame, clip_passage: int = 48, clip_note: int = 32) -> DataFrame:
-    """page, z, row: page from 1, kind, passage and note, clipped."""
-    from quire.functions.scalars import collapse_clip
+    """page, z, row: page from 1, what the mark is called, passage and note where there are any, clipped."""
+    from quire.functions.scalars import collapse_clip, mark_noun
 
-    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" — "), collapse_clip(F.col("note"), clip_note))).otherwise("")
-    return passages.select("page", "z", F.concat(F.lit("p. "), (F.col("page") + 1).cast("string"), F.lit(" · "), F.col("kind"), F.lit(" · "), collapse_clip(F.col("passage"), clip_passage), note).alias("row"))
+    passage, note = collapse_clip(F.col("passage"), clip_passage), collapse_clip(F.col("note"), clip_note)
+    rest = lambda lead, s: F.when(s != "", F.concat(F.lit(lead), s)).otherwise("")
+    return passages.select("page", "z", F.concat(F.lit("p. "), (F.col("page") + 1).cast("string"), F.lit(" · "), mark_noun(F.col("kind")), rest(" · ", passage), rest(" — ", note)).alias("row"))
 
 
 def degradations(foreign: DataFrame) -> DataFrame:
@@ -203,63 +247,52 @@ def degradations(foreign: DataFrame) -> DataFrame:
     return foreign.select("page", "z", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules])), ",").alias("losses"))
 
 
-_MARK = "page long, z double, kind string, color string, note string, bars array<struct<line:long,x0:double,x1:double>>"
+_BARS = "array<struct<line:bigint,x0:double,x1:double>>"
+_MARK = f"struct<z:double,kind:string,color:string,note:string,bars:{_BARS}>"
+
+
+def _meet(a: str, b: str) -> str:
+    """SQL: some bar of a overlaps some bar of b."""
+    return f"exists({a}, v -> exists({b}, w -> v.line = w.line AND least(v.x1, w.x1) - greatest(v.x0, w.x0) > 0.01))"
+
+
+def _joined(bars: str) -> str:
+    """SQL: bars of a line that overlap or touch as one, in order."""
+    grow = "concat(slice(u, 1, size(u) - 1), array(named_struct('line', b.line, 'x0', element_at(u, -1).x0, 'x1', greatest(element_at(u, -1).x1, b.x1))))"
+    return f"aggregate(array_sort({bars}), cast(array() AS {_BARS}), (u, b) -> if(size(u) > 0 AND element_at(u, -1).line = b.line AND b.x0 <= element_at(u, -1).x1 + 0.01, {grow}, concat(u, array(b))))"
+
+
+def _left_of(bars: str, cuts: str) -> str:
+    """SQL: what joined cutters leave of bars: the gaps before, between and after those on a bar's line, of a width of 1 at least."""
+    ends = "concat(array(b.x0), flatten(transform(c, x -> array(x.x0, x.x1))), array(b.x1))"
+    gaps = "filter(transform(sequence(0, size(e) - 2, 2), k -> named_struct('line', b.line, 'x0', greatest(b.x0, e[k]), 'x1', least(b.x1, e[k + 1]))), g -> g.x1 - g.x0 >= 1.0)"
+    one = f"transform(array(filter({cuts}, x -> x.line = b.line AND x.x1 > b.x0 AND x.x0 < b.x1)), c -> transform(array({ends}), e -> {gaps})[0])[0]"
+    return f"flatten(transform({bars}, b -> {one}))"
 
 
 def merge_markup(marks: DataFrame, paints: DataFrame) -> DataFrame:
     """Paint over a page's marks, one paint after the other: marks and paints have page, z (paints: their order), kind, color, note and bars(line, x0, x1).
 
-    A paint takes in marks of its kind and colour that its bars, or those it has taken in so far, overlap, going once up the stack; marks of another colour
-    that its own bars overlap are trimmed by them, and what is left of a bar below a width of 1 goes. Notes of marks that are taken in or trimmed away
-    pass to the paint, apart by an empty line. The result has the place of the first mark taken in, else it is on top. New z count from 0.
+    Going once up the stack, a paint meets the marks of its kind that its bars, or those it has taken in so far, overlap. Those of its colour it takes in;
+    of the others what its own bars don't cover stays, in pieces of a width of 1 at least. Notes of marks that are taken in or that
+    nothing is left of pass to the paint, apart by an empty line. The result has the place of the first mark taken in, else it is on top. New z count from 0.
 
-    Each paint depends on what the one before left, so a page is a group: its marks and paints, which one reader has drawn.
+    Each paint depends on what the one before left, so a page's marks are one array, folded over its paints: what one reader has drawn on one page.
     """
-
-    def overlap(a, b):
-        return any(p[0] == q[0] and min(p[2], q[2]) - max(p[1], q[1]) > 0.01 for p in a for q in b)
-
-    def joined(bars):
-        out = []
-        for line, x0, x1 in sorted(bars):
-            if out and out[-1][0] == line and x0 <= out[-1][2] + 0.01:
-                out[-1][2] = max(out[-1][2], x1)
-            else:
-                out.append([line, x0, x1])
-        return [tuple(b) for b in out]
-
-    def trimmed(bars, cutters):
-        for cl, c0, c1 in cutters:
-            bars = [p for line, x0, x1 in bars for p in ([(line, x0, x1)] if line != cl else [(line, x0, min(x1, c0)), (line, max(x0, c1), x1)]) if p[2] > p[1]]
-        return [b for b in bars if b[2] - b[1] >= 1.0]
-
-    def rows_of(frame):
-        return [[r.kind, r.color, r.note, [(b["line"], b["x0"], b["x1"]) for b in r.bars]] for r in frame.sort_values("z", kind="stable").itertuples()]
-
-    def fold(left, right):
-        import pandas as pd
-
-        stack = rows_of(left)
-        for kind, color, note, own in rows_of(right):
-            bars, notes, slot, kept = list(own), [], None, []
-            for mark in stack:
-                if mark[0] == kind and mark[1] == color and overlap(mark[3], bars):
-                    slot = len(kept) if slot is None else slot
-                    bars += mark[3]
-                    notes.append(mark[2])
-                elif mark[0] == kind and mark[1] != color and overlap(mark[3], own):
-                    rest = trimmed(mark[3], own)
-                    if rest:
-                        kept.append([*mark[:3], rest])
-                    else:
-                        notes.append(mark[2])
-                else:
-                    kept.append(mark)
-            text = "\n\n".join(n for n in [*notes, note] if n) or None
-            kept.insert(len(kept) if slot is None else slot, [kind, color, text, joined(bars)])
-            stack = kept
-        page = int((left if len(left) else right)["page"].iloc[0])
-        return pd.DataFrame([(page, float(z), *m[:3], [{"line": b[0], "x0": b[1], "x1": b[2]} for b in m[3]]) for z, m in enumerate(stack)], columns=["page", "z", "kind", "color", "note", "bars"])
-
-    shaped = lambda df: df.select("page", F.col("z").cast("double").alias("z"), "kind", "color", "note", F.col("bars").cast("array<struct<line:long,x0:double,x1:double>>").alias("bars"))
-    return shaped(marks).groupBy("page").cogroup(shaped(paints).groupBy("page")).applyInPandas(fold, _MARK)
+    meets = f"(m.kind = p.kind AND {_meet('m.bars', 't.bars')})"
+    # First who is met, from the bottom up: the reach grows by what is taken in. Then what stays of each mark: null where it is taken in.
+    reach = f"aggregate(s, named_struct('bars', p.bars, 'met', cast(array() AS array<boolean>)), (t, m) -> named_struct('bars', if({meets} AND m.color <=> p.color, concat(t.bars, m.bars), t.bars), 'met', concat(t.met, array({meets}))))"
+    stays = f"zip_with(s, r.met, (m, hit) -> named_struct('m', m, 'bars', CASE WHEN NOT hit THEN m.bars WHEN m.color <=> p.color THEN NULL ELSE {_left_of('m.bars', 'j')} END))"
+    gone = "(x.bars IS NULL OR size(x.bars) = 0)"
+    below = "size(filter(slice(k, 1, array_position(transform(k, x -> x.bars IS NULL), true)), x -> NOT {gone}))".replace("{gone}", gone)
+    place = f"if(exists(k, x -> x.bars IS NULL), cast({below} AS int), size(kept))"
+    notes = f"array_join(filter(concat(transform(filter(k, x -> {gone}), x -> x.m.note), array(p.note)), x -> x <> ''), '\n\n')"
+    merged = f"named_struct('z', p.z, 'kind', p.kind, 'color', p.color, 'note', nullif({notes}, ''), 'bars', {_joined('r.bars')})"
+    kept = f"transform(filter(k, x -> NOT {gone}), x -> named_struct('z', x.m.z, 'kind', x.m.kind, 'color', x.m.color, 'note', x.m.note, 'bars', x.bars))"
+    put = f"transform(array({kept}), kept -> transform(array({place}), i -> concat(slice(kept, 1, i), array({merged}), slice(kept, i + 1, size(kept))))[0])[0]"
+    step = f"transform(array({reach}), r -> transform(array({_joined('p.bars')}), j -> transform(array({stays}), k -> {put})[0])[0])[0]"
+    fold = f"aggregate(paints, marks, (s, p) -> if(size(p.bars) = 0, s, {step}))"
+    shaped = lambda df, side: df.select("page", F.lit(side).alias("side"), F.struct(F.col("z").cast("double").alias("z"), "kind", "color", "note", F.col("bars").cast(_BARS).alias("bars")).cast(_MARK).alias("m"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("m"))))
+    pages = shaped(marks, 0).unionByName(shaped(paints, 1)).groupBy("page").agg(of(0).alias("marks"), of(1).alias("paints"))
+    return pages.select("page", F.posexplode(F.expr(fold)).alias("z", "m")).select("page", F.col("z").cast("double").alias("z"), "m.kind", "m.color", "m.note", "m.bars")

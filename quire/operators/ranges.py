@@ -13,21 +13,23 @@ TEXT_MARKUP = ["highlight", "underline", "strikeout", "squiggly"]
 def parse_page_range(df: DataFrame, key: str, spec: str, count: str) -> tuple[DataFrame, DataFrame]:
     """(key, page from 0 for each page that a row's range names, key and spec of the rows with an error).
 
-    Terms are a, a-b, a- and -b, apart by commas; b may be below a; blank is every page; beyond the last page is the last; 0 and junk are errors.
+    Terms are a, a-b, a-, -b and - (every page), apart by commas; b may be below a; empty terms count for nothing; a blank range is every page;
+    beyond the last page is the last; 0, junk and a range of empty terms alone are errors. A document without pages has neither pages nor an error.
     """
-    n = F.col(count).cast("long")
+    rows = df.select(F.col(key), F.col(spec), F.col(count).cast("long").alias("_n")).where("_n > 0")
     blank = F.trim(F.coalesce(spec, F.lit(""))) == ""
-    terms = df.select(F.col(key), F.col(spec), n.alias("_n"), F.explode(F.when(blank, F.array(F.lit("1-"))).otherwise(F.split(spec, ",", -1))).alias("_t"))
-    t = F.trim("_t")
-    good = t.rlike(r"^(\d{1,18}|\d{1,18}\s*-\s*\d{0,18}|-\s*\d{1,18})$")
-    dash = t.contains("-")
-    number = lambda i: F.when(F.regexp_extract(t, r"^(\d*)\s*-?\s*(\d*)$", i) != "", F.regexp_extract(t, r"^(\d*)\s*-?\s*(\d*)$", i).cast("long"))
-    first, last = F.coalesce(number(1), F.lit(1)), F.when(dash, F.coalesce(number(2), F.col("_n"))).otherwise(number(1))
+    given = F.filter(F.transform(F.split(spec, ",", -1), lambda x: F.trim(x)), lambda x: x != "")
+    terms = rows.select(key, spec, "_n", F.explode_outer(F.when(blank, F.array(F.lit("-"))).otherwise(given)).alias("_t"))
+    shape = r"^\+?(\d{0,18})\s*(-?)\s*\+?(\d{0,18})$"
+    part = lambda i: F.regexp_extract("_t", shape, i)
+    number = lambda i: F.when(part(i) != "", part(i).cast("long"))
+    good, dash = F.col("_t").rlike(shape) & ((part(1) != "") | (part(2) == "-")), part(2) == "-"
+    first, last = F.coalesce(number(1), F.lit(1)), F.when(dash, F.coalesce(number(3), F.col("_n"))).otherwise(number(1))
     parsed = terms.select(key, spec, "_n", F.when(good, first).alias("a"), F.when(good, last).alias("b"))
     bad = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") < 1) | (F.col("b") < 1)
     errors = parsed.where(bad).select(key, spec).distinct()
     low, high = F.least("a", "b", "_n"), F.least(F.greatest("a", "b"), F.col("_n"))
-    pages = parsed.where(~bad & (F.col("_n") > 0)).join(errors.select(key), key, "left_anti").select(key, F.explode(F.sequence(low, high)).alias("_p"))
+    pages = parsed.where(~bad).join(errors.select(key), key, "left_anti").select(key, F.explode(F.sequence(low, high)).alias("_p"))
     return pages.select(key, (F.col("_p") - 1).alias("page")).distinct(), errors
 
 

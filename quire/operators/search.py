@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.readers import line_words, piece_starts
+
 ELLIPSIS = "…"
 
 
@@ -15,9 +17,8 @@ def query_terms(query: str, whole: bool) -> list[str]:
 
 def _occurrences(line: str, term: str) -> str:
     """SQL for the columns at which the lower-cased term stands in the lower-cased line, not overlapping."""
-    return f"""transform(slice(transform(array(split(lower({line}), concat('\\\\Q', lower({term}), '\\\\E'), -1)), s ->
-        aggregate(s, named_struct('at', 0, 'out', cast(array() AS array<int>)), (a, x) -> named_struct('at', a.at + length(x) + length({term}), 'out', concat(a.out, array(a.at + length(x)))), a -> a.out))[0],
-        1, size(split(lower({line}), concat('\\\\Q', lower({term}), '\\\\E'), -1)) - 1), c -> c)"""
+    pieces = f"split(lower({line}), concat('\\\\Q', lower({term}), '\\\\E'), -1)"
+    return f"transform(array({pieces}), ps -> transform(slice({piece_starts('ps', f'length({term})')}, 2, size(ps)), x -> x - length({term})))[0]"
 
 
 def search_terms(lines: DataFrame, term: Column) -> DataFrame:
@@ -102,16 +103,45 @@ def hit_counts(hits: DataFrame) -> DataFrame:
     return hits.rollup("doc_id", "page").agg(F.count("*").alias("hits"))
 
 
-def search_dictionary(words: DataFrame, terms: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """Words equal to one of terms(term), letter case aside and outer marks stripped: a token join, so any number of terms will do.
+def _bounded(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df with a hint to broadcast it where a count shows that it has `most` rows at most; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _term_tokens(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """token, term, at, whole for each place (from 0) at which a term's head, that is the term up to its first blank, stands in one of tokens(token).
 
-    The list is broadcast where a count shows it to have `most` terms at most; else Spark joins by shuffle.
+    A join on the first three characters (fewer of a shorter head), never tokens times terms. Of a term with a blank (whole is false then) the head
+    must end the token.
     """
-    small = terms.select(F.lower("term").alias("term")).distinct()
-    if small.limit(most + 1).count() <= most:
-        small = F.broadcast(small)
-    token = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return words.withColumn("term", token).join(small, "term").select("doc_id", "page", "ln", "word_no", "term")
+    heads = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().withColumn("head", F.split("term", " ")[0])
+    heads = heads.withColumns({"whole": F.col("head") == F.col("term"), "key": F.substring("head", 1, 3)})
+    cuts = tokens.distinct().select("token", F.explode(F.expr("sequence(0, length(token))")).alias("at"))
+    keyed = cuts.select("token", "at", F.explode(F.array_distinct(F.array(*[F.expr(f"substring(token, at + 1, {k})") for k in (0, 1, 2, 3)]))).alias("key"))
+    met = keyed.join(_bounded(heads), "key").where("substring(token, at + 1, length(head)) = head AND (whole OR at + length(head) = length(token))")
+    return met.select("token", "term", "at", "whole")
+
+
+def search_dictionary(lines: DataFrame, terms: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, page, ln, word_no, term: every one of terms(term) searched over every line, letter case aside, in one pass for all terms.
+
+    whole: terms that are words, outer marks stripped. Else terms stand inside longer words too, and may be phrases; a place is the word it begins in,
+    once for each time it stands there.
+    """
+    words = line_words(lines)
+    if whole:
+        small = _bounded(terms.select(F.lower("term").alias("term")).distinct())
+        token = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+        return words.withColumn("term", token).join(small, "term").select("doc_id", "page", "ln", "word_no", "term")
+    words = words.withColumn("token", F.lower("word"))
+    met = words.join(_bounded(_term_tokens(words.select("token"), terms)), "token")
+    # A phrase goes on in the words behind it: its line is looked at again, for the few places that its head is at.
+    tail = lines.select("doc_id", "ln", F.lower("line").alias("low"))
+    rest = met.where("NOT whole").join(tail, ["doc_id", "ln"])
+    from_here = F.array_join(F.expr("slice(filter(split(low, ' ', -1), x -> x <> ''), word_no + 1, 1 + length(term))"), " ")
+    rest = rest.where(F.substring(from_here, F.col("at") + 1, F.length("term")) == F.col("term"))
+    out = ["doc_id", "page", "ln", "word_no", "term"]
+    return met.where("whole").select(*out).unionByName(rest.select(*out))
 
 
 def select_range(words: DataFrame, a: tuple[int, int, int], b: tuple[int, int, int]) -> DataFrame:
@@ -179,12 +209,23 @@ def apply_redactions(lines: DataFrame, boxes: DataFrame, fill: str | None = None
 
 
 def leak_check(redacted: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, leaks: how often each term still stands in the redacted lines; all 0 when the redaction is sound."""
-    listed = [r.term for r in terms.select("term").distinct().limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("check at most 1000 terms at a time")
-    found = search_terms(redacted.withColumn("_t", F.explode(F.array(*[F.lit(t) for t in listed]))), F.col("_t"))
-    return terms.select("term").distinct().join(found.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("leaks"))
+    """term, leaks: how often each term still stands in the redacted lines, not overlapping; all 0 when the redaction is sound.
+
+    Words are counted first, then each distinct word is checked for the terms once: neither lines times terms nor a limit on the terms.
+    """
+    out = terms.select("term").distinct()
+    tokens = line_words(redacted).groupBy(F.lower("word").alias("token")).agg(F.count("*").alias("n"))
+    met = _term_tokens(tokens.select("token"), out)
+    inside = met.where("whole").select("token", "term").distinct().join(tokens, "token")
+    times = F.floor((F.length("token") - F.length(F.replace("token", "term", F.lit("")))) / F.length("term"))
+    found = inside.groupBy("term").agg(F.sum(F.col("n") * times).alias("n"))
+    # Phrases: only lines that hold a phrase's head are split by it.
+    heads = met.where("NOT whole").select("token", "term").distinct()
+    near = line_words(redacted).select("doc_id", "ln", F.lower("word").alias("token")).join(_bounded(heads), "token").select("doc_id", "ln", "term").distinct()
+    pieces = F.size(F.expr("split(lower(line), concat('\\\\Q', term, '\\\\E'), -1)")) - 1
+    phrases = redacted.select("doc_id", "ln", "line").join(near, ["doc_id", "ln"]).groupBy("term").agg(F.sum(pieces).alias("n"))
+    every = found.unionByName(phrases).withColumnRenamed("term", "low")
+    return out.join(every, F.lower("term") == F.col("low"), "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("leaks"))
 
 
 def commit_redactions(lines: DataFrame, boxes: DataFrame, log: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

@@ -111,16 +111,21 @@ def _(t):
     return R.read_fields(stored, placed, m)
 
 
-@query("s9_append_sources", "", f"SELECT page_id, link_no, href LIKE '/%' AND length(href) > 3 AS ok FROM ({HREFS})")
+#: Every fifth record is cut short, every seventh is no record at all.
+@query("s9_append_sources", "", f"SELECT page_id, link_no, CASE WHEN link_no % 5 <> 3 AND link_no % 7 <> 4 THEN href END AS href, link_no % 5 <> 3 AND link_no % 7 <> 4 AS ok FROM ({HREFS})")
 def _(t):
-    ok, bad = R.append_sources(R.read_links(t["pages"]), F.col("href").startswith("/") & (F.length("href") > 3))
-    return ok.select("page_id", "link_no", F.lit(True).alias("ok")).unionByName(bad.select("page_id", "link_no", F.lit(False).alias("ok")))
+    links = R.read_links(t["pages"])
+    record = F.when(F.col("link_no") % 7 == 4, "no record").when(F.col("link_no") % 5 == 3, F.expr("substring(r, 1, length(r) - 1)")).otherwise(F.col("r"))
+    batch = links.withColumn("r", F.to_json(F.struct(F.col("href").alias("path")))).select("page_id", "link_no", record.alias("record"))
+    ok, bad = R.append_sources(batch, "path string")
+    return ok.select("page_id", "link_no", F.col("path").alias("href"), F.lit(True).alias("ok")).unionByName(bad.select("page_id", "link_no", F.lit(None).cast("string").alias("href"), F.lit(False).alias("ok")))
 
 
 @query("s11_export_pages", "M", "SELECT vdoc, row_number() OVER (PARTITION BY vdoc ORDER BY pos) - 1 AS pos, source_id, page, pos AS origin FROM M WHERE pos % 5 = 2")
 def _(t):
-    m = t.manifest
-    return M.subset(m, picked(m).union(picked(m))).select(*MCOLS, "origin")
+    m, path = t.manifest, W.shared_path(t.spark, "extract")
+    W.export_pages(m, picked(m).union(picked(m)), path)
+    return W.read_committed(t.spark, path).select(*MCOLS, "origin")
 
 
 @query("s12_page_labels", "M", """SELECT vdoc, pos, CASE WHEN count(*) OVER (PARTITION BY vdoc) = 1 THEN '' ELSE lpad((pos + 1)::VARCHAR, length(pages::VARCHAR)::INT, '0') END AS label
@@ -138,7 +143,7 @@ def _(t):
     d = t["documents"]
     marks = d.select("doc_id", F.lit(0).alias("page"), F.lit(1).alias("z"), F.concat(F.lit("note on "), "lang").alias("note"))
     fills = d.select("doc_id", F.lit(0).alias("page"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("value"))
-    return W.flatten(t.words, marks, fills)
+    return W.flatten(R.line_words(t.lines), marks, fills)
 
 
 @query("s14_size_report", "L", """SELECT source AS vdoc, sum(octet_length(line::BLOB))::BIGINT AS bytes_before, sum(CASE WHEN ln % 2 = 0 THEN octet_length(line::BLOB) ELSE 0 END)::BIGINT AS bytes_after,
@@ -150,12 +155,12 @@ def _(t):
 
 # ---- ranges and predicates
 
-SPECS = ["3-", "-2", "4-2", "99", "1,3-4", "", "abc", "1,x", "0", "1-0", " 2 , 5 - 7 "]
+SPECS = ["3-", "-2", "4-2", "99", "1,3-4", "", "abc", "1,x", "0", "1-0", " 2 , 5 - 7 ", "1,,3", "2,", "-", " , ", "1-2-3"]
 
 
-@query("p1_parse_page_range", "M", """, x AS (SELECT vdoc, count(*) AS n FROM M GROUP BY vdoc), s AS (SELECT vdoc, n, unnest(['3-', '-2', '4-2', '99', '1,3-4', '', ' 2 , 5 - 7 ']) AS spec FROM x),
-    e AS (SELECT vdoc, spec, n, trim(unnest(string_split(CASE WHEN spec = '' THEN '1-' ELSE spec END, ','))) AS term FROM s),
-    r AS (SELECT vdoc, spec, n, CASE WHEN term LIKE '-%' THEN 1 ELSE trim(split_part(term, '-', 1))::BIGINT END AS a, CASE WHEN term LIKE '%-' THEN n WHEN term LIKE '%-%' THEN trim(split_part(term, '-', 2))::BIGINT ELSE term::BIGINT END AS b FROM e)
+@query("p1_parse_page_range", "M", """, x AS (SELECT vdoc, count(*) AS n FROM M GROUP BY vdoc), s AS (SELECT vdoc, n, unnest(['3-', '-2', '4-2', '99', '1,3-4', '', ' 2 , 5 - 7 ', '1,,3', '2,', '-']) AS spec FROM x),
+    e AS (SELECT vdoc, spec, n, trim(unnest(string_split(CASE WHEN spec IN ('', '-') THEN '1-' ELSE spec END, ','))) AS term FROM s),
+    r AS (SELECT vdoc, spec, n, CASE WHEN term LIKE '-%' THEN 1 ELSE trim(split_part(term, '-', 1))::BIGINT END AS a, CASE WHEN term LIKE '%-' THEN n WHEN term LIKE '%-%' THEN trim(split_part(term, '-', 2))::BIGINT ELSE term::BIGINT END AS b FROM e WHERE term <> '')
     SELECT DISTINCT vdoc || ':' || spec AS k, unnest(range(least(a, b, n), least(greatest(a, b), n) + 1)) - 1 AS page FROM r""")
 def _(t):
     n = t.pages_of.groupBy("vdoc").agg(F.count("*").alias("n"))
@@ -163,7 +168,7 @@ def _(t):
     return P.parse_page_range(rows, "k", "spec", "n")[0]
 
 
-@query("p1_page_range_errors", "M", "SELECT DISTINCT vdoc || ':' || spec AS k, spec FROM (SELECT vdoc, unnest(['abc', '1,x', '0', '1-0']) AS spec FROM M)")
+@query("p1_page_range_errors", "M", "SELECT DISTINCT vdoc || ':' || spec AS k, spec FROM (SELECT vdoc, unnest(['abc', '1,x', '0', '1-0', ' , ', '1-2-3']) AS spec FROM M)")
 def _(t):
     n = t.pages_of.groupBy("vdoc").agg(F.count("*").alias("n"))
     rows = n.select("vdoc", "n", F.explode(F.array(*[F.lit(s) for s in SPECS])).alias("spec")).withColumn("k", F.concat_ws(":", "vdoc", "spec"))
@@ -329,18 +334,23 @@ def _(t):
 
 # ---- links, outline, fields
 
-TGT = "(SELECT vdoc, source_id, page, min(pos) AS tp FROM M GROUP BY ALL)"
 
 
-@query("j1_link_targets", "M", f"SELECT vdoc, source_id, page, tp AS pos FROM {TGT}")
+#: A manifest with every fifth page once more behind the last of them: its first place counts.
+DUP = f"(SELECT vdoc, source_id, page, {RENUM.format('k, t, pos')} FROM (SELECT *, pos AS k, 0 AS t FROM M UNION ALL SELECT *, max(pos) OVER (PARTITION BY vdoc) AS k, 1 AS t FROM M WHERE pos % 5 = 2))"
+DTGT = f"(SELECT vdoc, source_id, page, min(pos) AS tp FROM {DUP} GROUP BY ALL)"
+
+
+@query("j1_link_targets", "M", f"SELECT vdoc, source_id, page, tp AS pos FROM {DTGT}")
 def _(t):
     m = t.manifest
-    return K.link_targets(M.duplicate_pages(m, picked(m))).join(m.select("vdoc", "source_id", "page"), ["vdoc", "source_id", "page"], "left_semi").drop("pos").join(K.link_targets(m), ["vdoc", "source_id", "page"])
+    return K.link_targets(M.duplicate_pages(m, picked(m)))
 
 
-@query("j2_remap_links", "M KR", f"SELECT m.vdoc, m.pos, k.link_no, t.tp AS target_pos FROM M m JOIN KR k USING (source_id, page) JOIN {TGT} t ON t.vdoc = m.vdoc AND t.source_id = m.source_id AND t.page = k.target_page WHERE k.kind <> 'uri'")
+@query("j2_remap_links", "M KR", f"SELECT m.vdoc, m.pos, k.link_no, t.tp AS target_pos FROM {DUP} m JOIN KR k USING (source_id, page) JOIN {DTGT} t ON t.vdoc = m.vdoc AND t.source_id = m.source_id AND t.page = k.target_page WHERE k.kind <> 'uri'")
 def _(t):
-    return K.remap_links(t.manifest, K.resolve_named(t.links, t.dests))
+    m = t.manifest
+    return K.remap_links(M.duplicate_pages(m, picked(m)), K.resolve_named(t.links, t.dests))
 
 
 CUT = "(SELECT * FROM M WHERE pos % 5 <> 2)"
@@ -371,9 +381,9 @@ def _(t):
     return K.remap_outline(o, index).select("doc_id", "seq", "level", "title", "page")
 
 
-@query("j7_section_of_page", "T PG", "SELECT p.source_id AS doc_id, p.page, (SELECT max(seq) FROM T WHERE T.doc_id = p.source_id AND T.page <= p.page AND level = 1) AS seq FROM PG p")
+@query("j7_section_of_page", "T PG", "SELECT p.source_id AS doc_id, p.page, (SELECT max(seq) FROM T WHERE T.doc_id = p.source_id AND T.page <= p.page) AS seq FROM PG p")
 def _(t):
-    return K.section_of_page(t.outline.where("level = 1"), t.pages_of.select(F.col("source_id").alias("doc_id"), F.col("page").cast("long").alias("page")))
+    return K.section_of_page(t.outline, t.pages_of.select(F.col("source_id").alias("doc_id"), F.col("page").cast("long").alias("page")))
 
 
 @query("j8_apply_fills", "F", "SELECT doc_id, name, CASE WHEN doc_id % 3 = 0 AND name = 'status' THEN 'X' WHEN doc_id % 3 = 1 AND name = 'priority' THEN '' ELSE value END AS value FROM F")

@@ -95,7 +95,7 @@ def _(t):
 
 @query("q11_select_all", "W", "SELECT doc_id, min(page) AS first_page, max(page) AS last_page, count(*) AS words FROM W GROUP BY doc_id")
 def _(t):
-    return Q.select_all(t.words)
+    return Q.select_all(R.line_words(t.lines))
 
 
 @query("q12_line_bars", "W", "SELECT doc_id, page, line_no, min(c0) AS c0, max(c1) AS c1 FROM W WHERE word_no BETWEEN 1 AND 6 GROUP BY ALL")
@@ -105,7 +105,7 @@ def _(t):
 
 @query("q13_selected_text", "W", "SELECT doc_id, page, string_agg(l, chr(10) ORDER BY line_no) AS content FROM (SELECT doc_id, page, line_no, string_agg(word, ' ' ORDER BY word_no) AS l FROM W GROUP BY ALL) GROUP BY doc_id, page")
 def _(t):
-    return Q.selected_text(t.words)
+    return Q.selected_text(R.line_words(t.lines))
 
 
 @query("q14_invalidate_results", "E", "SELECT doc, event_id, coalesce((SELECT max((ts, event_id)) FROM E e WHERE e.doc = s.doc AND e.op = 'purchase') > (s.ts, s.event_id), false) AS void FROM E s WHERE op = 'view'")
@@ -114,15 +114,15 @@ def _(t):
     return H.invalidate_results(e.where("op = 'view'"), e, ["purchase"])
 
 
-@query("j14_words_under", "W", "SELECT w.doc_id, w.page, w.line_no, w.word_no, w.word FROM W w WHERE c0 < 30 AND c1 > 10 AND line_no % 5 = 0")
+@query("j14_words_under", "W", "SELECT w.doc_id, w.page, w.line_no, w.word_no, w.word FROM W w WHERE c0 < 30 AND c1 > 10")
 def _(t):
-    boxes = t.lines.where("line_no % 5 = 0").select("doc_id", "page", "line_no", F.lit(10).alias("b0"), F.lit(30).alias("b1"))
+    boxes = t.lines.select("doc_id", "page", "line_no", F.lit(10).alias("b0"), F.lit(30).alias("b1"))
     return Q.words_under(boxes, t.words).select("doc_id", "page", "line_no", "word_no", "word")
 
 
-@query("j15_text_under", "L", "SELECT doc_id, page, line_no, substr(line, 11, 20) AS content FROM L WHERE line_no % 5 = 0")
+@query("j15_text_under", "L", "SELECT doc_id, page, line_no, substr(line, 11, 20) AS content FROM L")
 def _(t):
-    boxes = t.lines.where("line_no % 5 = 0").select("doc_id", "page", "line_no", F.lit(10.0).alias("b0"), F.lit(30.0).alias("b1"))
+    boxes = t.lines.select("doc_id", "page", "line_no", F.lit(10.0).alias("b0"), F.lit(30.0).alias("b1"))
     return Q.text_under(boxes, t.lines).select("doc_id", "page", "line_no", "content")
 
 
@@ -134,7 +134,14 @@ def _(t):
 
 @query("j25_search_dictionary", "W Q", "SELECT w.doc_id, w.page, w.ln, w.word_no, q.term FROM W w JOIN Q q ON q.term = regexp_replace(lower(w.word), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')")
 def _(t):
-    return Q.search_dictionary(t.words, t.terms)
+    return Q.search_dictionary(t.lines, t.terms, whole=True)
+
+
+#: Parts of words and a phrase: a term stands in a word as often as at so many places; the phrase at a word's end, going on in the next.
+@query("j25_search_parts", "W", """SELECT doc_id, page, ln, word_no, term FROM (SELECT *, lower(word) AS w, lower(lead(word) OVER (PARTITION BY doc_id, ln ORDER BY word_no)) AS nx FROM W),
+    (VALUES ('ing'), ('th'), ('tion'), ('of the')) q(term), (SELECT unnest(range(0, 400)) AS i) WHERE i < length(w) AND (starts_with(substr(w, i + 1), term) OR (term = 'of the' AND substr(w, i + 1) = 'of' AND starts_with(nx, 'the')))""")
+def _(t):
+    return Q.search_dictionary(t.lines, t.spark.createDataFrame([("ing",), ("Th",), ("tion",), ("of the",)], "term string"))
 
 
 # ---- redaction
@@ -162,16 +169,16 @@ def _(t):
     return Q.apply_redactions(t.lines, Q.search(t.lines, "the")).select("doc_id", "ln", "line")
 
 
-@query("r5_pending_export", "L", "SELECT source AS vdoc, doc_id, ln, regexp_replace(line, 'the', '█', 'gi') AS line FROM L JOIN documents USING (doc_id) WHERE page % 2 = 0")
+@query("r5_pending_export", "L", "SELECT source AS vdoc, doc_id, ln, regexp_replace(line, 'the', '█', 'gi') AS line FROM L JOIN documents USING (doc_id)")
 def _(t):
-    lines = t.lines.where("page % 2 = 0")
+    lines = t.lines
     out = Q.apply_redactions(lines, Q.search(lines, "the"), fill="█")
     return out.join(t["documents"].select("doc_id", F.col("source").alias("vdoc")), "doc_id").select("vdoc", "doc_id", "ln", "line")
 
 
-@query("r6_leak_check", "L Q", """SELECT term, (SELECT coalesce(sum(len(string_split(lower(r), term)) - 1), 0)::BIGINT FROM (SELECT regexp_replace(line, 'the', '█', 'gi') AS r FROM L)) AS leaks FROM (SELECT * FROM Q UNION SELECT 'the')""")
+@query("r6_leak_check", "L Q", """SELECT term, (SELECT coalesce(sum(len(string_split(lower(r), term)) - 1), 0)::BIGINT FROM (SELECT regexp_replace(line, 'the', '█', 'gi') AS r FROM L)) AS leaks FROM (SELECT * FROM Q UNION SELECT 'the' UNION SELECT 'ing' UNION SELECT 'of a')""")
 def _(t):
-    terms = t.terms.union(t.spark.range(1).select(F.lit("the").alias("term")))
+    terms = t.terms.union(t.spark.range(1).select(F.explode(F.array(F.lit("the"), F.lit("ing"), F.lit("of a"))).alias("term")))
     return Q.leak_check(Q.apply_redactions(t.lines, Q.search(t.lines, "the"), fill="█"), terms)
 
 
@@ -251,19 +258,35 @@ def _(t):
     return A.reorder_step(selected(t), False).select("page", "was", "z")
 
 
-@query("a7_translate", "B", "SELECT page, z, x0 + s AS x0, x1 + s AS x1 FROM (SELECT *, greatest(-min(x0) OVER (PARTITION BY page), least(30.0::DOUBLE, 150.0::DOUBLE - max(x1) OVER (PARTITION BY page))) AS s FROM B)")
+def boxed(t: Tables) -> DataFrame:
+    """Bars as boxes of one line's height; every third ink mark is a shape, every third a text box."""
+    kind = F.when(F.col("kind") != "ink", F.col("kind")).when(F.col("z") % 3 == 0, "shape").when(F.col("z") % 3 == 1, "textbox").otherwise("ink")
+    return t.bars.withColumns({"kind": kind, "x0": F.col("x0").cast("double"), "x1": F.col("x1").cast("double"), "y0": F.col("line").cast("double"), "y1": (F.col("line") + 1).cast("double")})
+
+
+BOX = "(SELECT * REPLACE (CASE WHEN kind <> 'ink' THEN kind WHEN z % 3 = 0 THEN 'shape' WHEN z % 3 = 1 THEN 'textbox' ELSE 'ink' END AS kind, x0::DOUBLE AS x0, x1::DOUBLE AS x1), line::DOUBLE AS y0, (line + 1)::DOUBLE AS y1 FROM B)"
+FREE = "kind IN ('shape', 'textbox', 'ink')"
+
+
+@query("a7_translate", "B", f"""SELECT page, z, CASE WHEN {FREE} THEN x0 + dx ELSE x0 END AS x0, CASE WHEN {FREE} THEN y0 + dy ELSE y0 END AS y0, CASE WHEN {FREE} THEN x1 + dx ELSE x1 END AS x1, CASE WHEN {FREE} THEN y1 + dy ELSE y1 END AS y1
+    FROM (SELECT *, least(greatest(30.0::DOUBLE, lx), greatest(lx, 140.0::DOUBLE - hx)) AS dx, least(greatest(-3.0::DOUBLE, ly), greatest(ly, 6.0::DOUBLE - hy)) AS dy FROM (
+    SELECT *, -min(x0) FILTER ({FREE}) OVER w AS lx, max(x1) FILTER ({FREE}) OVER w AS hx, -min(y0) FILTER ({FREE}) OVER w AS ly, max(y1) FILTER ({FREE}) OVER w AS hy FROM {BOX} WINDOW w AS (PARTITION BY page)))""")
 def _(t):
-    return A.translate(t.bars, 30, 150.0).select("page", "z", "x0", "x1")
+    return A.translate(boxed(t), 30, -3, 140.0, 6.0).select("page", "z", "x0", "y0", "x1", "y1")
 
 
-@query("a8_scale", "B", "SELECT page, z, CASE WHEN kind = 'ink' THEN 10.0::DOUBLE + (x0 - 10) * 1.5::DOUBLE ELSE x0 END AS x0, CASE WHEN kind = 'ink' THEN 10.0::DOUBLE + (x1 - 10) * 1.5::DOUBLE ELSE x1 END AS x1 FROM B")
+@query("a8_scale", "B", f"""SELECT page, z, CASE kind WHEN 'shape' THEN least(ax, bx) WHEN 'textbox' THEN ax WHEN 'ink' THEN ax ELSE x0 END AS x0, CASE kind WHEN 'shape' THEN greatest(ax, bx) WHEN 'textbox' THEN ax + x1 - x0 WHEN 'ink' THEN bx ELSE x1 END AS x1,
+    CASE kind WHEN 'shape' THEN least(ay, by_) WHEN 'textbox' THEN ay WHEN 'ink' THEN ay ELSE y0 END AS y0, CASE kind WHEN 'shape' THEN greatest(ay, by_) WHEN 'textbox' THEN ay + y1 - y0 WHEN 'ink' THEN by_ ELSE y1 END AS y1
+    FROM (SELECT *, 10 + (x0 - 10) * -1.5::DOUBLE AS ax, 10 + (x1 - 10) * -1.5::DOUBLE AS bx, 4 + (y0 - 4) * 2.0::DOUBLE AS ay, 4 + (y1 - 4) * 2.0::DOUBLE AS by_ FROM {BOX})""")
 def _(t):
-    return A.scale(t.bars, 1.5, 10.0).select("page", "z", "x0", "x1")
+    return A.scale(boxed(t), -1.5, 2.0, 10.0, 4.0).select("page", "z", "x0", "y0", "x1", "y1")
 
 
-@query("a9_restyle", "B", "SELECT page, z, CASE WHEN kind = 'ink' THEN 'red' ELSE color END AS color, z % 2 = 0 AS arrow FROM B")
+@query("a9_restyle", "B", f"""SELECT page, z, CASE WHEN kind IN ('shape', 'ink') THEN 'red' ELSE color END AS color, CASE WHEN kind IN ('shape', 'ink') THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS width, CASE WHEN kind = 'shape' THEN 'blue' END AS fill,
+    CASE WHEN kind IN ('shape', 'ink') THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS opacity, z % 2 = 0 AS arrow_start, z % 2 = 1 AS dashed FROM {BOX}""")
 def _(t):
-    return A.restyle(t.bars.withColumn("arrow", F.col("z") % 2 == 0), "red", True, ["ink", "line"]).select("page", "z", "color", "arrow")
+    old = {"width": F.lit(1.0), "fill": F.lit(None).cast("string"), "opacity": F.lit(1.0), "arrow_start": F.col("z") % 2 == 0, "arrow_end": F.lit(False), "dashed": F.col("z") % 2 == 1}
+    return A.restyle(boxed(t).withColumns(old), "red", 3.0, "blue", 0.5, (True, True)).select("page", "z", "color", "width", "fill", "opacity", "arrow_start", "dashed")
 
 
 @query("a10_mark_bounds", "B", "SELECT page, kind, color, min(x0) AS x0, min(line) AS y0, max(x1) AS x1, max(line) AS y1 FROM B GROUP BY page, kind, color")
@@ -279,8 +302,8 @@ def _(t):
     return A.quads_to_rects(p.select("page", "i", "x", F.col("line").alias("y")))
 
 
-@query("a12_annotation_rows", "B", """SELECT page, z, 'p. ' || (page + 1)::VARCHAR || ' · ' || kind || ' · ' || CASE WHEN length(p) > 48 THEN rtrim(substr(p, 1, 47)) || '…' ELSE p END || CASE WHEN z % 2 = 0 THEN ' — note ' || color ELSE '' END AS "row"
-    FROM (SELECT *, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS p FROM B JOIN documents ON doc_id = page WHERE kind <> 'ink')""")
+@query("a12_annotation_rows", "B", """SELECT page, z, 'p. ' || (page + 1)::VARCHAR || ' · ' || kind || ' · ' || CASE WHEN length(p) > 48 THEN substr(p, 1, 47) || '…' ELSE p END || CASE WHEN z % 2 = 0 THEN ' — note ' || color ELSE '' END AS "row"
+    FROM (SELECT *, trim(regexp_replace(text, '[\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS p FROM B JOIN documents ON doc_id = page WHERE kind <> 'ink')""")
 def _(t):
     d = t["documents"].select(F.col("doc_id").alias("page"), F.col("text").alias("passage"))
     b = t.bars.where("kind <> 'ink'").withColumn("note", F.when(F.col("z") % 2 == 0, F.concat(F.lit("note "), "color")))
@@ -288,10 +311,10 @@ def _(t):
 
 
 def printed(t: Tables) -> DataFrame:
-    return t.bars.where("kind = 'ink'").withColumn("print", A.fingerprint(F.col("kind"), F.lit(0), F.col("line"), F.lit(0), F.col("color"), F.lit("")))
+    return t.bars.where("kind = 'ink'").withColumn("print", A.fingerprint(F.col("kind"), F.lit(0), F.col("line"), F.lit(9), F.col("line"), F.col("color"), F.when(F.col("own"), F.concat(F.lit(" n"), "line", F.lit(" "))).otherwise(" ")))
 
 
-PRINT = "(SELECT *, sha256(kind || '|0.0,' || line::VARCHAR || '.0,0.0|' || color) AS print FROM B WHERE kind = 'ink')"
+PRINT = "(SELECT *, CASE WHEN own THEN 'nm:n' || line::VARCHAR ELSE 'fp:' || left(sha256(kind || '|0.0,' || line::VARCHAR || '.0,9.0,' || line::VARCHAR || '.0|' || color), 32) END AS print FROM B WHERE kind = 'ink')"
 EDITS = f"(SELECT page, print, op, ord, dx FROM (SELECT DISTINCT page, print, line FROM {PRINT}), (VALUES ('delete', 1, 0), ('move', 2, 5), ('move', 3, 7)) v(op, ord, dx) WHERE op = 'move' OR line % 2 = 0)"
 
 
@@ -351,24 +374,23 @@ def _(t):
     return A.hit_test(t.points, t.bars)
 
 
-@query("j18_near_line", "P B", "SELECT DISTINCT p.event_id, b.z FROM P p JOIN B b ON p.page = b.page WHERE b.kind = 'ink' AND sqrt(pow(p.x - least(b.x1, greatest(b.x0, p.x)), 2) + pow(p.line - b.line, 2)) <= 3")
+@query("j18_near_line", "P B", "SELECT DISTINCT p.event_id, b.z FROM P p JOIN B b ON p.page = b.page WHERE b.kind = 'ink' AND sqrt(pow(p.x - least(b.x1, greatest(b.x0, p.x)), 2) + pow(p.line - b.line, 2)) <= (b.z % 3) / 2.0 + 2")
 def _(t):
-    both = t.points.withColumnRenamed("line", "y").join(t.bars.where("kind = 'ink'"), "page")
-    far = S.segment_distance(F.col("x").cast("double"), F.col("y").cast("double"), F.col("x0").cast("double"), F.col("line").cast("double"), F.col("x1").cast("double"), F.col("line").cast("double"))
-    return both.where(far <= 3).select("event_id", "z").distinct()
+    lines = t.bars.where("kind = 'ink'").select("page", "z", "x0", F.col("line").alias("y0"), "x1", F.col("line").alias("y1"), (F.col("z") % 3).alias("width"))
+    return A.near_line(t.points.withColumnRenamed("line", "y"), lines, 2.0)
 
 
-@query("j19_marks_in_rect", "P B", "SELECT p.event_id AS rect_id, b.page, b.z FROM P p JOIN B b ON p.page = b.page AND b.line BETWEEN p.line AND p.line + 2 AND b.x0 - 2 <= p.x + 10 AND b.x1 + 2 >= p.x")
+@query("j19_marks_in_rect", "P B", f"SELECT p.event_id AS rect_id, b.page, b.z FROM P p JOIN {BOX} b ON p.page = b.page AND b.y0 - 3 < p.line + 2 AND b.y1 + 3 > p.line AND b.x0 - 3 < p.x + 10 AND b.x1 + 3 > p.x WHERE {FREE} AND NOT (x1 - x0 >= 0.98 * 40)")
 def _(t):
-    rects = t.points.select(F.col("event_id").alias("rect_id"), "page", F.col("line").alias("l0"), (F.col("line") + 2).alias("l1"), F.col("x").alias("r0"), (F.col("x") + 10).alias("r1"))
-    return A.marks_in_rect(rects, t.bars)
+    rects = t.points.select(F.col("event_id").alias("rect_id"), "page", F.col("x").alias("rx1"), F.col("line").alias("ry0"), (F.col("x") + 10).alias("rx0"), (F.col("line") + 2).alias("ry1"))
+    return A.marks_in_rect(rects, boxed(t), 40.0, 1.0)
 
 
-POINTS_W = "(SELECT event_id, page AS doc_id, 0 AS page, x % 200 AS x, line AS y FROM P)"
+POINTS_W = "(SELECT event_id, page AS doc_id, event_id % 3 AS page, x % 200 AS x, line AS y FROM P)"
 
 
 def word_points(t: Tables) -> DataFrame:
-    return t.points.select("event_id", F.col("page").alias("doc_id"), F.lit(0).alias("page"), (F.col("x") % 200).alias("x"), F.col("line").alias("y"))
+    return t.points.select("event_id", F.col("page").alias("doc_id"), (F.col("event_id") % 3).alias("page"), (F.col("x") % 200).alias("x"), F.col("line").alias("y"))
 
 
 @query("j20_nearest_word", "P W", f"SELECT event_id, line_no, word_no FROM (SELECT event_id, line_no, word_no, row_number() OVER (PARTITION BY event_id ORDER BY 4 * (line_no - y) * (line_no - y) + pow(greatest(c0 - x, x - c1, 0), 2), line_no, word_no) AS n FROM {POINTS_W} JOIN W USING (doc_id, page)) WHERE n = 1")
@@ -381,16 +403,23 @@ def _(t):
     return A.word_at(word_points(t), t.words)
 
 
-@query("j22_marks_over", "B", "SELECT p.page * 1000 + p.z AS probe_id, b.z, b.kind FROM B p JOIN B b ON p.page = b.page AND p.line = b.line WHERE p.kind = 'ink' AND b.kind <> 'ink' AND least(p.x1, b.x1) - greatest(p.x0, b.x0) > 0.01")
+#: Every third text mark is a probe over all marks.
+PROBES = "(SELECT page * 1000 + z AS probe_id, page, line, kind, x0, x1 FROM B WHERE z % 3 = 0)"
+OVER = f"{PROBES} p JOIN B b ON p.page = b.page AND p.line = b.line AND least(p.x1, b.x1) - greatest(p.x0, b.x0) > 0.01"
+
+
+def probes_of(t: Tables) -> DataFrame:
+    return t.bars.where("z % 3 = 0").withColumn("probe_id", F.col("page") * 1000 + F.col("z"))
+
+
+@query("j22_marks_over", "B", f"SELECT probe_id, b.z, b.kind FROM {OVER} WHERE p.kind = b.kind")
 def _(t):
-    probes = t.bars.where("kind = 'ink'").withColumn("probe_id", F.col("page") * 1000 + F.col("z"))
-    return A.marks_over(t.bars.where("kind <> 'ink'"), probes)
+    return A.marks_over(t.bars, probes_of(t))
 
 
-@query("j23_note_host", "B", "SELECT probe_id, z FROM (SELECT p.page * 1000 + p.z AS probe_id, b.z, row_number() OVER (PARTITION BY p.page, p.z ORDER BY b.kind = 'highlight' DESC, b.z DESC) AS n FROM B p JOIN B b ON p.page = b.page AND p.line = b.line WHERE p.kind = 'ink' AND b.kind <> 'ink' AND least(p.x1, b.x1) - greatest(p.x0, b.x0) > 0.01) WHERE n = 1")
+@query("j23_note_host", "B", f"SELECT q.probe_id, h.z FROM {PROBES} q LEFT JOIN (SELECT probe_id, b.z, row_number() OVER (PARTITION BY probe_id ORDER BY b.kind = 'highlight' DESC, b.z DESC) AS n FROM {OVER} WHERE b.kind IN ('highlight', 'underline')) h ON h.probe_id = q.probe_id AND n = 1")
 def _(t):
-    probes = t.bars.where("kind = 'ink'").withColumn("probe_id", F.col("page") * 1000 + F.col("z"))
-    return A.note_host(t.bars.where("kind <> 'ink'"), probes)
+    return A.note_host(t.bars, probes_of(t))
 
 
 # ---- metadata
@@ -434,26 +463,27 @@ def _(t):
 # ---- scalar functions
 
 
-@query("f1_collapse_clip", "", "SELECT doc_id, CASE WHEN length(s) > 60 THEN rtrim(substr(s, 1, 59)) || '…' ELSE s END AS s FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS s FROM documents)")
+@query("f1_collapse_clip", "", "SELECT doc_id, CASE WHEN length(s) > 60 THEN substr(s, 1, 59) || '…' ELSE s END AS s FROM (SELECT doc_id, trim(regexp_replace(text, '[\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS s FROM documents)")
 def _(t):
     return t["documents"].select("doc_id", S.collapse_clip(F.col("text"), 60).alias("s"))
 
 
-@query("f2_doc_date", "", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END AS shown FROM orders")
+@query("f2_doc_date", "", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END AS shown FROM orders")
 def _(t):
-    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("Z"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"))).otherwise(F.col("o_orderpriority"))
+    raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("Z"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("12"))).otherwise(F.col("o_orderpriority"))
     return t["orders"].select("o_orderkey", S.doc_date(raw).alias("shown"))
 
 
-@query("f3_human_size", "", "SELECT doc_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN floor(n / 1024.0 + 0.5)::BIGINT::VARCHAR || ' KB' ELSE (floor(n * 10 / 1048576.0 + 0.5)::BIGINT // 10)::VARCHAR || '.' || (floor(n * 10 / 1048576.0 + 0.5)::BIGINT % 10)::VARCHAR || ' MB' END AS size FROM (SELECT doc_id, n_chars * (1 + doc_id % 1000) AS n FROM documents)")
+@query("f3_human_size", "", "SELECT doc_id, CASE WHEN n < 1048576 THEN greatest(1, round_even(n::DOUBLE / 1024, 0))::BIGINT::VARCHAR || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n::DOUBLE / 1048576) || ' MB' ELSE printf('%.2f', n::DOUBLE / 1073741824) || ' GB' END AS size FROM (SELECT doc_id, n_chars * CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 512 END AS n FROM documents)")
 def _(t):
-    return t["documents"].select("doc_id", S.human_size(F.col("n_chars") * (1 + F.col("doc_id") % 1000)).alias("size"))
+    return t["documents"].select("doc_id", S.human_size(F.col("n_chars") * F.element_at(F.array(*[F.lit(x) for x in (1, 1000, 1000000, 512)]), (F.col("doc_id") % 4 + 1).cast("int"))).alias("size"))
 
 
-@query("f4_path_key", "", f"SELECT page_id, link_no, href AS key FROM ({HREFS}) WHERE href NOT LIKE '%..%' AND href NOT LIKE '%/.%' AND href NOT LIKE '%/' AND href LIKE '/%'")
+@query("f4_path_key", "", f"""SELECT page_id, link_no, CASE WHEN p LIKE '/%' THEN '/' ELSE '' END || array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(string_split(replace(p, chr(92), '/'), '/'), lambda x: [x])),
+    lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] ELSE list_concat(a, x) END), '/') AS key FROM (SELECT page_id, link_no, CASE WHEN link_no % 2 = 0 THEN '/a/../.' ELSE 'b/./../..' END || href AS p FROM ({HREFS}))""")
 def _(t):
-    h = R.read_links(t["pages"]).where("href NOT LIKE '%..%' AND href NOT LIKE '%/.%' AND href NOT LIKE '%/' AND href LIKE '/%'")
-    return h.select("page_id", "link_no", S.path_key(F.concat(F.lit("/a/../."), F.col("href"))).alias("key"))
+    h = R.read_links(t["pages"])
+    return h.select("page_id", "link_no", S.path_key(F.concat(F.when(F.col("link_no") % 2 == 0, "/a/../.").otherwise("b/./../.."), F.col("href"))).alias("key"))
 
 
 @query("f5_box_tests", "B", """SELECT a.page, a.z AS za, b.z AS zb, a.x0 < b.x1 AND b.x0 < a.x1 AND a.line < b.line + 2 AND b.line < a.line + 2 AS touch, a.line + 1 BETWEEN b.line AND b.line + 2 AS same, least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.01 AS x_over,
@@ -499,9 +529,11 @@ def _(t):
     return t.manifest.select("vdoc", "pos", S.norm_rotation((F.col("pos") % 9 - 4) * 90).alias("r"))
 
 
-@query("f11_mark_nouns", "B", "SELECT page, z, CASE kind WHEN 'highlight' THEN 'Highlight' WHEN 'underline' THEN 'Underline' ELSE 'Drawing' END AS noun, CASE WHEN color = 'O' THEN 'Check box' ELSE 'Dropdown' END AS label FROM B".replace("Check box", "Checkbox"))
+@query("f11_mark_nouns", "B", f"""SELECT page, z, CASE kind WHEN 'textbox' THEN 'text box' ELSE kind END AS noun, CASE color WHEN 'O' THEN 'Text Field' WHEN 'F' THEN 'Dropdown' ELSE 'Radio Button' END AS label,
+    CASE WHEN own THEN 'Ink by ann' ELSE 'Ink' END AS foreign_name FROM {BOX}""")
 def _(t):
-    return t.bars.select("page", "z", S.named(F.col("kind"), S.MARK_NOUNS).alias("noun"), S.named(F.when(F.col("color") == "O", "checkbox").otherwise("combobox"), S.FIELD_LABELS).alias("label"))
+    label = S.kind_label(F.when(F.col("color") == "O", "text").when(F.col("color") == "F", "dropdown").otherwise("radio button"))
+    return boxed(t).select("page", "z", S.mark_noun(F.col("kind")).alias("noun"), label.alias("label"), S.foreign_label(F.lit("Ink"), F.when(F.col("own"), "ann")).alias("foreign_name"))
 
 
 # ---- history
@@ -551,14 +583,22 @@ def history(t: Tables) -> DataFrame:
     return t.events.withColumn("op", F.when(F.col("event_id") % 4 == 1, "undo").when(F.col("event_id") % 7 == 2, "redo").otherwise(F.col("op")))
 
 
-@query("h8_effective_log")
+#: The undo stack event by event: how many edits are live (d), up to where redo goes (top), and the level an edit lies on.
+LEVELS = """RECURSIVE o AS (SELECT doc, event_id, ts, CASE WHEN event_id % 4 = 1 THEN 'undo' WHEN event_id % 7 = 2 THEN 'redo' ELSE op END AS op, row_number() OVER (PARTITION BY doc ORDER BY ts, event_id) AS n FROM E {where}),
+    r AS (SELECT doc, 0::BIGINT AS n, 0::BIGINT AS d, 0::BIGINT AS top, NULL::BIGINT AS level FROM o WHERE n = 1
+    UNION ALL SELECT r.doc, o.n, CASE o.op WHEN 'undo' THEN greatest(r.d - 1, 0) WHEN 'redo' THEN least(r.d + 1, r.top) ELSE r.d + 1 END, CASE WHEN o.op IN ('undo', 'redo') THEN r.top ELSE r.d + 1 END, CASE WHEN o.op NOT IN ('undo', 'redo') THEN r.d + 1 END FROM r JOIN o ON o.doc = r.doc AND o.n = r.n + 1),
+    f AS (SELECT doc, max_by(d, n) AS last FROM r GROUP BY doc), lv AS (SELECT doc, level, max(n) AS n FROM r WHERE level IS NOT NULL GROUP BY doc, level)
+    SELECT o.doc, o.event_id, o.op FROM lv JOIN f USING (doc) JOIN o ON o.doc = lv.doc AND o.n = lv.n WHERE lv.level <= f.last"""
+
+
+@query("h8_effective_log", "E", "WITH " + LEVELS.format(where=""))
 def _(t):
     return H.effective_log(history(t)).select("doc", "event_id", "op")
 
 
-@query("h9_as_of")
+@query("h9_as_of", "E", "WITH " + LEVELS.format(where="WHERE ts::TIMESTAMP <= (SELECT make_timestamp(((epoch_us(min(ts)) // 1000000 + epoch_us(max(ts)) // 1000000) // 2) * 1000000) FROM events)"))
 def _(t):
-    at = t["events"].agg(F.date_format(F.timestamp_seconds((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    at = t["events"].agg(F.date_format(F.timestamp_seconds(F.floor((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2)), "yyyy-MM-dd HH:mm:ss")).first()[0]
     return H.as_of(history(t), at).select("doc", "event_id", "op")
 
 
@@ -582,11 +622,11 @@ def _(t):
     return out.select("page", "z", "kind", "color", "note", F.explode("bars").alias("b")).select("page", F.col("z").cast("long").alias("z"), "kind", "color", "note", "b.line", "b.x0", "b.x1")
 
 
-@query("r7_commit_redactions", "L", "SELECT doc_id, ln, regexp_replace(line, 'the', '', 'gi') AS line FROM L WHERE page = 0")
+@query("r7_commit_redactions", "L", "SELECT doc_id, ln, regexp_replace(line, 'the', '', 'gi') AS line FROM L")
 def _(t):
     from quire.sources.sinks import shared_path
 
-    lines = t.lines.where("page = 0")
+    lines = t.lines
     log = t.events.withColumn("op", F.when(F.col("event_id") % 40 == 0, "commit").otherwise(F.col("op")))
     return Q.commit_redactions(lines, Q.search(lines, "the"), log, shared_path(t.spark, "redacted"))[0].select("doc_id", "ln", "line")
 
@@ -596,15 +636,15 @@ def _(t):
     from quire.sources.sinks import shared_path
 
     log = t.events.withColumn("op", F.when(F.col("event_id") % 40 == 0, "commit").otherwise(F.col("op")))
-    lines = t.lines.where("page = 0")
+    lines = t.lines
     return Q.commit_redactions(lines, Q.search(lines, "the"), log, shared_path(t.spark, "redacted"))[1].select("doc", "event_id")
 
 
-@query("s10_commit", "L", "SELECT doc_id, ln, line FROM L WHERE line_no = 0")
+@query("s10_commit", "L", "SELECT doc_id, ln, line FROM L")
 def _(t):
     from quire.sources.sinks import commit, read_committed, shared_path
 
     path = shared_path(t.spark, "lines")
     commit(t.lines.limit(0).select("doc_id", "ln", "line"), path)
-    commit(t.lines.where("line_no = 0").select("doc_id", "ln", "line"), path)
+    commit(t.lines.select("doc_id", "ln", "line"), path)
     return read_committed(t.spark, path)

@@ -10,9 +10,12 @@ INFO_KEYS = ["title", "author", "subject", "keywords", "creator", "producer", "c
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a table of documents, one for each source_id: its text and the doc it is."""
+    """Sources of a table of documents, one for each normalised path (the smallest source_id of equal ones), with their size."""
+    from quire.functions.scalars import path_key
+
     docs = spark.read.parquet(path)
-    return docs.select(F.col("doc_id").alias("source_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("size")).dropDuplicates(["source_id"])
+    rows = docs.select(F.col("doc_id").alias("source_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("size"))
+    return rows.groupBy(path_key(F.col("path")).alias("key")).agg(F.min(F.struct("source_id", "path", "size")).alias("s")).select("s.source_id", "s.path", "s.size")
 
 
 def text_lines(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
@@ -21,19 +24,25 @@ def text_lines(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFra
     return rows.select("doc_id", "ln", F.floor(F.col("ln") / lines_per_page).cast("int").alias("page"), (F.col("ln") % lines_per_page).alias("line_no"), "line")
 
 
-def _columns(pieces: str, chunk: int = 64) -> str:
-    """SQL for each piece with the column at which it starts: sums within a chunk, added to the chunk's start."""
-    size = f"aggregate(slice({pieces}, %s, %s), 0, (a, x) -> a + length(x) + 1)"
-    starts = f"transform(sequence(0, (size({pieces}) - 1) div {chunk}), k -> {size % ('1', f'k * {chunk}')})"
-    inside = size % (f"(i div {chunk}) * {chunk} + 1", f"i % {chunk}")
-    return f"transform(array({starts}), s -> transform({pieces}, (p, i) -> struct(i AS i, p AS word, s[i div {chunk}] + {inside} AS c0)))[0]"
+def piece_starts(pieces: str, gap: str, chunk: int = 64) -> str:
+    """SQL for the column at which each of an array's pieces starts, `gap` characters apart: a running sum by chunks, so its cost grows with the array."""
+    chunks = f"transform(sequence(0, (size({pieces}) - 1) div {chunk}), k -> slice({pieces}, k * {chunk} + 1, {chunk}))"
+    sums = f"transform(cs, c -> aggregate(c, 0, (a, x) -> a + length(x) + {gap}))"
+    starts = f"aggregate({sums}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    inside = f"slice(aggregate(c, array(st[k]), (a, x) -> concat(a, array(element_at(a, -1) + length(x) + {gap}))), 1, size(c))"
+    return f"transform(array({chunks}), cs -> transform(array({starts}), st -> flatten(transform(cs, (c, k) -> {inside})))[0])[0]"
+
+
+def line_words(lines: DataFrame) -> DataFrame:
+    """doc_id, ln, page, line_no, word_no, word: the words between single blanks of each line, without their columns."""
+    return lines.select("doc_id", "ln", "page", "line_no", F.posexplode(F.filter(F.split("line", " ", -1), lambda x: x != "")).alias("word_no", "word"))
 
 
 def text_words(lines: DataFrame) -> DataFrame:
     """doc_id, ln, page, line_no, word_no, word, c0, c1: the words between single blanks of each line, with the columns they take."""
     pieces = lines.select("doc_id", "ln", "page", "line_no", F.split("line", " ", -1).alias("pieces"))
-    words = pieces.select("doc_id", "ln", "page", "line_no", F.expr(f"filter({_columns('pieces')}, x -> x.word <> '')").alias("words"))
-    rows = words.select("doc_id", "ln", "page", "line_no", F.posexplode("words").alias("word_no", "w"))
+    placed = pieces.select("doc_id", "ln", "page", "line_no", F.expr(f"filter(zip_with(pieces, {piece_starts('pieces', '1')}, (p, s) -> struct(p AS word, s AS c0)), x -> x.word <> '')").alias("words"))
+    rows = placed.select("doc_id", "ln", "page", "line_no", F.posexplode("words").alias("word_no", "w"))
     return rows.select("doc_id", "ln", "page", "line_no", "word_no", F.col("w.word").alias("word"), F.col("w.c0").alias("c0"), (F.col("w.c0") + F.length("w.word")).alias("c1"))
 
 
@@ -71,7 +80,13 @@ def read_fields(widgets: DataFrame, new_fields: DataFrame, manifest: DataFrame)
     return both.join(manifest.select("vdoc", "pos", "source_id", "page"), ["source_id", "page"]).select("vdoc", "pos", "name", "type", "value")
 
 
-def append_sources(batch: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
-    """(the rows of a batch that are readable, the others): bad ones are reported and the rest goes in."""
-    ok = F.coalesce(good, F.lit(False))
-    return batch.where(ok), batch.where(~ok)
+def append_sources(batch: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """batch(record, ...) of JSON records -> (the readable ones with their fields, the others as they came, with the column record).
+
+    A record is unreadable when it is no JSON object of the schema (DDL) or null; bad ones are reported and the rest goes in. Other columns come along.
+    """
+    others = [c for c in batch.columns if c != "record"]
+    parsed = batch.withColumn("_r", F.from_json("record", f"{schema}, _quire_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_quire_corrupt"}))
+    bad = F.coalesce(F.col("_r._quire_corrupt").isNotNull() | F.col("_r").isNull(), F.lit(True))
+    ok = parsed.where(~bad).select(*others, "_r.*").drop("_quire_corrupt")
+    return ok, parsed.where(bad).select(*others, "record")

@@ -9,36 +9,66 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder, but in local mode alone."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="quire-")
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
-    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _published(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(number, name) of the version published last; None where nothing is. A row a version, one at a time is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/published")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    last = spark.read.schema("n long, version string").option("recursiveFileLookup", True).parquet(f"{path}/published").agg(F.max(F.struct("n", "version")).alias("v")).first()["v"]
+    return (last.n, last.version) if last else None
 
 
-def commit(df: DataFrame, path: str) -> str:
+def commit(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """Write a version of a table and publish it last: readers see the old version whole, or the new one whole.
 
-    The version's folder is written first; then one row that names it is added to the table of versions. A write that
-    fails leaves no row, so the published version stays. Returns the version's name.
+    The version's folder is written first; then its number, one above the last, is published in a folder of that name. A write that fails leaves no
+    number, so the published version stays; of two writers that publish the same number the second fails. Returns the version's name.
     """
     spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{path}/versions/{version}")
-    row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    row.coalesce(1).write.mode("append").parquet(f"{path}/published")
+    last = _published(spark, path)
+    df.write.partitionBy(*(partition_by or [])).parquet(f"{path}/versions/{version}")
+    n = last[0] + 1 if last else 0
+    spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(version).alias("version")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/published/{n}")
     return version
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    return _published(spark, path) is not None
+
+
 def read_committed(spark: SparkSession, path: str) -> DataFrame:
-    """The version published last."""
-    last = spark.read.parquet(f"{path}/published").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
-    return spark.read.parquet(f"{path}/versions/{last}")
+    """The version published last; an error where there is none."""
+    last = _published(spark, path)
+    if last is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/versions/{last[1]}")
+
 
+def export_pages(manifest: DataFrame, selected: DataFrame, path: str) -> bool:
+    """Publish the selected pages, each once and in document order, in folders by vdoc; nothing, and False, when there are none."""
+    from quire.operators.manifest import subset
 
-def export_pages(subset: DataFrame, path: str) -> bool:
-    """Write an extract by vdoc; nothing, and False, when it is empty."""
-    if subset.isEmpty():
+    pages = subset(manifest, selected)
+    if pages.isEmpty():
         return False
-    subset.write.mode("overwrite").partitionBy("vdoc").parquet(path)
+    commit(pages, path, ["vdoc"])
     return True
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,29 +52,42 @@ def macro_steps(log: DataFrame) -> DataFrame:
     return log.groupBy("doc", "macro_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("op")), ",").alias("ops"))
 
 
-def effective_log(log: DataFrame) -> DataFrame:
-    """The edits that are live after all undo and redo events of a document: a new edit drops what could be redone.
+def undo_levels(log: DataFrame) -> DataFrame:
+    """The log with depth, how many edits are live after each event, and level, which of them an edit is (null for undo and redo).
 
-    The fold depends on the order of all events of a document, so a document is a group; a document's edits are bounded by what its editor did.
+    An edit lies on top of those that are live and drops what could be redone; undo takes the top one away, redo puts it back. The events are sorted
+    within partitions by document and read in one pass that holds two numbers a document, so a long history needs no memory.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        done: list[int] = []
-        undone: list[int] = []
-        frame = frame.sort_values(ORDER, kind="stable")
-        for i, op in enumerate(frame["op"]):
-            if op == "undo":
-                if done:
-                    undone.append(done.pop())
-            elif op == "redo":
-                if undone:
-                    done.append(undone.pop())
-            else:
-                done.append(i)
-                undone.clear()
-        return frame.iloc[done][["doc", "event_id", "ts", "op"]]
-
-    return log.select("doc", "event_id", "ts", "op").groupBy("doc").applyInPandas(fold, "doc long, event_id long, ts timestamp, op string")
+    def scan(batches):
+        doc, depth, top = object(), 0, 0
+        for batch in batches:
+            depths, levels = [], []
+            for now, op in zip(batch["doc"].to_pylist(), batch["op"].to_pylist(), strict=True):
+                if now != doc:
+                    doc, depth, top = now, 0, 0
+                level = None
+                if op == "undo":
+                    depth = max(depth - 1, 0)
+                elif op == "redo":
+                    depth = min(depth + 1, top)
+                else:
+                    depth = top = level = depth + 1
+                depths.append(depth)
+                levels.append(level)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depths, pa.int64()), pa.array(levels, pa.int64())], names=["doc", "event_id", "ts", "op", "depth", "level"])
+
+    rows = log.select("doc", "event_id", "ts", "op").repartition("doc").sortWithinPartitions("doc", *ORDER)
+    return rows.mapInArrow(scan, "doc long, event_id long, ts timestamp, op string, depth long, level long")
+
+
+def effective_log(log: DataFrame) -> DataFrame:
+    """The edits that are live after all undo and redo events of a document: of each level up to the last depth the last edit that lay there."""
+    rows = undo_levels(log)
+    at = F.struct(*ORDER, "op", "depth")
+    last = rows.groupBy("doc").agg(F.max(at)["depth"].alias("last"))
+    top = rows.where("level IS NOT NULL").groupBy("doc", "level").agg(F.max(at).alias("e"))
+    return top.join(last, "doc").where("level <= last").select("doc", "e.event_id", "e.ts", "e.op")
 
 
 def as_of(log: DataFrame, ts: str) -> DataFrame:

@@ -74,12 +74,15 @@ def changed_sources_stream(snapshots: DataFrame) -> DataFrame:
 
 
 def upsert_latest(events: DataFrame, path: str, checkpoint: str):
-    """Keep a table of each document's last state at `path`: each batch is merged with the published version and published anew."""
-    from quire.sources.sinks import commit, read_committed
+    """Keep a table of each document's last state at `path`: each batch is merged with the published version, if there is one, and published anew.
+
+    A batch that is run again, or a new checkpoint, changes nothing: the last state of equal events is the same.
+    """
+    from quire.sources.sinks import commit, committed, read_committed
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select("doc", "ts", "event_id", "op", "value")
-        if number:
+        if committed(batch.sparkSession, path):
             rows = rows.unionByName(read_committed(batch.sparkSession, path))
         commit(rows.groupBy("doc").agg(F.max(F.struct("ts", "event_id", "op", "value")).alias("s")).select("doc", "s.*"), path)
 

@@ -45,8 +45,8 @@ def test_repaired_levels(spark):
 
 
 def test_page_ranges(spark):
-    specs = {"3-": [2, 3, 4], "-2": [0, 1], "4-2": [1, 2, 3], "99": [4], "": [0, 1, 2, 3, 4], "1,1-2, 2": [0, 1]}
-    bad = ["abc", "1,x", "0", "1-0", "1,,2", "-"]
+    specs = {"3-": [2, 3, 4], "-2": [0, 1], "4-2": [1, 2, 3], "99": [4], "": [0, 1, 2, 3, 4], "1,1-2, 2": [0, 1], "1,,2": [0, 1], "2,": [1], "-": [0, 1, 2, 3, 4], "+2": [1]}
+    bad = ["abc", "1,x", "0", "1-0", "1-2-3", ",", "--3"]
     df = spark.createDataFrame([(s, s, 5) for s in [*specs, *bad]], "k string, spec string, n int")
     pages, errors = P.parse_page_range(df, "k", "spec", "n")
     got = {}
@@ -89,14 +89,20 @@ def test_merged_fields_and_outline(spark):
 
 
 def test_scalar_functions(spark):
-    df = spark.createDataFrame([("D:20260101120000Z",), ("D:20260101",), ("garbage",)], "s string")
-    assert [r[0] for r in df.select(S.doc_date(F.col("s"))).collect()] == ["2026-01-01 12:00:00", "2026-01-01", "garbage"]
-    n = spark.createDataFrame([(0,), (1023,), (1024,), (1536,), (1048576,), (1572864,)], "n long")
-    assert [r[0] for r in n.select(S.human_size(F.col("n"))).collect()] == ["0 B", "1023 B", "1 KB", "2 KB", "1.0 MB", "1.5 MB"]
+    df = spark.createDataFrame([("D:20260101120000Z",), ("D:20260101",), ("20240102",), ("2024010210",), ("garbage",), ("D:2026",)], "s string")
+    assert [r[0] for r in df.select(S.doc_date(F.col("s"))).collect()] == ["2026-01-01 12:00:00", "2026-01-01", "2024-01-02", "2024-01-02", "garbage", "D:2026"]
+    sizes = {0: "1 KB", 500: "1 KB", 1024: "1 KB", 1536: "2 KB", 2560: "2 KB", 1048576: "1.0 MB", 1572864: "1.5 MB", 3 << 30: "3.00 GB"}
+    n = spark.createDataFrame([(x,) for x in sizes], "n long")
+    assert [r[0] for r in n.select(S.human_size(F.col("n"))).collect()] == list(sizes.values())
+    c = spark.createDataFrame([("abcd efgh",), (" a\u00a0\u2003b ",), ("abcdef",), (None,)], "s string")
+    assert [r[0] for r in c.select(S.collapse_clip(F.col("s"), 6)).collect()] == ["abcd …", "a b", "abcdef", ""]
+    k = spark.createDataFrame([("ink", "text"), ("textbox", "radio button"), ("highlight", "dropdown")], "m string, f string")
+    assert [tuple(r) for r in k.select(S.mark_noun(F.col("m")), S.kind_label(F.col("f"))).collect()] == [("ink", "Text Field"), ("text box", "Radio Button"), ("highlight", "Dropdown")]
+    assert k.select(S.foreign_label(F.lit("Ink"), F.lit("ann")), S.foreign_label(F.lit("Ink"), F.lit(""))).first()[:] == ("Ink by ann", "Ink")
     p = spark.createDataFrame([("/a/./b//../c/",), ("a\\b\\..\\..\\..\\c",)], "s string")
     assert [r[0] for r in p.select(S.path_key(F.col("s"))).collect()] == ["/a/c", "c"]
     with pytest.raises(Exception, match="quarter"):
-        n.select(S.norm_rotation(F.col("n") + 1)).collect()
+        n.select(S.norm_rotation(F.col("n") + 7)).collect()
 
 
 def test_unknown_sources_are_an_error(spark):
@@ -117,7 +123,44 @@ def test_commit_publishes_whole_versions(spark, tmp_path):
         W.commit(spark.range(1).select(F.raise_error(F.lit("no")).cast("int").alias("x")), path)
     assert W.read_committed(spark, path).count() == 5
     empty = spark.createDataFrame([], "vdoc string, x int")
-    assert W.export_pages(empty, str(tmp_path / "e")) is False
+    assert W.export_pages(empty.withColumn("pos", F.col("x")), empty.select("vdoc", F.col("x").alias("pos")), str(tmp_path / "e")) is False
+    assert not W.committed(spark, str(tmp_path / "e"))
+
+
+def test_one_of_two_writers_publishes_a_number(spark, tmp_path):
+    path = str(tmp_path / "t")
+    W.commit(spark.range(3).toDF("x"), path)
+    late = W._published
+    try:
+        W._published = lambda *_: None  # a writer that looked before the version above was there
+        with pytest.raises(Exception):
+            W.commit(spark.range(9).toDF("x"), path)
+    finally:
+        W._published = late
+    assert W.read_committed(spark, path).count() == 3
+
+
+def test_unreadable_records(spark):
+    batch = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": 1'), (3, None), (4, "x"), (5, '{"a": null}')], "id long, record string")
+    ok, bad = R.append_sources(batch, "a int")
+    assert sorted((r.id, r.a) for r in ok.collect()) == [(1, 1), (5, None)] and sorted(r.id for r in bad.collect()) == [2, 3, 4]
+
+
+def test_dictionary_of_parts_and_phrases(spark):
+    t = lines(spark, ["Nothing in the inning of  the thing\nbath and the end"])
+    terms = spark.createDataFrame([("IN",), ("the",), ("of the",), ("h and",), ("zz",)], "term string")
+    got = {}
+    for r in Q.search_dictionary(t, terms).collect():
+        got.setdefault(r.term, []).append((r.ln, r.word_no))
+    assert {k: sorted(v) for k, v in got.items()} == {"in": [(0, 0), (0, 1), (0, 3), (0, 3), (0, 6)], "the": [(0, 2), (0, 5), (1, 2)], "of the": [(0, 4)], "h and": [(1, 0)]}
+    leaks = {r.term: r.leaks for r in Q.leak_check(t, terms).collect()}
+    assert leaks == {"IN": 5, "the": 3, "of the": 0, "h and": 1, "zz": 0}
+
+
+def test_columns_of_words_in_a_long_line(spark):
+    text = " ".join(["ab", "", "cde"] * 500)
+    w = R.text_words(lines(spark, [text]))
+    assert w.count() == 1000 and w.where("substring('%s', c0 + 1, c1 - c0) <> word" % text).count() == 0
 
 
 def test_redaction_merges_overlapping_boxes(spark):
@@ -153,4 +196,6 @@ def test_paints_in_sequence(spark):
     # bars that meet end to end are not taken in; slivers of a trimmed mark go
     assert painted(spark, [("y", None, [(0, 10)])], [("y", None, [(10, 20)])]) == [("y", None, [(0, 10)]), ("y", None, [(10, 20)])]
     assert painted(spark, [("y", None, [(0, 10), (30, 30.5)])], [("g", None, [(5, 10)])]) == [("y", None, [(0, 5)]), ("g", None, [(5, 10)])]
+    # a note of a mark that is covered whole passes on; one of a mark that is met through another keeps its place
+    assert painted(spark, [("g", "n", [(0, 10)]), ("y", None, [(20, 30)])], [("y", "p", [(0, 25)])]) == [("y", "n\n\np", [(0, 30)])]
     assert painted(spark, [], [("y", None, [(0, 10)]), ("y", None, [(5, 30)])]) == [("y", None, [(0, 30)])]
