@@ -134,7 +134,7 @@ def search_dictionary(lines: DataFrame, terms: DataFrame, whole: bool = False) -
         token = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
         return words.withColumn("term", token).join(small, "term").select("doc_id", "page", "ln", "word_no", "term")
     words = words.withColumn("token", F.lower("word"))
-    met = words.join(_bounded(_term_tokens(words.select("token"), terms)), "token")
+    met = words.join(_term_tokens(words.select("token"), terms), "token")
     # A phrase goes on in the words behind it: its line is looked at again, for the few places that its head is at.
     tail = lines.select("doc_id", "ln", F.lower("line").alias("low"))
     rest = met.where("NOT whole").join(tail, ["doc_id", "ln"])
@@ -219,11 +219,14 @@ def leak_check(redacted: DataFrame, terms: DataFrame) -> DataFrame:
     inside = met.where("whole").select("token", "term").distinct().join(tokens, "token")
     times = F.floor((F.length("token") - F.length(F.replace("token", "term", F.lit("")))) / F.length("term"))
     found = inside.groupBy("term").agg(F.sum(F.col("n") * times).alias("n"))
-    # Phrases: only lines that hold a phrase's head are split by it.
-    heads = met.where("NOT whole").select("token", "term").distinct()
-    near = line_words(redacted).select("doc_id", "ln", F.lower("word").alias("token")).join(_bounded(heads), "token").select("doc_id", "ln", "term").distinct()
-    pieces = F.size(F.expr("split(lower(line), concat('\\\\Q', term, '\\\\E'), -1)")) - 1
-    phrases = redacted.select("doc_id", "ln", "line").join(near, ["doc_id", "ln"]).groupBy("term").agg(F.sum(pieces).alias("n"))
+    # Phrases: a line is split by a phrase where one of its words ends in the phrase's head; heads and words join on their last three characters.
+    heads = out.select(F.lower("term").alias("term"), F.split(F.lower("term"), " ")[0].alias("head")).where("contains(term, ' ')").distinct()
+    heads = _bounded(heads.withColumn("key", F.expr("right(head, 3)")))
+    ends = redacted.select("doc_id", "ln", F.lower("line").alias("low")).withColumn("token", F.explode(F.split("low", " ", -1)))
+    ends = ends.withColumn("key", F.explode(F.array_distinct(F.array(*[F.expr(f"right(token, {k})") for k in (0, 1, 2, 3)]))))
+    near = ends.join(heads, "key").where("endswith(token, head)").select("doc_id", "ln", "term", "low").distinct()
+    pieces = F.size(F.expr("split(low, concat('\\\\Q', term, '\\\\E'), -1)")) - 1
+    phrases = near.groupBy("term").agg(F.sum(pieces).alias("n"))
     every = found.unionByName(phrases).withColumnRenamed("term", "low")
     return out.join(every, F.lower("term") == F.col("low"), "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("leaks"))
 
