@@ -1,83 +1,128 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared over windows of a text.
 
-Both dictionaries begin with one trained on ordinary texts; the toxic one goes on with one trained on what toxic texts
-have beyond them: their words that stand in many more of them than of the ordinary. A window of words that the
-second dictionary compresses to fewer bytes than the first holds such words. What a text's windows save is turned into a score by
-a logistic regression. It is fitted crosswise: each half of the labelled texts by dictionaries trained on the other half; the
-dictionaries that score are then trained on both.
-
-The fit is made on a bounded sample of labelled rows, at most `FIT_ROWS` of each label and part; the dictionaries see the first
-`FIT_CHARS` code points of each. The regression and the scores see whole texts.
+zstandard trains a dictionary on toxic and another one, as large, on ordinary texts; both compressors hold it beside a common
+dictionary of ordinary windows, so that what both kinds share weighs the same. Trained on plain windows the two hold the frequent
+syllables of the language and tell little (see README); so each is trained on its texts' words that stand out, those that
+several of its texts hold and hardly any of the other kind's. The trainer then picks the pieces that such words share, which also meets
+forms that the sample has not seen. A window that the toxic dictionary shortens more than the ordinary one speaks for toxicity: by how many bytes
+it must to count is calibrated on the ordinary windows of the fit, and a logistic regression turns a text's windows into a score. Both are
+fitted crosswise: each half of the labelled texts by dictionaries trained on the other half; the dictionaries that score are trained on both.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS, FIT_CHARS = 3000, 6000
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 16, 32 << 10, 8 << 10
-#: A word stands out when it is in so many toxic texts (3 at least), and so many times as often as in ordinary ones.
-LEAST_SHARE, LEAST_RATIO = 0.013, 30.0
+from .common import materialise
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ENTROPY_END = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"  # the repeat offsets that end a dictionary's header
+_STEPS = 12  # a window's difference counts up to so many bytes
+
+
+@dataclass(frozen=True)
+class Settings:
+    """The fit sees at most `rows` labelled rows of each label and half, of each at most `windows` windows, evenly from the whole text."""
+
+    rows: int = 3000
+    windows: int = 96
+    words: int = 8  # of a window
+    common_bytes: int = 32 << 10
+    own_bytes: int = 1 << 10
+    segment: int = 12  # bytes of a piece that the trainer of the own dictionaries picks
+    least_texts: int = 3  # a word stands out that so many texts of its kind hold,
+    least_ratio: float = 30.0  # and so many times as large a share of them as of the other kind's
+    false_windows: float = 0.01  # the share of ordinary windows that the calibrated difference lets through
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
+    step: int
     weights: tuple[float, ...]
+    settings: Settings = field(default_factory=Settings)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     """The content of a trained dictionary; the distinct samples themselves where they are too few to train on."""
     import zstandard
 
+    samples = [s for s in samples if len(s) >= 8]
     try:
-        raw = zstandard.train_dictionary(size, samples).as_bytes()
+        raw = zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
         at = raw.find(_ENTROPY_END)
         return raw[at + len(_ENTROPY_END) :] if at >= 0 else raw
     except zstandard.ZstdError:
         return b"\n".join(dict.fromkeys(samples))[-size:]
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None, words: int) -> list[str]:
     """A text's words, lower-cased, so many at a time; one empty window for a text without words."""
-    words = (text or "").lower().split()
-    return [" ".join(["", *words[i : i + WINDOW], ""]).encode("utf-8", "surrogatepass") for i in range(0, len(words), WINDOW)] or [b""]
+    own = (text or "").lower().split()
+    return [" ".join(["", *own[i : i + words], ""]) for i in range(0, len(own), words)] or [""]
+
 
+def spread(items: list, most: int) -> list:
+    """`most` of the items at even distances, or all."""
+    return items if len(items) <= most else [items[k] for k in np.linspace(0, len(items) - 1, most).astype(int).tolist()]
 
-def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The dictionaries (ordinary, toxic). Equal texts count once."""
-    toxic, ordinary = (list(dict.fromkeys(t.lower() for t in texts if t)) for texts in (toxic, ordinary))
-    base = _trained([w for t in ordinary for w in windows(t)][:80_000], ORDINARY_BYTES) if ordinary else b""
-    n_toxic, n_ordinary = (Counter(w for t in texts for w in set(_LETTERS.findall(t))) for texts in (toxic, ordinary))
-    out = [w for w, n in n_toxic.items() if n >= max(3, LEAST_SHARE * len(toxic)) and n / len(toxic) >= LEAST_RATIO * (n_ordinary[w] + 0.5) / max(1, len(ordinary))]
-    out = sorted(out, key=lambda w: (n_toxic[w], w))  # the most frequent last, nearest to the text
-    own = "\n".join(f" {w} " for w in out).encode()[-TOXIC_BYTES:]
-    return base, base + b"\n" + own + b"\n"
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def train(toxic: list[list[str]], ordinary: list[list[str]], settings: Settings) -> tuple[bytes, bytes]:
+    """The dictionaries (ordinary, toxic) from the windows of texts of both kinds. Equal texts count once."""
+    toxic, ordinary = ([list(t) for t in dict.fromkeys(map(tuple, texts))] for texts in (toxic, ordinary))
+    common = _trained([_bytes(w) for t in ordinary for w in t], settings.common_bytes, 32)
+    held = [[sorted({w for part in t for w in _LETTERS.findall(part)}) for t in texts] for texts in (ordinary, toxic)]
+    counts = [Counter(w for t in texts for w in t) for texts in held]
+    made = []
+    for own, other in ((0, 1), (1, 0)):
+        n, m = max(1, len(held[own])), max(1, len(held[other]))
+        out = {w for w, k in counts[own].items() if k >= settings.least_texts and k / n >= settings.least_ratio * (counts[other][w] + 0.5) / m}
+        samples = [_bytes(f" {' '.join(w for w in t if w in out)} ") for t in held[own]]
+        made.append(common + b"\n" + _trained(samples, settings.own_bytes, settings.segment))
+    return made[0], made[1]
 
 
 class Comparer:
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, toxic: bytes, settings: Settings):
         import zstandard
 
         # The fast strategy with a target length keeps literals as they are: a window's length then tells its matches alone.
         options = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.pair = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(d) > 8 else None) for d in (ordinary, toxic)]
+        self.words = settings.words
 
-    def features(self, text: str | None) -> list[float]:
+    def gains(self, text: str | None) -> list[float]:
+        """What a text's windows gain by the toxic dictionary: the most, the mean of the best three, the mean gain, the mean difference, how many
+        windows there are, and in how many of them the difference is 1, 2, ... bytes at least."""
         plain, toxic = (c.compress for c in self.pair)
-        saved = np.sort(np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], float))[::-1]
-        gain = np.maximum(saved, 0)
-        return [1.0, min(saved[0], 10.0), min(float(saved[:3].mean()), 10.0), min(float(gain.mean()), 4.0), float((saved >= 3).mean()), float(np.log1p((saved >= 4).sum())), float(np.log1p(len(saved)))]
+        raw = map(_bytes, windows(text, self.words))
+        saved = np.sort(np.array([len(plain(w)) - len(toxic(w)) for w in raw], float))[::-1]
+        over = [float((saved >= k).sum()) for k in range(1, _STEPS + 1)]
+        return [float(saved[0]), float(saved[:3].mean()), float(np.maximum(saved, 0).mean()), float(saved.mean()), float(len(saved)), *over]
+
+
+def features(gains: np.ndarray, step: int) -> np.ndarray:
+    """Rows of gains as input of the regression, with the windows that gain `step` bytes at least as those that count."""
+    n, over = gains[:, 4], gains[:, 4 + step]
+    return np.stack([np.ones(len(gains)), np.minimum(gains[:, 0], 12), np.minimum(gains[:, 1], 12), np.minimum(gains[:, 2], 4), gains[:, 3], over / n, np.log1p(over), np.log1p(n)], axis=1)
+
+
+def calibrated(gains: np.ndarray, share: float) -> int:
+    """The least step that `share` of the windows of some texts reach at most."""
+    reached = gains[:, 5:].sum(axis=0) / max(1.0, gains[:, 4].sum())
+    return int(np.argmax(reached <= share)) + 1 if (reached <= share).any() else _STEPS
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -93,73 +138,95 @@ def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarra
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
-    """Fit on docs(doc_id, text) and labels(doc_id, toxic): rows whose crc32(doc_id as text) mod 3 is 0 or 2
-    are the two halves, those of 1 are never read. None without labelled rows of both kinds in both halves.
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> ToxicityModel | None:
+    """Fit on docs(doc_id, text) and labels(doc_id, toxic): rows whose crc32(doc_id as text) mod 3 is 0 or 2 are the two halves, those of 1 are never read.
+
+    A doc_id that is labelled both ways is left out. None without labelled rows of both kinds in both halves.
     """
+    settings = settings or Settings()
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    picked = None
-    for part in (0, 2):
-        for toxic in (0, 1):
-            some = labels.where((fold == part) & (F.col("toxic") == toxic)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-            some = some.select(F.col("doc_id").alias("label_id"), F.lit(part).alias("part"), F.lit(toxic).alias("toxic"))
-            picked = some if picked is None else picked.unionByName(some)
-    # 4 x FIT_ROWS ids at most, whatever the tables' size
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("part", "toxic", "text")
-    texts: dict[tuple[int, int], list[str]] = {(p, t): [] for p in (0, 2) for t in (0, 1)}
-    for r in rows.select("part", "toxic", F.substring("text", 1, FIT_CHARS).alias("text")).collect():
-        texts[r.part, r.toxic].append(r.text or "")
+    clear = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    groups = [(part, toxic) for part in (0, 2) for toxic in (0, 1)]
+
+    def sample(df: DataFrame, part: int, toxic: int, *order: str) -> DataFrame:
+        return df.where((F.col("part") == part) & (F.col("toxic") == toxic)).orderBy(F.xxhash64(*order), *order).limit(settings.rows)
+
+    def every(df: DataFrame, *order: str) -> DataFrame:
+        parts = [sample(df, part, toxic, *order) for part, toxic in groups]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+    # Ids first, so that the texts of 4 x rows of them alone are looked up; then rows, as a doc_id may be there many times.
+    ids = every(clear.select("doc_id", fold.alias("part"), "toxic").where("part <> 1"), "doc_id").withColumnRenamed("doc_id", "label_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "part", "toxic", "text")
+    rows = materialise(every(found, "doc_id", "text").drop("doc_id"), "toxicity-sample")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([spread(windows(t, settings.words), settings.windows) for t in texts], dtype=object)
+
+    texts: dict[tuple[int, int], list[list[str]]] = {g: [] for g in groups}
+    for r in rows.select("part", "toxic", cut("text").alias("windows")).collect():
+        texts[r.part, r.toxic].append(r.windows)
     if not all(texts.values()):
         return None
-    x, y = [], []
+    gains, steps, y = [], [], []
     for own, other in ((0, 2), (2, 0)):
-        features = _features(*train(texts[other, 1], texts[other, 0]))
-        for r in rows.where(F.col("part") == own).select("toxic", features("text").alias("x")).collect():
-            x.append(r.x)
-            y.append(float(r.toxic))
-    ordinary, toxic = train(texts[0, 1] + texts[2, 1], texts[0, 0] + texts[2, 0])
-    return ToxicityModel(ordinary, toxic, tuple(fit_weights(np.array(x), np.array(y)).tolist()))
-
-
-def _features(ordinary: bytes, toxic: bytes):
+        pair = train(texts[other, 1], texts[other, 0], settings)
+        got = rows.where(F.col("part") == own).select("toxic", _gains(*pair, settings)("text").alias("g")).collect()
+        kind = np.array([r.toxic for r in got])
+        gains.append(np.array([r.g for r in got]))
+        steps.append(calibrated(gains[-1][kind == 0], settings.false_windows))
+        y.append(kind.astype(float))
+    x = np.concatenate([features(g, s) for g, s in zip(gains, steps, strict=True)])
+    ordinary, toxic = train(texts[0, 1] + texts[2, 1], texts[0, 0] + texts[2, 0], settings)
+    return ToxicityModel(ordinary, toxic, round(sum(steps) / 2), tuple(fit_weights(x, np.concatenate(y)).tolist()), settings)
+
+
+def _gains(ordinary: bytes, toxic: bytes, settings: Settings):
     @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        comparer = _comparer(ordinary, toxic)
-        return pd.Series([comparer.features(t) for t in texts], dtype=object)
+    def gains(texts: pd.Series) -> pd.Series:
+        comparer = _comparer(ordinary, toxic, settings)
+        return pd.Series([comparer.gains(t) for t in texts], dtype=object)
 
-    return features
+    return gains
 
 
-def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """docs with a column toxicity (0 to 1) from the whole text alone; without a model 0 for every row.
+def score(docs: DataFrame, model: ToxicityModel | None, column: str = "toxicity") -> DataFrame:
+    """docs with a column (0 to 1) from the whole text alone; without a model 0 for every row.
 
-    A null text counts as empty. All columns come back; toxicity must not be among them (ValueError).
+    A null text counts as empty. All other columns come back; one of the same name is replaced.
     """
-    if "toxicity" in docs.columns:
-        raise ValueError("a column toxicity is already there")
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
-    z = F.aggregate(F.zip_with("_quire_x", F.array(*[F.lit(w) for w in model.weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    return docs.withColumn("_quire_x", _features(model.ordinary, model.toxic)("text")).withColumn("toxicity", 1 / (1 + F.exp(-z))).drop("_quire_x")
+        return docs.withColumn(column, F.lit(0.0))
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        comparer = _comparer(model.ordinary, model.toxic, model.settings)
+        if not len(texts):
+            return pd.Series([], dtype=float)
+        x = features(np.array([comparer.gains(t) for t in texts]), model.step)
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))))
+
+    return docs.withColumn(column, scored("text"))
 
 
 _comparers: dict[tuple[int, int], Comparer] = {}
 
 
-def _comparer(ordinary: bytes, toxic: bytes) -> Comparer:
-    key = hash(ordinary), hash(toxic)
+def _comparer(ordinary: bytes, toxic: bytes, settings: Settings) -> Comparer:
+    key = hash(ordinary), hash((toxic, settings))
     if key not in _comparers:
         _comparers.clear()
-        _comparers[key] = Comparer(ordinary, toxic)
+        _comparers[key] = Comparer(ordinary, toxic, settings)
     return _comparers[key]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text).
 
     held_out marks rows whose crc32(doc_id as text) mod 3 is 1, which the fit never reads (null doc_id: false). Null and
     empty texts are scored as one empty window; repeated rows each come back; other columns are not read.
     """
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels, settings), "score")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,10 +1,14 @@
 """Toxicity scores: held-out accuracy, what the fit may read, and edge cases."""
 
+import math
+import random
 import zlib
 
+import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
-from quire.llm.toxicity import Comparer, fit, score_documents, train, windows
+from quire.llm.toxicity import Comparer, Settings, calibrated, fit, score, score_documents, spread, train, windows
 
 from .helpers import HARD, hard
 
@@ -32,20 +36,52 @@ def test_held_out_labels_are_never_read(spark):
 
 
 def test_windows_that_hold_toxic_words_save_bytes():
-    plain = [f"some quiet words about river number {i} and its stones" for i in range(300)]
+    rng = random.Random(3)
+    plain = [" ".join(rng.choices("some quiet words about rivers and their old stones under tall green trees".split(), k=30)) for _ in range(300)]
     toxic = [f"{t} snarkling grumbold" for t in plain]
-    compare = Comparer(*train(toxic, plain))
-    assert compare.features("such a snarkling day")[1] > 2 > compare.features("such a quiet day")[1]
-    assert windows(None) == windows("  ") == [b""]
+    cut = lambda texts: [windows(t, 8) for t in texts]
+    compare = Comparer(*train(cut(toxic), cut(plain), Settings()), Settings())
+    assert compare.gains("such a snarkling day")[0] >= 3 > compare.gains("such a quiet day")[0]
+    assert windows(None, 8) == windows("  ", 8) == [""]
+    assert spread(list(range(10)), 4) == [0, 3, 6, 9] and spread([1, 2], 4) == [1, 2]
+
+
+def test_scores_by_plain_compression(spark):
+    """Window by window with zstandard itself: lengths, the calibrated step and the regression."""
+    docs, labels = tables(spark, "sf0.01")
+    model = fit(docs, labels)
+    options = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+    pair = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (model.ordinary, model.toxic)]
+
+    def plain(text):
+        own, saved = (text or "").lower().split(), []
+        for k in range(0, max(1, len(own)), 8):
+            w = (" " + " ".join(own[k : k + 8]) + " " if own else "").encode()
+            saved.append(len(pair[0].compress(w)) - len(pair[1].compress(w)))
+        saved.sort(reverse=True)
+        n, hits = len(saved), sum(s >= model.step for s in saved)
+        top, gain = saved[:3], sum(max(s, 0) for s in saved) / n
+        x = [1, min(saved[0], 12), min(sum(top) / len(top), 12), min(gain, 4), sum(saved) / n, hits / n, math.log1p(hits), math.log1p(n)]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    rows = score(docs.unionByName(hard(spark).select("doc_id", "text"), allowMissingColumns=True), model).collect()
+    assert len(rows) == docs.count() + len(HARD) and all(abs(r.toxicity - plain(r.text)) < 1e-9 for r in rows)
+
+
+def test_calibration_and_labels_given_both_ways(spark):
+    gains = np.zeros((2, 17))
+    gains[:, 4], gains[0, 5:8] = 50, [30, 2, 1]
+    assert (calibrated(gains, 0.02), calibrated(gains, 0.01), calibrated(gains, 0.0)) == (2, 3, 4)
+    docs, labels = tables(spark, "sf0.01")
+    both = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic")))
+    assert fit(docs, both) is None
 
 
 def test_edges(spark):
     docs, labels = tables(spark, "sf0.01")
     model = fit(docs, labels)
     assert model is not None
-    from quire.llm.toxicity import score
-
-    rows = score(hard(spark), model).collect()
+    rows = score(hard(spark).withColumn("toxicity", F.lit("x")), model).collect()
     assert len(rows) == len(HARD) and all(0 <= r.toxicity <= 1 for r in rows)
     assert len({r.toxicity for r in rows if not (r.text or "").strip()}) == 1
     assert score(hard(spark, []), model).count() == 0
