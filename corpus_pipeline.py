@@ -1,12 +1,13 @@
 """A corpus pipeline: toxicity, near duplicates, benchmark decontamination, pseudonyms, packing.
 
 Each stage takes what the one before kept and returns the columns of documents, the last the packed pieces. A row's doc_id may
-be null or repeated: of rows with one doc_id one stays after the second stage; rows without one are never duplicates.
+be null or repeated: equal rows of one doc_id count once after the second stage, other texts under it are documents of their own; rows without a
+doc_id are never duplicates. Columns that operators add have names of their own, so any extra columns of documents come along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialise
@@ -14,6 +15,7 @@ from quire.llm.decontaminate import drop_contaminated
 from quire.llm.near_duplicates import near_duplicates
 from quire.llm.packing import pack, token_pieces
 from quire.llm.pseudonyms import pseudonymise_documents
+from quire.llm.queries import pseudonym_key
 from quire.llm.toxicity import fit, score
 
 TOXIC_FROM = 0.7
@@ -22,15 +24,23 @@ TOXIC_FROM = 0.7
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score is TOXIC_FROM or more."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where(F.col("toxicity") < TOXIC_FROM).drop("toxicity")
+    return score(docs, model, "_quire_toxicity").where(F.col("_quire_toxicity") < TOXIC_FROM).drop("_quire_toxicity")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """Keep one document of each group of near duplicates (five words, a similarity of 0.8): the one with the smallest doc_id, of texts that share it the one with the least hash.
+
+    Any one of rows equal in doc_id and text stays. The first text of a doc_id goes by that number, others by numbers beyond 2^62.
+    """
+    hashed = F.xxhash64("text")
+    several = docs.groupBy(F.col("doc_id").alias("_quire_id")).agg(F.min(hashed).alias("_quire_first"), F.max(hashed).alias("_quire_last"))
+    several = several.where("_quire_first <> _quire_last").drop("_quire_last")
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+    keyed = docs.join(several, F.col("doc_id") == F.col("_quire_id"), "left")
+    keyed = keyed.withColumn("_quire_key", F.when(F.col("_quire_first").isNull() | (F.col("_quire_first") == hashed), F.col("doc_id").cast("long")).when(F.col("doc_id").isNotNull(), other))
+    kept = near_duplicates(keyed.select(F.col("_quire_key").alias("doc_id"), "text")).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_quire_key")).distinct()
     kept = materialise(kept, "kept")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.join(kept, "doc_id").withColumn("_quire_nth", nth).where("_quire_nth = 1").select(*docs.columns)
+    named = keyed.join(kept, "_quire_key").dropDuplicates(["_quire_key"]).select(*docs.columns)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -41,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal values by pseudonyms of the same format."""
-    return pseudonymise_documents(docs).drop("n_values").withColumn("n_chars", F.length("text").cast("long"))
+    return pseudonymise_documents(docs, pseudonym_key(spark), count="_quire_values").drop("_quire_values").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

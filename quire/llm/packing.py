@@ -156,16 +156,14 @@ def _islands(groups: DataFrame, limit: int, islands: int, epochs: int, populatio
 def pack(pieces: DataFrame, limit: int = 4096, shard_size: int = 8192, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6, shards_per_group: int = 256) -> DataFrame:
     """Add sequence_id and offset to pieces(length, ...): sequences hold at most `limit` tokens, gapless from 0.
 
-    All columns of `pieces` come back; its own names sequence_id, offset, row, shard, place, bin, rank or last are not
-    allowed (ValueError). A piece longer than `limit` or shorter than 1 (or null) is an error. Empty input gives an empty
+    All columns of `pieces` come back; its own sequence_id and offset are replaced. A piece longer than `limit` or shorter than 1 (or null) is an error. Empty input gives an empty
     result. A shard is a bounded array of lengths, whatever the table's size.
     """
-    taken = {"sequence_id", "offset", "row", "shard", "place", "bin", "rank", "last"} & set(pieces.columns)
-    if taken:
-        raise ValueError(f"columns already there: {sorted(taken)}")
     checked = F.when(F.col("length").between(1, limit), F.col("length")).otherwise(F.raise_error(F.lit(f"a piece's length is not in 1..{limit}")).cast("long"))
-    rows = materialise(pieces.withColumn("length", checked), "pieces").withColumn("row", F.monotonically_increasing_id())
-    whole = rows.where(F.col("length") == limit).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")}).drop("row")
+    every = materialise(pieces.drop("sequence_id", "offset").withColumns({"length": checked, "_quire_row": F.monotonically_increasing_id()}), "pieces")
+    whole = every.where(F.col("length") == limit).withColumns({"sequence_id": -1 - F.col("_quire_row"), "offset": F.lit(0).cast("long")}).drop("_quire_row")
+    # What is packed is known by its number alone; the pieces' own columns are joined in the end.
+    rows = every.select(F.col("_quire_row").alias("row"), "length")
     loose = rows.where(F.col("length") < limit)
     shards = max(1, -(-loose.count() // shard_size))
     loose = materialise(loose.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))), "dealt")
@@ -189,4 +187,5 @@ def pack(pieces: DataFrame, limit: int = 4096, shard_size: int = 8192, islands:
     ends = F.expr("transform(items, (x, i) -> struct(x.row AS row, aggregate(slice(items, 1, i), 0L, (a, y) -> a + y.length) AS offset))")
     placed = placed.select((F.shiftleft("shard", 24) + F.col("bin")).alias("sequence_id"), F.explode(ends).alias("x")).select("sequence_id", F.col("x.row").alias("row"), F.col("x.offset").alias("offset"))
     placed = placed.withColumn("sequence_id", F.when(F.col("sequence_id") < 0, F.col("sequence_id") - (1 << 62)).otherwise(F.col("sequence_id")))
-    return loose.drop("shard").join(placed, "row").drop("row").unionByName(whole)
+    placed = placed.withColumnRenamed("row", "_quire_row")
+    return every.where(F.col("length") < limit).join(placed, "_quire_row").drop("_quire_row").unionByName(whole)

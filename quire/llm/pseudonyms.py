@@ -124,21 +124,19 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = "quire", back: bool = False) -> DataFrame:
-    """docs(text, ...) with text's personal values replaced and a column n_values, the number of values replaced.
+def pseudonymise_documents(docs: DataFrame, key: str, back: bool = False, count: str = "n_values") -> DataFrame:
+    """docs(text, ...) with text's personal values replaced and a column with the number of values replaced.
 
-    All other columns come back as they are; n_values must not be among them (ValueError). A null text stays null with
-    n_values 0; texts without such values stay as they are. Rows are handled one by one, so repeats and ties need no rule
+    Who knows the key can turn pseudonyms back, so there is no default. All other columns come back as they are; one named as the count is replaced. A null text stays null with
+    a count of 0; texts without such values stay as they are. Rows are handled one by one, so repeats and ties need no rule
     and an empty table gives an empty one.
     """
-    if "n_values" in docs.columns:
-        raise ValueError("a column n_values is already there")
-    names = docs.columns
+    names = [n for n in docs.columns if n != count]
     work, parts = "_quire_new", "_quire_parts"
     new, cut = pseudonymise("text", key, back)
     rows = docs.withColumn(parts, cut).withColumn(work, new)
     text = F.expr(f"concat({parts}.gaps[0], array_join(zip_with({work}, slice({parts}.gaps, 2, greatest(size({parts}.gaps) - 1, 0)), (m, g) -> concat(m, g)), ''))")
-    count = F.expr(f"size(filter(zip_with({work}, {parts}.found, (a, b) -> a <> b), x -> x))")
+    changed = F.expr(f"size(filter(zip_with({work}, {parts}.found, (a, b) -> a <> b), x -> x))")
     has = F.col(work).isNotNull()
-    rows = rows.withColumns({"n_values": F.when(has, count).otherwise(0), "text": F.when(has, text).otherwise(F.col("text"))})
-    return rows.select(*[F.col(f"`{n}`") for n in names], "n_values")
+    rows = rows.withColumns({count: F.when(has, changed).otherwise(0), "text": F.when(has, text).otherwise(F.col("text"))})
+    return rows.select(*[F.col(f"`{n}`") for n in names], count)

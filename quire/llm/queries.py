@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's spark.quire.pseudonymKey; a new one for each session without it, whose pseudonyms nobody can turn back."""
+    from secrets import token_hex
+
+    key = spark.conf.get("spark.quire.pseudonymKey", None)
+    if not key:
+        key = token_hex(32)
+        spark.conf.set("spark.quire.pseudonymKey", key)
+    return key
+
+
 def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -49,7 +60,7 @@ def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise_documents(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
+    return pseudonymise_documents(table(spark, sf_dir, "documents"), pseudonym_key(spark)).select("doc_id", "text", "n_values")
 
 
 def op8_grouping_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

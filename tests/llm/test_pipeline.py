@@ -66,3 +66,39 @@ def test_pseudonyms_and_packing(stages):
     assert ids(stages[5].where("piece = 0")) == sorted(after)
     fill = stages[5].groupBy("sequence_id").agg({"length": "sum"}).toPandas().iloc[:, 1]
     assert fill.max() <= 4096 and len(fill) <= -(-fill.sum() // 4096) + 1
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls, empty and repeated rows, other texts under one doc_id, and columns named as the operators' own."""
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [(None, "no id 4111 1111 1111 1111"), (None, None), (9, "one text of nine words that stands under this id"), (9, "one text of nine words that stands under this id"), (9, "quite another text under nine which has no copy at all"), (7, None), (6, ""), (5, " \n "), (4, "long " * 30000)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in extra], source.schema)
+    for c in ("toxicity", "n_values", "row", "bin", "hash", "offset", "sequence_id", "component_id", "kept"):
+        rows = rows.withColumn(c, corpus_pipeline.F.lit("x"))
+    for docs, empty in ((rows, False), (rows.limit(0), True)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.materialise(stage(spark, docs, SF), f"edges-{name}-{empty}")
+            if name != "packing":
+                assert out.columns == docs.columns
+            docs = out if name == "packing" else out
+            if empty:
+                assert out.count() == 0
+            elif name == "near_duplicates":
+                texts = [r.text for r in out.where("doc_id = 9").collect()]
+                assert sorted(texts) == sorted({t for i, t in extra if i == 9}) and out.where("doc_id IS NULL").count() == 2 and out.where("doc_id IN (4, 5, 6, 7)").count() == 4
+            elif name == "personal_data":
+                assert "4111" not in next(r.text for r in out.where("doc_id IS NULL AND text IS NOT NULL").collect())
+            elif name == "packing":
+                assert out.where("piece = 0").count() == 8
+
+
+def test_near_copies_that_the_stage_catches(stages):
+    """Recall of links by the exact sets for the queries with an id that 100 divides: the partner, or the query, is gone."""
+    sets = {r.doc_id: shingles(words(r.text), 5) for r in stages[1].collect()}
+    left, met = set(ids(stages[2])), []
+    for q in (i for i in sets if i % 100 == 0):
+        for d in sets:
+            n = len(sets[q] & sets[d])
+            if d != q and n and 100 * n >= 80 * (len(sets[q]) + len(sets[d]) - n):
+                met.append(not {q, d} <= left)
+    assert all(met)
