@@ -1,11 +1,12 @@
 """Main text of web pages: a suffix array of each host's token streams finds what its pages repeat.
 
-A page is read into blocks of text with the elements they stand in. Blocks inside an article (or main) element are the main text, and
-blocks inside menus, headers, footers, sidebars, forms, scripts, adverts, notices and comments are not: where the markup says so,
-it is followed. All other blocks are judged by repetition: the streams of a host's pages are put side by side, a suffix array over their tokens
-lists every run of at least `MIN_RUN` tokens (or a whole block) that distinct pages share, and a block that such runs cover is dropped.
+A page is read into blocks of text with the elements they stand in. Blocks inside an article (or main) element are the main text and stay whole,
+as whoever repeats an article repeats main text. All other blocks of every page, menus, adverts and footers among them, go into the token streams of
+their host, side by side: a suffix array over the tokens with its longest common prefixes lists every run of at least `MIN_RUN` tokens (or a whole
+block) that distinct pages share, and a block that such runs cover is dropped as boilerplate. What is not repeated goes by its markup: menus, headers,
+footers, sidebars, forms, adverts, notices and comments are left out, other unique blocks stay.
 A host's pages are dealt to shards of bounded size, so a host with very many pages is no single task. A run that stands in two shards stands on
-two pages: such runs are found by 128-bit keys of all runs and given to the shards that hold them, so sharding doesn't change the texts.
+two pages: such runs are found by keys of all runs and given to the shards that hold them, so sharding doesn't change the texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import html
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,45 +36,59 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 CHROME = frozenset("nav header footer aside form menu dialog script style noscript iframe template head title select button svg canvas object audio video textarea xmp noembed noframes".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Words of class, id and role names that mark a part which is no main text.
+#: Words of class, id and role names that mark a part which is no main text: as the last word of a name, ...
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup popup modal widget masthead pagination toolbar search complementary contentinfo".split())
-_WORD = re.compile(r"[a-z]+")
+#: ... as the first one (ad-slot, comment-list), ...
+CHROME_FIRST = frozenset("ad ads advert advertisement cookie cookies gdpr comment comments disqus nav navbar breadcrumb breadcrumbs sidebar footer newsletter social share sponsored promo".split())
+#: ... but not behind these (no-sidebar).
+NOT_MARKED = frozenset("no not non without with has hide".split())
+_NAME_WORD = re.compile(r"[a-z]+")
 
 
 def _marked(tag: str) -> bool:
+    """Whether a tag's attributes say that it is hidden or no main text. Names are judged one by one: related marks a part, related-work doesn't."""
     for name, value in _ATTRS.findall(tag):
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and "true" in value.lower()):
             return True
-        if name in ("class", "id", "role") and CHROME_WORDS & set(_WORD.findall(value.lower())):
-            return True
+        if name in ("class", "id", "role"):
+            for one in value.strip("\"'").lower().split():
+                words = _NAME_WORD.findall(one)
+                if words and words[0] not in NOT_MARKED and (words[-1] in CHROME_WORDS or words[0] in CHROME_FIRST):
+                    return True
     return False
 
 
+OUTSIDE, MAIN_TEXT, MARKED = 0, 1, 2
+
+
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of each block in order; kind 1 inside a main element, 0 elsewhere. Parts that the markup says are none are left out."""
+    """(text, kind) of each block that a reader could see, in order: MARKED where the markup says it is no main text, MAIN_TEXT inside a main element,
+    else OUTSIDE. References are decoded, white space is one blank. Scripts, styles and the head are no blocks."""
     page = page or ""
-    open_: list[tuple[str, bool, bool]] = []  # name, chrome, main
-    chrome = main = 0
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, chrome, main, unseen
+    chrome = main = unseen = 0
     held: list[str] = []
+    aside: list[str] = []  # marked text, which may stand in the middle of a block
     out: list[tuple[str, int]] = []
     raw: str | None = None
 
     def close() -> None:
-        if held:
-            text = _SPACE.sub(" ", "".join(held)).strip()
-            held.clear()
+        for parts, kind in ((held, MAIN_TEXT if main else OUTSIDE), (aside, MARKED)):
+            text = _SPACE.sub(" ", "".join(parts)).strip()
+            parts.clear()
             if text:
-                out.append((text, int(main > 0)))
+                out.append((text, kind))
 
     def pop(name: str) -> None:
-        nonlocal chrome, main
+        nonlocal chrome, main, unseen
         if not any(x[0] == name for x in open_):
             return
         while open_:
             last = open_.pop()
             chrome -= last[1]
             main -= last[2]
+            unseen -= last[3]
             if last[0] == name:
                 break
 
@@ -85,9 +99,8 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
                 pop(m[1].lower())
             continue
         if token[0] != "<" or not (m := _NAME.match(token)):
-            if token[0] != "<" or token == "<":
-                if not chrome:
-                    held.append(token)
+            if (token[0] != "<" or token == "<") and not unseen:
+                (aside if chrome else held).append(html.unescape(token))
             continue
         name = m[1].lower()
         if token[1] == "/":
@@ -95,11 +108,14 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
                 close()
             pop(name)
             continue
+        is_main = name in MAIN
+        # an article inside an article may be a comment or an advert; the outermost one is by its name alone
+        is_chrome = name in CHROME or (name not in ("html", "body") and (not is_main or main > 0) and _marked(token))
         if name in BLOCK or name in CHROME:
             close()
         if name in VOID or token.endswith("/>"):
-            if name == "br" and not chrome:
-                held.append(" ")
+            if name == "br" and not unseen:
+                (aside if chrome else held).append(" ")
             continue
         if name == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             # an open element of the same kind ends here
@@ -109,30 +125,44 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
                     break
                 if open_[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "body"):
                     break
-        is_chrome, is_main = name in CHROME or (name not in ("html", "body") and name not in MAIN and _marked(token)), name in MAIN
-        open_.append((name, is_chrome, is_main))
+        is_unseen = name in RAW or name == "head"
+        open_.append((name, is_chrome, is_main, is_unseen))
         chrome += is_chrome
         main += is_main
+        unseen += is_unseen
         if name in RAW:
             raw = name
     close()
-    return [(_SPACE.sub(" ", html.unescape(t)).strip(), k) for t, k in out]
+    return out
 
 
-def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank): suffixes sorted by their first `depth` tokens at least, by doubling; suffixes equal so far share a rank."""
-    rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
-    width, n = 1, len(stream)
-    while width < depth and n:
+def suffix_array(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of a token stream: its suffixes sorted, and how many tokens each shares with the one before it (0 for the first).
+
+    Prefix doubling; two suffixes' common prefix is read from the ranks of all widths, from the widest down. A suffix that ends is below all others.
+    """
+    n = len(stream)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ranks = [np.unique(stream, return_inverse=True)[1].astype(np.int64)]
+    while ranks[-1].max() < n - 1 and (1 << (len(ranks) - 1)) < n:
+        rank, width = ranks[-1], 1 << (len(ranks) - 1)
         after = np.full(n, -1, np.int64)
         after[: n - width] = rank[width:]
-        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    return np.argsort(rank, kind="stable"), rank
+        ranks.append(np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(n, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        padded = np.append(ranks[k], -1)
+        same = np.flatnonzero((a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)]))
+        lcp[same + 1] += 1 << k
+        a[same] += 1 << k
+        b[same] += 1 << k
+    return order, lcp
 
 
 def repeated(streams: list[np.ndarray], run: int = MIN_RUN) -> list[np.ndarray]:
-    """For each stream of token numbers, which tokens lie in a run of `run` tokens that another stream has too."""
+    """For each stream of token numbers, which tokens lie in a run of at least `run` tokens that another stream has too."""
     lengths = [len(s) for s in streams]
     if not sum(lengths):
         return [np.zeros(n, bool) for n in lengths]
@@ -140,18 +170,16 @@ def repeated(streams: list[np.ndarray], run: int = MIN_RUN) -> list[np.ndarray]:
     # an end mark of its own after each stream: no run reaches over it
     joined = np.concatenate([np.append(s, top + 1 + k) for k, s in enumerate(streams)])
     owner = np.repeat(np.arange(len(streams)), np.array(lengths) + 1)
-    power = 1 << max(0, (run - 1).bit_length())
-    order, rank = suffix_array(joined, power)
-    sorted_rank, sorted_owner = rank[order], owner[order]
-    first = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-    group = np.cumsum(first) - 1
+    order, lcp = suffix_array(joined)
+    # Suffixes side by side with a common prefix of `run` tokens at least are one repeat; it counts where its suffixes are of two streams.
+    group = np.cumsum(lcp < run) - 1
     low, high = np.full(group[-1] + 1, len(streams)), np.full(group[-1] + 1, -1)
-    np.minimum.at(low, group, sorted_owner)
-    np.maximum.at(high, group, sorted_owner)
+    np.minimum.at(low, group, owner[order])
+    np.maximum.at(high, group, owner[order])
     starts = order[(low < high)[group]]
     edge = np.zeros(len(joined) + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + power, len(joined)), -1)
+    np.add.at(edge, starts + run, -1)  # each start of a longer run is a start itself, so its whole length is covered
     covered = np.cumsum(edge[:-1]) > 0
     cuts = np.cumsum(np.array(lengths) + 1)
     return [covered[c - n - 1 : c - 1] for c, n in zip(cuts.tolist(), lengths, strict=True)]
@@ -162,7 +190,7 @@ def stream_of(blocks: list[tuple[str, int]]) -> tuple[list[str], list[tuple[int,
     tokens: list[str] = []
     own: list[tuple[int, int] | None] = []
     for text, kind in blocks:
-        if kind:
+        if kind == MAIN_TEXT:
             own.append(None)
             continue
         # a block's end is a token, so a short block that pages share whole is a run as well
@@ -173,67 +201,76 @@ def stream_of(blocks: list[tuple[str, int]]) -> tuple[list[str], list[tuple[int,
     return tokens, own
 
 
-#: Odd factors by place in a run, for each half of its key.
-_FACTORS = np.array([[int.from_bytes(hashlib.blake2b(b"%d %d" % (k, half), digest_size=8).digest()) | 1 for half in (0, 1)] for k in range(MIN_RUN)], np.uint64)
+#: Odd factors by place in a run.
+_FACTORS = np.array([int.from_bytes(hashlib.blake2b(b"%d" % k, digest_size=8).digest()) | 1 for k in range(MIN_RUN)], np.uint64)
 
 
-def run_keys(tokens: list[str]) -> np.ndarray:
-    """The key (two 64-bit numbers) of each run of MIN_RUN tokens."""
+def run_keys(tokens: list[str], host: str) -> np.ndarray:
+    """A 64-bit key of each run of MIN_RUN tokens on a host."""
     n = len(tokens) - MIN_RUN + 1
     if n <= 0:
-        return np.zeros((0, 2), np.int64)
-    known = {t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in set(tokens)}
-    each = np.frombuffer(b"".join(known[t] for t in tokens), np.uint64).reshape(-1, 2)
-    out = np.zeros((n, 2), np.uint64)
+        return np.zeros(0, np.int64)
+    salt = host.encode("utf-8", "surrogatepass")[:64]
+    known = {t: int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8, key=salt).digest()) for t in set(tokens)}
+    each = np.array([known[t] for t in tokens], np.uint64)
+    out = np.zeros(n, np.uint64)
     for k in range(MIN_RUN):
         out += each[k : k + n] * _FACTORS[k]
     return out.view(np.int64)
 
 
-def covered_by(streams: list[list[str]], shared: np.ndarray) -> list[np.ndarray]:
+def covered_by(streams: list[list[str]], host: str, shared: np.ndarray) -> list[np.ndarray]:
     """For each stream, which tokens lie in a run whose key is in shared."""
-    keys = [run_keys(s) for s in streams]
-    group = np.unique(np.concatenate([shared, *keys]), axis=0, return_inverse=True)[1].reshape(-1)
-    found = np.isin(group[len(shared) :], group[: len(shared)])
-    out, at = [], 0
-    for s, k in zip(streams, keys, strict=True):
-        edge = np.zeros(len(s) + 1, np.int64)
-        starts = np.flatnonzero(found[at : at + len(k)])
+    out = []
+    for tokens in streams:
+        edge = np.zeros(len(tokens) + 1, np.int64)
+        starts = np.flatnonzero(np.isin(run_keys(tokens, host), shared))
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + MIN_RUN, -1)
         out.append(np.cumsum(edge[:-1]) > 0)
-        at += len(k)
     return out
 
 
-def main_texts(pages: list[str | None], shared: np.ndarray | None = None) -> list[str]:
-    """The main text of each page of one shard of one host; shared are the keys of runs that other shards of the host have too."""
+def main_texts(pages: list[str | None], host: str = "", shared: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """(main text, tokens in the suffix array, tokens that lie in repeated runs) of each page of one shard of one host; shared are the keys of
+    runs that other shards of the host have too."""
     read = [blocks_of(p) for p in pages]
     cut = [stream_of(blocks) for blocks in read]
     numbers: dict[str, int] = {}
     every = repeated([np.array([numbers.setdefault(w, len(numbers)) for w in tokens], np.int64) for tokens, _ in cut])
     if shared is not None and len(shared):
-        every = [a | b for a, b in zip(every, covered_by([tokens for tokens, _ in cut], shared), strict=True)]
+        every = [a | b for a, b in zip(every, covered_by([tokens for tokens, _ in cut], host, shared), strict=True)]
     out = []
-    for blocks, (_, own), covered in zip(read, cut, every, strict=True):
-        kept = [text for (text, kind), at in zip(blocks, own, strict=True) if kind or covered[at[0] : at[0] + at[1]].mean() < COVERED]
-        out.append("\n\n".join(kept))
+    for blocks, (tokens, own), covered in zip(read, cut, every, strict=True):
+        unique = lambda at, covered=covered: covered[at[0] : at[0] + at[1]].mean() < COVERED
+        kept = [text for (text, kind), at in zip(blocks, own, strict=True) if kind == MAIN_TEXT or (kind == OUTSIDE and unique(at))]
+        out.append(("\n\n".join(kept), len(tokens), int(covered.sum())))
     return out
 
 
 def _shard_runs(batches):
-    """host, shard and key of each distinct run of each page."""
+    """part and key of each distinct run of each page."""
     for batch in batches:
         for piece in text_slices(batch, "html"):
-            keys = [np.unique(run_keys(stream_of(blocks_of(h))[0]), axis=0) for h in piece["html"].to_pylist()]
-            rows, both = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate([np.zeros((0, 2), np.int64), *keys])
+            keys = [np.unique(run_keys(stream_of(blocks_of(h))[0], host)) for h, host in zip(piece["html"].to_pylist(), piece["host"].to_pylist(), strict=True)]
+            rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             if len(rows):
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([piece["host"].take(at), piece["shard"].take(at), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["host", "shard", "a", "b"])
+                yield pa.RecordBatch.from_arrays([piece["part"].take(pa.array(rows)), pa.array(np.concatenate(keys))], names=["part", "key"])
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages(page_id, url, html).
+_OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
+
+
+def _texts(table: pa.Table, shared: pa.Table | None = None) -> pa.Table:
+    """One shard's pages with their texts; ids stay Arrow's, so that nulls beside them don't round them."""
+    host = table["host"][0].as_py() if table.num_rows else ""
+    found = main_texts(table["html"].to_pylist(), host, None if shared is None else shared["key"].to_numpy())
+    columns = [pa.array([f[0] for f in found], pa.string()), *(pa.array(x, pa.int64()) for x in ([len(f[0]) for f in found], [f[1] for f in found], [f[2] for f in found]))]
+    return pa.Table.from_arrays([table["page_id"].cast(pa.int64()).combine_chunks(), table["url"].cast(pa.string()).combine_chunks(), *columns], names=["page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"])
+
+
+def extract_main_text(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages(page_id, url, html); n_tokens of the page in the suffix array and n_repeated of them in repeated runs.
 
     Blocks are in page order with an empty line between them, references decoded, white space inside a block one space. A null or empty html
     gives an empty text. A null url, or one without a host, makes a host of its own of all such pages. Repeated rows each come back and other columns
@@ -242,24 +279,19 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0)) + 1).alias("chars"))
+    sizes = materialise(sizes.select(F.col("host").alias("h"), "chars", F.ceil(F.col("chars") / shard_chars).cast("int").alias("shards")), "hosts")
+    total = sizes.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.count(F.when(F.col("shards") > 1, 1))).first()
     # Only hosts of more than one shard are looked up, by broadcast up to BROADCAST_HOSTS of them; so pages are shuffled once, by shard.
-    sizes = sizes.select(F.col("host").alias("h"), F.ceil(F.col("chars") / SHARD_CHARS).cast("int").alias("shards")).where("shards > 1")
-    sizes = materialise(sizes, "large-hosts")
-    large = sizes.limit(BROADCAST_HOSTS + 1).count()
+    sizes, large = sizes.where("shards > 1").select("h", "shards"), total[1]
     if large <= BROADCAST_HOSTS:
         sizes = F.broadcast(sizes)
     dealt = rows.join(sizes, F.col("host") == F.col("h"), "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("shards", F.lit(1))))
-    pages_of = dealt.select("page_id", "url", "html", "host", "shard").groupBy("host", "shard")
-
-    def texts(frame: pd.DataFrame, shared: pd.DataFrame | None = None) -> pd.DataFrame:
-        keys = None if shared is None or not len(shared) else shared[["a", "b"]].to_numpy(np.int64)
-        found = main_texts([h if isinstance(h, str) else None for h in frame["html"]], keys)
-        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": found, "n_chars": [len(t) for t in found]})
-
-    out = "page_id long, url string, text string, n_chars long"
+    dealt = dealt.withColumn("part", F.xxhash64("host", "shard")).select("page_id", "url", "html", "host", "part", "shards")
+    # As many tasks as shards, however large the table.
+    spread = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total[0] // shard_chars))
+    pages_of = dealt.drop("shards").repartition(spread, "part").groupBy("part")
     if not large:
-        return pages_of.applyInPandas(lambda frame: texts(frame), out)
-    runs = dealt.where("shards IS NOT NULL").select("html", "host", "shard").mapInArrow(_shard_runs, "host string, shard long, a long, b long")
-    shared = runs.groupBy("host", "a", "b").agg(F.collect_set("shard").alias("shards")).where(F.size("shards") > 1)
-    shared = shared.select("host", F.explode("shards").alias("shard"), "a", "b")
-    return pages_of.cogroup(shared.groupBy("host", "shard")).applyInPandas(lambda frame, keys: texts(frame, keys), out)
+        return pages_of.applyInArrow(lambda table: _texts(table), _OUT)
+    runs = dealt.where("shards IS NOT NULL").select("html", "host", "part").mapInArrow(_shard_runs, "part long, key long")
+    shared = runs.groupBy("key").agg(F.collect_set("part").alias("parts")).where(F.size("parts") > 1).select(F.explode("parts").alias("part"), "key")
+    return pages_of.cogroup(shared.repartition(spread, "part").groupBy("part")).applyInArrow(_texts, _OUT)

@@ -5,7 +5,12 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.html_text import blocks_of, extract_main_text, main_texts, repeated
+from quire.llm.html_text import MAIN_TEXT, MARKED, MIN_RUN, OUTSIDE, blocks_of, extract_main_text, repeated, suffix_array
+from quire.llm.html_text import main_texts as main_texts_and_counts
+
+
+def main_texts(pages):
+    return [text for text, _, _ in main_texts_and_counts(pages)]
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><article>no";</script></head>
 <body><nav><ul><li><a href="/x">x</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div><div class="Cookie-notice"><p>We use</div>
@@ -19,6 +24,77 @@ def test_blocks_follow_the_markup():
     assert main_texts(["no markup at all", "<p>x", "a</nav>b"]) == ["no markup at all", "x", "a\n\nb"]
 
 
+def test_names_of_classes_comments_and_blanks():
+    assert main_texts(["<article><p>a</p><article class='comment'><p>me too</p></article><p>b</p></article>"]) == ["a\n\nb"]
+    assert main_texts(["<p>a</p><p>&nbsp;</p><p> &#8203;</p><p>b</p>".replace("&#8203;", "&emsp;")]) == ["a\n\nb"]
+    assert main_texts(["<div class='content no-sidebar'><p>all of it</p></div>"]) == ["all of it"]
+    assert main_texts(["<article><section class='related-work'>kept</section><div class='comment-list'>x</div><div class='site-footer'>y</div></article>"]) == ["kept"]
+    assert main_texts(["<p>one <span class=ad>buy</span>block <b><i class=promo>z</b> here</p>"]) == ["one block here"]
+    assert main_texts(["<p>AT&amp;amp;T &lt;b&gt;</p>"]) == ["AT&amp;T <b>"]
+    assert [k for _, k in blocks_of("<nav>m</nav><p>o</p><article>t</article>")] == [MARKED, OUTSIDE, MAIN_TEXT]
+
+
+def test_ids_beside_nulls_are_exact(spark):
+    rows = [(2**60 + 1, "http://h/", "<p>x"), (None, "http://h/", "<p>y")]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id for r in got.collect()} == {2**60 + 1, None}
+
+
+def test_suffix_array_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        s = [rng.randint(0, 2) for _ in range(rng.randint(0, 40))]
+        order, lcp = suffix_array(np.array(s, np.int64))
+        want = sorted(range(len(s)), key=lambda i: s[i:])
+        assert order.tolist() == want
+        for k in range(1, len(s)):
+            a, b = s[want[k - 1] :], s[want[k] :]
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert lcp[k] == n
+
+
+def test_whole_pages_equal_brute_force(spark):
+    """Every page of a host against plain sets of runs: what is dropped, and that every page's tokens are in the array."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    extra = "<p>A notice that all pages of this host repeat word by word here</p><p>Only {0} has {0} this {0}</p>"
+    pages = [(p.page_id, p.url, p.html.replace("<article>", extra.format(p.page_id) + "<article>", 1)) for p in pages]
+    got = {r.page_id: r for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), 20_000).collect()}
+    hosts = {}
+    for i, url, h in pages:
+        hosts.setdefault(url.split("/")[2], []).append((i, blocks_of(h)))
+    for held in hosts.values():
+        runs, streams = {}, {}
+        for i, blocks in held:
+            stream = []
+            for text, kind in blocks:
+                if kind != MAIN_TEXT:
+                    n = len(text.split(" "))
+                    start = stream[-1][2] + stream[-1][3] if stream else 0
+                    stream.append((text, kind, start, n + max(1, MIN_RUN - n)))
+            flat = [t for text, _, _, n in stream for t in [*text.split(" "), *["\n"] * (n - len(text.split(" ")))]]
+            streams[i] = stream, flat
+            for k in range(len(flat) - MIN_RUN + 1):
+                runs.setdefault(tuple(flat[k : k + MIN_RUN]), set()).add(i)
+        for i, blocks in held:
+            stream, flat = streams[i]
+            covered = [False] * len(flat)
+            for k in range(len(flat) - MIN_RUN + 1):
+                if len(runs[tuple(flat[k : k + MIN_RUN])]) > 1:
+                    covered[k : k + MIN_RUN] = [True] * MIN_RUN
+            at, kept = iter(stream), []
+            for text, kind in blocks:
+                if kind == MAIN_TEXT:
+                    kept.append(text)
+                else:
+                    _, _, start, _ = next(at)
+                    n = len(text.split(" "))
+                    if kind == OUTSIDE and sum(covered[start : start + n]) < 0.5 * n:
+                        kept.append(text)
+            assert got[i].text == "\n\n".join(kept)
+            assert got[i].n_tokens == len(flat) > 0 and got[i].n_repeated == sum(covered)
+    assert sum(r.n_repeated > 0 for r in got.values()) > 0.9 * len(got)
+
+
 def test_runs_equal_brute_force():
     rng = random.Random(1)
     for run in (1, 2, 4, 8):
@@ -55,9 +131,7 @@ def test_repetition_decides_outside_the_article_too():
     assert main_texts([page.format(k) for k in range(5)]) == [want.format(k) for k in range(5)]
 
 
-def test_sharding_a_host_changes_nothing(spark, monkeypatch):
-    from quire.llm import html_text
-
+def test_sharding_a_host_changes_nothing(spark):
     page = "<p>Story {0} of stone {0} alone and by itself {0}</p><div>{1}</div><div>Read on</div>"
     notice = lambda k: " ".join(f"n{k}w{j}" for j in range(12))
     rows = [(i, "http://h.example/x", page.format(i, notice(i % 20))) for i in range(40)]  # each notice on two pages
@@ -65,8 +139,8 @@ def test_sharding_a_host_changes_nothing(spark, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole = {r.page_id: r.text for r in extract_main_text(pages).collect()}
     assert all(whole[i] == f"Story {i} of stone {i} alone and by itself {i}" for i in range(40)) and "n0w1" in whole[99]
-    monkeypatch.setattr(html_text, "SHARD_CHARS", 400)
-    assert {r.page_id: r.text for r in extract_main_text(pages).collect()} == whole
+    for chars in (400, 1000):
+        assert {r.page_id: r.text for r in extract_main_text(pages, chars).collect()} == whole
 
 
 def test_table(spark):
