@@ -1,9 +1,9 @@
 """License scans: phrases stand word by word; templates are found by an exact set-similarity join.
 
-A block is a line of a text. Tokens are ordered by how many blocks hold them, rarest first. A block contains a template
+A block is a paragraph: a line, or lines that a notice is wrapped to, that is consecutive ones of 1 to `WRAPPED` characters. Tokens are ordered by how many blocks hold them, rarest first. A block contains a template
 when it holds at least ceil(threshold x the template's tokens), so it must hold one of the template's first
-tokens - required + 1 tokens (prefix filter), have enough tokens at all (length filter), and have enough left after the
-first common one (positional filter); what passes is verified on whole sets. All is done with DataFrame functions.
+tokens - required + 1 tokens (prefix filter), have enough template tokens at all (length filter), and the template enough left from the
+first common one on (positional filter); what passes is verified on whole sets. All is done with DataFrame functions; templates are a table.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ TEMPLATES = [
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
 ]
 
-#: Templates are a parameter of this length at most; their tokens become literals of the plan and a broadcast table.
-MAX_TEMPLATES = 1000
+#: A line of so many characters at most may go on in the next one.
+WRAPPED = 100
+#: Up to so many different template tokens are looked for in a block's row; more are joined. Up to so many prefix tokens are broadcast.
+MOST_LITERALS, MOST_BROADCAST = 2000, 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -54,48 +56,59 @@ def phrase_places(tokens: str, phrase: str) -> Column:
     return F.when((F.size(tokens) >= len(parts)) & F.array_contains(tokens, parts[-1]), F.expr(f"filter(sequence(0, greatest(size(`{tokens}`) - {len(parts)}, 0)), i -> {same})")).otherwise(F.array().cast("array<int>"))
 
 
+def paragraphs(text: Column) -> Column:
+    """The blocks of a text."""
+    wrap = rf"(?<=\n[^\n]{{1,{WRAPPED}}}|^[^\n]{{1,{WRAPPED}}})\n(?=[^\n]{{1,{WRAPPED}}}(?:\n|\z))"
+    return F.split(F.regexp_replace(text, wrap, " "), "\n")
+
+
 def template_matches(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, hash, block, label, containment: every line of docs(doc_id, hash, text) that contains a template.
+    """doc_id, hash, block, label, containment: every block of docs(doc_id, hash, text) that contains a template.
 
-    Containment is the share of the template's distinct words that the line holds. Rows equal in doc_id and hash are one.
+    Containment is the share of the template's distinct words that the block holds; of several templates of one label each gives a row. Rows equal in
+    doc_id and hash are one; a null text has no blocks; templates without words, an empty list of them or an empty table give no rows; of equally
+    frequent tokens the first by name counts as the rarer.
     """
+    spark = docs.sparkSession
     templates = [(template_tokens(t), label) for t, label in (TEMPLATES if templates is None else templates)]
     templates = [(tokens, label) for tokens, label in templates if tokens]
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     vocabulary = sorted({t for tokens, _ in templates for t in tokens})
-    lines = docs.select("doc_id", "hash", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    tokens = F.array_distinct(words(F.col("line")))
-    blocks = lines.select("doc_id", "hash", "block", tokens.alias("tokens"))
-    blocks = blocks.select("doc_id", "hash", "block", F.array_intersect("tokens", _literal(vocabulary).cast("array<string>")).alias("held")).where(F.size("held") > 0)
-    blocks = materialise(blocks, "blocks")
+    blocks = docs.select("doc_id", "hash", F.posexplode(paragraphs(F.col("text"))).alias("block", "line"))
+    blocks = blocks.select("doc_id", "hash", "block", F.array_distinct(words(F.col("line"))).alias("tokens"))
+    if len(vocabulary) <= MOST_LITERALS:
+        blocks = blocks.withColumn("held", F.array_intersect("tokens", _literal(vocabulary).cast("array<string>"))).where(F.size("held") > 0)
+    else:
+        listed = spark.createDataFrame([(t,) for t in vocabulary], "token string")
+        held = blocks.select("doc_id", "hash", "block", F.explode("tokens").alias("token")).join(listed, "token", "left_semi")
+        blocks = held.groupBy("doc_id", "hash", "block").agg(F.collect_set("token").alias("held"))
+    blocks = materialise(blocks.select("doc_id", "hash", "block", "held"), "blocks")
     counts = {r.token: r.n for r in blocks.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row a template token at most
     order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
-    index = []
+    sets, prefixes = [], []
     for k, (tokens, label) in enumerate(templates):
         ranked, need = sorted(tokens, key=order.get), max(1, -int(-threshold * len(tokens) // 1))
-        index += [(t, order[t], k, place, len(ranked), need, label, ranked) for place, t in enumerate(ranked[: len(ranked) - need + 1])]
-    if not index:
-        index_rows = []
-    else:
-        index_rows = [F.struct(F.lit(t).alias("token"), F.lit(r).alias("rank"), F.lit(k).alias("template"), F.lit(p).alias("place"), F.lit(n).alias("size"), F.lit(need).alias("need"), F.lit(label).alias("label"), _literal(ranked).alias("ranked")) for t, r, k, p, n, need, label, ranked in index]
-    spark = docs.sparkSession
-    empty = "array<struct<token:string,rank:int,template:int,place:int,size:int,need:int,label:string,ranked:array<string>>>"
-    prefixes = spark.range(1).select(F.explode(F.array(*index_rows) if index_rows else F.array().cast(empty)).alias("t")).select("t.*")
+        sets.append((k, label, ranked, need))
+        prefixes += [(t, k, place, order[t], need, len(ranked)) for place, t in enumerate(ranked[: len(ranked) - need + 1])]
+    sets = spark.createDataFrame(sets, "template int, label string, ranked array<string>, need int")
+    small = len(prefixes) <= MOST_BROADCAST
+    prefixes = spark.createDataFrame(prefixes, "token string, template int, place int, rank int, need int, size int")
+    # Only tokens that are some template's prefix leave the row; a block and template meet once for all of them.
     entries = blocks.select("doc_id", "hash", "block", "held", F.explode("held").alias("token"))
-    near = entries.join(F.broadcast(prefixes), "token").where(F.size("held") >= F.col("need"))
-    first = near.groupBy("doc_id", "hash", "block", "template", "label", "held", "ranked", "size", "need").agg(F.min(F.struct("place", "rank")).alias("first"))
-    ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair]) if order else F.create_map().cast("map<string,int>")
-    left = F.size(F.filter("held", lambda t: ranks[t] >= F.col("first.rank")))
-    first = first.where((F.col("size") - F.col("first.place") >= F.col("need")) & (left >= F.col("need")))
-    common = F.size(F.array_intersect("held", "ranked"))
-    return first.select("doc_id", "hash", "block", "label", common.alias("common"), "size", "need").where("common >= need").select("doc_id", "hash", "block", "label", (F.col("common") / F.col("size")).alias("containment"))
+    near = entries.join(F.broadcast(prefixes) if small else prefixes, "token").where(F.size("held") >= F.col("need"))
+    near = near.groupBy("doc_id", "hash", "block", "template", "need", "size").agg(F.first("held").alias("held"), F.min(F.struct("place", "rank")).alias("first"))
+    near = near.where(F.col("size") - F.col("first.place") >= F.col("need"))
+    if len(vocabulary) <= MOST_LITERALS and order:
+        ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+        near = near.where(F.size(F.filter("held", lambda t: ranks[t] >= F.col("first.rank"))) >= F.col("need"))
+    near = near.drop("need", "size", "first")
+    both = near.join(F.broadcast(sets) if small else sets, "template").withColumn("common", F.size(F.array_intersect("held", "ranked")))
+    return both.where("common >= need").select("doc_id", "hash", "block", "label", (F.col("common") / F.size("ranked")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs(doc_id, text).
 
-    Base labels are those of the phrases; labels add those of the templates that a line contains. Score is 1 where a phrase stands,
+    Base labels are those of the phrases; labels add those of the templates that a block contains. Score is 1 where a phrase stands,
     else the best template's containment, else 0. Null text counts as empty: no words, no labels, score 0. Repeated rows
     and null doc_ids give a row each; columns other than doc_id and text are not read.
     """

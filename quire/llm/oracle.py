@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from .common import LOWER, UPPER
-from .licenses import PHRASES, TEMPLATES, WORD, template_tokens
+from .licenses import PHRASES, TEMPLATES, WORD, WRAPPED, template_tokens
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -41,7 +41,10 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM docum
 b AS (SELECT doc_id, len(w) AS n_words, {phrases} FROM d),
 f AS (SELECT doc_id, n_words, {every} AS a, {base} AS base FROM b),
 t(label, tokens, n, need) AS (VALUES {", ".join(rows)}),
-x AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS held FROM (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line FROM documents)),
+x AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS held FROM (SELECT doc_id, block, string_agg(line, ' ' ORDER BY k) AS line FROM (
+    SELECT *, sum(CASE WHEN n BETWEEN 1 AND {WRAPPED} AND before BETWEEN 1 AND {WRAPPED} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM (
+    SELECT *, length(line) AS n, lag(length(line)) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM (
+    SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, unnest(range(len(string_split({_LOWER}, chr(10))))) AS k FROM documents))) GROUP BY doc_id, block)),
 m AS (SELECT doc_id, label, max(len(list_intersect(held, tokens)) / n) AS share FROM x JOIN t ON len(list_intersect(held, tokens)) >= need GROUP BY doc_id, label),
 g AS (SELECT doc_id, list(label) AS extra, max(share) AS best FROM m GROUP BY doc_id)
 SELECT f.doc_id, n_words, len(a) AS n_base, list_min(a) - 1 AS first_word, list_max(a) - 1 AS last_word, array_to_string(list_sort(base), ',') AS base_labels,

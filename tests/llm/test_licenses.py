@@ -3,7 +3,7 @@
 import math
 import re
 
-import pytest
+from pyspark.sql import functions as F
 
 from quire.llm.licenses import PHRASES, TEMPLATES, WORD, scan_licenses, template_matches, template_tokens
 
@@ -28,7 +28,14 @@ def brute(doc_id, text, threshold=0.8):
         starts += at
         base |= {label} if at else set()
     labels, best = set(base), 0.0
+    blocks, before = [], 0
     for line in text.split("\n"):
+        if blocks and 1 <= len(line) <= 100 and 1 <= before <= 100:
+            blocks[-1] += " " + line
+        else:
+            blocks.append(line)
+        before = len(line)
+    for line in blocks:
         held = set(re.findall(WORD, line))
         for template, label in TEMPLATES:
             t = set(template_tokens(template))
@@ -49,5 +56,23 @@ def test_equals_brute_force(spark):
 def test_edges(spark):
     assert scan_licenses(hard(spark, [])).count() == 0
     assert scan_licenses(hard(spark), templates=[]).count() == len(HARD)
-    with pytest.raises(ValueError):
-        template_matches(hard(spark), templates=[(f"t{i}", "x") for i in range(1001)])
+
+
+def test_many_templates_give_what_few_give(spark, monkeypatch):
+    from quire.llm import licenses
+
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(LINES)], "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    more = TEMPLATES + [(f"word{i} other{i} third{i}", "x") for i in range(1500)]
+    rows = lambda templates: sorted(tuple(r) for r in template_matches(docs, templates=templates).collect())
+    few = rows(TEMPLATES)
+    assert few == rows(more) and len(few) >= len(TEMPLATES)
+    monkeypatch.setattr(licenses, "MOST_LITERALS", 0)
+    monkeypatch.setattr(licenses, "MOST_BROADCAST", 0)
+    assert few == rows(TEMPLATES)
+
+
+def test_notices_wrapped_over_lines(spark):
+    text = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files"
+    rows = [(0, text), (1, text.replace("\n", "\n\n")), (2, text.replace("person", "person " + "x" * 100))]
+    got = {r.doc_id: r.labels for r in scan_licenses(hard(spark, rows)).collect()}
+    assert got == {0: "mit-terms", 1: "", 2: ""}
