@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialise, text_slices
 
 MIN_RUN, COVERED = 8, 0.5
-SHARD_CHARS, BROADCAST_HOSTS = 8 << 20, 1 << 19
+#: Characters of a shard and of a task; the texts depend on neither.
+SHARD_CHARS, TASK_CHARS, BROADCAST_HOSTS = 1 << 20, 64 << 20, 1 << 19
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<|[^<]+", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -287,8 +288,8 @@ def extract_main_text(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataF
         sizes = F.broadcast(sizes)
     dealt = rows.join(sizes, F.col("host") == F.col("h"), "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("shards", F.lit(1))))
     dealt = dealt.withColumn("part", F.xxhash64("host", "shard")).select("page_id", "url", "html", "host", "part", "shards")
-    # As many tasks as shards, however large the table.
-    spread = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total[0] // shard_chars))
+    # Tasks of bounded size, however large the table; a hot host's shards are spread over them.
+    spread = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total[0] // TASK_CHARS))
     pages_of = dealt.drop("shards").repartition(spread, "part").groupBy("part")
     if not large:
         return pages_of.applyInArrow(lambda table: _texts(table), _OUT)
