@@ -32,7 +32,7 @@ class Settings:
     """The fit sees at most `rows` labelled rows of each label and half, of each at most `windows` windows, evenly from the whole text."""
 
     rows: int = 3000
-    windows: int = 96
+    windows: int = 64
     words: int = 8  # of a window
     common_bytes: int = 32 << 10
     own_bytes: int = 1 << 10
@@ -79,17 +79,19 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def train(toxic: list[list[str]], ordinary: list[list[str]], settings: Settings) -> tuple[bytes, bytes]:
-    """The dictionaries (ordinary, toxic) from the windows of texts of both kinds. Equal texts count once."""
-    toxic, ordinary = ([list(t) for t in dict.fromkeys(map(tuple, texts))] for texts in (toxic, ordinary))
-    common = _trained([_bytes(w) for t in ordinary for w in t], settings.common_bytes, 32)
-    held = [[sorted({w for part in t for w in _LETTERS.findall(part)}) for t in texts] for texts in (ordinary, toxic)]
-    counts = [Counter(w for t in texts for w in t) for texts in held]
+def train(toxic: list[str], ordinary: list[str], settings: Settings) -> tuple[bytes, bytes]:
+    """The dictionaries (ordinary, toxic) from texts of both kinds, each its windows, a line a window. Equal texts count once."""
+    kinds = [list(dict.fromkeys(texts)) for texts in (ordinary, toxic)]
+    common = _trained([_bytes(w) for t in kinds[0] for w in t.split("\n")], settings.common_bytes, 32)
     made = []
     for own, other in ((0, 1), (1, 0)):
-        n, m = max(1, len(held[own])), max(1, len(held[other]))
-        out = {w for w, k in counts[own].items() if k >= settings.least_texts and k / n >= settings.least_ratio * (counts[other][w] + 0.5) / m}
-        samples = [_bytes(f" {' '.join(w for w in t if w in out)} ") for t in held[own]]
+        n, m = max(1, len(kinds[own])), max(1, len(kinds[other]))
+        # One kind's words are counted at a time, of the other kind only those that may stand out.
+        counts = Counter(w for t in kinds[own] for w in set(_LETTERS.findall(t)))
+        counts = {w: k for w, k in counts.items() if k >= settings.least_texts}
+        there = Counter(w for t in kinds[other] for w in set(_LETTERS.findall(t)) if w in counts)
+        out = {w for w, k in counts.items() if k / n >= settings.least_ratio * (there[w] + 0.5) / m}
+        samples = [_bytes(f" {' '.join(sorted(w for w in set(_LETTERS.findall(t)) if w in out))} ") for t in kinds[own]]
         made.append(common + b"\n" + _trained(samples, settings.own_bytes, settings.segment))
     return made[0], made[1]
 
@@ -160,11 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "part", "toxic", "text")
     rows = materialise(every(found, "doc_id", "text").drop("doc_id"), "toxicity-sample")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([spread(windows(t, settings.words), settings.windows) for t in texts], dtype=object)
+        return pd.Series(["\n".join(spread(windows(t, settings.words), settings.windows)) for t in texts], dtype=object)
 
-    texts: dict[tuple[int, int], list[list[str]]] = {g: [] for g in groups}
+    texts: dict[tuple[int, int], list[str]] = {g: [] for g in groups}
     for r in rows.select("part", "toxic", cut("text").alias("windows")).collect():
         texts[r.part, r.toxic].append(r.windows)
     if not all(texts.values()):

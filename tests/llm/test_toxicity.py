@@ -39,7 +39,7 @@ def test_windows_that_hold_toxic_words_save_bytes():
     rng = random.Random(3)
     plain = [" ".join(rng.choices("some quiet words about rivers and their old stones under tall green trees".split(), k=30)) for _ in range(300)]
     toxic = [f"{t} snarkling grumbold" for t in plain]
-    cut = lambda texts: [windows(t, 8) for t in texts]
+    cut = lambda texts: ["\n".join(windows(t, 8)) for t in texts]
     compare = Comparer(*train(cut(toxic), cut(plain), Settings()), Settings())
     assert compare.gains("such a snarkling day")[0] >= 3 > compare.gains("such a quiet day")[0]
     assert windows(None, 8) == windows("  ", 8) == [""]
