@@ -24,7 +24,7 @@ from .common import materialise, text_slices
 
 MIN_RUN, COVERED = 8, 0.5
 #: Characters of a shard and of a task; the texts depend on neither.
-SHARD_CHARS, TASK_CHARS, BROADCAST_HOSTS = 1 << 20, 64 << 20, 1 << 19
+SHARD_CHARS, TASK_CHARS, BROADCAST_HOSTS = 4 << 20, 64 << 20, 1 << 19
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<|[^<]+", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
