@@ -38,6 +38,7 @@ class Settings:
     own_bytes: int = 1 << 10
     segment: int = 12  # bytes of a piece that the trainer of the own dictionaries picks
     least_texts: int = 3  # a word stands out that so many texts of its kind hold,
+    least_share: float = 0.013  # and this share of them, so that one family of copies doesn't make its words stand out,
     least_ratio: float = 30.0  # and so many times as large a share of them as of the other kind's
     false_windows: float = 0.01  # the share of ordinary windows that the calibrated difference lets through
 
@@ -51,13 +52,14 @@ class ToxicityModel:
     settings: Settings = field(default_factory=Settings)
 
 
-def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
-    """The content of a trained dictionary; the distinct samples themselves where they are too few to train on."""
+def _trained(samples: list[bytes], size: int, segment: int | None = None) -> bytes:
+    """The content of a trained dictionary, by the trainer's own choice of segments or of `segment` bytes (which takes some twelve times the samples'
+    memory, so it is for small ones); the distinct samples themselves where they are too few to train on."""
     import zstandard
 
     samples = [s for s in samples if len(s) >= 8]
     try:
-        raw = zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        raw = (zstandard.train_dictionary(size, samples, k=segment, d=6) if segment else zstandard.train_dictionary(size, samples)).as_bytes()
         at = raw.find(_ENTROPY_END)
         return raw[at + len(_ENTROPY_END) :] if at >= 0 else raw
     except zstandard.ZstdError:
@@ -82,13 +84,13 @@ def _bytes(text: str) -> bytes:
 def train(toxic: list[str], ordinary: list[str], settings: Settings) -> tuple[bytes, bytes]:
     """The dictionaries (ordinary, toxic) from texts of both kinds, each its windows, a line a window. Equal texts count once."""
     kinds = [list(dict.fromkeys(texts)) for texts in (ordinary, toxic)]
-    common = _trained([_bytes(w) for t in kinds[0] for w in t.split("\n")], settings.common_bytes, 32)
+    common = _trained([_bytes(w) for t in kinds[0] for w in t.split("\n")], settings.common_bytes)
     made = []
     for own, other in ((0, 1), (1, 0)):
         n, m = max(1, len(kinds[own])), max(1, len(kinds[other]))
         # One kind's words are counted at a time, of the other kind only those that may stand out.
         counts = Counter(w for t in kinds[own] for w in set(_LETTERS.findall(t)))
-        counts = {w: k for w, k in counts.items() if k >= settings.least_texts}
+        counts = {w: k for w, k in counts.items() if k >= max(settings.least_texts, settings.least_share * n)}
         there = Counter(w for t in kinds[other] for w in set(_LETTERS.findall(t)) if w in counts)
         out = {w for w, k in counts.items() if k / n >= settings.least_ratio * (there[w] + 0.5) / m}
         samples = [_bytes(f" {' '.join(sorted(w for w in set(_LETTERS.findall(t)) if w in out))} ") for t in kinds[own]]
@@ -127,13 +129,14 @@ def calibrated(gains: np.ndarray, share: float) -> int:
     return int(np.argmax(reached <= share)) + 1 if (reached <= share).any() else _STEPS
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton steps."""
+def fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0) -> np.ndarray:
+    """Ridge-penalised logistic regression by Newton steps; weight is what each row counts for."""
+    weight = np.ones(len(y)) if weight is None else weight
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (y - p) - penalty * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -181,7 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         y.append(kind.astype(float))
     x = np.concatenate([features(g, s) for g, s in zip(gains, steps, strict=True)])
     ordinary, toxic = train(texts[0, 1] + texts[2, 1], texts[0, 0] + texts[2, 0], settings)
-    return ToxicityModel(ordinary, toxic, round(sum(steps) / 2), tuple(fit_weights(x, np.concatenate(y)).tolist()), settings)
+    # The sample holds as many rows of either kind as it may; each kind counts for its share of all labels, so that a score means the same at every size.
+    kinds, of = np.concatenate(y), {r.toxic: r["count"] for r in clear.where(fold != 1).groupBy("toxic").count().collect()}
+    weight = np.where(kinds == 1, of[1] / (kinds == 1).sum(), of[0] / (kinds == 0).sum())
+    weights = fit_weights(x, kinds, weight * len(kinds) / weight.sum())
+    return ToxicityModel(ordinary, toxic, round(sum(steps) / 2), tuple(weights.tolist()), settings)
 
 
 def _gains(ordinary: bytes, toxic: bytes, settings: Settings):
