@@ -53,4 +53,44 @@ FROM f LEFT JOIN g ON g.doc_id = f.doc_id
 """
 
 
-ORACLE_SQL = {"op2_setsketch_near_duplicates": NEAR_DUPLICATES, "op4_license_set_join": licenses()}
+def _crc32(value: str) -> str:
+    """SQL for the unsigned crc32 (polynomial 0xEDB88320) of a value's ASCII text; null for null."""
+    step = "list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(a, b))"
+    return f"xor(list_reduce(list_transform(string_split({value}::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: {step}, 4294967295), 4294967295)"
+
+
+def _levels(name: str, depth: int) -> str:
+    """SQL for the levels above {name}0(k, p, h, n) and for each node's siblings, {name}s0 and so on, in runs of 16; a k with one node stays as it is."""
+    out = []
+    for j in range(depth):
+        out.append(f"""{name}{j + 1} AS (SELECT k, p // 16 AS p, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h, (n + 15) // 16 AS n FROM {name}{j} GROUP BY k, p // 16, n)""")
+        frame = "string_agg(h, '') OVER (PARTITION BY k, p // 16 ORDER BY p ROWS BETWEEN {})"
+        out.append(f"""{name}s{j} AS (SELECT k, p, coalesce({frame.format("UNBOUNDED PRECEDING AND 1 PRECEDING")}, '') AS l, coalesce({frame.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")}, '') AS r FROM {name}{j} WHERE n > 1)""")
+    return ", ".join(out)
+
+
+def merkle(depth: int = 6) -> str:
+    """Trees of up to 16^depth leaves a source and as many sources."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(part, ("doc_id", "source", "lang", "n_chars")), text]) + ")"
+    low = f"translate(text, '{UPPER}', '{LOWER}')"
+    steps = [("a", "f0", j) for j in range(depth)] + [("b", "q0", j) for j in range(depth)]
+    joins = " ".join(f"LEFT JOIN {t}s{j} AS {t}{j} ON {t}{j}.k = {'o.k' if t == 'a' else '0'} AND {t}{j}.p = o.{'p' if t == 'a' else 'q'} // {16**j}" for t, _, j in steps)
+    proof = " || ".join(f"coalesce({t}{j}.l || {t}{j}.r, '')" for t, _, j in steps)
+    folds, last = [], "o.start"
+    for i, (t, _, j) in enumerate(steps):
+        folds.append(f"CASE WHEN {t}{j}.l IS NULL THEN {last} ELSE sha256({t}{j}.l || {last} || {t}{j}.r) END AS f{i}")
+        last = f"f{i}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('1' || source, '0') AS k, {leaf(part("text"))} AS leaf, CASE WHEN {_crc32("doc_id")} % 5 = 0 THEN {leaf(part(low))} END AS changed FROM documents),
+o0 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY k) AS n FROM d),
+a0 AS (SELECT k, p, leaf AS h, n FROM o0), {_levels("a", depth)},
+u AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS q FROM a{depth}),
+b0 AS (SELECT 0 AS k, q AS p, subroot AS h, count(*) OVER () AS n FROM u), {_levels("b", depth)},
+o AS (SELECT o0.*, u.q, u.subroot, coalesce(changed, leaf) AS start FROM o0 JOIN u ON u.k = o0.k)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded = root AS verified FROM (
+    SELECT o.doc_id, o.leaf, o.subroot, (SELECT h FROM b{depth}) AS root, sha256({proof}) AS proof_sha256, {", ".join(folds)}, {last} AS folded FROM o {joins})
+"""
+
+
+ORACLE_SQL = {"op11_bitmap_rank_merkle": merkle(), "op2_setsketch_near_duplicates": NEAR_DUPLICATES, "op4_license_set_join": licenses()}

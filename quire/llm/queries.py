@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .fingerprints import compare_with_edits
 from .html_text import extract_main_text
 from .licenses import scan_licenses
+from .merkle import manifest
 from .near_duplicates import near_duplicates
 from .oracle import ORACLE_SQL  # noqa: F401  the entry point reads it here
 from .packing import pack, token_pieces
@@ -78,6 +79,10 @@ def op10_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs)
 
 
+def op11_bitmap_rank_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_setsketch_near_duplicates": op2_setsketch_near_duplicates,
@@ -89,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grouping_ga_packing": op8_grouping_ga_packing,
     "op9_elias_fano_token_files": op9_elias_fano_token_files,
     "op10_viterbi_token_counts": op10_viterbi_token_counts,
+    "op11_bitmap_rank_merkle": op11_bitmap_rank_merkle,
 }
