@@ -19,6 +19,7 @@ from .pseudonyms import pseudonymise_documents
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 from .toxicity import score_documents
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,10 @@ def op11_bitmap_rank_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_setsketch_near_duplicates": op2_setsketch_near_duplicates,
@@ -95,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_elias_fano_token_files": op9_elias_fano_token_files,
     "op10_viterbi_token_counts": op10_viterbi_token_counts,
     "op11_bitmap_rank_merkle": op11_bitmap_rank_merkle,
+    "op13_multiplicity_whitening": op13_multiplicity_whitening,
 }
