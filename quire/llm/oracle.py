@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from .common import LOWER, UPPER
+from . import url_filters as U
 from .licenses import PHRASES, TEMPLATES, WORD, WRAPPED, template_tokens
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -93,4 +94,43 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded
 """
 
 
-ORACLE_SQL = {"op11_bitmap_rank_merkle": merkle(), "op2_setsketch_near_duplicates": NEAR_DUPLICATES, "op4_license_set_join": licenses()}
+def url_filters() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in U.RULES)
+    depths = f"range({U.DEPTH + 1})"
+    return rf"""
+WITH r(h, p, v) AS (VALUES {rules}),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM a),
+c AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+u0 AS (SELECT *, row_number() OVER () AS id, CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS parts FROM c),
+u AS (SELECT *, list_concat(list_transform(parts[1:{U.DEPTH}], lambda s: regexp_replace(s, '[0-9]+', '#', 'g')), CASE WHEN len(parts) > {U.DEPTH} THEN ['**'] ELSE [] END) AS segs FROM u0),
+f AS (SELECT id, max((length(h || p), h || p, v)) AS best FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY id),
+seen AS (SELECT host, i, segs[i + 1] AS s, count(*) AS n FROM u, (SELECT unnest({depths}) AS i) WHERE i < len(segs) GROUP BY ALL),
+tot AS (SELECT host, i, count(*) AS t FROM u, (SELECT unnest({depths}) AS i) WHERE i < len(segs) GROUP BY ALL),
+lits AS (SELECT host, list((i, s)) AS lits FROM seen JOIN tot USING (host, i) WHERE n >= {U.LEAST} AND n >= {U.SHARE}::DOUBLE * t GROUP BY host),
+pl AS (SELECT page_id, u.host, path, best[2] AS rule, best[3] AS label, list_transform(segs, lambda s, i: CASE WHEN s = '**' OR list_contains(coalesce(lits, []), (i - 1, s)) THEN s ELSE '*' END) AS tpl FROM u LEFT JOIN f USING (id) LEFT JOIN lits USING (host)),
+lv AS (SELECT host, tpl, count(*) AS n, count(*) FILTER (label = 'block') AS bl, count(label) AS lb FROM pl GROUP BY host, tpl),
+rw AS (SELECT host, tpl, n, bl, lb, i, tpl[1:i] AS parent, tpl[i + 1] AS child, tpl[i + 2:] AS below FROM lv, (SELECT unnest({depths}) AS i) WHERE i < len(tpl) AND tpl[i + 1] NOT IN ('*', '**')),
+c0 AS (SELECT host, parent, child, below, sum(n)::DOUBLE AS o, sum(bl)::DOUBLE AS bl, sum(lb)::DOUBLE AS lb FROM rw GROUP BY ALL),
+cl AS (SELECT * FROM c0 JOIN (SELECT host, parent, child, max((o, below))[2] AS lead_to FROM c0 GROUP BY ALL) USING (host, parent, child)),
+po AS (SELECT host, parent, lead_to, below, sum(o) AS pool FROM cl GROUP BY ALL),
+ft AS (SELECT host, parent, lead_to, child, sum(o) AS n, sum(bl) AS bl, sum(lb) AS lb, sum(o * o / pool) AS sq FROM cl JOIN po USING (host, parent, lead_to, below) GROUP BY ALL),
+pa AS (SELECT host, parent, lead_to, count(*) - 1 AS free, sum(pool) AS all_n FROM po GROUP BY ALL),
+la AS (SELECT host, parent, lead_to, sum(bl) AS ab, sum(lb) AS al FROM ft GROUP BY ALL),
+si AS (SELECT host, parent, lead_to, child FROM ft JOIN pa USING (host, parent, lead_to) JOIN la USING (host, parent, lead_to) WHERE round(all_n / n * sq - n, 6) <= round(free + {U.SPREAD}::DOUBLE * sqrt(2 * free) + {U.EFFECT}::DOUBLE * n, 6)
+    AND (bl * al - ab * lb) * (bl * al - ab * lb) <= {U.SPREAD * U.SPREAD}::DOUBLE * ab * (al - ab) * lb),
+me AS (SELECT host, tpl, list(i) AS spots FROM rw JOIN si USING (host, parent, child) WHERE (host, parent, lead_to) IN (SELECT (host, parent, lead_to) FROM si GROUP BY host, parent, lead_to HAVING count(*) > 1) GROUP BY host, tpl),
+nm AS (SELECT lv.*, list_transform(tpl, lambda s, i: CASE WHEN list_contains(coalesce(spots, []), i - 1) THEN '*' ELSE s END) AS node FROM lv LEFT JOIN me USING (host, tpl)),
+no AS (SELECT host, node, regexp_extract(host, '([^.]*[.])?[^.]*$') AS site, sum(bl)::DOUBLE AS bl, sum(lb)::DOUBLE AS lb FROM nm GROUP BY ALL),
+ev AS (SELECT (sum(bl) + 1) / (sum(lb) + 2) AS p FROM no),
+st AS (SELECT site, (sum(bl) + {U.WEIGHT}::DOUBLE * (SELECT p FROM ev)) / (sum(lb) + {U.WEIGHT}::DOUBLE) AS p FROM no GROUP BY site),
+px AS (SELECT host, node, site, bl, lb, i, node[1:i] AS branch FROM no, (SELECT unnest(range({U.DEPTH + 2})) AS i) WHERE i <= len(node)),
+br AS (SELECT host, branch, sum(bl) AS bl, sum(lb) AS lb FROM px GROUP BY ALL),
+ch AS (SELECT host, node, site, list([br.bl, br.lb] ORDER BY i) AS chain FROM px JOIN br USING (host, branch) GROUP BY ALL),
+sh AS (SELECT host, node, list_reduce(list_concat([[p, 0.0::DOUBLE]], chain), lambda a, x: [(x[1] + {U.WEIGHT}::DOUBLE * a[1]) / (x[2] + {U.WEIGHT}::DOUBLE), 0.0::DOUBLE])[1] AS share, chain[len(chain)][2]::BIGINT AS labelled FROM ch JOIN st USING (site))
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN share > {U.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(node, '/') AS template, round(share, 6) AS share, labelled
+FROM pl JOIN nm USING (host, tpl) JOIN sh USING (host, node)
+"""
+
+
+ORACLE_SQL = {"op12_path_template_tree": url_filters(), "op11_bitmap_rank_merkle": merkle(), "op2_setsketch_near_duplicates": NEAR_DUPLICATES, "op4_license_set_join": licenses()}

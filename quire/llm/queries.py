@@ -19,6 +19,7 @@ from .pseudonyms import pseudonymise_documents
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 from .toxicity import score_documents
+from .url_filters import judge_urls
 from .whitening import whiten
 
 
@@ -84,6 +85,10 @@ def op11_bitmap_rank_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op13_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -100,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_elias_fano_token_files": op9_elias_fano_token_files,
     "op10_viterbi_token_counts": op10_viterbi_token_counts,
     "op11_bitmap_rank_merkle": op11_bitmap_rank_merkle,
+    "op12_path_template_tree": op12_path_template_tree,
     "op13_multiplicity_whitening": op13_multiplicity_whitening,
 }
