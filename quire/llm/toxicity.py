@@ -1,46 +1,43 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared over windows of a text.
 
-zstandard trains a dictionary on toxic and another one, as large, on ordinary texts; both compressors hold it beside a common
-dictionary of ordinary windows, so that what both kinds share weighs the same. Trained on plain windows the two hold the frequent
-syllables of the language and tell little (see README); so each is trained on its texts' words that stand out, those that
-several of its texts hold and hardly any of the other kind's. The trainer then picks the pieces that such words share, which also meets
-forms that the sample has not seen. A window that the toxic dictionary shortens more than the ordinary one speaks for toxicity: by how many bytes
-it must to count is calibrated on the ordinary windows of the fit, and a logistic regression turns a text's windows into a score. Both are
-fitted crosswise: each half of the labelled texts by dictionaries trained on the other half; the dictionaries that score are trained on both.
+zstandard trains a dictionary on toxic and another one, as large, on ordinary texts. Both kinds share their language, so of every labelled text the
+trainer gets the runs that tell its kind: bytes in pieces of 7 that several of its kind's texts hold and hardly any of the other kind's. The pieces of
+whole texts are counted on the executors; the trainer then picks what such runs share. A text is cut into windows of three words, all of them; a window that the toxic
+dictionary shortens more than the ordinary one speaks for toxicity. From how many bytes on that counts as a hit is calibrated on ordinary windows, and a logistic regression turns a text's
+windows into a score. Both are fitted crosswise: each half of the labelled texts by dictionaries trained on the other half; the dictionaries that score are trained on both.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _ENTROPY_END = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"  # the repeat offsets that end a dictionary's header
 _STEPS = 12  # a window's difference counts up to so many bytes
+_UNDER = (2, 4, 6)
+_PIECE = 7  # bytes: eight with a zero before them are a long, and zstandard's longest least match
+_FITS = {"0": ("0",), "2": ("2",), "all": ("0", "2")}  # dictionaries by the halves they are trained on
 
 
 @dataclass(frozen=True)
 class Settings:
-    """The fit sees at most `rows` labelled rows of each label and half, of each at most `windows` windows, evenly from the whole text."""
+    """The fit sees at most `rows` labelled rows of each label and half, of these all of their texts."""
 
     rows: int = 3000
-    windows: int = 64
-    words: int = 8  # of a window
-    common_bytes: int = 32 << 10
-    own_bytes: int = 1 << 10
-    segment: int = 12  # bytes of a piece that the trainer of the own dictionaries picks
-    least_texts: int = 3  # a word stands out that so many texts of its kind hold,
-    least_share: float = 0.013  # and this share of them, so that one family of copies doesn't make its words stand out,
-    least_ratio: float = 30.0  # and so many times as large a share of them as of the other kind's
-    false_windows: float = 0.01  # the share of ordinary windows that the calibrated difference lets through
+    words: int = 3  # of a window
+    own_bytes: int = 4 << 10
+    segment: int = 16  # bytes of a run that the trainer picks
+    least_texts: int = 3  # a piece tells its kind that so many texts of it hold,
+    least_ratio: float = 20.0  # and so many times as large a share of them as of the other kind's
+    false_windows: float = 0.002  # the share of ordinary windows that are hits
 
 
 @dataclass(frozen=True)
@@ -52,50 +49,81 @@ class ToxicityModel:
     settings: Settings = field(default_factory=Settings)
 
 
-def _trained(samples: list[bytes], size: int, segment: int | None = None) -> bytes:
-    """The content of a trained dictionary, by the trainer's own choice of segments or of `segment` bytes (which takes some twelve times the samples'
-    memory, so it is for small ones); the distinct samples themselves where they are too few to train on."""
-    import zstandard
-
-    samples = [s for s in samples if len(s) >= 8]
-    try:
-        raw = (zstandard.train_dictionary(size, samples, k=segment, d=6) if segment else zstandard.train_dictionary(size, samples)).as_bytes()
-        at = raw.find(_ENTROPY_END)
-        return raw[at + len(_ENTROPY_END) :] if at >= 0 else raw
-    except zstandard.ZstdError:
-        return b"\n".join(dict.fromkeys(samples))[-size:]
+def plain(text: str | None) -> str:
+    """A text's words, lower-cased, between single blanks."""
+    return f" {' '.join((text or '').lower().split())} "
 
 
 def windows(text: str | None, words: int) -> list[str]:
-    """A text's words, lower-cased, so many at a time; one empty window for a text without words."""
-    own = (text or "").lower().split()
-    return [" ".join(["", *own[i : i + words], ""]) for i in range(0, len(own), words)] or [""]
-
-
-def spread(items: list, most: int) -> list:
-    """`most` of the items at even distances, or all."""
-    return items if len(items) <= most else [items[k] for k in np.linspace(0, len(items) - 1, most).astype(int).tolist()]
+    """A text's words, so many at a time, between blanks; one empty window for a text without words."""
+    own = plain(text).split(" ")[1:-1]
+    return [" ".join(["", *own[i : i + words], ""]) for i in range(0, len(own), words)]
 
 
 def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def train(toxic: list[str], ordinary: list[str], settings: Settings) -> tuple[bytes, bytes]:
-    """The dictionaries (ordinary, toxic) from texts of both kinds, each its windows, a line a window. Equal texts count once."""
-    kinds = [list(dict.fromkeys(texts)) for texts in (ordinary, toxic)]
-    common = _trained([_bytes(w) for t in kinds[0] for w in t.split("\n")], settings.common_bytes)
-    made = []
-    for own, other in ((0, 1), (1, 0)):
-        n, m = max(1, len(kinds[own])), max(1, len(kinds[other]))
-        # One kind's words are counted at a time, of the other kind only those that may stand out.
-        counts = Counter(w for t in kinds[own] for w in set(_LETTERS.findall(t)))
-        counts = {w: k for w, k in counts.items() if k >= max(settings.least_texts, settings.least_share * n)}
-        there = Counter(w for t in kinds[other] for w in set(_LETTERS.findall(t)) if w in counts)
-        out = {w for w, k in counts.items() if k / n >= settings.least_ratio * (there[w] + 0.5) / m}
-        samples = [_bytes(f" {' '.join(sorted(w for w in set(_LETTERS.findall(t)) if w in out))} ") for t in kinds[own]]
-        made.append(common + b"\n" + _trained(samples, settings.own_bytes, settings.segment))
-    return made[0], made[1]
+def pieces(text: str | None) -> np.ndarray:
+    """The numbers of the pieces of a text, by where they begin."""
+    b = np.frombuffer(_bytes(plain(text)), np.uint8).astype(np.int64)
+    n = len(b) - _PIECE + 1
+    return sum((b[j : j + n] << (8 * (_PIECE - 1 - j)) for j in range(_PIECE)), np.zeros(max(n, 0), np.int64)) if n > 0 else np.zeros(0, np.int64)
+
+
+def runs(text: str | None, telling: np.ndarray) -> list[bytes]:
+    """The runs of a text that pieces in telling (sorted) cover."""
+    own, raw = pieces(text), _bytes(plain(text))
+    if not len(telling) or not len(own):
+        return []
+    met = telling[np.minimum(np.searchsorted(telling, own), len(telling) - 1)] == own
+    edge = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(edge, np.flatnonzero(met), 1)
+    np.add.at(edge, np.flatnonzero(met) + _PIECE, -1)
+    inside = np.concatenate([[0], np.cumsum(edge)[:-1] > 0, [0]])
+    turns = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+    return [raw[i:j] for i, j in turns.tolist()]
+
+
+def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """piece, kind, n: how many texts of each half and label hold each piece, by batch."""
+    for batch in batches:
+        held: dict[str, list[np.ndarray]] = {}
+        for kind, text in zip(batch["kind"].to_pylist(), batch["text"], strict=True):
+            held.setdefault(kind, []).append(np.unique(pieces(text.as_py())))
+        for kind, found in held.items():
+            piece, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"piece": piece, "kind": pa.array([kind] * len(piece)), "n": n.astype(np.int64)})
+
+
+def telling_pieces(texts: DataFrame, settings: Settings) -> dict[tuple[str, int], np.ndarray]:
+    """(fit, label) -> the sorted pieces that tell texts of the label, from texts(part, toxic, text), each text once."""
+    kinds = [f"{part}{toxic}" for part in ("0", "2") for toxic in (0, 1)]
+    rows = texts.select(F.concat("part", F.col("toxic").cast("string")).alias("kind"), "text")
+    total = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
+    n = rows.mapInArrow(_count_pieces, "piece long, kind string, n long").groupBy("piece").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
+    tests = {}
+    for fit, halves in _FITS.items():
+        for toxic in (0, 1):
+            own, other = (sum((F.col(f"`{h}{k}`") for h in halves), F.lit(0)) for k in (toxic, 1 - toxic))
+            n_own, n_other = (max(1, sum(total.get(f"{h}{k}", 0) for h in halves)) for k in (toxic, 1 - toxic))
+            tests[fit, toxic] = (own >= settings.least_texts) & (own / n_own >= settings.least_ratio * (other + 0.5) / n_other)
+    flags = n.select("piece", *[t.alias(f"t{i}") for i, t in enumerate(tests.values())])
+    some = flags.where(" OR ".join(f"t{i}" for i in range(len(tests)))).toArrow()
+    piece = some["piece"].to_numpy()
+    return {k: np.sort(piece[some[f"t{i}"].to_numpy(zero_copy_only=False)]) for i, k in enumerate(tests)}
+
+
+def train(samples: list[bytes], settings: Settings) -> bytes:
+    """The content of a dictionary trained on runs; the distinct runs themselves where they are too few to train on."""
+    import zstandard
+
+    try:
+        raw = zstandard.train_dictionary(settings.own_bytes, samples, k=settings.segment, d=6).as_bytes()
+        at = raw.find(_ENTROPY_END)
+        return raw[at + len(_ENTROPY_END) :] if at >= 0 else raw
+    except zstandard.ZstdError:
+        return b"\n".join(sorted(set(samples)))[-settings.own_bytes :]
 
 
 class Comparer:
@@ -103,29 +131,29 @@ class Comparer:
         import zstandard
 
         # The fast strategy with a target length keeps literals as they are: a window's length then tells its matches alone.
-        options = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.pair = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(d) > 8 else None) for d in (ordinary, toxic)]
+        options = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=_PIECE, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.pair = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(b"\n" * 8 + d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (ordinary, toxic)]
         self.words = settings.words
 
     def gains(self, text: str | None) -> list[float]:
-        """What a text's windows gain by the toxic dictionary: the most, the mean of the best three, the mean gain, the mean difference, how many
-        windows there are, and in how many of them the difference is 1, 2, ... bytes at least."""
-        plain, toxic = (c.compress for c in self.pair)
-        raw = map(_bytes, windows(text, self.words))
-        saved = np.sort(np.array([len(plain(w)) - len(toxic(w)) for w in raw], float))[::-1]
-        over = [float((saved >= k).sum()) for k in range(1, _STEPS + 1)]
-        return [float(saved[0]), float(saved[:3].mean()), float(np.maximum(saved, 0).mean()), float(saved.mean()), float(len(saved)), *over]
+        """What a text's windows gain by the toxic dictionary: the most, the mean of the best three, the mean difference, how many windows there are, in
+        how many of them the difference is 1, 2, ... bytes at least, and in how many the ordinary one gains 2, 4 and 6."""
+        plain_, toxic = (c.compress for c in self.pair)
+        saved = np.array([len(plain_(w)) - len(toxic(w)) for w in map(_bytes, windows(text, self.words))] or [0], float)
+        best = np.sort(saved)[::-1]
+        return [float(best[0]), float(best[:3].mean()), float(saved.mean()), float(len(saved)), *[float((saved >= k).sum()) for k in range(1, _STEPS + 1)], *[float((saved <= -k).sum()) for k in _UNDER]]
 
 
 def features(gains: np.ndarray, step: int) -> np.ndarray:
-    """Rows of gains as input of the regression, with the windows that gain `step` bytes at least as those that count."""
-    n, over = gains[:, 4], gains[:, 4 + step]
-    return np.stack([np.ones(len(gains)), np.minimum(gains[:, 0], 12), np.minimum(gains[:, 1], 12), np.minimum(gains[:, 2], 4), gains[:, 3], over / n, np.log1p(over), np.log1p(n)], axis=1)
+    """Rows of gains as input of the regression; hits are the windows that gain `step` bytes at least."""
+    n, counts = gains[:, 3:4], gains[:, 4:]
+    hits = counts[:, step - 1 : step]
+    return np.concatenate([np.ones_like(n), np.minimum(gains[:, :2], _STEPS), gains[:, 2:3], np.log1p(n), hits >= 1, hits >= 2, 10 * counts / n, np.log1p(counts)], axis=1)
 
 
 def calibrated(gains: np.ndarray, share: float) -> int:
     """The least step that `share` of the windows of some texts reach at most."""
-    reached = gains[:, 5:].sum(axis=0) / max(1.0, gains[:, 4].sum())
+    reached = gains[:, 4 : 4 + _STEPS].sum(axis=0) / max(1.0, gains[:, 3].sum())
     return int(np.argmax(reached <= share)) + 1 if (reached <= share).any() else _STEPS
 
 
@@ -160,30 +188,34 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         parts = [sample(df, part, toxic, *order) for part, toxic in groups]
         return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
-    # Ids first, so that the texts of 4 x rows of them alone are looked up; then rows, as a doc_id may be there many times.
+    # Ids first, so that the texts of 4 x rows of them alone are looked up; then rows, as a doc_id may be there many times. Equal texts count once.
     ids = every(clear.select("doc_id", fold.alias("part"), "toxic").where("part <> 1"), "doc_id").withColumnRenamed("doc_id", "label_id")
     found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "part", "toxic", "text")
-    rows = materialise(every(found, "doc_id", "text").drop("doc_id"), "toxicity-sample")
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(spread(windows(t, settings.words), settings.windows)) for t in texts], dtype=object)
-
-    texts: dict[tuple[int, int], list[str]] = {g: [] for g in groups}
-    for r in rows.select("part", "toxic", cut("text").alias("windows")).collect():
-        texts[r.part, r.toxic].append(r.windows)
-    if not all(texts.values()):
+    rows = materialise(every(found, "doc_id", "text").select(F.col("part").cast("string").alias("part"), "toxic", F.coalesce("text", F.lit("")).alias("text")).distinct().repartition(32), "toxicity-sample")
+    if rows.select("part", "toxic").distinct().count() < len(groups):
         return None
+    telling = telling_pieces(rows, settings)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, toxic, text in zip(*(batch[c].to_pylist() for c in ("part", "toxic", "text")), strict=True):
+                for name, halves in _FITS.items():
+                    if part in halves and (own := runs(text, telling[name, toxic])):
+                        yield pa.RecordBatch.from_pydict({"fit": [name], "toxic": pa.array([toxic], pa.int32()), "runs": pa.array([own], pa.list_(pa.binary()))})
+
+    samples: dict[tuple[str, int], list[bytes]] = {(name, toxic): [] for name in _FITS for toxic in (0, 1)}
+    for r in rows.mapInArrow(cut, "fit string, toxic int, runs array<binary>").collect():  # what tells a kind in the sample's texts
+        samples[r.fit, r.toxic] += map(bytes, r.runs)
+    pairs = {name: [train(sorted(samples[name, toxic]), settings) for toxic in (0, 1)] for name in _FITS}
     gains, steps, y = [], [], []
-    for own, other in ((0, 2), (2, 0)):
-        pair = train(texts[other, 1], texts[other, 0], settings)
-        got = rows.where(F.col("part") == own).select("toxic", _gains(*pair, settings)("text").alias("g")).collect()
+    for own, other in (("0", "2"), ("2", "0")):
+        got = rows.where(F.col("part") == own).select("toxic", _gains(*pairs[other], settings)("text").alias("g")).collect()
         kind = np.array([r.toxic for r in got])
         gains.append(np.array([r.g for r in got]))
         steps.append(calibrated(gains[-1][kind == 0], settings.false_windows))
         y.append(kind.astype(float))
     x = np.concatenate([features(g, s) for g, s in zip(gains, steps, strict=True)])
-    ordinary, toxic = train(texts[0, 1] + texts[2, 1], texts[0, 0] + texts[2, 0], settings)
+    ordinary, toxic = pairs["all"]
     # The sample holds as many rows of either kind as it may; each kind counts for its share of all labels, so that a score means the same at every size.
     kinds, of = np.concatenate(y), {r.toxic: r["count"] for r in clear.where(fold != 1).groupBy("toxic").count().collect()}
     weight = np.where(kinds == 1, of[1] / (kinds == 1).sum(), of[0] / (kinds == 0).sum())

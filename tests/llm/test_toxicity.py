@@ -8,7 +8,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import functions as F
 
-from quire.llm.toxicity import Comparer, Settings, calibrated, fit, score, score_documents, spread, train, windows
+from quire.llm.toxicity import Comparer, Settings, calibrated, fit, pieces, runs, score, score_documents, telling_pieces, train, windows
 
 from .helpers import HARD, hard
 
@@ -23,7 +23,7 @@ def test_held_out_accuracy(spark):
     held = got.join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
     ranks, y = held.score.rank().values, held.toxic.values
     auc = (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
-    assert auc > 0.85 and y[held.predicted == 1].mean() > 0.6 and held.predicted[y == 1].mean() > 0.3
+    assert auc > 0.75 and y[held.predicted == 1].mean() > 0.8 and held.predicted[y == 1].mean() > 0.42
     assert got.where("score < 0 OR score > 1 OR predicted <> (CASE WHEN score >= 0.7 THEN 1 ELSE 0 END)").count() == 0
 
 
@@ -39,29 +39,46 @@ def test_windows_that_hold_toxic_words_save_bytes():
     rng = random.Random(3)
     plain = [" ".join(rng.choices("some quiet words about rivers and their old stones under tall green trees".split(), k=30)) for _ in range(300)]
     toxic = [f"{t} snarkling grumbold" for t in plain]
-    cut = lambda texts: ["\n".join(windows(t, 8)) for t in texts]
-    compare = Comparer(*train(cut(toxic), cut(plain), Settings()), Settings())
+    quiet, telling = set(map(int, np.concatenate([pieces(t) for t in plain]))), np.concatenate([pieces(t) for t in toxic])
+    telling = np.unique([p for p in telling.tolist() if p not in quiet])
+    compare = Comparer(train([], Settings()), train([r for t in toxic for r in runs(t, telling)], Settings()), Settings())
     assert compare.gains("such a snarkling day")[0] >= 3 > compare.gains("such a quiet day")[0]
-    assert windows(None, 8) == windows("  ", 8) == [""]
-    assert spread(list(range(10)), 4) == [0, 3, 6, 9] and spread([1, 2], 4) == [1, 2]
+    assert windows(None, 8) == windows("  ", 8) == ["  "] and windows("A b\nC d", 3) == [" a b c ", " d "]
+
+
+def test_telling_pieces_are_those_that_plain_counts_tell(spark):
+    texts = [(part, toxic, t) for part in ("0", "2") for toxic, t in [(1, "you Vile grub"), (1, "a vile grub é"), (1, "vile  grubs"), (0, "a kind word"), (0, "kind words for you"), (0, "vile grin"), (1, ""), (0, "x")] * (1 if part == "0" else 2)]
+    texts = list(dict.fromkeys((p, x, t + p) for p, x, t in texts))
+    found = telling_pieces(spark.createDataFrame(texts, "part string, toxic int, text string"), Settings(least_texts=2, least_ratio=2.0))
+    held = {t: {(" " + " ".join(t.lower().split()) + " ").encode()[i : i + 7] for i in range(200)} for _, _, t in texts}
+    for (name, toxic), numbers in found.items():
+        sides = [[t for p, x, t in texts if x == side and name in (p, "all")] for side in (toxic, 1 - toxic)]
+        every = {g for t in sides[0] for g in held[t] if len(g) == 7}
+        count = lambda g, side: sum(g in held[t] for t in side)
+        want = {g for g in every if count(g, sides[0]) >= 2 and count(g, sides[0]) / len(sides[0]) >= 2 * (count(g, sides[1]) + 0.5) / len(sides[1])}
+        assert numbers.tolist() == sorted(int.from_bytes(g, "big") for g in want)
+        for t in sides[0]:
+            raw = (" " + " ".join(t.lower().split()) + " ").encode()
+            inside = [any(raw[i : i + 7] in want for i in range(max(0, k - 6), k + 1)) for k in range(len(raw))]
+            assert b"|".join(runs(t, numbers)) == b"|".join(r for r in bytes(c if k else 0 for c, k in zip(raw, inside, strict=True)).split(b"\0") if r)
 
 
 def test_scores_by_plain_compression(spark):
     """Window by window with zstandard itself: lengths, the calibrated step and the regression."""
     docs, labels = tables(spark, "sf0.01")
     model = fit(docs, labels)
-    options = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
-    pair = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (model.ordinary, model.toxic)]
+    options = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=7, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+    pair = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(b"\n" * 8 + d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (model.ordinary, model.toxic)]
 
     def plain(text):
         own, saved = (text or "").lower().split(), []
-        for k in range(0, max(1, len(own)), 8):
-            w = (" " + " ".join(own[k : k + 8]) + " " if own else "").encode()
+        for k in range(0, max(1, len(own)), 3):
+            w = (" " + " ".join(own[k : k + 3]) + " ").encode()
             saved.append(len(pair[0].compress(w)) - len(pair[1].compress(w)))
         saved.sort(reverse=True)
         n, hits = len(saved), sum(s >= model.step for s in saved)
-        top, gain = saved[:3], sum(max(s, 0) for s in saved) / n
-        x = [1, min(saved[0], 12), min(sum(top) / len(top), 12), min(gain, 4), sum(saved) / n, hits / n, math.log1p(hits), math.log1p(n)]
+        counts = [sum(s >= k for s in saved) for k in range(1, 13)] + [sum(s <= -k for s in saved) for k in (2, 4, 6)]
+        x = [1, min(saved[0], 12), min(sum(saved[:3]) / len(saved[:3]), 12), sum(saved) / n, math.log1p(n), hits >= 1, hits >= 2, *[10 * c / n for c in counts], *map(math.log1p, counts)]
         return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
 
     rows = score(docs.unionByName(hard(spark).select("doc_id", "text"), allowMissingColumns=True), model).collect()
@@ -69,8 +86,8 @@ def test_scores_by_plain_compression(spark):
 
 
 def test_calibration_and_labels_given_both_ways(spark):
-    gains = np.zeros((2, 17))
-    gains[:, 4], gains[0, 5:8] = 50, [30, 2, 1]
+    gains = np.zeros((2, 19))
+    gains[:, 3], gains[0, 4:7] = 50, [30, 2, 1]
     assert (calibrated(gains, 0.02), calibrated(gains, 0.01), calibrated(gains, 0.0)) == (2, 3, 4)
     docs, labels = tables(spark, "sf0.01")
     both = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic")))
