@@ -84,29 +84,45 @@ def link_graph(pages: DataFrame, hrefs: DataFrame) -> DataFrame:
     return hrefs.join(pages, "key").groupBy("from_page", "to_page").agg(F.count("*").alias("links"))
 
 
-def repair_levels(outline: DataFrame) -> DataFrame:
-    """Levels that begin with 1 and rise by one at most: each is the nesting depth among the levels before it.
+_CHUNK = 8  # bits: entries of one chunk have seq >> 8 in common
+_OPEN = "array<struct<level:bigint,seq:bigint,title:string>>"
+
+
+def _open_after(entries: str, start: str = f"cast(array() AS {_OPEN})") -> str:
+    """SQL: the entries that are open after `entries`: each closes all open ones that are not above it."""
+    return f"aggregate({entries}, {start}, (a, x) -> concat(filter(a, o -> o.level < x.level), array(named_struct('level', x.level, 'seq', x.seq, 'title', x.title))))"
 
-    One fold over a document's entries: an entry closes all open levels not below its own and stands one below what stays open.
+
+def nested(outline: DataFrame) -> DataFrame:
+    """doc_id, seq, title, page of outline(doc_id, seq, level, title, page) with depth, how many entries it stands in and one more, and above, those entries.
+
+    An entry stands in the last one before it that has a smaller level, in whatever that one stands in, and so on, to any depth. A document's entries are dealt into
+    chunks by seq. A chunk is summed up by its least level, which closes what is open before it, and by what it leaves open; the sums are put together in order,
+    and each chunk starts from what is open before it. So an entry costs what is open, however long its document's outline is.
     """
-    entries = F.sort_array(F.collect_list(F.struct("seq", "level", "title", "page")))
-    fold = """transform(aggregate(e, named_struct('open', cast(array() AS array<int>), 'out', cast(array() AS array<int>)),
-        (a, x) -> named_struct('open', concat(filter(a.open, o -> o < x.level), array(x.level)), 'out', concat(a.out, array(size(filter(a.open, o -> o < x.level)) + 1)))).out,
-        (n, i) -> named_struct('level', n, 'seq', e[i].seq, 'title', e[i].title, 'page', e[i].page))"""
-    rows = outline.groupBy("doc_id").agg(entries.alias("e"))
-    return rows.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", "x.seq", "x.level", "x.title", "x.page")
-
-
-def outline_tree(outline: DataFrame, deepest: int = 6) -> DataFrame:
-    """doc_id, seq, parent: the last entry before it that is one level up; outline has repaired levels."""
-    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = outline.withColumns({f"last{k}": F.max(F.when(F.col("level") == k, F.col("seq"))).over(w) for k in range(1, deepest)})
-    parent = F.coalesce(*[F.when(F.col("level") == k + 1, F.col(f"last{k}")) for k in range(1, deepest)])
-    return rows.select("doc_id", "seq", parent.alias("parent"))
-
-
-def outline_path(outline: DataFrame, deepest: int = 6) -> DataFrame:
-    """doc_id, seq, path: titles from the root, apart by ' > '."""
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    rows = outline.withColumns({f"t{k}": F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(w) for k in range(1, deepest + 1)})
-    return rows.select("doc_id", "seq", F.concat_ws(" > ", *[F.when(F.col("level") >= k, F.col(f"t{k}")) for k in range(1, deepest + 1)]).alias("path"))
+    rows = outline.select(F.struct("doc_id").alias("doc"), F.shiftright(F.col("seq").cast("long"), _CHUNK).alias("chunk"), F.struct(F.col("seq").cast("long").alias("seq"), F.col("level").cast("long").alias("level"), "title", "page").alias("x"))
+    chunks = rows.groupBy("doc", "chunk").agg(F.array_sort(F.collect_list("x")).alias("e"))
+    sums = chunks.select("doc", F.struct("chunk", F.expr("array_min(transform(e, x -> x.level))").alias("low"), F.expr(_open_after("e")).alias("open")).alias("s"))
+    kept = "filter(a.open, o -> o.level < s.low)"
+    fold = f"""aggregate(ss, named_struct('open', cast(array() AS {_OPEN}), 'out', cast(array() AS array<struct<chunk:bigint,open:{_OPEN}>>)),
+        (a, s) -> named_struct('open', concat({kept}, s.open), 'out', concat(a.out, array(named_struct('chunk', s.chunk, 'open', a.open))))).out"""
+    starts = sums.groupBy("doc").agg(F.array_sort(F.collect_list("s")).alias("ss")).select("doc", F.explode(F.expr(fold)).alias("b")).select("doc", "b.chunk", "b.open")
+    own = f"""aggregate(e, named_struct('open', open, 'out', cast(array() AS array<{_OPEN}>)), (a, x) -> transform(array(filter(a.open, o -> o.level < x.level)),
+        k -> named_struct('open', concat(k, array(named_struct('level', x.level, 'seq', x.seq, 'title', x.title))), 'out', concat(a.out, array(k))))[0]).out"""
+    done = chunks.join(starts, ["doc", "chunk"]).select("doc", F.explode(F.arrays_zip("e", F.expr(own).alias("above"))).alias("z"))
+    return done.select("doc.doc_id", "z.e.seq", "z.e.title", "z.e.page", (F.size("z.above") + 1).cast("long").alias("depth"), F.col("z.above").alias("above"))
+
+
+def repair_levels(outline: DataFrame) -> DataFrame:
+    """Levels that begin with 1 and rise by one at most: each is the nesting depth among the levels before it."""
+    return nested(outline).select("doc_id", "seq", F.col("depth").alias("level"), "title", "page")
+
+
+def outline_tree(outline: DataFrame) -> DataFrame:
+    """doc_id, seq, parent: the entry that each one stands in, null at the top; levels may be repaired or not."""
+    return nested(outline).select("doc_id", "seq", F.try_element_at("above", F.lit(-1))["seq"].alias("parent"))
+
+
+def outline_path(outline: DataFrame) -> DataFrame:
+    """doc_id, seq, path: titles from the root, apart by ' > '; levels may be repaired or not."""
+    return nested(outline).select("doc_id", "seq", F.concat_ws(" > ", F.col("above.title"), "title").alias("path"))

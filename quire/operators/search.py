@@ -16,15 +16,23 @@ def query_terms(query: str, whole: bool) -> list[str]:
 
 
 def _occurrences(line: str, term: str) -> str:
-    """SQL for the columns at which the lower-cased term stands in the lower-cased line, not overlapping."""
+    """SQL for the places (c0, c1), in columns of the line, at which the lower-cased term stands in the lower-cased line, not overlapping.
+
+    Lower-casing can make a line longer (İ becomes two characters): then an array, built once a line, leads from columns of the lower-cased line back to those
+    of the line, and a place covers every character that it has a part of.
+    """
     pieces = f"split(lower({line}), concat('\\\\Q', lower({term}), '\\\\E'), -1)"
-    return f"transform(array({pieces}), ps -> transform(slice({piece_starts('ps', f'length({term})')}, 2, size(ps)), x -> x - length({term})))[0]"
+    starts = f"transform(array({pieces}), ps -> transform(slice({piece_starts('ps', f'length(lower({term}))')}, 2, size(ps)), x -> x - length(lower({term}))))[0]"
+    back = f"flatten(transform(regexp_extract_all({line}, '(?s)(.)', 1), (c, i) -> array_repeat(i, length(lower(c)))))"
+    moved = f"transform(array({back}), m -> transform({starts}, f -> named_struct('c0', m[f], 'c1', m[f + length(lower({term})) - 1] + 1)))[0]"
+    return f"if(length(lower({line})) = length({line}), transform({starts}, f -> named_struct('c0', f, 'c1', f + length(lower({term})))), {moved})"
 
 
 def search_terms(lines: DataFrame, term: Column) -> DataFrame:
     """doc_id, ln, page, line_no, line, term, c0, c1 for each place of lines(term): one pass over the line, no shuffle."""
     rows = lines.withColumn("term", term).where((F.col("term") != "") & F.contains(F.lower("line"), F.lower("term")))
-    return rows.select("doc_id", "ln", "page", "line_no", "line", "term", F.explode(F.expr(_occurrences("line", "term"))).alias("c0")).withColumn("c1", F.col("c0") + F.length("term"))
+    rows = rows.select("doc_id", "ln", "page", "line_no", "line", "term", F.explode(F.expr(_occurrences("line", "term"))).alias("at"))
+    return rows.select("doc_id", "ln", "page", "line_no", "line", "term", "at.c0", "at.c1")
 
 
 def search(lines: DataFrame, query: str, whole: bool = False, case: bool = False) -> DataFrame:
@@ -69,10 +77,19 @@ def order_hits(hits: DataFrame) -> DataFrame:
 
 
 def snippets(hits: DataFrame, k: int = 4) -> DataFrame:
-    """snippet: the words around a hit on its line, k on each side, with an ellipsis where some are left out. In the row, without a join."""
-    before = F.filter(F.split(F.expr("substring(line, 1, c0)"), " "), lambda x: x != "")
+    """snippet: the words around a hit on its line, k on each side, with an ellipsis where some are left out. In the row, without a join.
+
+    A hit looks at the characters near it alone, so a long line with many hits isn't split again for each of them.
+    """
+    near = 40 * (k + 2)  # characters that mostly hold k words and one more on a side; where they don't, the whole side is split
+
+    def side(whole: str, part: str, cut: str) -> Column:
+        words = lambda of: f"filter(split({of}, ' '), x -> x <> '')"
+        return F.expr(f"transform(array({words(part)}), w -> if(NOT ({cut}) OR size(w) >= {k + 3}, w, {words(whole)}))[0]")
+
+    before = side("substring(line, 1, c0)", f"substring(line, greatest(c0 - {near}, 0) + 1, least(c0, {near}))", f"c0 > {near}")
     glued_left = (F.col("c0") > 0) & (F.expr("substring(line, c0, 1)") != " ")
-    after = F.filter(F.split(F.expr("substring(line, c1 + 1)"), " "), lambda x: x != "")
+    after = side("substring(line, c1 + 1)", f"substring(line, c1 + 1, {near})", f"length(line) - c1 > {near}")
     glued_right = F.expr("substring(line, c1 + 1, 1)").isin("", " ") == F.lit(False)
     rows = hits.withColumns({"_b": before, "_a": after, "_gl": glued_left, "_gr": glued_right})
     left, right = k + F.col("_gl").cast("int"), k + F.col("_gr").cast("int")
@@ -234,11 +251,12 @@ def leak_check(redacted: DataFrame, terms: DataFrame) -> DataFrame:
 def commit_redactions(lines: DataFrame, boxes: DataFrame, log: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """(the redacted lines, read back from what was published; the log without the edits up to this commit).
 
-    There is no way back: the published version holds no text that was under a box, and earlier edits can't be undone into it.
+    There is no way back: the published version holds no text that was under a box, all versions that were at the path before it are removed from disk, and earlier
+    edits can't be undone into it. lines may be read from the version that is removed: the new one is complete by then.
     """
     from quire.sources.sinks import commit, read_committed
 
-    commit(apply_redactions(lines, boxes), path)
+    commit(apply_redactions(lines, boxes), path, purge=True)
     published = read_committed(lines.sparkSession, path)
     last = log.groupBy("doc").agg(F.max(F.when(F.col("op") == "commit", F.struct("ts", "event_id"))).alias("done"))
     kept = log.join(last, "doc").where(F.col("done").isNull() | (F.struct("ts", "event_id") > F.col("done"))).drop("done")

@@ -423,14 +423,14 @@ def _(t):
 
 @query("o2_outline_tree", "T", REP + "SELECT doc_id, seq, (SELECT max(seq) FROM r p WHERE p.doc_id = r.doc_id AND p.seq < r.seq AND p.fixed = r.fixed - 1) AS parent FROM r")
 def _(t):
-    return K.outline_tree(K.repair_levels(t.outline))
+    return K.outline_tree(t.outline)
 
 
 @query("o3_outline_path", "T", """WITH RECURSIVE r AS (SELECT doc_id, seq, [level] AS open, [title] AS names FROM T WHERE seq = 0
     UNION ALL SELECT t.doc_id, t.seq, list_append(list_filter(r.open, lambda o: o < t.level), t.level), list_append(r.names[1:len(list_filter(r.open, lambda o: o < t.level))], t.title) FROM r JOIN T t ON t.doc_id = r.doc_id AND t.seq = r.seq + 1)
     SELECT doc_id, seq, array_to_string(names, ' > ') AS path FROM r""")
 def _(t):
-    return K.outline_path(K.repair_levels(t.outline))
+    return K.outline_path(t.outline)
 
 
 @query("o4_extract_outline", "T M", """WITH RECURSIVE c AS (SELECT source_id, page, row_number() OVER (PARTITION BY vdoc ORDER BY pos) AS np FROM M WHERE pos % 3 = 0),
