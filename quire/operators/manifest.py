@@ -1,29 +1,32 @@
-"""Edits of ordered page lists, as set operations on (vdoc, pos): many documents are edited in one shuffle by vdoc.
+"""Edits of ordered page lists, as set operations on (vdoc, pos): many documents are edited at once, and one of any size by many tasks.
+
+New positions are running counts over stretches of the old ones (`ranks.prefix_sums`), so no task sees a whole vdoc.
 
 A manifest has vdoc, pos (from 0, gapless), source_id, page, rotation and crop columns cx0, cy0, cx1, cy1. Selections have vdoc and pos.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.ranks import prefix_sums
+
 CROP = ["cx0", "cy0", "cx1", "cy1"]
 
 
-def renumber(m: DataFrame, *order: Column | str) -> DataFrame:
-    """New gapless positions by an order within each vdoc."""
-    return m.withColumn("pos", F.row_number().over(Window.partitionBy("vdoc").orderBy(*order)) - 1)
+def renumber(m: DataFrame, key: Column) -> DataFrame:
+    """New gapless positions by a whole number within each vdoc."""
+    return prefix_sums(m, ["vdoc"], key, "_new").withColumn("pos", F.col("_new")).drop("_new")
 
 
 def seed_manifest(pages: DataFrame) -> DataFrame:
     """All pages(vdoc, source_id, page) in order, without overrides.
 
-    Positions are summed over documents, not pages: the window sees a row for each source.
+    Positions are summed over sources, not pages: a row for each of them, dealt into stretches of their ids.
     """
     counts = pages.groupBy("vdoc", "source_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("vdoc").orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("vdoc", "source_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
+    starts = prefix_sums(counts, ["vdoc"], F.col("source_id"), "start", F.col("n")).drop("n")
     rows = pages.join(starts, ["vdoc", "source_id"])
     none = {c: F.lit(None).cast("double") for c in CROP} | {"rotation": F.lit(None).cast("int")}
     return rows.select("vdoc", (F.col("start") + F.col("page")).cast("long").alias("pos"), "source_id", "page").withColumns(none)
@@ -38,30 +41,40 @@ def _flagged(m: DataFrame, sel: DataFrame) -> DataFrame:
 def move_page(m: DataFrame, moves: DataFrame) -> DataFrame:
     """moves(vdoc, src, dst), one a vdoc: take the page out, then put it in at dst; out of range is clamped."""
     rows = m.join(moves, "vdoc", "left")
-    key = F.when(F.col("pos") == F.col("src"), F.col("dst") + F.when(F.col("dst") > F.col("src"), 0.5).otherwise(-0.5)).otherwise(F.col("pos").cast("double"))
-    return renumber(rows.withColumn("key", F.coalesce(key, F.col("pos").cast("double"))), "key").drop("src", "dst", "key")
+    key = F.when(F.col("pos") == F.col("src"), 2 * F.col("dst") + F.when(F.col("dst") > F.col("src"), 1).otherwise(-1)).otherwise(2 * F.col("pos"))
+    return renumber(rows.withColumn("key", F.coalesce(key, 2 * F.col("pos"))), F.col("key")).drop("src", "dst", "key")
 
 
 def move_pages(m: DataFrame, sel: DataFrame, before: DataFrame) -> DataFrame:
     """Move the selected pages, in their order, before the page at before(vdoc, before); beyond the end is the end."""
     rows = _flagged(m, sel).join(before, "vdoc", "left")
     slot = F.when(F.col("before").isNull(), 0).when(F.col("sel"), 1).when(F.col("pos") < F.col("before"), 0).otherwise(2)
-    return renumber(rows.withColumn("slot", slot), "slot", "pos").drop("sel", "before", "slot")
+    return renumber(rows.withColumn("slot", slot.cast("long")), F.shiftleft("slot", 48) + F.col("pos")).drop("sel", "before", "slot")
 
 
 def delete_pages(m: DataFrame, sel: DataFrame) -> DataFrame:
-    return renumber(m.join(sel.select("vdoc", "pos").distinct(), ["vdoc", "pos"], "left_anti"), "pos")
+    return renumber(m.join(sel.select("vdoc", "pos").distinct(), ["vdoc", "pos"], "left_anti"), F.col("pos"))
 
 
 def insert_pages(m: DataFrame, refs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Splice refs(vdoc, at, nth, source_id, page, overrides) in before position at (null: at the end); unknown sources are an error."""
+    """Splice refs(vdoc, at, nth, source_id, page, overrides) in before position at (null: at the end); unknown sources are an error.
+
+    All refs for one place count as one row with a weight where positions are counted, and are numbered among themselves by nth.
+    """
     if sources is not None:
         known = sources.select(F.col("source_id").alias("s")).distinct()
         refs = refs.join(known, F.col("source_id") == F.col("s"), "left")
         refs = refs.withColumn("source_id", F.when(F.col("s").isNotNull(), F.col("source_id")).otherwise(F.raise_error(F.lit("unknown source")).cast("long"))).drop("s")
-    old = m.withColumns({"k1": F.col("pos").cast("double"), "k2": F.lit(1), "nth": F.lit(0).cast("long")})
-    new = refs.withColumns({"pos": F.lit(None).cast("long"), "k1": F.coalesce(F.col("at").cast("double"), F.lit(float("inf"))), "k2": F.lit(0), "nth": F.col("nth").cast("long")}).drop("at")
-    return renumber(old.unionByName(new, allowMissingColumns=True), "k1", "k2", "nth").drop("k1", "k2", "nth")
+    end = F.lit(1 << 60)
+    place = F.coalesce(2 * F.col("at").cast("long"), end)
+    new = prefix_sums(refs.drop("pos").withColumn("_place", place), ["vdoc", "_place"], F.col("nth"), "_nth", levels=2)
+    spots = refs.groupBy("vdoc", place.alias("_place")).agg(F.count("*").alias("_many"))
+    old = m.select("*", (2 * F.col("pos") + 1).alias("_place"), F.lit(1).cast("long").alias("_many"))
+    counted = prefix_sums(old.unionByName(spots, allowMissingColumns=True), ["vdoc"], F.col("_place"), "_first", F.col("_many"))
+    kept = counted.where("_place % 2 = 1").withColumn("pos", F.col("_first")).select(*m.columns)
+    starts = counted.where("_place % 2 = 0").select("vdoc", "_place", "_first")
+    placed = new.join(starts, ["vdoc", "_place"]).withColumn("pos", F.col("_first") + F.col("_nth"))
+    return kept.unionByName(placed.drop("at", "nth", "_place", "_first", "_nth"), allowMissingColumns=True)
 
 
 def import_pages(m: DataFrame, other: DataFrame, sel: DataFrame, target: DataFrame) -> DataFrame:
@@ -77,17 +90,16 @@ def cut_paste(m_from: DataFrame, sel: DataFrame, m_to: DataFrame, target: DataFr
 
 def subset(m: DataFrame, sel: DataFrame) -> DataFrame:
     """The selected pages, each once, in document order; origin keeps their place before."""
-    return renumber(m.join(sel.select("vdoc", "pos").distinct(), ["vdoc", "pos"], "left_semi").withColumn("origin", F.col("pos")), "pos")
+    return renumber(m.join(sel.select("vdoc", "pos").distinct(), ["vdoc", "pos"], "left_semi").withColumn("origin", F.col("pos")), F.col("pos"))
 
 
 def duplicate_pages(m: DataFrame, sel: DataFrame) -> DataFrame:
     """Copies of the selected pages after the last of them."""
-    rows = _flagged(m, sel)
-    last = F.max(F.when(F.col("sel"), F.col("pos"))).over(Window.partitionBy("vdoc"))
-    rows = rows.withColumn("after", last)
-    copies = rows.where("sel").withColumns({"k1": F.col("after"), "k2": F.lit(1)})
-    both = rows.withColumns({"k1": F.col("pos"), "k2": F.lit(0)}).unionByName(copies)
-    return renumber(both, "k1", "k2", "pos").drop("k1", "k2", "sel", "after")
+    chosen = m.join(sel.select("vdoc", "pos").distinct(), ["vdoc", "pos"], "left_semi")
+    last = chosen.groupBy("vdoc").agg(F.max("pos").alias("_last"), F.count("*").alias("_many"))
+    copies = prefix_sums(chosen, ["vdoc"], F.col("pos"), "_nth").join(last, "vdoc").withColumn("pos", F.col("_last") + 1 + F.col("_nth"))
+    moved = m.join(last, "vdoc", "left").withColumn("pos", F.when(F.col("pos") > F.col("_last"), F.col("pos") + F.col("_many")).otherwise(F.col("pos")))
+    return moved.select(*m.columns).unionByName(copies.select(*m.columns))
 
 
 def rotate(m: DataFrame, sel: DataFrame, delta: int, native: str = "native_rotation") -> DataFrame:
@@ -138,11 +150,18 @@ def visible_size(m: DataFrame, frame: list[str], native: str = "native_rotation"
 
 
 def contiguous_runs(m: DataFrame) -> DataFrame:
-    """vdoc, start, source_id, first_page, n: runs of pages that follow each other in one source."""
-    w = Window.partitionBy("vdoc").orderBy("pos")
-    new = (F.lag("source_id").over(w).eqNullSafe(F.col("source_id")) & F.lag("page").over(w).eqNullSafe(F.col("page") - 1)).cast("int")
-    rows = m.withColumn("run", F.sum(1 - new).over(w))
-    return rows.groupBy("vdoc", "run").agg(F.min("pos").alias("start"), F.first("source_id").alias("source_id"), F.min("page").alias("first_page"), F.count("*").alias("n")).drop("run")
+    """vdoc, start, source_id, first_page, n: runs of pages that follow each other in one source.
+
+    A run starts where the place before holds another page, and ends where the next run starts: two joins on the place, and a count of the starts.
+    """
+    own = m.select("vdoc", "pos", "source_id", "page")
+    before = own.select("vdoc", (F.col("pos") + 1).alias("pos"), F.col("source_id").alias("_s"), (F.col("page") + 1).alias("_p"), F.lit(True).alias("_there"))
+    goes_on = F.coalesce("_there", F.lit(False)) & F.col("_s").eqNullSafe(F.col("source_id")) & F.col("_p").eqNullSafe(F.col("page"))
+    starts = prefix_sums(own.join(before, ["vdoc", "pos"], "left").where(~goes_on).drop("_s", "_p", "_there"), ["vdoc"], F.col("pos"), "_run")
+    ends = starts.select("vdoc", (F.col("_run") - 1).alias("_run"), F.col("pos").alias("_end"))
+    last = own.groupBy("vdoc").agg((F.max("pos") + 1).alias("_size"))
+    rows = starts.join(ends, ["vdoc", "_run"], "left").join(last, "vdoc")
+    return rows.select("vdoc", F.col("pos").alias("start"), "source_id", F.col("page").alias("first_page"), (F.coalesce("_end", "_size") - F.col("pos")).alias("n"))
 
 
 def manifest_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.ranks import prefix_sums
+
 OWN_MARKUP = ["highlight", "underline", "strikeout"]
 FOREIGN_MARKUP = ["highlight", "underline", "strikeout", "squiggly", "note"]
 TEXT_MARKUP = ["highlight", "underline", "strikeout", "squiggly"]
@@ -35,8 +37,7 @@ def parse_page_range(df: DataFrame, key: str, spec: str, count: str) -> tuple[Da
 
 def format_page_range(pages: DataFrame, key: str) -> DataFrame:
     """key, spec: the shortest text, counted from 1, for the pages (key, page) of each key."""
-    w = Window.partitionBy(key).orderBy("page")
-    rows = pages.select(key, "page").distinct().withColumn("run", F.col("page") - F.row_number().over(w))
+    rows = prefix_sums(pages.select(key, "page").distinct(), [key], F.col("page"), "_before").withColumn("run", F.col("page") - F.col("_before"))
     runs = rows.groupBy(key, "run").agg((F.min("page") + 1).alias("a"), (F.max("page") + 1).alias("b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
     ordered = F.sort_array(F.collect_list(F.struct("a", text.alias("t"))))
