@@ -1,6 +1,6 @@
 """Marks: spans on lines, stacking order, notes, foreign marks and hits.
 
-A bar is a row (page, kind, color, line, x0, x1, z); ranges join on the page and line first, so a join never meets all pairs.
+A bar is a row (page, kind, color, line, x0, x1, z); ranges join on the page and line first, so a join never meets all pairs. Bars and boxes of two dimensions are in `boxes`.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.boxes import joined, left_of, overlaps
+
 LINE = ["page", "kind", "color", "line"]
 
 
@@ -183,10 +185,13 @@ def hit_test(points: DataFrame, marks: DataFrame, pad: float = 2.0) -> DataFrame
 def near_line(points: DataFrame, segments: DataFrame, slack: float = 6.0) -> DataFrame:
     """event_id, z of segments(page, z, x0, y0, x1, y1, width) that lie within half their width and the slack of points(event_id, page, x, y); each mark once."""
     from quire.functions.scalars import segment_distance
+    from quire.operators.boxes import point_pairs
 
-    both = points.select("event_id", "page", "x", "y").join(segments, "page")
-    far = segment_distance(*[F.col(c).cast("double") for c in ("x", "y", "x0", "y0", "x1", "y1")])
-    return both.where(far <= F.col("width") / 2 + slack).select("event_id", "z").distinct()
+    reach = F.col("width") / 2 + slack
+    ends = {f"{c}{k}": (F.least(f"{c}0", f"{c}1") - reach if k == 0 else F.greatest(f"{c}0", f"{c}1") + reach) for c in ("x", "y") for k in (0, 1)}
+    padded = segments.withColumn("s", F.struct("x0", "y0", "x1", "y1")).withColumns(ends)
+    far = segment_distance(*[F.col(c).cast("double") for c in ("x", "y", "s.x0", "s.y0", "s.x1", "s.y1")])
+    return point_pairs(points.select("event_id", "page", "x", "y"), padded, ["page"]).where(far <= reach).select("event_id", "z").distinct()
 
 
 def marks_in_rect(rects: DataFrame, marks: DataFrame, width: float, height: float, pad: float = 3.0, cover: float = 0.98) -> DataFrame:
@@ -194,11 +199,11 @@ def marks_in_rect(rects: DataFrame, marks: DataFrame, width: float, height: floa
 
     Corners of a rect may come in any order. Marks that cover the page (`cover` of both sides) are left out, else any rect would catch them.
     """
+    from quire.operators.boxes import box_pairs
+
     covers = (F.abs(F.col("x1") - F.col("x0")) >= cover * width) & (F.abs(F.col("y1") - F.col("y0")) >= cover * height)
-    met = rects.join(marks.where(F.col("kind").isin(PLACED) & ~covers), "page")
-    for a, b, low, high in (("rx0", "rx1", "x0", "x1"), ("ry0", "ry1", "y0", "y1")):
-        met = met.where((F.least(a, b) < F.col(high) + pad) & (F.greatest(a, b) > F.col(low) - pad))
-    return met.select("rect_id", "page", "z")
+    a = rects.select("rect_id", "page", *[F.col(f"r{c}").alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
+    return box_pairs(a, marks.where(F.col("kind").isin(PLACED) & ~covers), ["page"], pad=pad).select("rect_id", "page", "z")
 
 
 def marks_over(marks: DataFrame, probes: DataFrame, kinds: list[str] | None = None, slack: float = 0.01) -> DataFrame:
@@ -219,11 +224,15 @@ def note_host(marks: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def nearest_word(points: DataFrame, words: DataFrame) -> DataFrame:
-    """event_id, line_no, word_no: the word that holds the point(page, x, y), else the least 4 dy^2 + dx^2; ties to the first."""
-    dx = F.greatest(F.col("c0") - F.col("x"), F.col("x") - F.col("c1"), F.lit(0))
-    dy = F.abs(F.col("line_no") - F.col("y"))
-    met = points.join(words, ["doc_id", "page"]).withColumn("far", 4 * dy * dy + dx * dx)
-    return met.groupBy("event_id").agg(F.min(F.struct("far", "line_no", "word_no")).alias("n")).select("event_id", F.col("n.line_no").alias("line_no"), F.col("n.word_no").alias("word_no"))
+    """event_id, line_no, word_no: the first word that holds the point(event_id, doc_id, page, x, y), its edges too, else the one whose middle has the least 4 dy^2 + dx^2; ties to the first."""
+    from quire.operators.boxes import nearest
+
+    at = words.select("doc_id", "page", "line_no", "word_no", "c0", "c1")
+    held = points.withColumn("line_no", F.col("y")).join(at, ["doc_id", "page", "line_no"]).where("x BETWEEN c0 AND c1")
+    held = held.groupBy("event_id").agg(F.min("word_no").alias("word_no"), F.first("line_no").alias("line_no")).select("event_id", "line_no", "word_no")
+    middles = at.select("doc_id", "page", "line_no", "word_no", ((F.col("c0") + F.col("c1")) / 2).alias("x"), F.col("line_no").alias("y"))
+    others = nearest(points.join(held, "event_id", "left_anti"), middles, ["doc_id", "page"], ["line_no", "word_no"])
+    return held.unionByName(others)
 
 
 def word_at(points: DataFrame, words: DataFrame) -> DataFrame:
@@ -247,31 +256,17 @@ def degradations(foreign: DataFrame) -> DataFrame:
     return foreign.select("page", "z", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules])), ",").alias("losses"))
 
 
-_BARS = "array<struct<line:bigint,x0:double,x1:double>>"
+_BARS = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 _MARK = f"struct<z:double,kind:string,color:string,note:string,bars:{_BARS}>"
 
 
 def _meet(a: str, b: str) -> str:
     """SQL: some bar of a overlaps some bar of b."""
-    return f"exists({a}, v -> exists({b}, w -> v.line = w.line AND least(v.x1, w.x1) - greatest(v.x0, w.x0) > 0.01))"
-
-
-def _joined(bars: str) -> str:
-    """SQL: bars of a line that overlap or touch as one, in order."""
-    grow = "concat(slice(u, 1, size(u) - 1), array(named_struct('line', b.line, 'x0', element_at(u, -1).x0, 'x1', greatest(element_at(u, -1).x1, b.x1))))"
-    return f"aggregate(array_sort({bars}), cast(array() AS {_BARS}), (u, b) -> if(size(u) > 0 AND element_at(u, -1).line = b.line AND b.x0 <= element_at(u, -1).x1 + 0.01, {grow}, concat(u, array(b))))"
-
-
-def _left_of(bars: str, cuts: str) -> str:
-    """SQL: what joined cutters leave of bars: the gaps before, between and after those on a bar's line, of a width of 1 at least."""
-    ends = "concat(array(b.x0), flatten(transform(c, x -> array(x.x0, x.x1))), array(b.x1))"
-    gaps = "filter(transform(sequence(0, size(e) - 2, 2), k -> named_struct('line', b.line, 'x0', greatest(b.x0, e[k]), 'x1', least(b.x1, e[k + 1]))), g -> g.x1 - g.x0 >= 1.0)"
-    one = f"transform(array(filter({cuts}, x -> x.line = b.line AND x.x1 > b.x0 AND x.x0 < b.x1)), c -> transform(array({ends}), e -> {gaps})[0])[0]"
-    return f"flatten(transform({bars}, b -> {one}))"
+    return f"exists({a}, v -> exists({b}, w -> {overlaps('v', 'w')}))"
 
 
 def merge_markup(marks: DataFrame, paints: DataFrame) -> DataFrame:
-    """Paint over a page's marks, one paint after the other: marks and paints have page, z (paints: their order), kind, color, note and bars(line, x0, x1).
+    """Paint over a page's marks, one paint after the other: marks and paints have page, z (paints: their order), kind, color, note and bars(x0, y0, x1, y1).
 
     Going once up the stack, a paint meets the marks of its kind that its bars, or those it has taken in so far, overlap. Those of its colour it takes in;
     of the others what its own bars don't cover stays, in pieces of a width of 1 at least. Notes of marks that are taken in or that
@@ -282,15 +277,15 @@ def merge_markup(marks: DataFrame, paints: DataFrame) -> DataFrame:
     meets = f"(m.kind = p.kind AND {_meet('m.bars', 't.bars')})"
     # First who is met, from the bottom up: the reach grows by what is taken in. Then what stays of each mark: null where it is taken in.
     reach = f"aggregate(s, named_struct('bars', p.bars, 'met', cast(array() AS array<boolean>)), (t, m) -> named_struct('bars', if({meets} AND m.color <=> p.color, concat(t.bars, m.bars), t.bars), 'met', concat(t.met, array({meets}))))"
-    stays = f"zip_with(s, r.met, (m, hit) -> named_struct('m', m, 'bars', CASE WHEN NOT hit THEN m.bars WHEN m.color <=> p.color THEN NULL ELSE {_left_of('m.bars', 'j')} END))"
+    stays = f"zip_with(s, r.met, (m, hit) -> named_struct('m', m, 'bars', CASE WHEN NOT hit THEN m.bars WHEN m.color <=> p.color THEN NULL ELSE {left_of('m.bars', 'p.bars')} END))"
     gone = "(x.bars IS NULL OR size(x.bars) = 0)"
     below = "size(filter(slice(k, 1, array_position(transform(k, x -> x.bars IS NULL), true)), x -> NOT {gone}))".replace("{gone}", gone)
     place = f"if(exists(k, x -> x.bars IS NULL), cast({below} AS int), size(kept))"
     notes = f"array_join(filter(concat(transform(filter(k, x -> {gone}), x -> x.m.note), array(p.note)), x -> x <> ''), '\n\n')"
-    merged = f"named_struct('z', p.z, 'kind', p.kind, 'color', p.color, 'note', nullif({notes}, ''), 'bars', {_joined('r.bars')})"
+    merged = f"named_struct('z', p.z, 'kind', p.kind, 'color', p.color, 'note', nullif({notes}, ''), 'bars', {joined('r.bars')})"
     kept = f"transform(filter(k, x -> NOT {gone}), x -> named_struct('z', x.m.z, 'kind', x.m.kind, 'color', x.m.color, 'note', x.m.note, 'bars', x.bars))"
     put = f"transform(array({kept}), kept -> transform(array({place}), i -> concat(slice(kept, 1, i), array({merged}), slice(kept, i + 1, size(kept))))[0])[0]"
-    step = f"transform(array({reach}), r -> transform(array({_joined('p.bars')}), j -> transform(array({stays}), k -> {put})[0])[0])[0]"
+    step = f"transform(array({reach}), r -> transform(array({stays}), k -> {put})[0])[0]"
     fold = f"aggregate(paints, marks, (s, p) -> if(size(p.bars) = 0, s, {step}))"
     shaped = lambda df, side: df.select("page", F.lit(side).alias("side"), F.struct(F.col("z").cast("double").alias("z"), "kind", "color", "note", F.col("bars").cast(_BARS).alias("bars")).cast(_MARK).alias("m"))
     of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("m"))))

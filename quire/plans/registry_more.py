@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
+from quire.operators import boxes as X
 from quire.operators import marks as A
 from quire.operators import metadata as D
 from quire.operators import search as Q
@@ -393,7 +394,7 @@ def word_points(t: Tables) -> DataFrame:
     return t.points.select("event_id", F.col("page").alias("doc_id"), (F.col("event_id") % 3).alias("page"), (F.col("x") % 200).alias("x"), F.col("line").alias("y"))
 
 
-@query("j20_nearest_word", "P W", f"SELECT event_id, line_no, word_no FROM (SELECT event_id, line_no, word_no, row_number() OVER (PARTITION BY event_id ORDER BY 4 * (line_no - y) * (line_no - y) + pow(greatest(c0 - x, x - c1, 0), 2), line_no, word_no) AS n FROM {POINTS_W} JOIN W USING (doc_id, page)) WHERE n = 1")
+@query("j20_nearest_word", "P W", f"SELECT event_id, line_no, word_no FROM (SELECT event_id, line_no, word_no, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN line_no = y AND x BETWEEN c0 AND c1 THEN -1 ELSE 4 * (line_no - y) * (line_no - y) + pow((c0 + c1) / 2.0 - x, 2) END, line_no, word_no) AS n FROM {POINTS_W} JOIN W USING (doc_id, page)) WHERE n = 1")
 def _(t):
     return A.nearest_word(word_points(t), t.words)
 
@@ -614,12 +615,64 @@ def _(t):
 
 @query("a3_merge_sequence")
 def _(t):
-    bar = F.array(F.struct("line", "x0", "x1"))
+    bar = F.array(F.struct("x0", F.col("line").alias("y0"), "x1", F.col("line").alias("y1")))
     b = t.bars.where("kind <> 'ink'").withColumn("note", F.when(F.col("z") % 3 == 0, F.concat(F.lit("n"), F.col("z").cast("string"))))
     marks = b.where("z % 2 = 0").select("page", "z", "kind", "color", "note", bar.alias("bars"))
     paints = b.where("z % 2 = 1").select("page", "z", "kind", "color", "note", bar.alias("bars"))
     out = A.merge_markup(marks, paints)
-    return out.select("page", "z", "kind", "color", "note", F.explode("bars").alias("b")).select("page", F.col("z").cast("long").alias("z"), "kind", "color", "note", "b.line", "b.x0", "b.x1")
+    return out.select("page", "z", "kind", "color", "note", F.explode("bars").alias("b")).select("page", F.col("z").cast("long").alias("z"), "kind", "color", "note", F.col("b.y0").cast("long").alias("line"), "b.x0", "b.x1")
+
+
+# ---- bars and boxes whose bands are mixed
+
+
+def banded(t: Tables) -> DataFrame:
+    """Bars as boxes whose bands overlap those of other lines now and then."""
+    y0 = F.col("line") * 10 + F.col("z") % 4 * 5
+    return t.bars.withColumns({"y0": y0.cast("double"), "y1": (y0 + 6 + F.col("x0") % 3 * 4).cast("double"), "x0": F.col("x0").cast("double"), "x1": F.col("x1").cast("double")})
+
+
+BAND = "BX AS (SELECT page, z, kind, color, own, x0::DOUBLE AS x0, x1::DOUBLE AS x1, (line * 10 + z % 4 * 5)::DOUBLE AS y0, (line * 10 + z % 4 * 5 + 6 + x0 % 3 * 4)::DOUBLE AS y1 FROM B)"
+
+
+def line_sql(a: str, b: str) -> str:
+    return f"(({a}.y0 + {a}.y1) / 2 BETWEEN {b}.y0 AND {b}.y1 OR ({b}.y0 + {b}.y1) / 2 BETWEEN {a}.y0 AND {a}.y1)"
+
+
+#: First fit, bar by bar: the place of the first box that a bar meets, which grows by it; else a box of its own.
+@query("a1_union_boxes", "B", f"""WITH RECURSIVE {BAND}, o AS (SELECT *, row_number() OVER (PARTITION BY page, kind, color ORDER BY y0, x0, y1, x1) AS n FROM BX),
+    r AS (SELECT page, kind, color, 0::BIGINT AS n, []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS g FROM o WHERE n = 1
+    UNION ALL SELECT page, kind, color, n, CASE WHEN k IS NULL OR k = 0 THEN list_append(g, b) ELSE list_transform(g, lambda v, i: CASE WHEN i = k THEN struct_pack(x0 := least(v.x0, b.x0), y0 := least(v.y0, b.y0), x1 := greatest(v.x1, b.x1), y1 := greatest(v.y1, b.y1)) ELSE v END) END FROM (
+    SELECT *, list_position(list_transform(g, lambda v: {line_sql("v", "b")} AND b.x0 <= v.x1 + 0.01 AND v.x0 <= b.x1 + 0.01), true) AS k FROM (
+    SELECT r.page, r.kind, r.color, o.n, r.g, struct_pack(x0 := o.x0, y0 := o.y0, x1 := o.x1, y1 := o.y1) AS b FROM r JOIN o ON o.page = r.page AND o.kind = r.kind AND o.color = r.color AND o.n = r.n + 1))),
+    f AS (SELECT page, kind, color, max_by(g, n) AS g FROM r GROUP BY ALL) SELECT page, kind, color, b.x0, b.y0, b.x1, b.y1 FROM (SELECT page, kind, color, unnest(g) AS b FROM f)""")
+def _(t):
+    return X.union_boxes(banded(t), ["page", "kind", "color"])
+
+
+@query("a2_subtract_boxes", "B", f"""WITH {BAND}, c AS (SELECT * FROM BX WHERE kind = 'ink'), a AS (SELECT * FROM BX WHERE kind = 'highlight'),
+    u AS (SELECT *, unnest(range(x0::BIGINT, x1::BIGINT)) AS x FROM a), k AS (SELECT u.*, x - row_number() OVER (PARTITION BY page, z ORDER BY x) AS g FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = u.page AND {line_sql("c", "u")} AND u.x >= c.x0 AND u.x < c.x1))
+    SELECT page, z, kind, min(x)::DOUBLE AS x0, y0, (max(x) + 1)::DOUBLE AS x1, y1 FROM k GROUP BY page, z, kind, g, y0, y1""")
+def _(t):
+    b = banded(t)
+    return X.subtract_boxes(b.where("kind = 'highlight'").withColumn("bar_id", F.col("z")), b.where("kind = 'ink'"), ["page"]).select("page", "z", "kind", "x0", "y0", "x1", "y1")
+
+
+@query("j14_words_under_boxes", "P B", f"WITH {BAND} SELECT p.event_id AS box_id, b.page, b.z FROM P p JOIN BX b ON p.page = b.page AND p.x < b.x1 AND p.x + 30 > b.x0 AND p.line * 9 < b.y1 AND p.line * 9 + 12 > b.y0")
+def _(t):
+    boxes = t.points.select("page", F.col("event_id").alias("box_id"), F.col("x").alias("x0"), (F.col("line") * 9).alias("y0"), (F.col("x") + 30).alias("x1"), (F.col("line") * 9 + 12).alias("y1"))
+    return X.words_under_boxes(boxes, banded(t), ["page"], size=32.0).select("box_id", "page", "z")
+
+
+@query("j16_exclude_boxes", "P B", f"WITH {BAND} SELECT page, z FROM BX h WHERE NOT EXISTS (SELECT 1 FROM P p WHERE p.page = h.page AND (h.x0 + h.x1) / 2 BETWEEN p.x AND p.x + 30 AND (h.y0 + h.y1) / 2 BETWEEN p.line * 9 AND p.line * 9 + 12)")
+def _(t):
+    overlays = t.points.select("page", F.col("x").alias("x0"), (F.col("line") * 9).alias("y0"), (F.col("x") + 30).alias("x1"), (F.col("line") * 9 + 12).alias("y1"))
+    return X.exclude_boxes(banded(t), overlays, ["page"], ["page", "z"]).select("page", "z")
+
+
+@query("j17_hit_test_boxes", "P B", f"WITH {BAND} SELECT event_id, z, own FROM (SELECT p.event_id, b.z, b.own, row_number() OVER (PARTITION BY p.event_id ORDER BY b.own DESC, b.z DESC) AS n FROM P p JOIN BX b ON p.page = b.page AND p.x BETWEEN b.x0 - 2 AND b.x1 + 2 AND p.line * 9 BETWEEN b.y0 - 2 AND b.y1 + 2) WHERE n = 1")
+def _(t):
+    return X.hit_test_boxes(t.points.select("event_id", "page", "x", (F.col("line") * 9).alias("y")), banded(t), ["page"], pad=2.0)
 
 
 @query("r7_commit_redactions", "L", "SELECT doc_id, ln, regexp_replace(line, 'the', '', 'gi') AS line FROM L")

@@ -181,7 +181,7 @@ def test_metadata_states(spark):
 def painted(spark, marks, paints):
     """(kind, color, note, bars) up the stack; marks and paints as (color, note, [(x0, x1), ...]) on one line."""
     def table(rows):
-        return spark.createDataFrame([(0, float(z), "highlight", c, n, [(1, float(a), float(b)) for a, b in bars]) for z, (c, n, bars) in enumerate(rows)], "page long, z double, kind string, color string, note string, bars array<struct<line:long,x0:double,x1:double>>")
+        return spark.createDataFrame([(0, float(z), "highlight", c, n, [(float(a), 1.0, float(b), 1.0) for a, b in bars]) for z, (c, n, bars) in enumerate(rows)], "page long, z double, kind string, color string, note string, bars array<struct<x0:double,y0:double,x1:double,y1:double>>")
 
     out = A.merge_markup(table(marks), table(paints)).orderBy("z").collect()
     return [(r.color, r.note, [(b.x0, b.x1) for b in r.bars]) for r in out]
