@@ -125,18 +125,40 @@ def _bounded(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+_STRETCH = 64
+
+
+def token_key(token: Column) -> Column:
+    """A token of up to 64 characters itself, a longer one's digest behind a #: what tells tokens apart in joins, without their text."""
+    return F.when(F.length(token) <= _STRETCH, token).otherwise(F.concat(F.lit("#"), F.sha2(token, 256)))
+
+
 def _term_tokens(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """token, term, at, whole for each place (from 0) at which a term's head, that is the term up to its first blank, stands in one of tokens(token).
+    """key, term, at, whole for each place (from 0) at which a term's head, that is the term up to its first blank, stands in one of tokens(token).
 
-    A join on the first three characters (fewer of a shorter head), never tokens times terms. Of a term with a blank (whole is false then) the head
-    must end the token.
+    An index of grams: the first three characters of a head (fewer of a shorter one) meet equal ones of the tokens, and the rest is looked at for those alone. Tokens
+    are cut into stretches that overlap by the longest head, so a place costs a stretch, however long its token is, and rows carry a key for
+    the token. Of a term with a blank (whole is false then) the head must end the token; a head that is empty stands at the end alone.
     """
     heads = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().withColumn("head", F.split("term", " ")[0])
-    heads = heads.withColumns({"whole": F.col("head") == F.col("term"), "key": F.substring("head", 1, 3)})
-    cuts = tokens.distinct().select("token", F.explode(F.expr("sequence(0, length(token))")).alias("at"))
-    keyed = cuts.select("token", "at", F.explode(F.array_distinct(F.array(*[F.expr(f"substring(token, at + 1, {k})") for k in (0, 1, 2, 3)]))).alias("key"))
-    met = keyed.join(_bounded(heads), "key").where("substring(token, at + 1, length(head)) = head AND (whole OR at + length(head) = length(token))")
-    return met.select("token", "term", "at", "whole")
+    heads = heads.withColumns({"whole": F.col("head") == F.col("term"), "gram": F.substring("head", 1, 3)})
+    sizes = [r.n for r in heads.groupBy(F.length("gram").alias("n")).agg(F.max(F.length("head")).alias("m")).collect()]  # four rows at most
+    longest = heads.agg(F.max(F.length("head"))).first()[0] or 0
+    stretch = max(_STRETCH, longest)
+    salts = 64
+    cut = tokens.distinct().select(token_key(F.col("token")).alias("key"), F.length("token").alias("n"), F.xxhash64("token").alias("h"), F.expr(f"regexp_extract_all(token, '(?s).{{1,{stretch}}}', 0)").alias("parts"))
+    pieces = F.expr(f"transform(parts, (p, i) -> named_struct('base', i * {stretch}, 'own', length(p), 'piece', concat(p, substring(coalesce(get(parts, i + 1), ''), 1, {max(longest - 1, 0)}))))")
+    rows = cut.select("key", "n", F.explode(pieces).alias("p")).select("key", "n", "p.*")
+    lengths = [k for k in sizes if k]
+    grams = F.array(*[F.expr(f"substring(piece, off + 1, {k})") for k in lengths]) if lengths else F.array().cast("array<string>")
+    at = rows.withColumn("off", F.explode(F.expr("sequence(0, own - 1)"))).select("key", "n", "base", "piece", "off", F.explode(F.array_distinct(grams)).alias("gram"))
+    met = at.join(_bounded(heads.where("gram <> ''")), "gram").where("substring(piece, off + 1, length(head)) = head AND (whole OR base + off + length(head) = n)")
+    out = met.select("key", "term", (F.col("base") + F.col("off")).alias("at"), "whole")
+    if 0 in sizes:
+        spread = heads.where("gram = ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        ends = cut.select("key", F.col("n").alias("at"), F.pmod("h", F.lit(salts)).cast("int").alias("salt")).join(_bounded(spread), "salt")
+        out = out.unionByName(ends.select("key", "term", "at", "whole"))
+    return out
 
 
 def search_dictionary(lines: DataFrame, terms: DataFrame, whole: bool = False) -> DataFrame:
@@ -151,14 +173,14 @@ def search_dictionary(lines: DataFrame, terms: DataFrame, whole: bool = False) -
         token = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
         return words.withColumn("term", token).join(small, "term").select("doc_id", "page", "ln", "word_no", "term")
     words = words.withColumn("token", F.lower("word"))
-    met = words.join(_term_tokens(words.select("token"), terms), "token")
-    # A phrase goes on in the words behind it: its line is looked at again, for the few places that its head is at.
-    tail = lines.select("doc_id", "ln", F.lower("line").alias("low"))
-    rest = met.where("NOT whole").join(tail, ["doc_id", "ln"])
-    from_here = F.array_join(F.expr("slice(filter(split(low, ' ', -1), x -> x <> ''), word_no + 1, 1 + length(term))"), " ")
-    rest = rest.where(F.substring(from_here, F.col("at") + 1, F.length("term")) == F.col("term"))
-    out = ["doc_id", "page", "ln", "word_no", "term"]
-    return met.where("whole").select(*out).unionByName(rest.select(*out))
+    keyed = words.select("doc_id", "page", "ln", "word_no", token_key(F.col("token")).alias("key"))
+    met = keyed.join(_term_tokens(words.select("token"), terms), "key")
+    # A phrase goes on in the words behind it: its line is looked at again, once for all places in it that a head is at.
+    heads = met.where("NOT whole").groupBy("doc_id", "ln").agg(F.collect_list(F.struct("page", "word_no", "term", "at")).alias("hits"))
+    tail = lines.select("doc_id", "ln", F.expr("filter(split(lower(line), ' ', -1), x -> x <> '')").alias("ws"))
+    goes_on = "filter(hits, h -> substring(array_join(slice(ws, h.word_no + 1, 1 + length(h.term)), ' '), h.at + 1, length(h.term)) = h.term)"
+    rest = heads.join(tail, ["doc_id", "ln"]).select("doc_id", "ln", F.explode(F.expr(goes_on)).alias("h")).select("doc_id", "h.page", "ln", "h.word_no", "h.term")
+    return met.where("whole").select("doc_id", "page", "ln", "word_no", "term").unionByName(rest)
 
 
 def select_range(words: DataFrame, a: tuple[int, int, int], b: tuple[int, int, int]) -> DataFrame:
@@ -233,17 +255,20 @@ def leak_check(redacted: DataFrame, terms: DataFrame) -> DataFrame:
     out = terms.select("term").distinct()
     tokens = line_words(redacted).groupBy(F.lower("word").alias("token")).agg(F.count("*").alias("n"))
     met = _term_tokens(tokens.select("token"), out)
-    inside = met.where("whole").select("token", "term").distinct().join(tokens, "token")
+    inside = met.where("whole").select("key", "term").distinct().join(tokens.withColumn("key", token_key(F.col("token"))), "key")
     times = F.floor((F.length("token") - F.length(F.replace("token", "term", F.lit("")))) / F.length("term"))
     found = inside.groupBy("term").agg(F.sum(F.col("n") * times).alias("n"))
     # Phrases: a line is split by a phrase where one of its words ends in the phrase's head; heads and words join on their last three characters.
     heads = out.select(F.lower("term").alias("term"), F.split(F.lower("term"), " ")[0].alias("head")).where("contains(term, ' ')").distinct()
-    heads = _bounded(heads.withColumn("key", F.expr("right(head, 3)")))
-    ends = redacted.select("doc_id", "ln", F.lower("line").alias("low")).withColumn("token", F.explode(F.split("low", " ", -1)))
-    ends = ends.withColumn("key", F.explode(F.array_distinct(F.array(*[F.expr(f"right(token, {k})") for k in (0, 1, 2, 3)]))))
-    near = ends.join(heads, "key").where("endswith(token, head)").select("doc_id", "ln", "term", "low").distinct()
+    heads = heads.withColumn("key", F.expr("right(head, 3)"))
+    lengths = [r.n for r in heads.select(F.length("key").alias("n")).distinct().collect()]  # four at most
+    low = redacted.select("doc_id", "ln", F.lower("line").alias("low"))
+    ends = low.select("doc_id", "ln", F.explode(F.array_distinct(F.split("low", " ", -1))).alias("token"))
+    keys = F.array(*[F.expr(f"right(token, {k})") for k in lengths]) if lengths else F.array().cast("array<string>")
+    ends = ends.withColumn("key", F.explode(F.array_distinct(keys)))
+    near = ends.join(_bounded(heads), "key").where("endswith(token, head)").select("doc_id", "ln", "term").distinct()
     pieces = F.size(F.expr("split(low, concat('\\\\Q', term, '\\\\E'), -1)")) - 1
-    phrases = near.groupBy("term").agg(F.sum(pieces).alias("n"))
+    phrases = near.join(low, ["doc_id", "ln"]).groupBy("term").agg(F.sum(pieces).alias("n"))
     every = found.unionByName(phrases).withColumnRenamed("term", "low")
     return out.join(every, F.lower("term") == F.col("low"), "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("leaks"))
 

@@ -99,3 +99,19 @@ def test_snippets_of_far_words_and_many_hits(spark):
     for r, at in zip(sorted(rows, key=lambda r: r.c0), [i for i, w in enumerate(words) if w == "hit"], strict=True):
         after = words[at + 1 : at + 5]
         assert r.snippet == "… " + " ".join(words[at - 4 : at + 1] + after) + (" …" if len(words) > at + 5 else "")
+
+
+def test_terms_in_very_long_tokens_and_phrases(spark):
+    """Against plain counting; a token of a million characters, terms of 1 to 80 characters, a phrase with an empty head, and a blank in front of a term."""
+    import time
+
+    blob = ("ab" * 40 + "é" + "qx") * 12_000
+    texts = ["the end of the line of the", f"x {blob} of the", "a  b", "ofthe of", "Ab aB"]
+    rows = spark.createDataFrame([(i, 0, 0, 0, t) for i, t in enumerate(texts)], LINES)
+    terms = ["ab", "q", "éqxab", "of the", "ab" * 40, " of", "zz", "AB"]
+    began = time.time()
+    got = {r.term: r.leaks for r in Q.leak_check(rows, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {t: sum(x.lower().count(t.lower()) for x in texts) for t in terms} and time.time() - began < 120
+    small = spark.createDataFrame([(i, 0, 0, 0, t) for i, t in enumerate(["the often of the", "of the of thee", "off of"])], LINES)
+    found = sorted((r.doc_id, r.word_no, r.term) for r in Q.search_dictionary(small, spark.createDataFrame([("of the",), ("of",)], "term string")).collect())
+    assert found == [(0, 1, "of"), (0, 2, "of"), (0, 2, "of the"), (1, 0, "of"), (1, 0, "of the"), (1, 2, "of"), (1, 2, "of the"), (2, 0, "of"), (2, 1, "of")]
