@@ -1,9 +1,10 @@
-"""License scans: phrases stand word by word; templates are found by an exact set-similarity join.
+"""License scans: phrases stand word by word; templates are found by an exact set-similarity join with windows of words.
 
-A block is a paragraph: a line, or lines that a notice is wrapped to, that is consecutive ones of 1 to `WRAPPED` characters. Tokens are ordered by how many blocks hold them, rarest first. A block contains a template
-when it holds at least ceil(threshold x the template's tokens), so it must hold one of the template's first
-tokens - required + 1 tokens (prefix filter), have enough template tokens at all (length filter), and the template enough left from the
-first common one on (positional filter); what passes is verified on whole sets. All is done with DataFrame functions; templates are a table.
+A window is any run of at most `SPREAD` times as many words as a template has different ones, wherever lines end. It contains a template when it holds at least ceil(threshold x the
+template's tokens) of them, among these all that tell the template from its like (the name, a version). Tokens are ordered by how many texts hold them, rarest first; such a window
+must hold one of the template's first tokens - required + 1 tokens (prefix filter), so windows are looked at around the places of those alone; its text must hold enough of the
+template's tokens at all (length filter), and of those after the first one met enough (positional filter); what passes is verified window by window. All is done with DataFrame
+functions; templates are a table.
 """
 
 from __future__ import annotations
@@ -13,27 +14,34 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise
+from .common import LOWER, UPPER
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Notices that licenses ask for, and their short names.
+#: Notices that licenses ask for, their short names, and the words that tell them from their like.
 TEMPLATES = [
-    ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
-    ("Released under the MIT License.", "mit-notice"),
-    ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
-    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"),
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit-terms"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0", "apache 2"),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "apache-2.0", "apache 2"),
+    ("Released under the MIT License.", "mit-notice", "mit"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0", "cc by nc 4"),
+    ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0", "cc by sa 4"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0", "gnu general 3"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gpl-3.0", "gnu general 3"),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0", "gnu general 2"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version", "gpl-2.0", "gnu general 2"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit-terms", "granted charge"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc", "fee"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd", "redistribution binary"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0", "mozilla 2"),
+    ("This is free and unencumbered software released into the public domain", "unlicense", "unencumbered"),
 ]
 
-#: A line of so many characters at most may go on in the next one.
-WRAPPED = 100
-#: Up to so many different template tokens are looked for in a block's row; more are joined. Up to so many prefix tokens are broadcast.
+#: A window has so many words at most for each different word of its template.
+SPREAD = 2
+#: Up to so many different template tokens are looked for in a text's row; more are joined. Up to so many prefix tokens are broadcast.
 MOST_LITERALS, MOST_BROADCAST = 2000, 1 << 17
 
 
@@ -56,59 +64,58 @@ def phrase_places(tokens: str, phrase: str) -> Column:
     return F.when((F.size(tokens) >= len(parts)) & F.array_contains(tokens, parts[-1]), F.expr(f"filter(sequence(0, greatest(size(`{tokens}`) - {len(parts)}, 0)), i -> {same})")).otherwise(F.array().cast("array<int>"))
 
 
-def paragraphs(text: Column) -> Column:
-    """The blocks of a text."""
-    wrap = rf"(?<=\n[^\n]{{1,{WRAPPED}}}|^[^\n]{{1,{WRAPPED}}})\n(?=[^\n]{{1,{WRAPPED}}}(?:\n|\z))"
-    return F.split(F.regexp_replace(text, wrap, " "), "\n")
+def template_matches(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """doc_id, hash, label, containment: every template that a window of docs(doc_id, hash, text) contains, with its best window's share.
 
-
-def template_matches(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, hash, block, label, containment: every block of docs(doc_id, hash, text) that contains a template.
-
-    Containment is the share of the template's distinct words that the block holds; of several templates of one label each gives a row. Rows equal in
-    doc_id and hash are one; a null text has no blocks; templates without words, an empty list of them or an empty table give no rows; of equally
+    Containment is the share of the template's distinct words that the window holds; of several templates of one label each gives a row. Rows equal in
+    doc_id and hash are one; a null text has no windows; templates without words, an empty list of them or an empty table give no rows; of equally
     frequent tokens the first by name counts as the rarer.
     """
     spark = docs.sparkSession
-    templates = [(template_tokens(t), label) for t, label in (TEMPLATES if templates is None else templates)]
-    templates = [(tokens, label) for tokens, label in templates if tokens]
-    vocabulary = sorted({t for tokens, _ in templates for t in tokens})
-    blocks = docs.select("doc_id", "hash", F.posexplode(paragraphs(F.col("text"))).alias("block", "line"))
-    blocks = blocks.select("doc_id", "hash", "block", F.array_distinct(words(F.col("line"))).alias("tokens"))
+    templates = [(template_tokens(t), label, template_tokens(own)) for t, label, own in (TEMPLATES if templates is None else templates)]
+    templates = [x for x in templates if x[0]]
+    vocabulary = sorted({t for tokens, _, _ in templates for t in tokens})
+    texts = docs.select("doc_id", "hash", words(F.col("text")).alias("tokens"))
     if len(vocabulary) <= MOST_LITERALS:
-        blocks = blocks.withColumn("held", F.array_intersect("tokens", _literal(vocabulary).cast("array<string>"))).where(F.size("held") > 0)
+        held = texts.withColumn("held", F.array_intersect("tokens", _literal(vocabulary).cast("array<string>"))).where(F.size("held") > 0)
     else:
         listed = spark.createDataFrame([(t,) for t in vocabulary], "token string")
-        held = blocks.select("doc_id", "hash", "block", F.explode("tokens").alias("token")).join(listed, "token", "left_semi")
-        blocks = held.groupBy("doc_id", "hash", "block").agg(F.collect_set("token").alias("held"))
-    blocks = materialise(blocks.select("doc_id", "hash", "block", "held"), "blocks")
-    counts = {r.token: r.n for r in blocks.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row a template token at most
+        sets = texts.select("doc_id", "hash", F.explode(F.array_distinct("tokens")).alias("token")).join(listed, "token", "left_semi").groupBy("doc_id", "hash").agg(F.collect_set("token").alias("held"))
+        held = texts.join(sets.withColumnsRenamed({"doc_id": "s_id", "hash": "s_hash"}), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hash") == F.col("s_hash"))).drop("s_id", "s_hash")
+    fewest = min([max(1, -int(-threshold * len(t) // 1)) for t, _, _ in templates], default=1)
+    held = held.where(F.size("held") >= fewest)
+    counts = {r.token: r.n for r in held.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row a template token at most
     order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
     sets, prefixes = [], []
-    for k, (tokens, label) in enumerate(templates):
+    for k, (tokens, label, own) in enumerate(templates):
         ranked, need = sorted(tokens, key=order.get), max(1, -int(-threshold * len(tokens) // 1))
-        sets.append((k, label, ranked, need))
-        prefixes += [(t, k, place, order[t], need, len(ranked)) for place, t in enumerate(ranked[: len(ranked) - need + 1])]
-    sets = spark.createDataFrame(sets, "template int, label string, ranked array<string>, need int")
+        sets.append((k, label, ranked, own, need, SPREAD * len(tokens)))
+        prefixes += [(t, k, ranked[place:], need) for place, t in enumerate(ranked[: len(ranked) - need + 1])]
+    rare = sorted({p[0] for p in prefixes})
+    widest = max([w for *_, w in sets], default=1)
+    sets = spark.createDataFrame(sets, "template int, label string, ranked array<string>, own array<string>, need int, width int")
     small = len(prefixes) <= MOST_BROADCAST
-    prefixes = spark.createDataFrame(prefixes, "token string, template int, place int, rank int, need int, size int")
-    # Only tokens that are some template's prefix leave the row; a block and template meet once for all of them.
-    entries = blocks.select("doc_id", "hash", "block", "held", F.explode("held").alias("token"))
-    near = entries.join(F.broadcast(prefixes) if small else prefixes, "token").where(F.size("held") >= F.col("need"))
-    near = near.groupBy("doc_id", "hash", "block", "template", "need", "size").agg(F.first("held").alias("held"), F.min(F.struct("place", "rank")).alias("first"))
-    near = near.where(F.col("size") - F.col("first.place") >= F.col("need"))
-    if len(vocabulary) <= MOST_LITERALS and order:
-        ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-        near = near.where(F.size(F.filter("held", lambda t: ranks[t] >= F.col("first.rank"))) >= F.col("need"))
-    near = near.drop("need", "size", "first")
-    both = near.join(F.broadcast(sets) if small else sets, "template").withColumn("common", F.size(F.array_intersect("held", "ranked")))
-    return both.where("common >= need").select("doc_id", "hash", "block", "label", (F.col("common") / F.size("ranked")).alias("containment"))
-
-
-def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    prefixes = spark.createDataFrame(prefixes, "token string, template int, rest array<string>, least int")
+    # The places of prefix tokens, each with the words that a window around it can reach; no row beyond this carries a whole text.
+    if len(rare) <= MOST_LITERALS:
+        some = held.withColumn("rare", F.array_intersect("held", _literal(rare).cast("array<string>"))).where(F.size("rare") > 0)
+    else:
+        some = held.withColumn("rare", F.array_intersect("held", F.lit(rare)))
+    places = F.expr("filter(sequence(0, size(tokens) - 1), i -> array_contains(rare, tokens[i]))")
+    around = F.expr(f"transform(at, i -> named_struct('token', tokens[i], 'before', i - greatest(i - {widest - 1}, 0), 'near', slice(tokens, greatest(i - {widest - 1}, 0) + 1, i - greatest(i - {widest - 1}, 0) + {widest})))")
+    near = some.withColumn("at", places).select("doc_id", "hash", "held", F.explode(around).alias("w")).select("doc_id", "hash", "held", "w.*")
+    met = near.join(F.broadcast(prefixes) if small else prefixes, "token").where(F.size(F.array_intersect("held", "rest")) >= F.col("least")).drop("held", "rest", "least")
+    both = met.join(F.broadcast(sets) if small else sets, "template")
+    part = "slice(near, k + 1, width)"
+    best = f"array_max(transform(sequence(greatest(before - width + 1, 0), before), k -> if(size(array_intersect({part}, own)) = size(own), size(array_intersect({part}, ranked)), 0)))"
+    both = both.withColumn("common", F.expr(best)).where("common >= need")
+    return both.groupBy("doc_id", "hash", "template", "label").agg(F.max(F.col("common") / F.size("ranked")).alias("containment")).drop("template")
+
+
+def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs(doc_id, text).
 
-    Base labels are those of the phrases; labels add those of the templates that a block contains. Score is 1 where a phrase stands,
+    Base labels are those of the phrases; labels add those of the templates that a window contains. Score is 1 where a phrase stands,
     else the best template's containment, else 0. Null text counts as empty: no words, no labels, score 0. Repeated rows
     and null doc_ids give a row each; columns other than doc_id and text are not read.
     """

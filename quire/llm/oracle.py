@@ -6,7 +6,7 @@ import math
 
 from .common import LOWER, UPPER
 from . import url_filters as U
-from .licenses import PHRASES, TEMPLATES, WORD, WRAPPED, template_tokens
+from .licenses import PHRASES, SPREAD, TEMPLATES, WORD, template_tokens
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -34,20 +34,18 @@ def licenses() -> str:
     every = "list_concat(" * (len(PHRASES) - 1) + "p0" + "".join(f", p{k})" for k in range(1, len(PHRASES)))
     base = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES)) + "], lambda x: x IS NOT NULL)"
     rows = []
-    for text, label in TEMPLATES:
+    for k, (text, label, needed) in enumerate(TEMPLATES):
         t = template_tokens(text)
-        rows.append(f"('{label}', {t!r}, {len(t)}, {math.ceil(0.8 * len(t))})")
+        rows += [f"({k}, '{label}', '{x}', {x in template_tokens(needed)}, {len(t)}, {math.ceil(0.8 * len(t))}, {len(template_tokens(needed))})" for x in t]
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM documents),
 b AS (SELECT doc_id, len(w) AS n_words, {phrases} FROM d),
 f AS (SELECT doc_id, n_words, {every} AS a, {base} AS base FROM b),
-t(label, tokens, n, need) AS (VALUES {", ".join(rows)}),
-x AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS held FROM (SELECT doc_id, block, string_agg(line, ' ' ORDER BY k) AS line FROM (
-    SELECT *, sum(CASE WHEN n BETWEEN 1 AND {WRAPPED} AND before BETWEEN 1 AND {WRAPPED} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM (
-    SELECT *, length(line) AS n, lag(length(line)) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM (
-    SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, unnest(range(len(string_split({_LOWER}, chr(10))))) AS k FROM documents))) GROUP BY doc_id, block)),
-m AS (SELECT doc_id, label, max(len(list_intersect(held, tokens)) / n) AS share FROM x JOIN t ON len(list_intersect(held, tokens)) >= need GROUP BY doc_id, label),
-g AS (SELECT doc_id, list(label) AS extra, max(share) AS best FROM m GROUP BY doc_id)
+t(k, label, token, own, n, need, owns) AS (VALUES {", ".join(rows)}),
+p AS (SELECT doc_id, token, i, k, label, own, n, need, owns FROM (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM d) JOIN t USING (token)),
+m AS (SELECT a.doc_id, a.label, count(DISTINCT b.token) / a.n AS share FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i BETWEEN a.i AND a.i + {SPREAD} * a.n - 1
+    GROUP BY a.doc_id, a.k, a.label, a.i, a.n, a.need, a.owns HAVING count(DISTINCT b.token) >= a.need AND count(DISTINCT CASE WHEN b.own THEN b.token END) = a.owns),
+g AS (SELECT doc_id, list(DISTINCT label) AS extra, max(share) AS best FROM m GROUP BY doc_id)
 SELECT f.doc_id, n_words, len(a) AS n_base, list_min(a) - 1 AS first_word, list_max(a) - 1 AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(list_concat(base, coalesce(extra, [])))), ',') AS labels, CASE WHEN len(a) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
 FROM f LEFT JOIN g ON g.doc_id = f.doc_id
