@@ -13,8 +13,13 @@ BLANKS = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 
 
 def collapse_clip(s: Column, n: int) -> Column:
-    """White space to single blanks, trimmed; longer than n characters: the first n - 1 and an ellipsis. Null counts as empty."""
-    flat = F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), BLANKS, " "))
+    """White space to single blanks, trimmed; longer than n characters: the first n - 1 and an ellipsis. Null counts as empty.
+
+    Only what holds the first n + 1 characters that aren't blank is looked at, however long the text is.
+    """
+    one = BLANKS[:-1]
+    head = F.regexp_extract(F.coalesce(s, F.lit("")), f"^{one}*+(?:[^{one[1:-1]}]{one}*+){{0,{n + 1}}}", 0)
+    flat = F.trim(F.regexp_replace(head, BLANKS, " "))
     return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit(ELLIPSIS))).otherwise(flat)
 
 
