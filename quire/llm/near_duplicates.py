@@ -194,6 +194,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return pairs.join(one("u"), "u").join(one("v"), "v").mapInArrow(judge, "u long, v long")
 
 
+#: Texts of one shingle that one key of the prefix filter's join holds, about.
+_SALTED = 2048
+
+
 def prefix_pairs(texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """u, v of texts(rep, text, component) in different components whose shingle sets may reach the threshold.
 
@@ -218,12 +222,14 @@ def prefix_pairs(texts: DataFrame, size: int, threshold: int) -> DataFrame:
     first = materialise(first.select("rep", "component", "n", "h", "place"), "prefixes")
     # Of each shingle's texts those of its largest component are not compared with each other, only with the rest.
     sizes = first.groupBy("h", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("h").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("components")).where("components > 1")
-    rest = first.join(main.select("h", F.col("m.component").alias("main")), "h").where("component <> main").drop("main")
-    other = first.select("h", *[F.col(c).alias(f"{c}_v") for c in ("rep", "component", "n", "place")])
+    main = sizes.groupBy("h").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("components"), F.ceil(F.sum("k") / _SALTED).cast("int").alias("salts")).where("components > 1")
+    # A shingle that very many texts hold is dealt to several keys: each text to one of them, and those that it is compared with to all.
+    listed = first.join(main.select("h", F.col("m.component").alias("main"), "salts"), "h")
+    rest = listed.where("component <> main").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("main", "salts")
+    other = listed.select("h", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), *[F.col(c).alias(f"{c}_v") for c in ("rep", "component", "n", "place")])
     need = F.ceil((F.col("n") + F.col("n_v")) * threshold / (100 + threshold))
     met = (F.col("component") != F.col("component_v")) & (F.col("place") <= F.col("n") - need) & (F.col("place_v") <= F.col("n_v") - need)
-    both = rest.join(other, "h").where(met)
+    both = rest.join(other, ["h", "salt"]).where(met)
     return both.select(F.least("rep", "rep_v").alias("u"), F.greatest("rep", "rep_v").alias("v")).distinct()
 
 

@@ -70,6 +70,16 @@ def test_a_large_group_and_many_that_just_miss(spark):
     assert sorted((tuple(r) for r in near_duplicates(hard(spark, rows), 2).collect()), key=key) == brute(rows, 2)
 
 
+def test_a_shingle_of_many_keys(spark, monkeypatch):
+    """The same pairs, whether one key or many hold the texts of a shingle."""
+    from quire.llm import near_duplicates as N
+
+    texts = spark.createDataFrame([(i, f"a b c {'d' if i % 2 else 'e'} w{i % 7} x{i % 5}", i % 6) for i in range(60)], "rep long, text string, component long")
+    one = sorted(map(tuple, N.prefix_pairs(texts, 2, 50).collect()))
+    monkeypatch.setattr(N, "_SALTED", 3)
+    assert one and sorted(map(tuple, N.prefix_pairs(texts, 2, 50).collect())) == one
+
+
 def test_null_ids_and_empty_tables(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f")]
     assert sorted((tuple(r) for r in near_duplicates(hard(spark, rows)).collect()), key=key) == sorted([(None, 2, None, True), (None, 2, None, True), (4, 2, 4, True), (5, 2, 4, False)], key=key)
