@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_slices
 
 _ENTROPY_END = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"  # the repeat offsets that end a dictionary's header
 _STEPS = 12  # a window's difference counts up to so many bytes
@@ -66,9 +66,13 @@ def _bytes(text: str) -> bytes:
 
 def pieces(text: str | None) -> np.ndarray:
     """The numbers of the pieces of a text, by where they begin."""
-    b = np.frombuffer(_bytes(plain(text)), np.uint8).astype(np.int64)
+    b = np.frombuffer(_bytes(plain(text)), np.uint8)
     n = len(b) - _PIECE + 1
-    return sum((b[j : j + n] << (8 * (_PIECE - 1 - j)) for j in range(_PIECE)), np.zeros(max(n, 0), np.int64)) if n > 0 else np.zeros(0, np.int64)
+    out = np.zeros(max(n, 0), np.int64)
+    for j in range(_PIECE if n > 0 else 0):
+        out <<= 8
+        out |= b[j : j + n]
+    return out
 
 
 def runs(text: str | None, telling: np.ndarray) -> list[bytes]:
@@ -86,8 +90,8 @@ def runs(text: str | None, telling: np.ndarray) -> list[bytes]:
 
 
 def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """piece, kind, n: how many texts of each half and label hold each piece, by batch."""
-    for batch in batches:
+    """piece, kind, n: how many texts of each half and label hold each piece, by slices of a batch that hold a bounded amount of text."""
+    for batch in (part for whole in batches for part in text_slices(whole, "text", 1 << 20)):
         held: dict[str, list[np.ndarray]] = {}
         for kind, text in zip(batch["kind"].to_pylist(), batch["text"], strict=True):
             held.setdefault(kind, []).append(np.unique(pieces(text.as_py())))
