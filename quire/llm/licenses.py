@@ -9,12 +9,13 @@ functions; templates are a table.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -43,6 +44,8 @@ TEMPLATES = [
 SPREAD = 2
 #: Up to so many different template tokens are looked for in a text's row; more are joined. Up to so many prefix tokens are broadcast.
 MOST_LITERALS, MOST_BROADCAST = 2000, 1 << 17
+#: Up to so many rare tokens are looked for in a text as letters, before it is cut into words.
+MOST_SOUGHT = 64
 
 
 def words(text: Column) -> Column:
@@ -64,27 +67,36 @@ def phrase_places(tokens: str, phrase: str) -> Column:
     return F.when((F.size(tokens) >= len(parts)) & F.array_contains(tokens, parts[-1]), F.expr(f"filter(sequence(0, greatest(size(`{tokens}`) - {len(parts)}, 0)), i -> {same})")).otherwise(F.array().cast("array<int>"))
 
 
-def template_matches(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def _vocabulary(templates: list[tuple[str, str, str]] | None) -> tuple[list[tuple[list[str], str, list[str]]], list[str]]:
+    """(tokens, label, telling tokens) of each template that has tokens, and all their tokens."""
+    found = [(template_tokens(t), label, template_tokens(own)) for t, label, own in (TEMPLATES if templates is None else templates)]
+    found = [x for x in found if x[0]]
+    return found, sorted({t for tokens, _, _ in found for t in tokens})
+
+
+def _held(texts: DataFrame, vocabulary: list[str], *carried: str) -> DataFrame:
+    """texts(doc_id, hash, tokens, ...) -> doc_id, hash, held, those of the tokens that are in the vocabulary, and the carried columns."""
+    if len(vocabulary) <= MOST_LITERALS:
+        return texts.select("doc_id", "hash", F.array_intersect("tokens", _literal(vocabulary).cast("array<string>")).alias("held"), *carried)
+    listed = texts.sparkSession.createDataFrame([(t,) for t in vocabulary], "token string")
+    sets = texts.select("doc_id", "hash", F.explode(F.array_distinct("tokens")).alias("token")).join(listed, "token", "left_semi").groupBy("doc_id", "hash").agg(F.collect_set("token").alias("held"))
+    both = texts.join(sets.withColumnsRenamed({"doc_id": "s_id", "hash": "s_hash"}), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hash") == F.col("s_hash")), "left")
+    return both.select("doc_id", "hash", F.coalesce("held", F.array().cast("array<string>")).alias("held"), *carried)
+
+
+def template_matches(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str, str]] | None = None, held: DataFrame | None = None) -> DataFrame:
     """doc_id, hash, label, containment: every template that a window of docs(doc_id, hash, text) contains, with its best window's share.
 
     Containment is the share of the template's distinct words that the window holds; of several templates of one label each gives a row. Rows equal in
     doc_id and hash are one; a null text has no windows; templates without words, an empty list of them or an empty table give no rows; of equally
-    frequent tokens the first by name counts as the rarer.
+    frequent tokens the first by name counts as the rarer. held, where the caller has it, says which of the templates' tokens each text holds.
     """
     spark = docs.sparkSession
-    templates = [(template_tokens(t), label, template_tokens(own)) for t, label, own in (TEMPLATES if templates is None else templates)]
-    templates = [x for x in templates if x[0]]
-    vocabulary = sorted({t for tokens, _, _ in templates for t in tokens})
-    texts = docs.select("doc_id", "hash", words(F.col("text")).alias("tokens"))
-    if len(vocabulary) <= MOST_LITERALS:
-        held = texts.withColumn("held", F.array_intersect("tokens", _literal(vocabulary).cast("array<string>"))).where(F.size("held") > 0)
-    else:
-        listed = spark.createDataFrame([(t,) for t in vocabulary], "token string")
-        sets = texts.select("doc_id", "hash", F.explode(F.array_distinct("tokens")).alias("token")).join(listed, "token", "left_semi").groupBy("doc_id", "hash").agg(F.collect_set("token").alias("held"))
-        held = texts.join(sets.withColumnsRenamed({"doc_id": "s_id", "hash": "s_hash"}), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hash") == F.col("s_hash"))).drop("s_id", "s_hash")
+    templates, vocabulary = _vocabulary(templates)
+    tokens_of = lambda df: df.select("doc_id", "hash", words(F.col("text")).alias("tokens"))
+    held = _held(tokens_of(docs), vocabulary) if held is None else held
     fewest = min([max(1, -int(-threshold * len(t) // 1)) for t, _, _ in templates], default=1)
-    held = held.where(F.size("held") >= fewest)
-    counts = {r.token: r.n for r in held.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row a template token at most
+    counts = {r.token: r.n for r in held.where(F.size("held") >= fewest).select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row a template token at most
     order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
     sets, prefixes = [], []
     for k, (tokens, label, own) in enumerate(templates):
@@ -96,11 +108,13 @@ def template_matches(docs: DataFrame, threshold: float = 0.8, templates: list[tu
     sets = spark.createDataFrame(sets, "template int, label string, ranked array<string>, own array<string>, need int, width int")
     small = len(prefixes) <= MOST_BROADCAST
     prefixes = spark.createDataFrame(prefixes, "token string, template int, rest array<string>, least int")
-    # The places of prefix tokens, each with the words that a window around it can reach; no row beyond this carries a whole text.
-    if len(rare) <= MOST_LITERALS:
-        some = held.withColumn("rare", F.array_intersect("held", _literal(rare).cast("array<string>"))).where(F.size("rare") > 0)
-    else:
-        some = held.withColumn("rare", F.array_intersect("held", F.lit(rare)))
+    # Texts that have a rare token's letters at all are cut into words once more.
+    low, some = F.lower("text"), docs
+    if len(rare) <= MOST_SOUGHT:
+        some = docs.where(F.lit(False) if not rare else functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in rare]))
+    some = tokens_of(some).withColumn("rare", F.array_intersect("tokens", _literal(rare).cast("array<string>") if len(rare) <= MOST_LITERALS else F.lit(rare))).where(F.size("rare") > 0)
+    some = _held(some, vocabulary, "tokens", "rare").where(F.size("held") >= fewest)
+    # The places of rare tokens, each with the words that a window around it can reach; no row beyond this carries a whole text.
     places = F.expr("filter(sequence(0, size(tokens) - 1), i -> array_contains(rare, tokens[i]))")
     around = F.expr(f"transform(at, i -> named_struct('token', tokens[i], 'before', i - greatest(i - {widest - 1}, 0), 'near', slice(tokens, greatest(i - {widest - 1}, 0) + 1, i - greatest(i - {widest - 1}, 0) + {widest})))")
     near = some.withColumn("at", places).select("doc_id", "hash", "held", F.explode(around).alias("w")).select("doc_id", "hash", "held", "w.*")
@@ -120,10 +134,12 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple
     and null doc_ids give a row each; columns other than doc_id and text are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    found = template_matches(rows, threshold, templates).groupBy("doc_id", "hash").agg(F.collect_set("label").alias("extra"), F.max("containment").alias("best"))
     tokens = rows.select("doc_id", "hash", words(F.col("text")).alias("tokens"))
     places = {label: f"at_{k}" for k, (_, label) in enumerate(PHRASES)}
-    tokens = tokens.select("doc_id", "hash", F.size("tokens").cast("long").alias("n_words"), *[phrase_places("tokens", phrase).alias(places[label]) for phrase, label in PHRASES])
+    # All texts are cut into words once, for the phrases and for which of the templates' tokens they hold.
+    counted = tokens.select("doc_id", "hash", "tokens", F.size("tokens").cast("long").alias("n_words"), *[phrase_places("tokens", phrase).alias(places[label]) for phrase, label in PHRASES])
+    tokens = materialise(_held(counted, _vocabulary(templates)[1], "n_words", *places.values()), "words")
+    found = template_matches(rows, threshold, templates, tokens.select("doc_id", "hash", "held")).groupBy("doc_id", "hash").agg(F.collect_set("label").alias("extra"), F.max("containment").alias("best"))
     every = F.concat(*[F.col(c) for c in places.values()])
     base = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for label, c in places.items()]))
     base_rows = tokens.select("doc_id", "hash", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(base).alias("base"))
