@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ _STEPS = 12  # a window's difference counts up to so many bytes
 _UNDER = (2, 4, 6)
 _PIECE = 7  # bytes: eight with a zero before them are a long, and zstandard's longest least match
 _FITS = {"0": ("0",), "2": ("2",), "all": ("0", "2")}  # dictionaries by the halves they are trained on
+_ROWS = 1 << 16  # of a batch of counts
 
 
 @dataclass(frozen=True)
@@ -92,20 +92,24 @@ def runs(text: str | None, telling: np.ndarray) -> list[bytes]:
 def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """piece, kind, n: how many texts of each half and label hold each piece, by slices of a batch that hold a bounded amount of text."""
     for batch in (part for whole in batches for part in text_slices(whole, "text", 1 << 20)):
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for kind, text in zip(batch["kind"].to_pylist(), batch["text"], strict=True):
             held.setdefault(kind, []).append(np.unique(pieces(text.as_py())))
-        for kind, found in held.items():
+        while held:
+            kind, found = held.popitem()
             piece, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"piece": piece, "kind": pa.array([kind] * len(piece)), "n": n.astype(np.int64)})
+            for i in range(0, len(piece), _ROWS):
+                part = piece[i : i + _ROWS]
+                yield pa.RecordBatch.from_pydict({"piece": part, "kind": np.full(len(part), kind, np.int8), "n": n[i : i + _ROWS].astype(np.int32)})
 
 
 def telling_pieces(texts: DataFrame, settings: Settings) -> dict[tuple[str, int], np.ndarray]:
     """(fit, label) -> the sorted pieces that tell texts of the label, from texts(part, toxic, text), each text once."""
     kinds = [f"{part}{toxic}" for part in ("0", "2") for toxic in (0, 1)]
-    rows = texts.select(F.concat("part", F.col("toxic").cast("string")).alias("kind"), "text")
-    total = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
-    n = rows.mapInArrow(_count_pieces, "piece long, kind string, n long").groupBy("piece").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
+    number = F.array_position(F.array(*map(F.lit, kinds)), F.concat("part", F.col("toxic").cast("string"))) - 1
+    rows = texts.select(number.cast("byte").alias("kind"), "text")
+    total = {kinds[r.kind]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    n = rows.mapInArrow(_count_pieces, "piece long, kind byte, n int").groupBy("piece").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate(kinds)])
     tests = {}
     for fit, halves in _FITS.items():
         for toxic in (0, 1):
@@ -228,10 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
 
 def _gains(ordinary: bytes, toxic: bytes, settings: Settings):
-    @F.pandas_udf("array<double>")
-    def gains(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def gains(texts: pa.Array) -> pa.Array:
         comparer = _comparer(ordinary, toxic, settings)
-        return pd.Series([comparer.gains(t) for t in texts], dtype=object)
+        return pa.array([comparer.gains(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return gains
 
@@ -244,13 +248,14 @@ def score(docs: DataFrame, model: ToxicityModel | None, column: str = "toxicity"
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    # One text of a batch at a time is a Python string.
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         comparer = _comparer(model.ordinary, model.toxic, model.settings)
         if not len(texts):
-            return pd.Series([], dtype=float)
-        x = features(np.array([comparer.gains(t) for t in texts]), model.step)
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))))
+            return pa.array([], pa.float64())
+        x = features(np.array([comparer.gains(t.as_py()) for t in texts]), model.step)
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))))
 
     return docs.withColumn(column, scored("text"))
 
