@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import materialise, small_batches
 from quire.llm.decontaminate import drop_contaminated
 from quire.llm.near_duplicates import near_duplicates
 from quire.llm.packing import pack, token_pieces
@@ -23,6 +23,7 @@ TOXIC_FROM = 0.7
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score is TOXIC_FROM or more."""
+    small_batches(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model, "_quire_toxicity").where(F.col("_quire_toxicity") < TOXIC_FROM).drop("_quire_toxicity")
 
@@ -32,6 +33,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Any one of rows equal in doc_id and text stays. The first text of a doc_id goes by that number, others by numbers beyond 2^62.
     """
+    small_batches(spark)
     hashed = F.xxhash64("text")
     several = docs.groupBy(F.col("doc_id").alias("_quire_id")).agg(F.min(hashed).alias("_quire_first"), F.max(hashed).alias("_quire_last"))
     several = several.where("_quire_first <> _quire_last").drop("_quire_last")
@@ -46,6 +48,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark."""
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -56,6 +59,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' token pieces into sequences."""
+    small_batches(spark)
     return pack(token_pieces(docs))
 
 

@@ -28,6 +28,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The bytes of whole texts that an Arrow batch holds, about (one row at least).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have the session hand whole texts to Python in batches of BATCH_BYTES at most, by bytes and not by rows alone; a smaller limit of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "-1")
+    if not held.isdecimal() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Cut a record batch so that each slice holds about `limit` bytes of text at most (one row at least)."""
     import pyarrow.compute as pc

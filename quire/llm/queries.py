@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import fresh_path
+from .common import fresh_path, small_batches
 from .decontaminate import contaminated
 from .fingerprints import compare_with_edits
 from .html_text import extract_main_text
@@ -43,11 +43,11 @@ def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return near_duplicates(table(small_batches(spark), sf_dir, "documents"), size=2)
 
 
 def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_documents(table(small_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
