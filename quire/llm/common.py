@@ -35,8 +35,8 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> SparkSession:
     """Have the session hand whole texts to Python in batches of BATCH_BYTES at most, by bytes and not by rows alone; a smaller limit of its own stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, "-1")
-    if not held.isdecimal() or not 0 < int(held) <= BATCH_BYTES:
+    held = spark.conf.get(name)
+    if not held.isdecimal() or int(held) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
     return spark
 
