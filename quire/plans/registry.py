@@ -101,13 +101,13 @@ def _(t):
 
 
 @query("s8_read_fields", "M", """SELECT m.vdoc, m.pos, w.name, w.type, w.value FROM (
-    SELECT source_id, page, 'f' || (source_id % 3)::VARCHAR AS name, CASE source_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'checkbox' WHEN 2 THEN 'button' ELSE 'combobox' END AS type, 'v' AS value FROM M WHERE page = 0
-    UNION ALL SELECT source_id, page, CASE WHEN source_id % 2 = 0 THEN 'new' ELSE '' END, 'text', NULL FROM M WHERE page = 1) w JOIN M m USING (source_id, page) WHERE w.name <> '' AND w.type <> 'button'""")
+    SELECT source_id, page, 'f' || (source_id % 3)::VARCHAR AS name, CASE source_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'checkbox' WHEN 2 THEN 'button' ELSE 'combobox' END AS type, 'v' AS value FROM M WHERE page % 2 = 0
+    UNION ALL SELECT source_id, page, CASE WHEN source_id % 2 = 0 THEN 'new' ELSE '' END, 'text', NULL FROM M WHERE page % 2 = 1) w JOIN M m USING (source_id, page) WHERE w.name <> '' AND w.type <> 'button'""")
 def _(t):
     m = t.manifest
     kind = F.when(F.col("source_id") % 4 == 0, "text").when(F.col("source_id") % 4 == 1, "checkbox").when(F.col("source_id") % 4 == 2, "button").otherwise("combobox")
-    stored = m.where("page = 0").select("source_id", "page", F.concat(F.lit("f"), (F.col("source_id") % 3).cast("string")).alias("name"), kind.alias("type"), F.lit("v").alias("value"))
-    placed = m.where("page = 1").select("source_id", "page", F.when(F.col("source_id") % 2 == 0, "new").otherwise("").alias("name"), F.lit("text").alias("type"), F.lit(None).cast("string").alias("value"))
+    stored = m.where("page % 2 = 0").select("source_id", "page", F.concat(F.lit("f"), (F.col("source_id") % 3).cast("string")).alias("name"), kind.alias("type"), F.lit("v").alias("value"))
+    placed = m.where("page % 2 = 1").select("source_id", "page", F.when(F.col("source_id") % 2 == 0, "new").otherwise("").alias("name"), F.lit("text").alias("type"), F.lit(None).cast("string").alias("value"))
     return R.read_fields(stored, placed, m)
 
 
