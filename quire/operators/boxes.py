@@ -133,8 +133,9 @@ def nearest(points: DataFrame, targets: DataFrame, key: list[str], order: list[s
     ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     while True:
         cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        here = there if out is None else there.join(left.select(*key).distinct(), key, "left_semi")
         near = left.withColumn("r", ring).withColumns({"cx": cell("x") + F.col("r.i"), "cy": cell("y") + F.col("r.j")}).drop("r")
-        met = near.join(there.withColumns({"cx": cell("tx"), "cy": cell("ty")}), [*key, "cx", "cy"])
+        met = near.join(here.withColumns({"cx": cell("tx"), "cy": cell("ty")}), [*key, "cx", "cy"])
         d = (F.col("tx") - F.col("x")) * (F.col("tx") - F.col("x")) + (F.col("ty") - F.col("y")) * (F.col("ty") - F.col("y"))
         best = met.groupBy("event_id").agg(F.min(F.struct(d.alias("d"), *order)).alias("n"))
         last = size > whole

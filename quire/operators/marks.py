@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.boxes import joined, left_of, overlaps
+from quire.sources.readers import text_words
 
 LINE = ["page", "kind", "color", "line"]
 
@@ -223,11 +224,18 @@ def note_host(marks: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.select("probe_id").distinct().join(best, "probe_id", "left").select("probe_id", F.col("w.z").alias("z"))
 
 
-def nearest_word(points: DataFrame, words: DataFrame) -> DataFrame:
-    """event_id, line_no, word_no: the first word that holds the point(event_id, doc_id, page, x, y), its edges too, else the one whose middle has the least 4 dy^2 + dx^2; ties to the first."""
+def nearest_word(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """event_id, line_no, word_no: the first word that holds the point(event_id, doc_id, page, x, y), its edges too, else the one whose middle has the least 4 dy^2 + dx^2; ties to the first.
+
+    Only pages with points are split into words, once: the words are written, for every round over cells reads them.
+    """
     from quire.operators.boxes import nearest
+    from quire.sources.sinks import shared_path
 
-    at = words.select("doc_id", "page", "line_no", "word_no", "c0", "c1")
+    spark, path = points.sparkSession, shared_path(points.sparkSession, "words")
+    near = lines.join(points.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    text_words(near).select("doc_id", "page", "line_no", "word_no", "c0", "c1").write.parquet(path)
+    at = spark.read.parquet(path)
     held = points.withColumn("line_no", F.col("y")).join(at, ["doc_id", "page", "line_no"]).where("x BETWEEN c0 AND c1")
     held = held.groupBy("event_id").agg(F.min("word_no").alias("word_no"), F.first("line_no").alias("line_no")).select("event_id", "line_no", "word_no")
     middles = at.select("doc_id", "page", "line_no", "word_no", ((F.col("c0") + F.col("c1")) / 2).alias("x"), F.col("line_no").alias("y"))

@@ -396,7 +396,7 @@ def word_points(t: Tables) -> DataFrame:
 
 @query("j20_nearest_word", "P W", f"SELECT event_id, line_no, word_no FROM (SELECT event_id, line_no, word_no, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN line_no = y AND x BETWEEN c0 AND c1 THEN -1 ELSE 4 * (line_no - y) * (line_no - y) + pow((c0 + c1) / 2.0 - x, 2) END, line_no, word_no) AS n FROM {POINTS_W} JOIN W USING (doc_id, page)) WHERE n = 1")
 def _(t):
-    return A.nearest_word(word_points(t), t.words)
+    return A.nearest_word(word_points(t), t.lines)
 
 
 @query("j21_word_at", "P W", f"SELECT event_id, line_no, word_no FROM {POINTS_W} JOIN W USING (doc_id, page) WHERE line_no = y AND x >= c0 AND x < c1")
