@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +29,63 @@ def text_lines(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFra
     return rows.select("doc_id", "ln", F.floor(F.col("ln") / lines_per_page).cast("int").alias("page"), (F.col("ln") % lines_per_page).alias("line_no"), "line")
 
 
-def piece_starts(pieces: str, gap: str, chunk: int = 64) -> str:
-    """SQL for the column at which each of an array's pieces starts, `gap` characters apart: a running sum by chunks, so its cost grows with the array."""
-    chunks = f"transform(sequence(0, (size({pieces}) - 1) div {chunk}), k -> slice({pieces}, k * {chunk} + 1, {chunk}))"
-    sums = f"transform(cs, c -> aggregate(c, 0, (a, x) -> a + length(x) + {gap}))"
-    starts = f"aggregate({sums}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
-    inside = f"slice(aggregate(c, array(st[k]), (a, x) -> concat(a, array(element_at(a, -1) + length(x) + {gap}))), 1, size(c))"
-    return f"transform(array({chunks}), cs -> transform(array({starts}), st -> flatten(transform(cs, (c, k) -> {inside})))[0])[0]"
+def running(numbers: str, chunk: int = 8) -> str:
+    """SQL for what comes before each of an array's numbers: running sums by chunks of numbers and by stretches of 64 chunks.
+
+    An entry is the sum of the stretches, of the chunks of its stretch and of the numbers of its chunk before it, so the cost grows with the array; an array that
+    grows by a concat an entry is copied each time, so only the stretches are summed up that way.
+    """
+    total = lambda of: f"aggregate({of}, 0, (a, x) -> a + x)"
+    sums = lambda of, n: f"transform(sequence(0, (size({of}) - 1) div {n}), k -> {total(f'slice({of}, int(k * {n} + 1), {n})')})"
+    starts = "aggregate(tops, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    base = f"st[k div 64] + {total('slice(sums, int((k div 64) * 64 + 1), int(k % 64))')}"
+    inside = f"transform(array(slice(lens, int(k * {chunk} + 1), {chunk})), c -> transform(array({base}), b -> transform(c, (x, i) -> b + {total('slice(c, 1, i)')}))[0])[0]"
+    out = f"flatten(transform(sequence(0, size(sums) - 1), k -> {inside}))"
+    out = f"transform(array({starts}), st -> {out})[0]"
+    out = f"transform(array({sums('sums', 64)}), tops -> {out})[0]"
+    out = f"transform(array({sums('lens', chunk)}), sums -> {out})[0]"
+    return f"transform(array({numbers}), lens -> if(size(lens) = 0, lens, {out}))[0]"
+
+
+def piece_starts(pieces: str, gap: str) -> str:
+    """SQL for the column at which each of an array's pieces starts, `gap` characters apart."""
+    return running(f"transform({pieces}, x -> length(x) + {gap})")
 
 
 def line_words(lines: DataFrame) -> DataFrame:
     """doc_id, ln, page, line_no, word_no, word: the words between single blanks of each line, without their columns."""
-    return lines.select("doc_id", "ln", "page", "line_no", F.posexplode(F.filter(F.split("line", " ", -1), lambda x: x != "")).alias("word_no", "word"))
+    return lines.select("doc_id", "ln", "page", "line_no", F.posexplode_outer(F.filter(F.split("line", " ", -1), lambda x: x != "")).alias("word_no", "word")).where("word IS NOT NULL")
 
 
 def text_words(lines: DataFrame) -> DataFrame:
     """doc_id, ln, page, line_no, word_no, word, c0, c1: the words between single blanks of each line, with the columns they take."""
-    pieces = lines.select("doc_id", "ln", "page", "line_no", F.split("line", " ", -1).alias("pieces"))
-    placed = pieces.select("doc_id", "ln", "page", "line_no", F.expr(f"filter(zip_with(pieces, {piece_starts('pieces', '1')}, (p, s) -> struct(p AS word, s AS c0)), x -> x.word <> '')").alias("words"))
-    rows = placed.select("doc_id", "ln", "page", "line_no", F.posexplode("words").alias("word_no", "w"))
-    return rows.select("doc_id", "ln", "page", "line_no", "word_no", F.col("w.word").alias("word"), F.col("w.c0").alias("c0"), (F.col("w.c0") + F.length("w.word")).alias("c1"))
+
+    def cut(batch: pa.RecordBatch) -> Iterator:
+        """Stretches of a batch with some 4 MB of text each, a line at least."""
+        ends = np.cumsum(pc.binary_length(batch.column("line")).to_numpy().astype(np.int64)) >> 22
+        at = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1], True]) if len(ends) else []
+        for a, b in zip(at[:-1], at[1:]):
+            yield batch.slice(a, b - a)
+
+    def spans(batches: Iterator) -> Iterator:
+        """Lines to words, a batch at a time: pieces, their lengths and running sums are whole columns of the batch."""
+        for batch in (part for whole in batches for part in cut(whole)):
+            pieces = pc.split_pattern(batch.column("line"), " ")
+            words, row = pc.list_flatten(pieces), pc.list_parent_indices(pieces).to_numpy()
+            size = pc.utf8_length(words).to_numpy().astype(np.int64)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+            held = size > 0
+            start, nth = np.cumsum(size + 1) - size - 1, np.cumsum(held) - held
+            n = np.diff(np.r_[first, len(row)])
+            start, nth = start - np.repeat(start[first], n), nth - np.repeat(nth[first], n)
+            keep = pa.array(np.flatnonzero(held))
+            keys = batch.select(["doc_id", "ln", "page", "line_no"]).take(pa.array(row[held]))
+            own = [pa.array(nth[held].astype(np.int32)), words.take(keep), pa.array(start[held].astype(np.int32)), pa.array((start + size)[held].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*keys.columns, *own], names=[*keys.schema.names, "word_no", "word", "c0", "c1"])
+
+    rows = lines.select("doc_id", "ln", "page", "line_no", "line").where("line <> ''")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(spans, f"{kept}, word_no int, word string, c0 int, c1 int")
 
 
 def read_links(pages: DataFrame) -> DataFrame:

@@ -20,3 +20,10 @@ def test_nearest_word_splits_pages_with_points_once(spark):
     got = A.nearest_word(points, one_line(spark, "ab  cd e"))
     assert {r.event_id: r.word_no for r in got.collect()} == {1: 0, 2: 2}
     assert "MapInArrow" not in plan(got) and "split(" not in plan(got)
+
+
+def test_words_are_worked_out_once(spark):
+    df = R.text_words(one_line(spark, "a  bc İ 😀d "))
+    assert plan(df).count("MapInArrow") == 1 and "zip_with" not in plan(df)
+    assert [(r.word_no, r.word, r.c0, r.c1) for r in df.collect()] == [(0, "a", 0, 1), (1, "bc", 3, 5), (2, "İ", 6, 7), (3, "😀d", 8, 10)]
+    assert R.text_words(one_line(spark, None)).count() == R.text_words(one_line(spark, "  ")).count() == R.text_words(one_line(spark, "")).count() == 0
