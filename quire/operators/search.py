@@ -236,11 +236,11 @@ def review(hits: DataFrame, unticked: DataFrame) -> DataFrame:
 def apply_redactions(lines: DataFrame, boxes: DataFrame, fill: str | None = None) -> DataFrame:
     """Lines with the text under boxes(doc_id, page, line_no, c0, c1) taken out; with fill, each cut leaves that text alone, whatever its length.
 
-    A line's boxes are merged and cut from its end, in one fold; lines without boxes aren't touched.
+    A line's boxes that overlap are merged, those that only touch are cuts of their own; all are cut from the line's end, in one fold. Lines without boxes aren't touched.
     """
     spans = boxes.groupBy("doc_id", "page", "line_no").agg(F.array_sort(F.collect_set(F.struct("c0", "c1"))).alias("spans"))
     rows = lines.join(spans, ["doc_id", "page", "line_no"], "left")
-    merge = "aggregate(spans, cast(array() AS array<struct<c0:int,c1:int>>), (a, x) -> if(size(a) > 0 AND x.c0 <= a[size(a) - 1].c1, concat(slice(a, 1, size(a) - 1), array(named_struct('c0', a[size(a) - 1].c0, 'c1', greatest(a[size(a) - 1].c1, x.c1)))), concat(a, array(named_struct('c0', x.c0, 'c1', x.c1)))))"
+    merge = "aggregate(spans, cast(array() AS array<struct<c0:int,c1:int>>), (a, x) -> if(size(a) > 0 AND x.c0 < a[size(a) - 1].c1, concat(slice(a, 1, size(a) - 1), array(named_struct('c0', a[size(a) - 1].c0, 'c1', greatest(a[size(a) - 1].c1, x.c1)))), concat(a, array(named_struct('c0', x.c0, 'c1', x.c1)))))"
     mark = (fill or "").replace("'", "''")
     cut = f"aggregate(reverse(merged), line, (s, x) -> concat(substring(s, 1, x.c0), '{mark}', substring(s, x.c1 + 1)))"
     typed = rows.withColumn("spans", F.col("spans").cast("array<struct<c0:int,c1:int>>")).withColumn("merged", F.expr(merge))

@@ -27,3 +27,9 @@ def test_words_are_worked_out_once(spark):
     assert plan(df).count("MapInArrow") == 1 and "zip_with" not in plan(df)
     assert [(r.word_no, r.word, r.c0, r.c1) for r in df.collect()] == [(0, "a", 0, 1), (1, "bc", 3, 5), (2, "İ", 6, 7), (3, "😀d", 8, 10)]
     assert R.text_words(one_line(spark, None)).count() == R.text_words(one_line(spark, "  ")).count() == R.text_words(one_line(spark, "")).count() == 0
+
+
+def test_boxes_that_touch_are_cuts_of_their_own(spark):
+    t = one_line(spark, "xthethey")
+    assert Q.apply_redactions(t, Q.search(t, "the"), fill="#").first().line == "x##y"
+    assert Q.apply_redactions(t, Q.search(t, "the")).first().line == "xy"
