@@ -80,8 +80,19 @@ def create_fields(new: DataFrame) -> DataFrame:
 
 
 def link_graph(pages: DataFrame, hrefs: DataFrame) -> DataFrame:
-    """from_page, to_page, links: which held page links to which, by normalised path."""
-    return hrefs.join(pages, "key").groupBy("from_page", "to_page").agg(F.count("*").alias("links"))
+    """from_page, to_page, links: which held page links to which, by normalised path.
+
+    A path that many pages link to and many pages hold makes as many rows as it has pairs, so nothing is grouped after that join: links are counted by page and path
+    before it, and a path's linking pages are dealt to 16 parts. Only pages held at several paths are summed once more.
+    """
+    sent = hrefs.groupBy("from_page", "key").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("from_page"), F.lit(16)))
+    held = pages.where("key IS NOT NULL").groupBy("to_page", "key").agg(F.count("*").alias("m")).groupBy("to_page").agg(F.collect_list(F.struct("key", "m")).alias("at"))
+    held = held.select("to_page", (F.size("at") > 1).alias("several"), F.explode("at").alias("at")).select("to_page", "several", "at.*")
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    links = (F.col("n") * F.col("m")).alias("links")
+    once = sent.join(held.where("NOT several"), ["key", "part"]).select("from_page", "to_page", links)
+    more = sent.join(held.where("several"), ["key", "part"]).select("from_page", "to_page", links)
+    return once.unionByName(more.groupBy("from_page", "to_page").agg(F.sum("links").alias("links")))
 
 
 _CHUNK = 8  # bits: entries of one chunk have seq >> 8 in common

@@ -33,3 +33,12 @@ def test_boxes_that_touch_are_cuts_of_their_own(spark):
     t = one_line(spark, "xthethey")
     assert Q.apply_redactions(t, Q.search(t, "the"), fill="#").first().line == "x##y"
     assert Q.apply_redactions(t, Q.search(t, "the")).first().line == "xy"
+
+
+def test_link_graph_groups_nothing_after_its_join(spark):
+    pages = spark.createDataFrame([(1, "/a"), (2, "/a"), (3, "/b"), (3, "/a"), (4, None), (2, "/a")], "to_page long, key string")
+    hrefs = spark.createDataFrame([(1, "/a"), (1, "/a"), (2, "/b"), (2, "/a"), (5, None)], "from_page long, key string")
+    got = K.link_graph(pages, hrefs)
+    want = hrefs.join(pages, "key").groupBy("from_page", "to_page").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert plan(got).startswith("Union")
