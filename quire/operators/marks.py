@@ -55,20 +55,12 @@ def reorder_jump(marks: DataFrame, front: bool) -> DataFrame:
 
 def reorder_step(marks: DataFrame, forward: bool) -> DataFrame:
     """Each selected mark past its nearest unselected neighbour; neighbours that are selected move together."""
-    sign = 1 if forward else -1
+    sign, sel = 1 if forward else -1, F.coalesce("sel", F.lit(False))
     w = Window.partitionBy("page").orderBy(F.col("z") * sign)
-    run = F.sum((~F.col("sel")).cast("int")).over(w)  # a selected run goes with the unselected mark before it
-    rows = marks.withColumn("i", F.row_number().over(w)).withColumn("run", run)
-    start = F.min(F.when(F.col("sel"), F.col("i"))).over(Window.partitionBy("page", "run"))
-    before = F.lag("sel").over(w)
-    rows = rows.withColumns({"start": start, "before": before})
-    rows = rows.withColumn("prev_start", F.lag("start").over(w))
-    key = F.when(~F.col("sel") & F.coalesce("before", F.lit(False)), F.col("prev_start") - 0.5).otherwise(F.col("i").cast("double"))
-    ordered = Window.partitionBy("page").orderBy("key")
-    n = F.count("*").over(Window.partitionBy("page"))
-    place = F.row_number().over(ordered)
-    rows = rows.withColumn("key", key)
-    return rows.withColumn("z", place - 1 if forward else n - place).drop("i", "run", "start", "before", "prev_start", "key")
+    passed = F.sum((~sel).cast("int")).over(w)  # a selected run comes behind the unselected mark after it
+    rows = marks.withColumn("key", passed + sel.cast("int"))
+    place, n = F.row_number().over(Window.partitionBy("page").orderBy("key", sel, F.col("z") * sign)), F.count("*").over(Window.partitionBy("page"))
+    return rows.withColumn("z", place - 1 if forward else n - place).drop("key")
 
 
 #: Kinds that are placed freely and so can be moved and scaled; text markup belongs to its text.

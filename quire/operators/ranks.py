@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BITS = 12
 
 
+def dealt(df: DataFrame, *by: str, rows: int = 250_000) -> DataFrame:
+    """df dealt by the columns to partitions of some `rows` rows each, by a count, so that a task's windows sort that many, however many there are in all."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows + 1), *by)
+
+
 def _before(window: Window, weight: str) -> Column:
     return F.coalesce(F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.manifest import CROP
+from quire.operators.ranks import dealt
 from quire.sources.readers import LINES_PER_PAGE, text_lines, text_words
 
 
@@ -60,7 +61,7 @@ class Tables:
 
     @property
     def bars(self) -> DataFrame:
-        li = self["lineitem"]
+        li = dealt(self["lineitem"], "l_orderkey")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
         z = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
         kind = F.when(F.col("l_returnflag") == "A", "highlight").when(F.col("l_returnflag") == "N", "underline").otherwise("ink")

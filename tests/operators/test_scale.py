@@ -42,3 +42,14 @@ def test_link_graph_groups_nothing_after_its_join(spark):
     want = hrefs.join(pages, "key").groupBy("from_page", "to_page").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert plan(got).startswith("Union")
+
+
+def test_reorder_step_sorts_twice(spark):
+    marks = spark.createDataFrame([(1, z, s) for z, s in enumerate([True, False, True, True, False, True])], "page long, z int, sel boolean").withColumnRenamed("z", "was").selectExpr("*", "was AS z")
+    place = lambda forward: [r.was for r in A.reorder_step(marks, forward).orderBy("z").collect()]
+    assert place(True) == [1, 0, 4, 2, 3, 5] and place(False) == [0, 2, 3, 1, 5, 4]
+    assert A.reorder_step(marks, True)._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 3
+
+
+def test_dealt_grows_with_rows(spark):
+    assert ranks.dealt(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 101
