@@ -235,10 +235,11 @@ def nearest_word(points: DataFrame, lines: DataFrame) -> DataFrame:
     return held.unionByName(others)
 
 
-def word_at(points: DataFrame, words: DataFrame) -> DataFrame:
-    """The word that holds the point, if there is one."""
-    met = points.join(words, (points["doc_id"] == words["doc_id"]) & (points["page"] == words["page"]) & (F.col("y") == F.col("line_no")))
-    return met.where("x >= c0 AND x < c1").select("event_id", "line_no", "word_no")
+def word_at(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """The word that holds the point, if there is one. Points meet whole lines, not words; a word's number is how many begin in the line up to the point."""
+    at = lines.select("doc_id", "page", F.col("line_no").alias("y"), "line_no", "line")
+    met = points.withColumn("x", F.floor("x").cast("int")).join(at, ["doc_id", "page", "y"]).where("x >= 0 AND x < length(line) AND substring(line, x + 1, 1) <> ' '")
+    return met.select("event_id", "line_no", F.expr("size(filter(split(substring(line, 1, x + 1), ' ', -1), w -> w <> '')) - 1").alias("word_no"))
 
 
 def annotation_rows(passages: DataFrame, clip_passage: int = 48, clip_note: int = 32) -> DataFrame:

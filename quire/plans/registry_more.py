@@ -401,7 +401,7 @@ def _(t):
 
 @query("j21_word_at", "P W", f"SELECT event_id, line_no, word_no FROM {POINTS_W} JOIN W USING (doc_id, page) WHERE line_no = y AND x >= c0 AND x < c1")
 def _(t):
-    return A.word_at(word_points(t), t.words)
+    return A.word_at(word_points(t), t.lines)
 
 
 #: Every third text mark is a probe over all marks.

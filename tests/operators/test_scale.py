@@ -53,3 +53,10 @@ def test_reorder_step_sorts_twice(spark):
 
 def test_dealt_grows_with_rows(spark):
     assert ranks.dealt(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 101
+
+
+def test_word_at_meets_lines(spark):
+    points = spark.createDataFrame([(x + 1, 0, 0, x, 0) for x in range(-1, 9)], "event_id long, doc_id long, page int, x long, y long")
+    got = A.word_at(points, one_line(spark, "ab  cd😀 e"))
+    assert {r.event_id - 1: r.word_no for r in got.collect()} == {0: 0, 1: 0, 4: 1, 5: 1, 6: 1, 8: 2}
+    assert "MapInArrow" not in plan(got) and "word" in got.columns[-1]
