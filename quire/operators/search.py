@@ -209,6 +209,14 @@ def selected_text(words: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", F.array_join(F.col("l.t"), "\n").alias("content"))
 
 
+def lines_text(lines: DataFrame) -> DataFrame:
+    """doc_id, page, content: `selected_text` of all words of lines (see `line_texts`). Lines of one number on a page, as of repeated documents, are put together by word."""
+    rows = lines.groupBy("doc_id", "page").agg(F.collect_list(F.struct(F.col("line_no").alias("n"), F.col("words").alias("t"))).alias("ls"))
+    several = "transform(array_sort(flatten(transform(filter(ls, x -> x.n = n), x -> transform(split(x.t, ' ', -1), (w, i) -> named_struct('i', i, 'w', w))))), y -> y.w)"
+    merged = f"transform(array_sort(array_distinct(ls.n)), n -> array_join({several}, ' '))"
+    return rows.select("doc_id", "page", F.expr(f"array_join(if(size(ls) = size(array_distinct(ls.n)), transform(array_sort(ls), x -> x.t), {merged}), '\n')").alias("content"))
+
+
 def words_under(boxes: DataFrame, words: DataFrame) -> DataFrame:
     """Words that strictly overlap a box(doc_id, page, line_no, b0, b1) of their line."""
     return words.join(boxes.select("doc_id", "page", "line_no", "b0", "b1"), ["doc_id", "page", "line_no"]).where("c0 < b1 AND b0 < c1")

@@ -106,7 +106,7 @@ def _(t):
 
 @query("q13_selected_text", "W", "SELECT doc_id, page, string_agg(l, chr(10) ORDER BY line_no) AS content FROM (SELECT doc_id, page, line_no, string_agg(word, ' ' ORDER BY word_no) AS l FROM W GROUP BY ALL) GROUP BY doc_id, page")
 def _(t):
-    return Q.selected_text(R.line_words(t.lines))
+    return Q.lines_text(R.line_texts(t.lines))
 
 
 @query("q14_invalidate_results", "E", "SELECT doc, event_id, coalesce((SELECT max((ts, event_id)) FROM E e WHERE e.doc = s.doc AND e.op = 'purchase') > (s.ts, s.event_id), false) AS void FROM E s WHERE op = 'view'")

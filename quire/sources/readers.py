@@ -57,6 +57,12 @@ def line_words(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "ln", "page", "line_no", F.posexplode_outer(F.filter(F.split("line", " ", -1), lambda x: x != "")).alias("word_no", "word")).where("word IS NOT NULL")
 
 
+def line_texts(lines: DataFrame) -> DataFrame:
+    """doc_id, ln, page, line_no, words: lines with words, these one blank apart in one text, so that what keeps whole lines needs no row for each word."""
+    rows = lines.where("replace(line, ' ', '') <> ''")
+    return rows.select("doc_id", "ln", "page", "line_no", F.array_join(F.filter(F.split("line", " ", -1), lambda x: x != ""), " ").alias("words"))
+
+
 def text_words(lines: DataFrame) -> DataFrame:
     """doc_id, ln, page, line_no, word_no, word, c0, c1: the words between single blanks of each line, with the columns they take."""
 

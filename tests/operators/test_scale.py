@@ -60,3 +60,11 @@ def test_word_at_meets_lines(spark):
     got = A.word_at(points, one_line(spark, "ab  cd😀 e"))
     assert {r.event_id - 1: r.word_no for r in got.collect()} == {0: 0, 1: 0, 4: 1, 5: 1, 6: 1, 8: 2}
     assert "MapInArrow" not in plan(got) and "word" in got.columns[-1]
+
+
+def test_whole_lines_need_no_row_a_word(spark):
+    rows = [(0, 0, 0, 0, "a  b"), (0, 1, 0, 1, "  "), (0, 2, 0, 2, "c"), (1, 0, 0, 0, "x y"), (1, 0, 0, 0, "u v w")]
+    lines = spark.createDataFrame(rows, "doc_id long, ln int, page int, line_no int, line string")
+    got = Q.lines_text(R.line_texts(lines))
+    assert sorted(got.collect()) == sorted(Q.selected_text(R.line_words(lines)).collect())
+    assert "Generate" not in plan(got)
