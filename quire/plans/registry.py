@@ -143,7 +143,7 @@ def _(t):
     d = t["documents"]
     marks = d.select("doc_id", F.lit(0).alias("page"), F.lit(1).alias("z"), F.concat(F.lit("note on "), "lang").alias("note"))
     fills = d.select("doc_id", F.lit(0).alias("page"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("value"))
-    return W.flatten(R.line_words(t.lines), marks, fills)
+    return W.flatten(R.line_texts(t.lines), marks, fills)
 
 
 @query("s14_size_report", "L", """SELECT source AS vdoc, sum(octet_length(line::BLOB))::BIGINT AS bytes_before, sum(CASE WHEN ln % 2 = 0 THEN octet_length(line::BLOB) ELSE 0 END)::BIGINT AS bytes_after,

@@ -68,3 +68,15 @@ def test_whole_lines_need_no_row_a_word(spark):
     got = Q.lines_text(R.line_texts(lines))
     assert sorted(got.collect()) == sorted(Q.selected_text(R.line_words(lines)).collect())
     assert "Generate" not in plan(got)
+
+
+def test_flatten_keeps_lines_whole(spark):
+    from quire.sources import sinks as W
+
+    rows = [(0, 0, 0, 0, "a  b"), (0, 2, 0, 2, "c"), (1, 0, 0, 0, "x y"), (1, 0, 0, 0, "u v w")]
+    lines = R.line_texts(spark.createDataFrame(rows, "doc_id long, ln int, page int, line_no int, line string"))
+    marks = spark.createDataFrame([(0, 0, 1, "n o"), (2, 0, 1, "m")], "doc_id long, page int, z int, note string")
+    fills = spark.createDataFrame([(0, 0, "f"), (1, 0, None)], "doc_id long, page int, value string")
+    got = W.flatten(lines, marks, fills)
+    assert {r.doc_id: r.content for r in got.collect()} == {0: "a b c n o f", 1: "u x v y w", 2: "m"}
+    assert "Generate" not in plan(got)
