@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices
+from .common import let_go, materialise, text_slices
 
 _WORDS = re.compile(r"[^\W_]+")
 #: Code points of one block of items: what a task holds of the benchmark at a time.
@@ -148,6 +148,7 @@ def find_items(docs: DataFrame, items: DataFrame, share: float = 0.1, shortest:
     for held, more in _blocks(items):
 
         def scan(batches, held=held):
+            let_go()
             index = ItemBlock(held, share, shortest)
             for batch in batches:
                 for piece in text_slices(batch, "text"):
@@ -178,6 +179,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.1, sho
     for held, more in _blocks(items):
 
         def clean(batches, held=held):
+            let_go()
             index = ItemBlock(held, share, shortest)
             for batch in batches:
                 for piece in text_slices(batch, "text"):

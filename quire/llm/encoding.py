@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import lower_ascii
+from .common import kept, lower_ascii
 
 _WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 _PER_CALL = 256
-_encoders: dict[str, ChunkEncoder] = {}
+ENTRIES = 800_000
 
 
 def default_tokenizer() -> str:
@@ -29,17 +29,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_entries: int = ENTRIES) -> ChunkEncoder:
+    """One encoder a Python worker; it forgets its chunks when it holds more than cache_entries."""
+    return kept(("encoder", path, cache_entries), lambda: ChunkEncoder(path, cache_entries))
 
 
 class ChunkEncoder:
     """Encodes for tokenizers that lower-case, normalise to NFC, split at white space and mark word ends with </w>."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, text_slices
+from .common import let_go, lower_ascii, materialise, text_slices
 from .graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,6 +110,7 @@ def explode_bands(sketches: DataFrame) -> DataFrame:
     """rep, band: a row for each band of registers, dealt by band."""
 
     def explode(batches):
+        let_go()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
@@ -137,6 +138,7 @@ def sketch_texts(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, raw (a hash of the text), digest (of the words in order), n_shingles, registers for each row of rows(doc_id, text)."""
 
     def sketch(batches):
+        let_go()
         known: dict[str, int] = {}
         for batch in batches:
             for piece in text_slices(batch, "text"):
@@ -169,6 +171,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     one = lambda c: sketches.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
 
     def judge(batches):
+        let_go()
         for batch in batches:
             if batch.num_rows:
                 a, b = (from_bytes(batch[c].to_pylist()) for c in ("r_u", "r_v"))
@@ -182,6 +185,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     """The pairs(u, v) that are links on their whole sets: 100 * common >= threshold * all."""
 
     def judge(batches):
+        let_go()
         for batch in batches:
             keep = []
             for a, b in zip(batch["t_u"].to_pylist(), batch["t_v"].to_pylist(), strict=True):
@@ -206,6 +210,7 @@ def prefix_pairs(texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """
 
     def explode(batches):
+        let_go()
         import xxhash
 
         for batch in batches:

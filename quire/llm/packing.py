@@ -18,21 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_slices
-from .encoding import default_tokenizer, encoder
+from .encoding import ENTRIES, default_tokenizer, encoder
 
 
-def token_pieces(docs: DataFrame, limit: int = 4096, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, limit: int = 4096, tokenizer: str | None = None, end_id: int = 1, cache_entries: int = ENTRIES, slice_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of docs(doc_id, text): ids, then end_id, cut at `limit`.
 
-    Null and empty texts give one piece that holds end_id alone; repeated rows give pieces of their own.
+    Null and empty texts give one piece that holds end_id alone; repeated rows give pieces of their own. A worker keeps the ids of so many
+    chunks and encodes so many bytes at once: less of either takes less memory and more time, for the same pieces.
     """
     tokenizer = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
-                ids, sizes = encoder(tokenizer).encode(part["text"])
+            for part in text_slices(batch, "text", slice_bytes):
+                ids, sizes = encoder(tokenizer, cache_entries).encode(part["text"])
                 raw, at = memoryview(ids.astype("<u4").tobytes()), 0
                 names, rows = part["doc_id"].to_pylist(), []
                 for doc_id, size in zip(names, sizes.tolist(), strict=True):

@@ -13,9 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import kept, text_slices
 
-_models: dict[str, UnigramCounter] = {}
 
 
 def default_vocabulary() -> str:
@@ -99,11 +98,10 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def counts(batches):
-        if path not in _models:
-            _models[path] = UnigramCounter(read_vocabulary(path))
+        model = kept(("unigram", path), lambda: UnigramCounter(read_vocabulary(path)))
         for batch in batches:
             for piece in text_slices(batch, "text"):
-                n, score = _models[path].column(piece["text"])
+                n, score = model.column(piece["text"])
                 yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(n), pa.array(score)], names=["doc_id", "n_tokens", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(counts, "doc_id long, n_tokens long, score double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices
+from .common import kept, let_go, materialise, text_slices
 
 _ENTROPY_END = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"  # the repeat offsets that end a dictionary's header
 _STEPS = 12  # a window's difference counts up to so many bytes
@@ -91,6 +91,7 @@ def runs(text: str | None, telling: np.ndarray) -> list[bytes]:
 
 def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """piece, kind, n: how many texts of each half and label hold each piece, by slices of a batch that hold a bounded amount of text."""
+    let_go()
     for batch in (part for whole in batches for part in text_slices(whole, "text", 1 << 20)):
         held: dict[int, list[np.ndarray]] = {}
         for kind, text in zip(batch["kind"].to_pylist(), batch["text"], strict=True):
@@ -205,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     telling = telling_pieces(rows, settings)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part, toxic, text in zip(*(batch[c].to_pylist() for c in ("part", "toxic", "text")), strict=True):
                 for name, halves in _FITS.items():
@@ -260,15 +262,8 @@ def score(docs: DataFrame, model: ToxicityModel | None, column: str = "toxicity"
     return docs.withColumn(column, scored("text"))
 
 
-_comparers: dict[tuple[int, int], Comparer] = {}
-
-
 def _comparer(ordinary: bytes, toxic: bytes, settings: Settings) -> Comparer:
-    key = hash(ordinary), hash((toxic, settings))
-    if key not in _comparers:
-        _comparers.clear()
-        _comparers[key] = Comparer(ordinary, toxic, settings)
-    return _comparers[key]
+    return kept(("comparer", ordinary, toxic, settings), lambda: Comparer(ordinary, toxic, settings))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
