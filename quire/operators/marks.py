@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.boxes import joined, left_of, overlaps
+from quire.operators.ranks import dealt
 from quire.sources.readers import text_words
 
 LINE = ["page", "kind", "color", "line"]
@@ -26,20 +27,30 @@ def subtract_bars(bars: DataFrame, cutters: DataFrame, key: list[str], least: fl
     """What the cutters(key, k0, k1) leave of the bars; pieces narrower than `least` are gone, in lines that a cutter is on."""
     merged = union_bars(cutters.select(*key, F.col("k0").alias("x0"), F.col("k1").alias("x1")), key)
     spans = merged.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("cuts"))  # a line's merged spans
+    return _left(bars.join(spans, key, "left"), least)
+
+
+def _left(rows: DataFrame, least: float = 1.0) -> DataFrame:
+    """What is left of bars by their sorted, disjoint `cuts`; bars without any (null) stay as they are."""
     pieces = """filter(transform(sequence(0, size(cuts)), i -> named_struct(
         'x0', greatest(x0, if(i = 0, x0, cuts[greatest(i - 1, 0)].x1)), 'x1', least(x1, if(i = size(cuts), x1, cuts[least(i, size(cuts) - 1)].x0)))), p -> p.x1 - p.x0 >= {least})""".replace("{least}", repr(float(least)))
-    rows = bars.join(spans, key, "left")
     whole = F.array(F.struct("x0", "x1"))
     return rows.withColumn("p", F.explode(F.when(F.col("cuts").isNull(), whole).otherwise(F.expr(pieces)))).withColumns({"x0": F.col("p.x0"), "x1": F.col("p.x1")}).drop("p", "cuts")
 
 
 def merge_one_paint(bars: DataFrame, paint: DataFrame) -> DataFrame:
     """One paint(page, kind, color, line, x0, x1) over normalised bars: bars of its colour join it, others are trimmed by it."""
-    same = bars.join(paint.select(*LINE).distinct(), LINE, "left_semi")
-    other_color = paint.select("page", "kind", "line", F.col("color").alias("paint_color"), F.col("x0").alias("k0"), F.col("x1").alias("k1"))
-    kept = bars.join(paint.select(*LINE).distinct(), LINE, "left_anti")
-    trimmed = subtract_bars(kept, other_color, ["page", "kind", "line"])
-    return union_bars(same.select(*LINE, "x0", "x1").unionByName(paint.select(*LINE, "x0", "x1"))).unionByName(trimmed.select(*LINE, "x0", "x1"))
+    both = bars.select(*LINE, "x0", "x1", F.lit(False).alias("_paint")).unionByName(paint.select(*LINE, "x0", "x1", F.lit(True).alias("_paint")))
+    rows = dealt(both, "page", "kind", "line")  # once, by a count: a line's colours stand together, and nothing is joined
+    w = Window.partitionBy("page", "kind", "line")
+    known = F.col("page").isNotNull() & F.col("kind").isNotNull() & F.col("line").isNotNull()
+    rows = rows.withColumns({"_colors": F.collect_set(F.when(F.col("_paint") & known, F.col("color"))).over(w), "_spans": F.collect_list(F.when(F.col("_paint") & known, F.struct("x0", "x1"))).over(w)})
+    own = F.col("_paint") | F.coalesce(F.array_contains("_colors", F.col("color")), F.lit(False))
+    span = rows.schema["_spans"].dataType.simpleString()
+    grown = "concat(slice(a, 1, size(a) - 1), array(named_struct('x0', a[size(a) - 1].x0, 'x1', greatest(a[size(a) - 1].x1, c.x1))))"
+    merged = F.expr(f"aggregate(array_sort(_spans), cast(array() AS {span}), (a, c) -> if(size(a) > 0 AND c.x0 <= a[greatest(size(a) - 1, 0)].x1 + 0.01, {grown}, concat(a, array(c))))")
+    trimmed = _left(rows.where(~own).withColumn("cuts", F.when(F.size("_spans") > 0, merged)))
+    return union_bars(rows.where(own).select(*LINE, "x0", "x1")).unionByName(trimmed.select(*LINE, "x0", "x1"))
 
 
 def remove_markup(bars: DataFrame, eraser: DataFrame) -> DataFrame:

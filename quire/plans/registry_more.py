@@ -224,7 +224,11 @@ NORMAL = """n AS (SELECT page, kind, color, line, min(x0) AS x0, max(x1) AS x1 F
     every AS (SELECT DISTINCT * FROM same UNION ALL SELECT DISTINCT * FROM other WHERE x < 20 OR x >= 60)
     SELECT page, kind, color, line, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY page, kind, color, line ORDER BY x) AS g FROM every) GROUP BY page, kind, color, line, g""")
 def _(t):
-    n = A.union_bars(t.bars.where("kind <> 'ink'"))
+    from quire.sources.sinks import shared_path
+
+    path, n = shared_path(t.spark, "normalised"), A.union_bars(t.bars.where("kind <> 'ink'"))
+    n.write.parquet(path)  # read twice
+    n = t.spark.read.schema(n.schema).parquet(path)
     paint = n.select("page", "kind", F.lit("F").alias("color"), "line").distinct().withColumns({"x0": F.lit(20).cast("long"), "x1": F.lit(60).cast("long")})
     return A.merge_one_paint(n, paint)
 

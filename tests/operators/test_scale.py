@@ -80,3 +80,12 @@ def test_flatten_keeps_lines_whole(spark):
     got = W.flatten(lines, marks, fills)
     assert {r.doc_id: r.content for r in got.collect()} == {0: "a b c n o f", 1: "u x v y w", 2: "m"}
     assert "Generate" not in plan(got)
+
+
+def test_one_paint_joins_nothing(spark):
+    bars = spark.createDataFrame([(1, "h", "F", 1, 0, 10), (1, "h", "O", 1, 5, 70), (1, "h", "O", 2, 0, 9), (1, "u", "O", 1, 0, 9), (None, "h", "O", 1, 1, 50), (2, "h", "O", 1, 20, 60)], "page long, kind string, color string, line long, x0 long, x1 long")
+    paint = spark.createDataFrame([(1, "h", "F", 1, 8, 30), (1, "h", "F", 1, 40, 50), (1, "h", "G", 1, 25, 35), (None, "h", "F", 1, 20, 30), (2, "h", "F", 1, 10, 61)], "page long, kind string, color string, line long, x0 long, x1 long")
+    got = A.merge_one_paint(bars, paint)
+    want = [(1, "h", "F", 1, 0, 30), (1, "h", "F", 1, 40, 50), (1, "h", "G", 1, 25, 35), (1, "h", "O", 1, 5, 8), (1, "h", "O", 1, 35, 40), (1, "h", "O", 1, 50, 70), (1, "h", "O", 2, 0, 9), (1, "u", "O", 1, 0, 9), (None, "h", "O", 1, 1, 50), (None, "h", "F", 1, 20, 30), (2, "h", "F", 1, 10, 61)]
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(want, got.schema).collect()))
+    assert "Join" not in plan(got)
