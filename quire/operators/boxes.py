@@ -91,21 +91,26 @@ def subtract_boxes(bars: DataFrame, cutters: DataFrame, key: list[str], least: f
     return rows.select(*[c for c in bars.columns if c not in ("x0", "y0", "x1", "y1")], "_p.*")
 
 
+def _there(df: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of df under keys that others has, so that no cells are dealt out for pages that can't meet anything."""
+    return df.join(others.select(*key).distinct(), key, "left_semi")
+
+
 def words_under_boxes(boxes: DataFrame, words: DataFrame, key: list[str], size: float = 64.0) -> DataFrame:
     """Rows of boxes(key, box_id, x0, y0, x1, y1) with the words(key, ..., x0, y0, x1, y1) that they strictly overlap."""
     a = boxes.select(*key, "box_id", *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    return box_pairs(a, words, key, size).drop("ax0", "ay0", "ax1", "ay1")
+    return box_pairs(a, _there(words, boxes, key), key, size).drop("ax0", "ay0", "ax1", "ay1")
 
 
 def exclude_boxes(hits: DataFrame, overlays: DataFrame, key: list[str], hit: list[str], size: float = 64.0) -> DataFrame:
     """Hits(key, x0, y0, x1, y1), told apart by the columns `hit`, less those whose centre lies in an overlay, edges too."""
     middle = hits.select(*key, *[h for h in hit if h not in key], ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return hits.join(point_pairs(middle, overlays, key, size).select(*hit).distinct(), hit, "left_anti")
+    return hits.join(point_pairs(_there(middle, overlays, key), overlays, key, size).select(*hit).distinct(), hit, "left_anti")
 
 
 def hit_test_boxes(points: DataFrame, marks: DataFrame, key: list[str], pad: float = 0.0, size: float = 64.0) -> DataFrame:
     """event_id, z, own of the topmost mark(key, z, own, x0, y0, x1, y1) that holds each point(key, event_id, x, y); own marks before others."""
-    met = point_pairs(points, marks, key, size, pad)
+    met = point_pairs(points, _there(marks, points, key), key, size, pad)
     return met.groupBy("event_id").agg(F.max(F.struct("own", "z")).alias("top")).select("event_id", "top.z", "top.own")
 
 

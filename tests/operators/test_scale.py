@@ -89,3 +89,13 @@ def test_one_paint_joins_nothing(spark):
     want = [(1, "h", "F", 1, 0, 30), (1, "h", "F", 1, 40, 50), (1, "h", "G", 1, 25, 35), (1, "h", "O", 1, 5, 8), (1, "h", "O", 1, 35, 40), (1, "h", "O", 1, 50, 70), (1, "h", "O", 2, 0, 9), (1, "u", "O", 1, 0, 9), (None, "h", "O", 1, 1, 50), (None, "h", "F", 1, 20, 30), (2, "h", "F", 1, 10, 61)]
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(want, got.schema).collect()))
     assert "Join" not in plan(got)
+
+
+def test_cells_are_dealt_out_for_pages_that_both_sides_have(spark):
+    from quire.operators import boxes as X
+
+    boxes = spark.createDataFrame([(1, 7, 0.0, 0.0, 30.0, 12.0)], "page long, box_id long, x0 double, y0 double, x1 double, y1 double")
+    words = spark.createDataFrame([(1, 0, 5.0, 5.0, 9.0, 9.0), (2, 0, 5.0, 5.0, 9.0, 9.0)], "page long, z int, x0 double, y0 double, x1 double, y1 double")
+    got = X.words_under_boxes(boxes, words, ["page"])
+    assert [(r.box_id, r.page, r.z) for r in got.collect()] == [(7, 1, 0)]
+    assert "LeftSemi" in plan(got)
