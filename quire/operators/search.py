@@ -260,6 +260,13 @@ def leak_check(redacted: DataFrame, terms: DataFrame) -> DataFrame:
 
     Words are counted first, then each distinct word is checked for the terms once: neither lines times terms nor a limit on the terms.
     """
+    from quire.sources.sinks import shared_path
+
+    # Redacting is most of the work and the lines are looked at three times: they are written once.
+    path = shared_path(redacted.sparkSession, "redacted-lines")
+    redacted = redacted.select("doc_id", "ln", "page", "line_no", "line")
+    redacted.write.parquet(path)
+    redacted = redacted.sparkSession.read.schema(redacted.schema).parquet(path)
     out = terms.select("term").distinct()
     tokens = line_words(redacted).groupBy(F.lower("word").alias("token")).agg(F.count("*").alias("n"))
     met = _term_tokens(tokens.select("token"), out)

@@ -99,3 +99,11 @@ def test_cells_are_dealt_out_for_pages_that_both_sides_have(spark):
     got = X.words_under_boxes(boxes, words, ["page"])
     assert [(r.box_id, r.page, r.z) for r in got.collect()] == [(7, 1, 0)]
     assert "LeftSemi" in plan(got)
+
+
+def test_leak_check_redacts_once(spark):
+    t = one_line(spark, "the of a thing of a")
+    terms = spark.createDataFrame([("the",), ("ing",), ("of a",), ("zz",)], "term string")
+    got = Q.leak_check(Q.apply_redactions(t, Q.search(t, "the"), fill="#"), terms)
+    assert {r.term: r.leaks for r in got.collect()} == {"the": 0, "ing": 1, "of a": 2, "zz": 0}
+    assert "collect_set" not in plan(got)
