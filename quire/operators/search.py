@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.sources.readers import line_words, piece_starts
+from quire.sources.readers import line_texts, line_words, piece_starts, running
 
 ELLIPSIS = "…"
 
@@ -161,6 +161,23 @@ def _term_tokens(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return out
 
 
+#: So many terms are looked for in each line as it is; more go by an index of the distinct words.
+FEW_TERMS = 32
+
+
+def _places_in_lines(lines: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, page, ln, word_no, term for each place, overlapping ones too, of the lower-cased terms in the lower-cased words of a line, one blank apart.
+
+    In the row, without a join or shuffle: a line is cut before each place, and the blanks in the pieces before a place tell its word.
+    """
+    cuts = [F.struct(F.lit(t).alias("term"), F.lit("(?=\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E)").alias("cut")) for t in terms]
+    rows = line_texts(lines).select("doc_id", "page", "ln", F.lower("words").alias("low"))
+    rows = rows.withColumn("t", F.explode(F.array(*cuts))).where("contains(low, t.term)")
+    before = running("transform(split(low, t.cut, -1), x -> length(x) - length(replace(x, ' ', '')))")
+    at = F.expr(f"transform(array({before}), b -> if(startswith(low, t.term), b, slice(b, 2, size(b))))[0]")
+    return rows.select("doc_id", "page", "ln", F.explode_outer(at).alias("word_no"), "t.term")  # no array is empty; Spark would work out that of a plain explode twice, to test it
+
+
 def search_dictionary(lines: DataFrame, terms: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, page, ln, word_no, term: every one of terms(term) searched over every line, letter case aside, in one pass for all terms.
 
@@ -172,6 +189,9 @@ def search_dictionary(lines: DataFrame, terms: DataFrame, whole: bool = False) -
         small = _bounded(terms.select(F.lower("term").alias("term")).distinct())
         token = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
         return words.withColumn("term", token).join(small, "term").select("doc_id", "page", "ln", "word_no", "term")
+    few = [r.term for r in terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().limit(FEW_TERMS + 1).collect()]
+    if 0 < len(few) <= FEW_TERMS:
+        return _places_in_lines(lines, few)
     words = words.withColumn("token", F.lower("word"))
     keyed = words.select("doc_id", "page", "ln", "word_no", token_key(F.col("token")).alias("key"))
     met = keyed.join(_term_tokens(words.select("token"), terms), "key")

@@ -107,3 +107,17 @@ def test_leak_check_redacts_once(spark):
     got = Q.leak_check(Q.apply_redactions(t, Q.search(t, "the"), fill="#"), terms)
     assert {r.term: r.leaks for r in got.collect()} == {"the": 0, "ing": 1, "of a": 2, "zz": 0}
     assert "collect_set" not in plan(got)
+
+
+def test_few_terms_are_looked_for_in_the_row(spark, monkeypatch):
+    texts = ["Aaaa of  the banana x\\Ey İi of the\n  of", "", " ", None, "σΑΣ of", "ana banana of the of them"]
+    t = R.text_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    terms = spark.createDataFrame([(x,) for x in ("AA", "ana", "of the", "\\E", "x\\ey", "i", " of", "of ", "ς", "a  b", "", None, "aa", "zz")], "term string")
+    got = Q.search_dictionary(t, terms)
+    assert "Join" not in plan(got) and "Aggregate" not in plan(got)
+    monkeypatch.setattr(Q, "FEW_TERMS", 0)  # by the index of words, as for many terms
+    many = Q.search_dictionary(t, terms)
+    rows = sorted(map(tuple, got.collect()))
+    assert got.dtypes == many.dtypes and rows == sorted(map(tuple, many.collect()))
+    assert rows.count((0, 0, 0, 0, "aa")) == 3 and rows.count((5, 0, 0, 1, "ana")) == 2 and (0, 0, 0, 4, "x\\ey") in rows
+    assert Q.search_dictionary(t, terms.limit(0)).count() == 0
