@@ -194,7 +194,13 @@ def search_dictionary(lines: DataFrame, terms: DataFrame, whole: bool = False) -
         return _places_in_lines(lines, few)
     words = words.withColumn("token", F.lower("word"))
     keyed = words.select("doc_id", "page", "ln", "word_no", token_key(F.col("token")).alias("key"))
-    met = keyed.join(_term_tokens(words.select("token"), terms), "key")
+    from quire.sources.sinks import shared_path
+
+    # What terms stand in is known before words are joined: where it is small, words meet it where they are.
+    path = shared_path(lines.sparkSession, "term-tokens")
+    held = _term_tokens(words.select("token"), terms)
+    held.write.parquet(path)
+    met = keyed.join(_bounded(lines.sparkSession.read.schema(held.schema).parquet(path), 1 << 18), "key")
     # A phrase goes on in the words behind it: its line is looked at again, once for all places in it that a head is at.
     heads = met.where("NOT whole").groupBy("doc_id", "ln").agg(F.collect_list(F.struct("page", "word_no", "term", "at")).alias("hits"))
     tail = lines.select("doc_id", "ln", F.expr("filter(split(lower(line), ' ', -1), x -> x <> '')").alias("ws"))

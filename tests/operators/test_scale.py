@@ -118,6 +118,7 @@ def test_few_terms_are_looked_for_in_the_row(spark, monkeypatch):
     monkeypatch.setattr(Q, "FEW_TERMS", 0)  # by the index of words, as for many terms
     many = Q.search_dictionary(t, terms)
     rows = sorted(map(tuple, got.collect()))
+    assert "strategy=broadcast" in plan(many) and "get(parts" not in plan(many)
     assert got.dtypes == many.dtypes and rows == sorted(map(tuple, many.collect()))
     assert rows.count((0, 0, 0, 0, "aa")) == 3 and rows.count((5, 0, 0, 1, "ana")) == 2 and (0, 0, 0, 4, "x\\ey") in rows
     assert Q.search_dictionary(t, terms.limit(0)).count() == 0
