@@ -1,8 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared over windows of a text.
 
-zstandard trains a dictionary on toxic and another one, as large, on ordinary texts. Both kinds share their language, so of every labelled text the
-trainer gets the runs that tell its kind: bytes in pieces of 7 that several of its kind's texts hold and hardly any of the other kind's. The pieces of
-whole texts are counted on the executors; the trainer then picks what such runs share. A text is cut into windows of three words, all of them; a window that the toxic
+One zstandard dictionary is made of toxic and another one, of the same bounds, of ordinary texts. Both kinds share their language, so of every labelled text
+counts what tells its kind: pieces of 7 bytes that several of its kind's texts hold and hardly any of the other kind's. The pieces of
+whole texts are counted on the executors. zstandard leaves a window as it is unless it gets three bytes shorter, which takes a match of ten; so a dictionary is
+strings of that length, picked to cover as many as they can of the windows that hold a piece which tells beyond chance. Where the texts are too few for such pieces,
+zstandard trains a dictionary on the runs that telling pieces make up. A text is cut into windows of three words, all of them; a window that the toxic
 dictionary shortens more than the ordinary one speaks for toxicity. From how many bytes on that counts as a hit is calibrated on ordinary windows, and a logistic regression turns a text's
 windows into a score. Both are fitted crosswise: each half of the labelled texts by dictionaries trained on the other half; the dictionaries that score are trained on both.
 """
@@ -14,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import kept, let_go, materialise, text_slices
@@ -25,6 +27,8 @@ _UNDER = (2, 4, 6)
 _PIECE = 7  # bytes: eight with a zero before them are a long, and zstandard's longest least match
 _FITS = {"0": ("0",), "2": ("2",), "all": ("0", "2")}  # dictionaries by the halves they are trained on
 _ROWS = 1 << 16  # of a batch of counts
+_PART = 1 << 13  # windows that are cut into strings at once
+_MATCH = 10  # bytes: the least match that makes a window shorter by itself
 
 
 @dataclass(frozen=True)
@@ -33,10 +37,12 @@ class Settings:
 
     rows: int = 3000
     words: int = 3  # of a window
-    own_bytes: int = 4 << 10
+    own_bytes: int = 4 << 10  # of a trained dictionary
     segment: int = 16  # bytes of a run that the trainer picks
+    cover_bytes: int = 28_000  # of a dictionary of strings: 15 bits reach all of it, so a match takes four bytes
     least_texts: int = 3  # a piece tells its kind that so many texts of it hold,
     least_ratio: float = 20.0  # and so many times as large a share of them as of the other kind's
+    texts_a_window: int = 100  # a string covers a window for every so many texts of its kind
     false_windows: float = 0.002  # the share of ordinary windows that are hits
 
 
@@ -106,21 +112,104 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def telling_pieces(texts: DataFrame, settings: Settings) -> dict[tuple[str, int], np.ndarray]:
     """(fit, label) -> the sorted pieces that tell texts of the label, from texts(part, toxic, text), each text once."""
+    return _told(texts, settings)[0]
+
+
+def _told(texts: DataFrame, settings: Settings) -> tuple[dict[tuple[str, int], np.ndarray], dict[tuple[str, int], np.ndarray]]:
+    """(fit, label) -> the pieces that tell, and of these the sure ones, of which chance would not bring one forth among all pieces of a half's texts."""
     kinds = [f"{part}{toxic}" for part in ("0", "2") for toxic in (0, 1)]
     number = F.array_position(F.array(*map(F.lit, kinds)), F.concat("part", F.col("toxic").cast("string"))) - 1
     rows = texts.select(number.cast("byte").alias("kind"), "text")
     total = {kinds[r.kind]: r["count"] for r in rows.groupBy("kind").count().collect()}
     n = rows.mapInArrow(_count_pieces, "piece long, kind byte, n int").groupBy("piece").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate(kinds)])
-    tests = {}
+    tests, sides = {}, {}
     for fit, halves in _FITS.items():
         for toxic in (0, 1):
             own, other = (sum((F.col(f"`{h}{k}`") for h in halves), F.lit(0)) for k in (toxic, 1 - toxic))
             n_own, n_other = (max(1, sum(total.get(f"{h}{k}", 0) for h in halves)) for k in (toxic, 1 - toxic))
             tests[fit, toxic] = (own >= settings.least_texts) & (own / n_own >= settings.least_ratio * (other + 0.5) / n_other)
-    flags = n.select("piece", *[t.alias(f"t{i}") for i, t in enumerate(tests.values())])
+            sides[fit, toxic] = [f"{h}{toxic}" for h in halves], [f"{h}{1 - toxic}" for h in halves], n_own / (n_own + n_other)
+    every = Observation()
+    flags = n.observe(every, F.count(F.lit(1)).alias("pieces")).select("piece", *[F.col(f"`{k}`").cast("int").alias(k) for k in kinds], *[t.alias(f"t{i}") for i, t in enumerate(tests.values())])
     some = flags.where(" OR ".join(f"t{i}" for i in range(len(tests)))).toArrow()
-    piece = some["piece"].to_numpy()
-    return {k: np.sort(piece[some[f"t{i}"].to_numpy(zero_copy_only=False)]) for i, k in enumerate(tests)}
+    piece, held = some["piece"].to_numpy(), {k: some[k].to_numpy() for k in kinds}
+    telling, sure = {}, {}
+    for i, (k, (own, other, share)) in enumerate(sides.items()):
+        tells = some[f"t{i}"].to_numpy(zero_copy_only=False)
+        beyond = beyond_chance(sum(held[c] for c in own)[tells], sum(held[c] for c in other)[tells], share, every.get["pieces"])
+        telling[k], sure[k] = np.sort(piece[tells]), np.sort(piece[tells][beyond])
+    for toxic in (0, 1):  # twice the texts make sure of more near copies; step and weights are fitted on pieces that one half makes sure of
+        sure["all", toxic] = np.intersect1d(telling["all", toxic], np.union1d(sure["0", toxic], sure["2", toxic]))
+    return telling, sure
+
+
+def beyond_chance(own: np.ndarray, other: np.ndarray, share: float, tries: int) -> np.ndarray:
+    """Where so many of a piece's texts are of a kind that has `share` of all texts that chance brings forth less than one such piece in `tries` (Chernoff's bound)."""
+    n, part = own + other, own / np.maximum(own + other, 1)
+    rest = np.where(part < 1, 1 - part, 1)
+    divergence = part * np.log(np.where(part > 0, part, 1) / share) + np.where(part < 1, rest * np.log(rest / (1 - share)), 0)
+    return (part > share) & (n * divergence >= np.log(max(tries, 1)))
+
+
+def telling_windows(text: str | None, sure: np.ndarray, words: int) -> list[bytes]:
+    """Every run of so many words of a text, between blanks, that holds a piece in sure (sorted), wherever a text's windows begin."""
+    own, raw = pieces(text), _bytes(plain(text))
+    if not len(sure) or not len(own):
+        return []
+    met = np.flatnonzero(sure[np.minimum(np.searchsorted(sure, own), len(sure) - 1)] == own)
+    blanks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    begin = blanks[:-1]
+    end = blanks[np.minimum(np.arange(len(begin)) + words, len(blanks) - 1)] + 1
+    first = np.searchsorted(met, begin)
+    holds = (first < len(met)) & (np.append(met, len(raw))[first] + _PIECE <= end)
+    return [raw[i:j] for i, j in zip(begin[holds].tolist(), end[holds].tolist(), strict=True)]
+
+
+def cover(held: list[bytes], sure: np.ndarray, settings: Settings, least: int = 1) -> bytes:
+    """A dictionary of strings of _MATCH bytes: one after the other the string that most windows hold of those that hold none yet, around a piece in sure (sorted), down to `least` windows.
+
+    The matcher looks up _PIECE bytes and knows one place of them, so each string begins with others. The most frequent ones come last, nearest to the text.
+    """
+    heads, tails, owner = [], [], []
+    for start in range(0, len(held), _PART):
+        part = held[start : start + _PART]
+        b, ends = np.frombuffer(b"".join(part), np.uint8).astype(np.int64), np.cumsum(list(map(len, part)))
+        if len(b) < _MATCH:
+            continue
+        own = np.zeros(len(b) - _PIECE + 1, np.int64)
+        for j in range(_PIECE):
+            own = (own << 8) | b[j : j + len(own)]
+        met, n = sure[np.minimum(np.searchsorted(sure, own), len(sure) - 1)] == own, len(b) - _MATCH + 1
+        at = np.flatnonzero(np.logical_or.reduce([met[j : j + n] for j in range(_MATCH - _PIECE + 1)]))
+        window = np.searchsorted(ends, at, "right")
+        at, window = at[inside := at + _MATCH <= ends[window]], window[inside]
+        heads.append(own[at])
+        tails.append(((b[at + 7] << 16) | (b[at + 8] << 8) | b[at + 9]).astype(np.int32))
+        owner.append((start + window).astype(np.int32))
+    head, tail, window = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (heads, tails, owner))
+    if not len(head):
+        return b""
+    order = np.lexsort((window, tail, head))
+    head, tail, window = head[order], tail[order], window[order]
+    new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+    once = new | np.append(True, window[1:] != window[:-1])  # a window counts once for a string
+    head, tail, window, new = head[once], tail[once], window[once], new[once]
+    string, starts = (np.cumsum(new) - 1).astype(np.int32), np.append(np.flatnonzero(new), len(head))
+    head, tail = head[new], tail[new]
+    order = np.argsort(window, kind="stable")
+    of_window, window_at = string[order], np.searchsorted(window[order], np.arange(len(held) + 1))
+    left, done, out = np.diff(starts), np.zeros(len(held), bool), []
+    while (len(out) + 1) * (_MATCH + 1) <= settings.cover_bytes:
+        x = int(left.argmax())
+        if left[x] < least:
+            break
+        out.append(int(head[x]).to_bytes(_PIECE, "big") + int(tail[x]).to_bytes(_MATCH - _PIECE, "big"))
+        for k in window[starts[x] : starts[x + 1]].tolist():
+            if not done[k]:
+                done[k] = True
+                left[of_window[window_at[k] : window_at[k + 1]]] -= 1
+        left[np.searchsorted(head, head[x]) : np.searchsorted(head, head[x], "right")] = -len(held)
+    return b"\n".join(reversed(out))
 
 
 def train(samples: list[bytes], settings: Settings) -> bytes:
@@ -203,20 +292,32 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     rows = materialise(every(found, "doc_id", "text").select(F.col("part").cast("string").alias("part"), "toxic", F.coalesce("text", F.lit("")).alias("text")).distinct().repartition(32), "toxicity-sample")
     if rows.select("part", "toxic").distinct().count() < len(groups):
         return None
-    telling = telling_pieces(rows, settings)
+    telling, sure = _told(rows, settings)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
             for part, toxic, text in zip(*(batch[c].to_pylist() for c in ("part", "toxic", "text")), strict=True):
                 for name, halves in _FITS.items():
-                    if part in halves and (own := runs(text, telling[name, toxic])):
-                        yield pa.RecordBatch.from_pydict({"fit": [name], "toxic": pa.array([toxic], pa.int32()), "runs": pa.array([own], pa.list_(pa.binary()))})
+                    if part in halves:
+                        own = runs(text, telling[name, toxic]), telling_windows(text, sure[name, toxic], settings.words)
+                        yield pa.RecordBatch.from_pydict({"fit": [name], "toxic": pa.array([toxic], pa.int32()), **{c: pa.array([x], pa.list_(pa.binary())) for c, x in zip(("runs", "windows"), own, strict=True)}})
 
-    samples: dict[tuple[str, int], list[bytes]] = {(name, toxic): [] for name in _FITS for toxic in (0, 1)}
-    for r in rows.mapInArrow(cut, "fit string, toxic int, runs array<binary>").collect():  # what tells a kind in the sample's texts
-        samples[r.fit, r.toxic] += map(bytes, r.runs)
-    pairs = {name: [train(sorted(samples[name, toxic]), settings) for toxic in (0, 1)] for name in _FITS}
+    def dictionary(found: pa.Table) -> pa.Table:
+        let_go()
+        name, toxic = found["fit"][0].as_py(), found["toxic"][0].as_py()
+        held = found["windows"].combine_chunks()
+        enough = 2 * sum(n > 0 for n in held.value_lengths().to_pylist()) >= len(held)
+        trained = train(sorted(r for x in found["runs"].to_pylist() for r in x), settings)
+        # Equal windows count once, so near copies of a text don't bring in their other words.
+        covering = cover(sorted(set(held.flatten().to_pylist())), sure[name, toxic], settings, -(-len(held) // settings.texts_a_window)) if len(sure[name, toxic]) else b""
+        return pa.table({"fit": [name], "toxic": pa.array([toxic], pa.int32()), "enough": [enough], "trained": [trained], "covering": [covering]})
+
+    # What tells a kind in the sample's texts; one of the six dictionaries a group.
+    cuts = rows.mapInArrow(cut, "fit string, toxic int, runs array<binary>, windows array<binary>").groupBy("fit", "toxic")
+    made = {(r.fit, r.toxic): r for r in cuts.applyInArrow(dictionary, "fit string, toxic int, enough boolean, trained binary, covering binary").collect()}
+    # Both of a pair are made in one way: by strings where half of the toxic texts hold a sure piece, as lengths are compared.
+    pairs = {name: [bytes(made[name, toxic].covering if made[name, 1].enough else made[name, toxic].trained) for toxic in (0, 1)] for name in _FITS}
     gains, steps, y = [], [], []
     for own, other in (("0", "2"), ("2", "0")):
         got = rows.where(F.col("part") == own).select("toxic", _gains(*pairs[other], settings)("text").alias("g")).collect()

@@ -8,7 +8,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import functions as F
 
-from quire.llm.toxicity import Comparer, Settings, calibrated, fit, pieces, runs, score, score_documents, telling_pieces, train, windows
+from quire.llm.toxicity import Comparer, Settings, beyond_chance, calibrated, cover, fit, pieces, runs, score, score_documents, telling_pieces, telling_windows, train, windows
 
 from .helpers import HARD, hard
 
@@ -104,3 +104,21 @@ def test_edges(spark):
     assert score(hard(spark, []), model).count() == 0
     none = score_documents(hard(spark), labels.limit(0)).collect()
     assert [r.score for r in none] == [0.0] * len(HARD)
+
+
+def test_strings_cover_short_toxic_words_whatever_stands_before_them():
+    """A match of a short word alone saves zstandard nothing; with what stands before it, it does. Near copies and pieces that chance brings don't count."""
+    rng = random.Random(5)
+    some = [a + b for a in ("tion", "ing", "her", "stone", "wh") for b in ("ed", "ou", "ly", "an")]
+    toxic = [" ".join(rng.choices(some, k=9) + ["scum"] + rng.choices(some, k=9)) for _ in range(300)]
+    sure = np.unique([p for w in ("d scum", "u scum", "y scum", "n scum") for p in pieces(w)[1:].tolist()])
+    held = sorted({w for t in toxic for w in telling_windows(t, sure, 3)})
+    every = {" ".join(["", *t.split()[k : k + 3], ""]) for t in toxic for k in range(19)}
+    assert held == sorted(w.encode() for w in every if set(pieces(w[1:-1]).tolist()) & set(sure.tolist()))
+    compare = Comparer(cover([], sure, Settings()), cover(held, sure, Settings()), Settings())
+    fresh = [f"{rng.choice(some)} scum {rng.choice(some)}" for _ in range(50)]
+    assert sum(compare.gains(t)[0] >= 3 for t in fresh) >= 40 and all(compare.gains(t.replace("scum", "calm"))[0] <= 0 for t in fresh)
+    alone = Comparer(b"", train([r for t in toxic for r in runs(t, sure)], Settings()), Settings())
+    assert sum(alone.gains(t)[0] >= 3 for t in fresh) < 40
+    assert cover(held, sure, Settings(), len(held) + 1) == b""
+    assert beyond_chance(np.array([3, 12, 12, 0]), np.array([0, 0, 12, 9]), 0.2, 10**6).tolist() == [False, True, False, False]
